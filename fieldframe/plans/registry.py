@@ -18,12 +18,27 @@ ORACLE: dict[str, str] = {}
 DIGITS: dict[str, int] = {}
 
 
+def round_half_up(c, digits: int):
+    """floor(x * 10^d + 0.5 + tiny) / 10^d on the binary double: the same result in Spark and DuckDB.
+
+    (Spark's ``round`` rounds the decimal string form, DuckDB the binary value,
+    so ties at the next digit would differ.)
+    """
+    scale = float(10 ** digits)
+    x = c * F.lit(scale)
+    # ties (exact decimals such as x.xxxxxx5) go up even when the two engines'
+    # sum orders leave the value one ulp apart
+    nudge = F.greatest(F.lit(1e-6), F.abs(x) * F.lit(1e-11))
+    r = F.floor(x + F.lit(0.5) + nudge).cast("double") / F.lit(scale)
+    return F.when(F.abs(c) < F.lit(1e12), r).otherwise(c)
+
+
 def finalize(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(F.round(c.cast("double"), digits))
+            c = F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(round_half_up(c.cast("double"), digits))
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
@@ -32,8 +47,11 @@ def rounded_sql(sql: str, cols: Sequence[str], digits: int = 6) -> str:
     """Wrap oracle SQL so the listed double columns follow the output convention."""
     if not cols:
         return sql
+    scale = f"{float(10 ** digits)!r}"
     rep = ", ".join(
-        f'CASE WHEN isnan(CAST("{c}" AS DOUBLE)) THEN NULL ELSE round(CAST("{c}" AS DOUBLE), {digits}) END AS "{c}"'
+        f'CASE WHEN isnan(CAST("{c}" AS DOUBLE)) THEN NULL WHEN abs(CAST("{c}" AS DOUBLE)) < 1e12 '
+        f'THEN floor(CAST("{c}" AS DOUBLE) * {scale} + 0.5 + greatest(1e-6, abs(CAST("{c}" AS DOUBLE) * {scale}) * 1e-11)) '
+        f'/ {scale} ELSE CAST("{c}" AS DOUBLE) END AS "{c}"'
         for c in cols
     )
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS q"
