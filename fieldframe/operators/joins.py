@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldframe.config import TIME_RESOLUTION_H
 
@@ -84,7 +85,13 @@ def nearest(df: DataFrame, targets: DataFrame, coord: str, target_col: str = "ta
         "_next", F.first("_c", ignorenulls=True).over(w_next)
     )
     t = u.where(F.col("_t").isNotNull())
-    dist = lambda c: F.abs(F.col(c).cast("double") - F.col("_t").cast("double"))
+    is_time = isinstance(a.schema["_c"].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+
+    def num(c: str):
+        return F.unix_micros(F.col(c).cast("timestamp")).cast("double") if is_time else F.col(c).cast("double")
+
+    def dist(c: str):
+        return F.abs(num(c) - num("_t"))
     pick = (
         F.when(F.col("_prev").isNull(), F.col("_next"))
         .when(F.col("_next").isNull(), F.col("_prev"))
