@@ -268,3 +268,27 @@ def date_stamp(time) -> tuple[Column, Column]:
     """(yyyyMMdd, HHmmss00) as integers."""
     t = _c(time)
     return F.date_format(t, "yyyyMMdd").cast("int"), F.concat(F.date_format(t, "HHmmss"), F.lit("00")).cast("int")
+
+
+# ------------------------------------------------------------ contour levels M19
+def contour_levels(lo, hi, n: int, precipitation: bool = False) -> Column:
+    """linspace(lo, hi, n) (last = hi); for precipitation exp(linspace(ln .1, ln(hi + .1), 50)) - .1
+    kept >= 0, falling back to linspace(0, .1, 10) when hi <= 0."""
+    lo, hi = _c(lo), _c(hi)
+
+    def lin(a: Column, b: Column, k: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
+                           lambda i: F.when(i == k - 1, b).otherwise(a + i.cast("double") * ((b - a) / F.lit(float(k - 1)))))
+
+    if not precipitation:
+        return lin(lo, hi, n)
+    logs = lin(F.ln(F.lit(0.1)), F.ln(hi + F.lit(0.1)), 50)
+    exp_levels = F.filter(F.transform(logs, lambda x: F.exp(x) - F.lit(0.1)), lambda x: x >= 0)
+    return F.when(hi > 0, exp_levels).otherwise(lin(F.lit(0.0), F.lit(0.1), 10))
+
+
+def level_band(value, lo, hi, n_bands: int) -> Column:
+    """Band index of ``value`` between equally spaced levels: 0 below, n+1 at or above ``hi``."""
+    v, lo, hi = _c(value), _c(lo), _c(hi)
+    inner = F.floor((v - lo) / (hi - lo) * F.lit(float(n_bands))) + 1
+    return F.when(v < lo, F.lit(0)).when(v >= hi, F.lit(n_bands + 1)).otherwise(inner).cast("int")

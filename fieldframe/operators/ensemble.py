@@ -155,12 +155,17 @@ def _crps_fair_spread(aligned: DataFrame, keys, weighted: bool) -> DataFrame:
     return per_cell.groupBy(*keys).agg(grid_mean(cell_spread, weighted).alias("crps_fair_spread"))
 
 
-def ensemble_mean_rmse(ens, truth, keys, region=None, skipna=False) -> DataFrame:
-    """RMSE of the ensemble mean (named MSE in the source docstring; the value is RMSE)."""
+def ensemble_mean_rmse(ens, truth, keys, region=None, skipna=False, by: Sequence[str] = ()) -> DataFrame:
+    """RMSE of the ensemble mean (named MSE in the source docstring; the value is RMSE).
+
+    ``by`` holds extra grouping columns of the ensemble (e.g. ``run``) that the
+    shared truth does not carry; truth is joined on ``keys`` only.
+    """
+    gk = [*by, *keys]
     a = attach_region(align(ens, truth, keys), region)
-    s = _skill(cell_stats(a, keys), keys, region is not None)
-    out = s.select(*keys, _guard(F.col("n_members"), F.col("l2_skill"), "Ensemble-Mean Score").alias("rmse"))
-    return out.select(*keys, (inf_to_nan(F.col("rmse")) if skipna else F.col("rmse")).alias("rmse"))
+    s = _skill(cell_stats(a, gk), gk, region is not None)
+    out = s.select(*gk, _guard(F.col("n_members"), F.col("l2_skill"), "Ensemble-Mean Score").alias("rmse"))
+    return out.select(*gk, (inf_to_nan(F.col("rmse")) if skipna else F.col("rmse")).alias("rmse"))
 
 
 def _score_frame(skill, spread, keys, skill_col, spread_col, prefix, what, skipna) -> DataFrame:

@@ -39,25 +39,29 @@ def finalize(df: DataFrame, digits: int = 6) -> DataFrame:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(round_half_up(c.cast("double"), digits))
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.DoubleType):
+            c = F.transform(c, lambda x: F.when(F.isnan(x), F.lit(None).cast("double")).otherwise(round_half_up(x, digits)))
         cols.append(c.alias(f.name))
     return df.select(*cols)
 
 
-def rounded_sql(sql: str, cols: Sequence[str], digits: int = 6) -> str:
-    """Wrap oracle SQL so the listed double columns follow the output convention."""
-    if not cols:
-        return sql
+def _round_sql(x: str, digits: int) -> str:
     scale = f"{float(10 ** digits)!r}"
-    rep = ", ".join(
-        f'CASE WHEN isnan(CAST("{c}" AS DOUBLE)) THEN NULL WHEN abs(CAST("{c}" AS DOUBLE)) < 1e12 '
-        f'THEN floor(CAST("{c}" AS DOUBLE) * {scale} + 0.5 + greatest(1e-6, abs(CAST("{c}" AS DOUBLE) * {scale}) * 1e-11)) '
-        f'/ {scale} ELSE CAST("{c}" AS DOUBLE) END AS "{c}"'
-        for c in cols
-    )
-    return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS q"
+    return (f"CASE WHEN isnan(CAST({x} AS DOUBLE)) THEN NULL WHEN abs(CAST({x} AS DOUBLE)) < 1e12 "
+            f"THEN floor(CAST({x} AS DOUBLE) * {scale} + 0.5 + greatest(1e-6, abs(CAST({x} AS DOUBLE) * {scale}) * 1e-11)) "
+            f"/ {scale} ELSE CAST({x} AS DOUBLE) END")
+
+
+def rounded_sql(sql: str, cols: Sequence[str], digits: int = 6, arrays: Sequence[str] = ()) -> str:
+    """Wrap oracle SQL so the listed double columns (and double arrays) follow the output convention."""
+    if not cols and not arrays:
+        return sql
+    rep = [f'{_round_sql(chr(34) + c + chr(34), digits)} AS "{c}"' for c in cols]
+    rep += [f'list_transform("{c}", lambda v: {_round_sql("v", digits)}) AS "{c}"' for c in arrays]
+    return f"SELECT * REPLACE ({', '.join(rep)}) FROM (\n{sql}\n) AS q"
 
 
-def register(name: str, sql: str | None = None, floats: Sequence[str] = (), digits: int = 6):
+def register(name: str, sql: str | None = None, floats: Sequence[str] = (), digits: int = 6, arrays: Sequence[str] = ()):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return finalize(fn(spark, sf_dir), digits)
@@ -67,7 +71,7 @@ def register(name: str, sql: str | None = None, floats: Sequence[str] = (), digi
         QUERIES[name] = run
         DIGITS[name] = digits
         if sql is not None:
-            ORACLE[name] = rounded_sql(sql, floats, digits)
+            ORACLE[name] = rounded_sql(sql, floats, digits, arrays)
         return fn
 
     return deco
