@@ -93,15 +93,6 @@ def _skill(cells: DataFrame, keys, weighted: bool) -> DataFrame:
     )
 
 
-def _energy_spread(aligned: DataFrame, keys, weighted: bool) -> DataFrame:
-    """Mean over adjacent member pairs (n, n+1) of sqrt(grid mean squared difference)."""
-    w = Window.partitionBy(*keys, *CELL).orderBy("member")
-    d = aligned.withColumn("nxt", F.lead("value").over(w)).where(F.col("nxt").isNotNull())
-    diff = F.col("value") - F.col("nxt")
-    per_member = d.groupBy(*keys, "member").agg(F.sqrt(grid_mean(diff * diff, weighted)).alias("l2"))
-    return per_member.groupBy(*keys).agg(F.avg("l2").alias("energy_spread"))
-
-
 def member_pairs(ens: DataFrame, seed=None, scope: Sequence[str] = ()) -> DataFrame:
     """Disjoint member pairs from a seeded permutation (odd member left out).
 
@@ -125,18 +116,6 @@ def member_pairs(ens: DataFrame, seed=None, scope: Sequence[str] = ()) -> DataFr
     )
 
 
-def _crps_spread(aligned: DataFrame, keys, weighted: bool, seed, scope) -> DataFrame:
-    pairs = member_pairs(aligned, seed, scope)
-    # bounded: one row per member and scope (ensemble size x runs)
-    p = aligned.join(F.broadcast(pairs), [*scope, "member"], "inner")
-    a = F.max(F.when(F.col("side") == 0, F.col("value")))
-    b = F.max(F.when(F.col("side") == 1, F.col("value")))
-    agg = [F.abs(a - b).alias("ad")] + ([F.max("w").alias("w")] if weighted else [])
-    per_cell = p.groupBy(*keys, *CELL, "pair").agg(*agg)
-    per_pair = per_cell.groupBy(*keys, "pair").agg(grid_mean(F.col("ad"), weighted).alias("l1"))
-    return per_pair.groupBy(*keys).agg(F.avg("l1").alias("crps_spread"))
-
-
 def _crps_fair_spread(aligned: DataFrame, keys, weighted: bool) -> DataFrame:
     """Exact E|X-X'| over all distinct member pairs from sorted members.
 
@@ -169,7 +148,7 @@ def ensemble_mean_rmse(ens, truth, keys, region=None, skipna=False, by: Sequence
 
 
 def _score_frame(skill, spread, keys, skill_col, spread_col, prefix, what, skipna) -> DataFrame:
-    j = skill.join(spread, _k(keys), "left")
+    j = skill if spread is None else skill.join(spread, _k(keys), "left")
     sp = F.col(spread_col)
     sk = F.col(skill_col)
     sc = sk - F.lit(0.5) * sp
@@ -184,19 +163,16 @@ def _score_frame(skill, spread, keys, skill_col, spread_col, prefix, what, skipn
 def energy_score(ens, truth, keys, region=None, skipna=False) -> DataFrame:
     """skill = L2 of ensemble mean vs truth; spread over adjacent members; score = skill - spread/2."""
     a = attach_region(align(ens, truth, keys), region)
-    weighted = region is not None
-    skill = _skill(cell_stats(a, keys), keys, weighted)
-    spread = _energy_spread(a, keys, weighted)
-    return _score_frame(skill, spread, keys, "l2_skill", "energy_spread", "energy", "Energy Score", skipna)
+    fs = field_scores(member_frame(a, keys), keys, region is not None, with_pairs=False)
+    return _score_frame(fs, None, keys, "l2_skill", "energy_spread", "energy", "Energy Score", skipna)
 
 
 def crps(ens, truth, keys, region=None, skipna=False, seed=None, scope: Sequence[str] = ()) -> DataFrame:
     """skill = mean |ensemble mean - truth|; spread over floor(n/2) seeded disjoint pairs."""
     a = attach_region(align(ens, truth, keys), region)
-    weighted = region is not None
-    skill = _skill(cell_stats(a, keys), keys, weighted)
-    spread = _crps_spread(a, keys, weighted, seed, scope)
-    return _score_frame(skill, spread, keys, "l1_skill", "crps_spread", "crps", "CRPS Score", skipna)
+    x = member_frame(a, keys, member_pairs(ens, seed, scope), scope)
+    fs = field_scores(x, keys, region is not None)
+    return _score_frame(fs, None, keys, "l1_skill", "crps_spread", "crps", "CRPS Score", skipna)
 
 
 def crps_fair(ens, truth, keys, region=None, skipna=False) -> DataFrame:
@@ -299,19 +275,76 @@ def value_limits(truth, prediction, ens, by: Sequence[str] = ("feature",)) -> Da
     return lim.join(ms, list(by), "inner")
 
 
+def member_frame(aligned: DataFrame, keys, pairs: DataFrame | None = None, scope: Sequence[str] = ()) -> DataFrame:
+    """Aligned member rows with the next member's value (``nxt``) and, when ``pairs`` is given,
+    each member's CRPS pair/side. One exchange on (keys, cell); the pair table is member-sized."""
+    w = Window.partitionBy(*keys, *CELL).orderBy("member")
+    x = aligned.withColumn("nxt", F.lead("value").over(w))
+    if pairs is not None:
+        x = x.join(F.broadcast(pairs), [*scope, "member"], "left")
+    return x
+
+
+def cell_frame(x: DataFrame, keys, with_pairs: bool) -> DataFrame:
+    """Per-cell aggregates of a :func:`member_frame`, computed inside its (keys, cell) partitioning:
+    ensemble mean, truth, weight, member count, both spreads and the mean |a - b| over the cell's
+    member pairs (``pair_ad``)."""
+    cells = x.groupBy(*keys, *CELL).agg(
+        F.avg("value").alias("ens_mean"),
+        F.max("truth").alias("truth"),
+        F.max("w").alias("w"),
+        F.count("value").alias("n_members"),
+        F.stddev_pop("value").alias("spread_pop"),
+        F.stddev_samp("value").alias("spread_samp"),
+    )
+    if not with_pairs:
+        return cells
+    a = F.max(F.when(F.col("side") == 0, F.col("value")))
+    b = F.max(F.when(F.col("side") == 1, F.col("value")))
+    pp = x.where(F.col("pair").isNotNull()).groupBy(*keys, *CELL, "pair").agg(F.abs(a - b).alias("ad"))
+    pc = pp.groupBy(*keys, *CELL).agg(F.avg("ad").alias("pair_ad"))
+    return cells.join(pc, [*keys, *CELL], "left")
+
+
+def field_scores(x: DataFrame, keys, weighted: bool, with_pairs: bool = True) -> DataFrame:
+    """Field-level scores from one member frame: skills, member count, CRPS pair spread,
+    mean-spread norm (one small aggregate) and the adjacent-member energy spread.
+
+    The CRPS spread is the grid mean of each cell's mean over pairs, which equals the mean
+    over pairs of their grid means whenever every cell holds every pair (a dense ensemble).
+    """
+    cells = cell_frame(x, keys, with_pairs)
+    d = F.col("ens_mean") - F.col("truth")
+    ms = F.abs(d) - F.col("spread_samp")
+    aggs = [
+        F.sqrt(grid_mean(d * d, weighted)).alias("l2_skill"),
+        grid_mean(F.abs(d), weighted).alias("l1_skill"),
+        F.min("n_members").alias("n_members"),
+        F.sqrt(F.sum(ms * ms)).alias("mean_spread"),
+    ]
+    if with_pairs:
+        aggs.append(grid_mean(F.col("pair_ad"), weighted).alias("crps_spread"))
+    f = cells.groupBy(*keys).agg(*aggs)
+    diff = F.col("value") - F.col("nxt")
+    per_member = x.where(F.col("nxt").isNotNull()).groupBy(*keys, "member").agg(
+        F.sqrt(grid_mean(diff * diff, weighted)).alias("l2"))
+    es = per_member.groupBy(*keys).agg(F.avg("l2").alias("energy_spread"))
+    return f.join(es, list(keys), "left")
+
+
 def verify(ens, det, truth, keys, region=None, skipna=False, seed=None, scope: Sequence[str] = ()) -> DataFrame:
     """C4: deterministic RMSE, ensemble-mean RMSE, energy score and CRPS per field.
 
-    One aligned frame feeds every metric; the shared (keys, cell) exchange is reused.
+    The aligned ensemble is shuffled once on (keys, cell); every per-cell quantity is
+    computed in that partitioning and only per-field partials are shuffled again.
     """
     weighted = region is not None
     a = attach_region(align(ens, truth, keys), region)
-    skill = _skill(cell_stats(a, keys), keys, weighted)
-    e_spread = _energy_spread(a, keys, weighted)
-    c_spread = _crps_spread(a, keys, weighted, seed, scope)
+    x = member_frame(a, keys, member_pairs(ens, seed, scope), scope)
+    fs = field_scores(x, keys, weighted)
     det_rmse = rmse(det, truth, keys, region)
     g = F.col("n_members")
-    j = skill.join(e_spread, _k(keys), "left").join(c_spread, _k(keys), "left").join(det_rmse, _k(keys), "left")
+    j = fs.join(det_rmse, _k(keys), "left")
     cols = {
         "det_rmse": F.col("rmse"),
         "ens_mean_rmse": _guard(g, F.col("l2_skill"), "Ensemble-Mean Score"),

@@ -30,14 +30,10 @@ def compare_metrics(run_ens: DataFrame, det: DataFrame, truth: DataFrame, keys:
     keys = list(keys)
     rk = ["run", *keys]
     a = E.attach_region(E.align(run_ens, truth, keys), None)
-    cells = E.cell_stats(a, rk)
-    skill = E._skill(cells, rk, False)
-    es = E._energy_spread(a, rk, False)
-    cs = E._crps_spread(a, rk, False, seed, ("run",))
-    d = F.abs(F.col("ens_mean") - F.col("truth")) - F.col("spread_samp")
-    ms = cells.groupBy(*rk).agg(F.sqrt(F.sum(d * d)).alias("mean_spread"))
+    x = E.member_frame(a, rk, E.member_pairs(run_ens, seed, ("run",)), ("run",))
+    fs = E.field_scores(x, rk, False)
     g = F.col("n_members")
-    wide = skill.join(es, rk, "left").join(cs, rk, "left").join(ms, rk, "left").select(
+    wide = fs.select(
         *rk,
         E._guard(g, F.col("l2_skill") - 0.5 * F.col("energy_spread"), "Energy Score").alias("energy_score"),
         E._guard(g, F.col("l1_skill") - 0.5 * F.col("crps_spread"), "CRPS Score").alias("crps"),

@@ -33,16 +33,26 @@ def round_half_up(c, digits: int):
     return F.when(F.abs(c) < F.lit(1e12), r).otherwise(c)
 
 
+def _round_expr(x: str, digits: int) -> str:
+    """Spark SQL text of :func:`round_half_up` with NaN -> NULL."""
+    scale = f"{float(10 ** digits)!r}"
+    return (f"CASE WHEN isnan({x}) THEN CAST(NULL AS DOUBLE) WHEN abs({x}) < 1e12 "
+            f"THEN CAST(floor({x} * {scale} + 0.5 + greatest(1e-6, abs({x} * {scale}) * 1e-11)) AS DOUBLE) / {scale} "
+            f"ELSE {x} END")
+
+
 def finalize(df: DataFrame, digits: int = 6) -> DataFrame:
-    cols = []
+    """Output convention in one projection: doubles (and double arrays) rounded, NaN -> NULL."""
+    exprs = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = f"`{f.name}`"
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(round_half_up(c.cast("double"), digits))
+            exprs.append(f"{_round_expr(f'CAST({c} AS DOUBLE)', digits)} AS {c}")
         elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.DoubleType):
-            c = F.transform(c, lambda x: F.when(F.isnan(x), F.lit(None).cast("double")).otherwise(round_half_up(x, digits)))
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+            exprs.append(f"transform({c}, v -> {_round_expr('v', digits)}) AS {c}")
+        else:
+            exprs.append(c)
+    return df.selectExpr(*exprs)
 
 
 def _round_sql(x: str, digits: int) -> str:

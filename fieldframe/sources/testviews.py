@@ -21,8 +21,15 @@ TRUTH_MEMBER = 7
 DET_MEMBER = 0
 
 
+_READS: dict = {}
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Read a provided table once per session (the plans reuse the same relation)."""
+    key = (id(spark), f"{sf_dir}/{name}.parquet")
+    if key not in _READS:
+        _READS[key] = spark.read.parquet(key[1])
+    return _READS[key]
 
 
 def six_hour_bin(ts: Column) -> Column:
