@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldframe.functions.physics import feature_label, metric_label
+from fieldframe.functions.text import fixed
 from fieldframe.operators import ensemble as E
 from fieldframe.operators.samples import eval_points
 
@@ -63,7 +64,7 @@ def report_cells(ranked: DataFrame) -> DataFrame:
     deterministic row always 2 and RMSE only), best values bold, missing ``{-}``."""
     precise = F.col("feature").contains("specific_humidity") | F.col("feature").contains("total_precipitation")
     is_det = F.col("model") == DET_MODEL
-    num = F.when(~is_det & precise, F.format_string("%.5f", F.col("value"))).otherwise(F.format_string("%.2f", F.col("value")))
+    num = F.when(~is_det & precise, fixed(F.col("value"), 5)).otherwise(fixed(F.col("value"), 2))
     cell = F.concat(F.lit("\\num{"), num, F.lit("}"))
     cell = F.when(F.col("is_best"), F.concat(F.lit("\\textbf{"), cell, F.lit("}"))).otherwise(cell)
     cell = F.when(F.col("value").isNull(), F.lit("{-}")).otherwise(cell)

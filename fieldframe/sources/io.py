@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldframe.functions.text import fixed
 from fieldframe.session import ensure_checkpoint_dir
 
 
@@ -156,7 +157,7 @@ def stats_lines(log: DataFrame, keys: Sequence[str] = ("run", "epoch")) -> DataF
     """
     per = log.groupBy(*keys, "metric").agg(F.avg("value").alias("v"))
     item = F.struct((F.col("metric") == "loss").alias("is_loss"), F.col("metric"),
-                    F.format_string("%s=%.6f", F.col("metric"), F.col("v")).alias("txt"))
+                    F.concat(F.col("metric"), F.lit("="), fixed(F.col("v"), 6)).alias("txt"))
     lines = per.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
     body = F.array_join(F.transform("items", lambda x: x["txt"]), ",")
     return lines.select(*keys, F.concat(F.lit("Epoch "), F.col("epoch").cast("string"), F.lit(": "), body).alias("line"))
