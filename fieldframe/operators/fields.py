@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldframe.config import (
@@ -196,20 +196,22 @@ def field_mu_sigma(long: DataFrame, keys: Sequence[str] = ("time", "feature")) -
 def standardize_field(long: DataFrame, keys: Sequence[str] = ("time", "feature")) -> DataFrame:
     """(x - mean) / sample std over the grid of each field; NULL where std is 0 or undefined.
 
-    A window partitioned by the field keys: one shuffle, each partition group
-    is at most one grid.
+    Field statistics come from a partial (map-side) aggregate joined back on the
+    field keys, so a very large field is never gathered into one task; AQE's
+    skew-join handling splits a hot key on the big side.
     """
-    w = Window.partitionBy(*keys)
-    mu = F.avg("value").over(w)
-    sd = F.stddev_samp("value").over(w)
-    return long.withColumn("value", F.try_divide(F.col("value") - mu, F.nullif(sd, F.lit(0.0))))
+    st = long.groupBy(*keys).agg(F.avg("value").alias("_mu"), F.stddev_samp("value").alias("_sd"))
+    j = long.join(st, list(keys), "inner")
+    z = F.try_divide(F.col("value") - F.col("_mu"), F.nullif(F.col("_sd"), F.lit(0.0)))
+    return j.withColumn("value", z).drop("_mu", "_sd").select(*long.columns)
 
 
 def uncertainty_norm(df: DataFrame, keys: Sequence[str], col: str = "value") -> DataFrame:
-    """(u - min) / (max - min) per field; NULL for a flat field."""
-    w = Window.partitionBy(*keys)
-    lo, hi = F.min(col).over(w), F.max(col).over(w)
-    return df.withColumn(col, F.try_divide(F.col(col) - lo, F.nullif(hi - lo, F.lit(0.0))))
+    """(u - min) / (max - min) per field; NULL for a flat field (aggregate + join)."""
+    st = df.groupBy(*keys).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
+    j = df.join(st, list(keys), "inner")
+    v = F.try_divide(F.col(col) - F.col("_lo"), F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)))
+    return j.withColumn(col, v).drop("_lo", "_hi").select(*df.columns)
 
 
 def dataset_profile(long: DataFrame, steps: int, cfg: FeatureConfig | None = None) -> DataFrame:

@@ -18,11 +18,17 @@ from fieldframe.config import TIME_RESOLUTION_H
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows, else return it unchanged.
+    """Broadcast ``df`` only behind a size check; otherwise leave the join to the planner.
 
-    The check reads at most ``max_rows + 1`` rows, so it stays cheap for the
-    small tables it is meant for (stats, constants, region weights).
+    With adaptive execution on, no hint is added: AQE materialises the small
+    side as its own stage and converts the join to a broadcast only if the
+    measured size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``
+    (no second computation of a derived table). Without AQE, the side is
+    counted up to ``max_rows + 1`` rows and hinted only when it fits.
     """
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.adaptive.enabled", "true").lower() == "true":
+        return df
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 

@@ -33,7 +33,10 @@ def operator_norm1(pred: DataFrame, target: DataFrame, keys: Sequence[str]) -> D
 
 
 def _spectral(pdf: pd.DataFrame) -> pd.DataFrame:
-    m = pdf.pivot_table(index="lat_i", columns="lon_i", values="d", aggfunc="first").fillna(0.0).to_numpy()
+    lat = pdf["lat_i"].to_numpy()
+    lon = pdf["lon_i"].to_numpy()
+    m = np.zeros((int(lat.max()) + 1, int(lon.max()) + 1)) if len(pdf) else np.zeros((0, 0))
+    m[lat, lon] = pdf["d"].to_numpy()
     out = pdf.iloc[:1].drop(columns=["lat_i", "lon_i", "d"]).copy()
     out["norm2"] = float(np.linalg.norm(m, 2)) if m.size else 0.0
     return out

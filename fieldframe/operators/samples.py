@@ -49,12 +49,15 @@ def sample_windows(long: DataFrame, k: int, res_h: int = TIME_RESOLUTION_H, time
     if k == 0:
         return df.select(F.col("t_idx").alias("sample"), F.lit("input").alias("role"), F.lit(0).alias("offset"),
                          *[c for c in long.columns])
-    j = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("offset")
-    ins = df.select("*", j).withColumn("sample", F.col("t_idx") - F.col("offset")).withColumn("role", F.lit("input"))
-    tgs = df.select("*", j).withColumn("sample", F.col("t_idx") - 1 - F.col("offset")).withColumn("role", F.lit("target"))
-    u = ins.unionByName(tgs)
-    u = u.where((F.col("sample") >= 0) & (F.col("sample") <= F.col("_n") - k - 1))
-    return u.select("sample", "role", F.col("offset").cast("int").alias("offset"), *long.columns)
+    # one pass: every row emits its k input slots and k target slots
+    slots = [F.struct(F.lit("input").alias("role"), F.lit(j).alias("offset"), (F.col("t_idx") - j).alias("sample"))
+             for j in range(k)]
+    slots += [F.struct(F.lit("target").alias("role"), F.lit(j).alias("offset"), (F.col("t_idx") - 1 - j).alias("sample"))
+              for j in range(k)]
+    u = df.select("*", F.explode(F.array(*slots)).alias("_s"))
+    u = u.where((F.col("_s.sample") >= 0) & (F.col("_s.sample") <= F.col("_n") - k - 1))
+    return u.select(F.col("_s.sample").alias("sample"), F.col("_s.role").alias("role"),
+                    F.col("_s.offset").cast("int").alias("offset"), *long.columns)
 
 
 def minibatches(samples: DataFrame, size: int, seed=None, drop_last: bool = True, key: str = "sample") -> DataFrame:
