@@ -286,50 +286,76 @@ def member_frame(aligned: DataFrame, keys, pairs: DataFrame | None = None, scope
 
 
 def cell_frame(x: DataFrame, keys, with_pairs: bool) -> DataFrame:
-    """Per-cell aggregates of a :func:`member_frame`, computed inside its (keys, cell) partitioning:
-    ensemble mean, truth, weight, member count, both spreads and the mean |a - b| over the cell's
-    member pairs (``pair_ad``)."""
-    cells = x.groupBy(*keys, *CELL).agg(
+    """One row per cell of a :func:`member_frame`, computed inside its (keys, cell) partitioning
+    (no new exchange): ensemble mean, truth, weight, member count, both spreads, the mean |a - b|
+    over the cell's member pairs (``pair_ad``) and the squared adjacent-member differences
+    ``adj`` = [(member, (x_m - x_next)^2)] (at most ensemble-size entries)."""
+    if with_pairs:
+        pw = Window.partitionBy(*keys, *CELL, "pair")  # clustered within (keys, cell): no exchange
+        x = x.withColumn("partner", F.max(F.when(F.col("side") == 1, F.col("value"))).over(pw))
+    d2 = (F.col("value") - F.col("nxt")) * (F.col("value") - F.col("nxt"))
+    aggs = [
         F.avg("value").alias("ens_mean"),
         F.max("truth").alias("truth"),
         F.max("w").alias("w"),
         F.count("value").alias("n_members"),
         F.stddev_pop("value").alias("spread_pop"),
         F.stddev_samp("value").alias("spread_samp"),
-    )
-    if not with_pairs:
-        return cells
-    a = F.max(F.when(F.col("side") == 0, F.col("value")))
-    b = F.max(F.when(F.col("side") == 1, F.col("value")))
-    pp = x.where(F.col("pair").isNotNull()).groupBy(*keys, *CELL, "pair").agg(F.abs(a - b).alias("ad"))
-    pc = pp.groupBy(*keys, *CELL).agg(F.avg("ad").alias("pair_ad"))
-    return cells.join(pc, [*keys, *CELL], "left")
+        F.collect_list(F.when(F.col("nxt").isNotNull(), F.struct(F.col("member").cast("long").alias("member"),
+                                                                d2.alias("d2")))).alias("adj"),
+    ]
+    if with_pairs:
+        aggs.append(F.avg(F.when((F.col("side") == 0) & F.col("partner").isNotNull(),
+                                 F.abs(F.col("value") - F.col("partner")))).alias("pair_ad"))
+    return x.groupBy(*keys, *CELL).agg(*aggs)
 
 
 def field_scores(x: DataFrame, keys, weighted: bool, with_pairs: bool = True) -> DataFrame:
-    """Field-level scores from one member frame: skills, member count, CRPS pair spread,
-    mean-spread norm (one small aggregate) and the adjacent-member energy spread.
-
-    The CRPS spread is the grid mean of each cell's mean over pairs, which equals the mean
-    over pairs of their grid means whenever every cell holds every pair (a dense ensemble).
+    """Field-level scores from one member frame in a single linear plan (one scan, one big
+    exchange): skills, member count, CRPS pair spread, mean-spread norm and the
+    adjacent-member energy spread.
+
+    Each cell row is exploded into one summary entry (member NULL) plus its adjacent-member
+    entries; a (keys, member) aggregate with map-side combining and a final (keys) aggregate
+    finish the grid means. The CRPS spread is the grid mean of each cell's mean over pairs,
+    equal to the mean over pairs of their grid means when every cell holds every pair.
     """
     cells = cell_frame(x, keys, with_pairs)
+    summary = F.struct(F.lit(None).cast("long").alias("member"), F.lit(None).cast("double").alias("d2"))
+    e = cells.select(*keys, "w", "n_members", "ens_mean", "truth", "spread_samp",
+                     *(["pair_ad"] if with_pairs else []),
+                     F.explode(F.concat(F.array(summary), F.col("adj"))).alias("p"))
+    is_sum = F.col("p.member").isNull()
     d = F.col("ens_mean") - F.col("truth")
     ms = F.abs(d) - F.col("spread_samp")
+    w = F.col("w")
+
+    def on_sum(c):
+        return F.when(is_sum, c)
+
     aggs = [
-        F.sqrt(grid_mean(d * d, weighted)).alias("l2_skill"),
-        grid_mean(F.abs(d), weighted).alias("l1_skill"),
+        F.sum(on_sum(d * d * w)).alias("s_l2"),
+        F.sum(on_sum(F.abs(d) * w)).alias("s_l1"),
+        F.sum(on_sum(F.when(d.isNotNull(), w))).alias("s_w"),
+        F.min(on_sum(F.col("n_members"))).alias("n_members"),
+        F.sum(on_sum(ms * ms)).alias("s_ms"),
+        F.sum(F.col("p.d2") * w).alias("s_d2"),
+        F.sum(F.when(F.col("p.d2").isNotNull(), w)).alias("s_wd2"),
+    ]
+    if with_pairs:
+        aggs += [F.sum(on_sum(F.col("pair_ad") * w)).alias("s_pair"),
+                 F.sum(on_sum(F.when(F.col("pair_ad").isNotNull(), w))).alias("s_wpair")]
+    g = e.groupBy(*keys, F.col("p.member").alias("member")).agg(*aggs)
+    out = [
+        F.sqrt(F.max("s_l2") / F.max("s_w")).alias("l2_skill"),
+        (F.max("s_l1") / F.max("s_w")).alias("l1_skill"),
         F.min("n_members").alias("n_members"),
-        F.sqrt(F.sum(ms * ms)).alias("mean_spread"),
+        F.sqrt(F.max("s_ms")).alias("mean_spread"),
+        F.avg(F.when(F.col("member").isNotNull(), F.sqrt(F.col("s_d2") / F.col("s_wd2")))).alias("energy_spread"),
     ]
     if with_pairs:
-        aggs.append(grid_mean(F.col("pair_ad"), weighted).alias("crps_spread"))
-    f = cells.groupBy(*keys).agg(*aggs)
-    diff = F.col("value") - F.col("nxt")
-    per_member = x.where(F.col("nxt").isNotNull()).groupBy(*keys, "member").agg(
-        F.sqrt(grid_mean(diff * diff, weighted)).alias("l2"))
-    es = per_member.groupBy(*keys).agg(F.avg("l2").alias("energy_spread"))
-    return f.join(es, list(keys), "left")
+        out.append((F.max("s_pair") / F.max("s_wpair")).alias("crps_spread"))
+    return g.groupBy(*keys).agg(*out)
 
 
 def verify(ens, det, truth, keys, region=None, skipna=False, seed=None, scope: Sequence[str] = ()) -> DataFrame:
