@@ -74,6 +74,9 @@ def rounded_sql(sql: str, cols: Sequence[str], digits: int = 6, arrays: Sequence
 def register(name: str, sql: str | None = None, floats: Sequence[str] = (), digits: int = 6, arrays: Sequence[str] = ()):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # field times are UTC wall-clock (TIMESTAMP_NTZ); pin the session clock for casts
+            if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+                spark.conf.set("spark.sql.session.timeZone", "UTC")
             return finalize(fn(spark, sf_dir), digits)
 
         run.__name__ = name
