@@ -130,11 +130,11 @@ def first_members(ens: DataFrame, m: int = 16) -> DataFrame:
     return ens.join(F.broadcast(keep), "member", "left_semi")
 
 
-def even_members(ens: DataFrame, k: int = 3) -> DataFrame:
-    """``k`` evenly spaced members (W8 over the member ranks)."""
+def even_members(ens: DataFrame, k: int = 3, max_members: int = 16) -> DataFrame:
+    """``k`` evenly spaced members among the first ``max_members`` (W8 over member ranks)."""
     members = ens.select("member").distinct()
     ranked = members.withColumn("r", (F.dense_rank().over(Window.orderBy("member")) - 1).cast("long"))
-    n = members.agg(F.count(F.lit(1)).cast("long").alias("n"))
+    n = members.agg(F.least(F.count(F.lit(1)), F.lit(max_members)).cast("long").alias("n"))
     pos = n.select(F.explode(even_positions(F.col("n"), k)).alias("r")).distinct()
     keep = ranked.join(pos, "r", "inner").select("member")
     return ens.join(F.broadcast(keep), "member", "left_semi")
