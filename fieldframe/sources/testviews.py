@@ -7,6 +7,8 @@ next to it so oracle queries can use the same input.
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,15 +23,16 @@ TRUTH_MEMBER = 7
 DET_MEMBER = 0
 
 
-_READS: dict = {}
+_READS: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read a provided table once per session (the plans reuse the same relation)."""
-    key = (id(spark), f"{sf_dir}/{name}.parquet")
-    if key not in _READS:
-        _READS[key] = spark.read.parquet(key[1])
-    return _READS[key]
+    """Read a provided table once per live session (the plans reuse the same relation)."""
+    path = f"{sf_dir}/{name}.parquet"
+    cache = _READS.setdefault(spark, {})
+    if path not in cache:
+        cache[path] = spark.read.parquet(path)
+    return cache[path]
 
 
 def six_hour_bin(ts: Column) -> Column:
