@@ -105,15 +105,20 @@ def lat_lon_static(grid: DataFrame) -> DataFrame:
 def normalize_constants(static: DataFrame, stats: DataFrame, zscore_vars, raw_vars=("land_sea_mask",),
                         lat_col: str | None = "latitude", lon_col: str | None = "longitude") -> DataFrame:
     """Z-score the named constants with their (population) stats, keep the mask raw,
-    append latitude and longitude in radians last."""
+    append latitude and longitude in radians last.
+
+    ``stats`` (variable, mean, std) is pivoted to one row and cross-joined (broadcast of a
+    single row), so the statistics stay part of the same lazy plan.
+    """
+    zs = list(zscore_vars)
+    row = stats.where(F.col("variable").isin(zs)).groupBy().pivot("variable", zs).agg(
+        F.first("mean").alias("m"), F.first("std").alias("s"))
+    j = static.crossJoin(F.broadcast(row))
     cols = [F.col("lat_i"), F.col("lon_i")]
-    st = {r["variable"]: (r["mean"], r["std"]) for r in stats.collect()}  # one row per static variable
-    for v in zscore_vars:
-        m, s = st[v]
-        cols.append(((F.col(v) - F.lit(m)) / F.lit(s)).alias(v))
+    cols += [((F.col(v) - F.col(f"{v}_m")) / F.col(f"{v}_s")).alias(v) for v in zs]
     cols += [F.col(v) for v in raw_vars]
     if lat_col:
         cols.append(F.radians(lat_col).alias("lat_rad"))
     if lon_col:
         cols.append(F.radians(lon_col).alias("lon_rad"))
-    return static.select(*cols)
+    return j.select(*cols)

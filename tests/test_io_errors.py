@@ -79,3 +79,15 @@ def test_export_record_layout(spark):
     assert (r["ni"], r["nj"]) == (3, 2)
     # longitude-major (transposed): lon 0 (lat 0, lat 1), lon 1 ...
     assert r["data"] == pytest.approx([0.0, 10.0, 1.0, 11.0, 2.0, 12.0], abs=1e-4)
+
+
+def test_small_tables_and_split_static(spark, tmp_path):
+    rows = [("2024-01-01 00:00:00", 1.0), (None, 2.0), ("2024-01-01 06:00:00", 3.0)]
+    df = spark.createDataFrame(rows, "t string, value double").select(F.to_timestamp_ntz("t").alias("time"), "value")
+    dyn, static = FL.split_static(df)
+    assert dyn.count() == 2 and static.count() == 1
+    path = str(tmp_path / "stats")
+    IO.write_table(static, path)
+    IO.write_table(dyn, path)  # overwrite, not append
+    back = IO.read_table(spark, path)
+    assert back.count() == 2
