@@ -35,8 +35,7 @@ def export_records(forecast: DataFrame, mapping: DataFrame, deet_default: int =
     level (NULL for surface), lat_i, lon_i, value. Each group is one grid (bounded).
     """
     conv = export_units(forecast, mapping)
-    first_lead = forecast.agg(F.min("lead_hours").alias("_l0"))  # one row
-    conv = conv.crossJoin(F.broadcast(first_lead))
+    conv = conv.withColumn("_l0", forecast.agg(F.min("lead_hours")).scalar())
     item = F.struct(F.col("lon_i"), F.col("lat_i"), F.col("converted").cast("float").alias("v"))
     keys = ["init_time", "lead_hours", "variable", "level", "short_name", "level_code", "_l0"]
     g = conv.groupBy(*keys).agg(

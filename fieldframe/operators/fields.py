@@ -33,10 +33,8 @@ def keep_variables(df: DataFrame, keep: Sequence[str] = KEEP_VARIABLES) -> DataF
 
 def remove_poles(df: DataFrame, lat_col: str = "latitude") -> DataFrame:
     """Drop the first and last latitude row of the grid (by position = min and max)."""
-    bounds = df.agg(F.min(lat_col).alias("_lo"), F.max(lat_col).alias("_hi"))
-    # one-row side: broadcast is bounded by construction
-    j = df.crossJoin(F.broadcast(bounds))
-    return j.where((F.col(lat_col) > F.col("_lo")) & (F.col(lat_col) < F.col("_hi"))).drop("_lo", "_hi")
+    b = df.agg(F.struct(F.min(lat_col).alias("lo"), F.max(lat_col).alias("hi"))).scalar()
+    return df.where((F.col(lat_col) > b["lo"]) & (F.col(lat_col) < b["hi"]))
 
 
 def split_static(df: DataFrame, time_col: str = "time") -> tuple[DataFrame, DataFrame]:
@@ -106,11 +104,8 @@ def select_leads(df: DataFrame, hours: Sequence[int], n_steps: int | None = None
     """step = min(int(h / 6), n - 1) for each requested lead; n from the data if not given."""
     spark = df.sparkSession
     hrs = spark.createDataFrame([(int(h),) for h in hours], "lead_hours int")
-    if n_steps is None:
-        n = df.agg((F.max("step") + 1).alias("_n"))
-    else:
-        n = spark.range(1).select(F.lit(n_steps).alias("_n"))
-    steps = hrs.crossJoin(n).select(F.least(F.floor(F.col("lead_hours") / 6), F.col("_n") - 1).cast("long").alias("step")).distinct()
+    n = df.agg(F.max("step") + 1).scalar() if n_steps is None else F.lit(n_steps)
+    steps = hrs.select(F.least(F.floor(F.col("lead_hours") / 6), n - 1).cast("long").alias("step")).distinct()
     return df.join(F.broadcast(steps), "step", "left_semi")
 
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from fieldframe.config import SOLAR_CONSTANT
 from fieldframe.functions import physics as P
-from fieldframe.operators.joins import bounded_broadcast
 
 
 def time_micros(time_col: str = "time") -> Column:
@@ -66,10 +65,13 @@ def quadrature_terms(time_col: str = "time", n_nodes: int = 15) -> Column:
 def toa_radiation(times: DataFrame, grid: DataFrame, time_col: str = "time", n_nodes: int = 15) -> DataFrame:
     """M9: TOA solar radiation integrated over the hour ending at each time, on every grid cell.
 
-    ``times`` holds distinct times; ``grid`` holds (lat_i, lon_i, latitude, longitude).
+    ``times`` holds distinct times; ``grid`` holds (lat_i, lon_i, latitude, longitude). The
+    output is one value per (time, cell): the grid -- bounded by the dataset's grid size
+    (2,048 cells at 5.625 degrees, about 1 M at 0.25 degrees) -- is broadcast to the
+    time-partitioned side; no shuffle.
     """
     t = times.select(time_col, quadrature_terms(time_col, n_nodes).alias("_q"))
-    g = bounded_broadcast(grid.select("lat_i", "lon_i", "latitude", "longitude"), 5_000_000)
+    g = F.broadcast(grid.select("lat_i", "lon_i", "latitude", "longitude"))
     phi = F.radians(F.col("latitude"))
     lam = F.radians(F.col("longitude"))
     sphi, cphi = F.sin(phi), F.cos(phi)
@@ -87,10 +89,9 @@ def toa_stats(toa: DataFrame) -> DataFrame:
 
 
 def normalize_toa(toa: DataFrame, stats: DataFrame) -> DataFrame:
-    """(toa - mean) / std with the one-row statistics."""
-    return toa.crossJoin(F.broadcast(stats)).withColumn(
-        "toa_norm", (F.col("toa") - F.col("toa_mean")) / F.col("toa_std")
-    ).drop("toa_mean", "toa_std")
+    """(toa - mean) / std with the one-row statistics (a scalar subquery)."""
+    st = stats.select(F.struct("toa_mean", "toa_std")).scalar()
+    return toa.withColumn("toa_norm", (F.col("toa") - st["toa_mean"]) / st["toa_std"])
 
 
 def lat_lon_static(grid: DataFrame) -> DataFrame:
@@ -107,15 +108,16 @@ def normalize_constants(static: DataFrame, stats: DataFrame, zscore_vars, raw_va
     """Z-score the named constants with their (population) stats, keep the mask raw,
     append latitude and longitude in radians last.
 
-    ``stats`` (variable, mean, std) is pivoted to one row and cross-joined (broadcast of a
-    single row), so the statistics stay part of the same lazy plan.
+    ``stats`` (variable, mean, std) is pivoted to one row used as a scalar subquery, so the
+    statistics stay part of the same lazy plan.
     """
     zs = list(zscore_vars)
     row = stats.where(F.col("variable").isin(zs)).groupBy().pivot("variable", zs).agg(
         F.first("mean").alias("m"), F.first("std").alias("s"))
-    j = static.crossJoin(F.broadcast(row))
+    st = row.select(F.struct(*row.columns)).scalar()
+    j = static
     cols = [F.col("lat_i"), F.col("lon_i")]
-    cols += [((F.col(v) - F.col(f"{v}_m")) / F.col(f"{v}_s")).alias(v) for v in zs]
+    cols += [((F.col(v) - st[f"{v}_m"]) / st[f"{v}_s"]).alias(v) for v in zs]
     cols += [F.col(v) for v in raw_vars]
     if lat_col:
         cols.append(F.radians(lat_col).alias("lat_rad"))

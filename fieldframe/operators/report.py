@@ -93,9 +93,8 @@ def ordered_leads(metrics: DataFrame) -> DataFrame:
     leads = metrics.select("label", "lead_hours").distinct()
     w = Window.orderBy("lead_hours")  # four evaluation leads
     r = leads.withColumn("lead_rank", F.row_number().over(w))
-    n = leads.agg(F.count(F.lit(1)).alias("_n"))
-    r = r.crossJoin(n).withColumn("block", F.when(F.col("lead_rank") <= 2, "first").when(F.col("lead_rank") > F.col("_n") - 2, "last")) \
-        .drop("_n")
+    n = leads.agg(F.count(F.lit(1))).scalar()
+    r = r.withColumn("block", F.when(F.col("lead_rank") <= 2, "first").when(F.col("lead_rank") > n - 2, "last"))
     return metrics.join(F.broadcast(r), ["label", "lead_hours"], "inner")
 
 

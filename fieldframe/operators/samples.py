@@ -18,11 +18,11 @@ from fieldframe.functions.hashing import hash_uniform
 
 
 def time_index(df: DataFrame, res_h: int = TIME_RESOLUTION_H, time_col: str = "time", col: str = "t_idx") -> DataFrame:
-    """Index of each time on the regular ``res_h`` axis starting at the earliest time."""
-    t0 = df.agg(F.min(time_col).alias("_t0"))  # one row
-    j = df.crossJoin(F.broadcast(t0))
-    secs = F.unix_seconds(F.col(time_col).cast("timestamp")) - F.unix_seconds(F.col("_t0").cast("timestamp"))
-    return j.withColumn(col, F.floor(secs / F.lit(res_h * 3600)).cast("long")).drop("_t0")
+    """Index of each time on the regular ``res_h`` axis starting at the earliest time
+    (the earliest time is a scalar subquery, computed once)."""
+    t0 = df.agg(F.min(time_col)).scalar()
+    secs = F.unix_seconds(F.col(time_col).cast("timestamp")) - F.unix_seconds(t0.cast("timestamp"))
+    return df.withColumn(col, F.floor(secs / F.lit(res_h * 3600)).cast("long"))
 
 
 def pair_next(long: DataFrame, keys: Sequence[str] = ("feature", "lat_i", "lon_i"), res_h: int = TIME_RESOLUTION_H,
@@ -44,8 +44,7 @@ def sample_windows(long: DataFrame, k: int, res_h: int = TIME_RESOLUTION_H, time
     sequence): the replication is the training table itself.
     """
     df = time_index(long, res_h, time_col)
-    n = df.agg((F.max("t_idx") + 1).alias("_n"))  # one row
-    df = df.crossJoin(F.broadcast(n))
+    df = df.withColumn("_n", df.agg(F.max("t_idx") + 1).scalar())
     if k == 0:
         return df.select(F.col("t_idx").alias("sample"), F.lit("input").alias("role"), F.lit(0).alias("offset"),
                          *[c for c in long.columns])
@@ -60,19 +59,37 @@ def sample_windows(long: DataFrame, k: int, res_h: int = TIME_RESOLUTION_H, time
                     F.col("_s.offset").cast("int").alias("offset"), *long.columns)
 
 
+def global_positions(df: DataFrame, order: Sequence[str], n_parts: int | None = None, col: str = "position") -> DataFrame:
+    """0-based position of every row in ``order`` (which must be unique), without a one-task window.
+
+    Rows are range-partitioned on ``order``; each range is numbered locally, and the
+    per-range counts (one row per range) give each range's offset.
+    """
+    spark = df.sparkSession
+    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    r = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    r = r.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)) - 1)
+    counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    # one row per range partition: a tiny ordered table
+    offs = counts.select("_pid", F.coalesce(F.sum("_c").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    out = r.join(F.broadcast(offs), "_pid", "inner")
+    return out.withColumn(col, (F.col("_off") + F.col("_local")).cast("long")).drop("_pid", "_local", "_off")
+
+
 def minibatches(samples: DataFrame, size: int, seed=None, drop_last: bool = True, key: str = "sample") -> DataFrame:
     """Seeded shuffle of the sample keys, fixed-size batches, short tail dropped.
 
-    Ranks only the sample-key table (one row per sample), never field rows.
+    Ranks only the sample-key table (one row per sample), never field rows, with a
+    distributed range-partitioned numbering.
     """
     keys = samples.select(key).distinct()
-    order = [hash_uniform(seed, F.col(key)), F.col(key)] if seed is not None else [F.col(key)]
-    w = Window.orderBy(*order)
-    ranked = keys.withColumn("position", F.row_number().over(w) - 1)
+    keys = keys.withColumn("_h", hash_uniform(seed, F.col(key)) if seed is not None else F.lit(0.0))
+    ranked = global_positions(keys, ["_h", key]).drop("_h")
     out = ranked.withColumn("batch", F.floor(F.col("position") / size).cast("long"))
     if drop_last:
-        total = keys.agg(F.count(F.lit(1)).alias("_n"))
-        out = out.crossJoin(F.broadcast(total)).where(F.col("batch") < F.floor(F.col("_n") / size)).drop("_n")
+        total = keys.agg(F.count(F.lit(1))).scalar()
+        out = out.where(F.col("batch") < F.floor(total / size))
     return out
 
 
@@ -115,11 +132,11 @@ def eval_window(long: DataFrame, start: int, n: int, n_samples_offset: int = 1,
     """Valid-set times start..start+n-1 become steps 0..n-1; raises unless start + n < #samples
     (#samples = #times - ``n_samples_offset``)."""
     df = time_index(long, res_h, time_col)
-    cnt = long.agg((F.countDistinct(time_col) - n_samples_offset).alias("_ns"))
-    df = df.crossJoin(F.broadcast(cnt)).where((F.col("t_idx") >= start) & (F.col("t_idx") < start + n))
-    step = F.when(F.lit(start + n) >= F.col("_ns"), F.raise_error(F.lit("The predictions must be within the valid dataset!"))) \
+    n_samples = long.agg(F.countDistinct(time_col) - n_samples_offset).scalar()
+    df = df.where((F.col("t_idx") >= start) & (F.col("t_idx") < start + n))
+    step = F.when(F.lit(start + n) >= n_samples, F.raise_error(F.lit("The predictions must be within the valid dataset!"))) \
         .otherwise(F.col("t_idx") - start)
-    return df.withColumn("step", step.cast("long")).drop("_ns", "t_idx")
+    return df.withColumn("step", step.cast("long")).drop("t_idx")
 
 
 def first_members(ens: DataFrame, m: int = 16) -> DataFrame:

@@ -240,10 +240,11 @@ FROM f2, qb WHERE regexp_replace(feature, '_h[0-9]+$', '') = 'specific_humidity'
 def m_humidity(spark, d):
     """Humidity log-range transform with dataset bounds (A4) and its inverse."""
     f = V.f2_obs(spark, d).where(P.base_variable("feature") == "specific_humidity")
-    qb = FL.humidity_bounds(_f2_stats(spark, d))  # one row
-    j = f.crossJoin(F.broadcast(qb))
-    n = P.normalize_humidity("value", "q_min", "q_max")
-    return j.select("time", "feature", "lat_i", "lon_i", n.alias("norm"), P.denormalize_humidity(n, "q_min", "q_max").alias("back"))
+    qb = FL.humidity_bounds(_f2_stats(spark, d))
+    b = qb.select(F.struct("q_min", "q_max")).scalar()
+    n = P.normalize_humidity("value", b["q_min"], b["q_max"])
+    return f.select("time", "feature", "lat_i", "lon_i", n.alias("norm"),
+                    P.denormalize_humidity(n, b["q_min"], b["q_max"]).alias("back"))
 
 
 @register(
@@ -287,7 +288,8 @@ FROM (SELECT *, {DISPATCH} AS norm FROM f2 JOIN stats USING (feature), qb)""", f
 def m_dispatch(spark, d):
     """Normalise by variable kind (precipitation / humidity / z-score) and invert."""
     stats = _f2_stats(spark, d)
-    f = attach_stats(V.f2_obs(spark, d), stats).crossJoin(F.broadcast(FL.humidity_bounds(stats)))
+    b = FL.humidity_bounds(stats).select(F.struct("q_min", "q_max")).scalar()
+    f = attach_stats(V.f2_obs(spark, d), stats).withColumn("q_min", b["q_min"]).withColumn("q_max", b["q_max"])
     n = P.normalize("value", "feature", "mean", "std", "q_min", "q_max")
     f = f.withColumn("norm", n)
     back = P.denormalize("norm", "feature", "mean", "std", "q_min", "q_max")

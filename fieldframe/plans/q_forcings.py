@@ -154,7 +154,7 @@ FROM t, (SELECT range AS step FROM range(4)) s""", t=V.SQL_F4_TIMES),
 )
 def m_keys(spark, d):
     """Lead (i+1)*6 h, file key yyyyMMddHH_HHH and integer date stamps per (time, step)."""
-    t = V.f4_times(spark, d).crossJoin(spark.range(4).select(F.col("id").alias("step")))
+    t = V.f4_times(spark, d).select("time", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("step"))
     lead = P.lead_interval("step")
     ymd, hms = P.date_stamp("time")
     lead_h = (F.col("step") + 1) * 6

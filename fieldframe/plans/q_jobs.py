@@ -111,11 +111,11 @@ def s_history(spark, d):
     (all runs share the first run's truth), then ensemble-mean RMSE per run."""
     ens = V.f1_run_ensemble(spark, d)
     truth, det = V.f1_truth(spark, d), V.f1_deterministic(spark, d)
-    runs = V.f1_runs(spark).select("run")
+    runs = F.array(*[F.lit(r) for r, _ in V.RUNS])
     cols = ["part", "run", "init", "step", "member", "feature", "lat_i", "lon_i", "value"]
     parts = ens.withColumn("part", F.lit("diffusion")).select(*cols)
     for name, df in (("truth", truth), ("deterministic", det)):
-        parts = parts.unionByName(df.crossJoin(F.broadcast(runs)).withColumn("part", F.lit(name))
+        parts = parts.unionByName(df.select("*", F.explode(runs).alias("run")).withColumn("part", F.lit(name))
                                   .withColumn("member", F.lit(None).cast("int")).select(*cols))
     path = IO.scratch_path(spark, "history")
     IO.save_history(parts, path)

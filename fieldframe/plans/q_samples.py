@@ -249,10 +249,9 @@ GROUP BY feature, target""", f2=V.SQL_F2),
 )
 def j_nearest(spark, d):
     """Nearest available time of each feature to every target time (ties -> earlier)."""
-    targets = spark.createDataFrame([(t,) for t in TARGETS], "target string").select(F.to_timestamp_ntz("target").alias("target"))
     f = V.f2_obs(spark, d)
-    feats = f.select("feature").distinct()
-    tg = feats.crossJoin(F.broadcast(targets))  # targets: a literal list
+    lits = F.array(*[F.to_timestamp_ntz(F.lit(t)) for t in TARGETS])
+    tg = f.select("feature").distinct().select("feature", F.explode(lits).alias("target"))
     return J.nearest(f, tg, "time", "target", keys=["feature"])
 
 
