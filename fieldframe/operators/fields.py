@@ -100,11 +100,14 @@ def monitor_features(df: DataFrame, features: Sequence[str] = MONITOR_FEATURES)
     return df.where(F.col("feature").isin(list(features)))
 
 
-def select_leads(df: DataFrame, hours: Sequence[int], n_steps: int | None = None) -> DataFrame:
+def select_leads(df: DataFrame, hours: Sequence[int], n_steps: int | Column | None = None) -> DataFrame:
     """step = min(int(h / 6), n - 1) for each requested lead; n from the data if not given."""
     spark = df.sparkSession
     hrs = spark.createDataFrame([(int(h),) for h in hours], "lead_hours int")
-    n = df.agg(F.max("step") + 1).scalar() if n_steps is None else F.lit(n_steps)
+    if n_steps is None:
+        n = df.agg(F.max("step") + 1).scalar()
+    else:
+        n = n_steps if isinstance(n_steps, Column) else F.lit(n_steps)
     steps = hrs.select(F.least(F.floor(F.col("lead_hours") / 6), n - 1).cast("long").alias("step")).distinct()
     return df.join(F.broadcast(steps), "step", "left_semi")
 

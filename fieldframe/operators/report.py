@@ -27,9 +27,16 @@ def compare_metrics(run_ens: DataFrame, det: DataFrame, truth: DataFrame, keys:
 
     Runs share the truth and deterministic parts; the deterministic row stores
     its RMSE under all four metric names (placeholder kept from the source).
+    Metrics of different steps are independent, so all inputs are first narrowed to
+    the four evaluation steps (a semi-join with the four-row point table).
     """
     keys = list(keys)
     rk = ["run", *keys]
+    pts = eval_points(truth)  # four rows
+    steps = F.broadcast(pts.select("step"))
+    run_ens = run_ens.join(steps, "step", "left_semi")
+    det = det.join(steps, "step", "left_semi")
+    truth = truth.join(steps, "step", "left_semi")
     a = E.attach_region(E.align(run_ens, truth, keys), None)
     x = E.member_frame(a, rk, E.member_pairs(run_ens, seed, ("run",)), ("run",))
     fs = E.field_scores(x, rk, False)
@@ -46,7 +53,6 @@ def compare_metrics(run_ens: DataFrame, det: DataFrame, truth: DataFrame, keys:
     dets = det_rmse.select(F.lit(DET_MODEL).alias("model"), *keys, F.explode(F.array(*[F.lit(m) for m in METRICS])).alias("metric"),
                            F.col("rmse").alias("value"))
     allm = runs.unionByName(dets)
-    pts = eval_points(truth)  # four rows
     return allm.join(F.broadcast(pts), "step", "inner")
 
 

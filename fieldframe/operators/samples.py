@@ -120,11 +120,15 @@ def even_positions(n: Column, k: int) -> Column:
     return F.when(n <= k, F.sequence(F.lit(0).cast("long"), (n - 1).cast("long"))).otherwise(F.transform(lin, lambda x: x.cast("long")))
 
 
+def even_step_table(df: DataFrame, k: int, step_col: str = "step") -> DataFrame:
+    """The (at most k) evenly spaced steps of ``df``'s step axis as a small table."""
+    n = df.agg((F.max(step_col) + 1).cast("long").alias("n"))
+    return n.select(F.explode(even_positions(F.col("n"), k)).alias(step_col)).distinct()
+
+
 def even_steps(df: DataFrame, k: int, step_col: str = "step") -> DataFrame:
     """W8 on the step axis of ``df``: keep rows whose step is one of the evenly spaced steps."""
-    n = df.agg((F.max(step_col) + 1).cast("long").alias("n"))
-    steps = n.select(F.explode(even_positions(F.col("n"), k)).alias(step_col)).distinct()
-    return df.join(F.broadcast(steps), step_col, "left_semi")
+    return df.join(F.broadcast(even_step_table(df, k, step_col)), step_col, "left_semi")
 
 
 def eval_window(long: DataFrame, start: int, n: int, n_samples_offset: int = 1,

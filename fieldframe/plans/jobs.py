@@ -91,13 +91,18 @@ def diffusion_table(long: DataFrame, operator_output: DataFrame | None, seed, re
 
 def deterministic_skill(det: DataFrame, truth: DataFrame, keys: Sequence[str], k_even: int = 4) -> DataFrame:
     """Standardised forecast rescaled with the truth's per-field mu/sigma (J7), RMSE and
-    max absolute error per field, kept at evenly spaced steps (W8)."""
+    max absolute error per field at evenly spaced steps (W8). Fields are independent per
+    step, so both inputs are narrowed to those steps first."""
     keys = list(keys)
+    steps = F.broadcast(S.even_step_table(det, k_even))
+    det = det.join(steps, "step", "left_semi")
+    truth = truth.join(steps, "step", "left_semi")
     z = FL.standardize_field(det, keys)
     ms = FL.field_mu_sigma(truth, keys)
     fc = J.rescale_with_truth(z, ms, keys)
-    r = E.rmse(fc, truth, keys).join(E.max_abs_error(fc, truth, keys), keys, "inner")
-    return S.even_steps(r, k_even)
+    a = E.align(fc, truth, keys)
+    d = F.col("value") - F.col("truth")
+    return a.groupBy(*keys).agg(F.sqrt(F.avg(d * d)).alias("rmse"), F.max(F.abs(d)).alias("max_abs_error"))
 
 
 def ensemble_products(ens: DataFrame, truth: DataFrame, keys: Sequence[str], lead_hours: Sequence[int]) -> DataFrame:
@@ -105,7 +110,8 @@ def ensemble_products(ens: DataFrame, truth: DataFrame, keys: Sequence[str], lea
     keys = list(keys)
     e = FL.select_leads(ens, lead_hours)
     cells = e.groupBy(*keys, *CELL).agg(F.avg("value").alias("ens_mean"), F.stddev_pop("value").alias("ens_spread"))
-    t = truth.select(*keys, *CELL, F.col("value").alias("truth"))
+    n = ens.agg(F.max("step") + 1).scalar()
+    t = FL.select_leads(truth, lead_hours, n_steps=n).select(*keys, *CELL, F.col("value").alias("truth"))
     j = cells.join(t, [*keys, *CELL], "inner")
     return j.withColumn("abs_error", F.abs(F.col("ens_mean") - F.col("truth")))
 
