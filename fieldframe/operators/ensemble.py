@@ -385,3 +385,19 @@ def verify(ens, det, truth, keys, region=None, skipna=False, seed=None, scope: S
     if "step" in keys:
         out = out.withColumn("lead_hours", F.col("step") * 6)
     return out
+
+
+# Metric registry: name -> fn(ensemble, truth, keys, region=None) -> DataFrame (native aggregates).
+METRICS = {
+    "energy_score": lambda ens, truth, keys, region=None: energy_score(ens, truth, keys, region),
+    "crps": lambda ens, truth, keys, region=None: crps(ens, truth, keys, region),
+    "crps_fair": lambda ens, truth, keys, region=None: crps_fair(ens, truth, keys, region),
+    "mean_rmse": lambda ens, truth, keys, region=None: ensemble_mean_rmse(ens, truth, keys, region),
+    "mean_spread": lambda ens, truth, keys, region=None: mean_spread(ens, truth, keys),
+}
+
+
+def compute_metrics(ens: DataFrame, truth: DataFrame, keys, names=("energy_score", "crps", "mean_rmse"),
+                    region: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Evaluate registered metrics by name (each a lazy DataFrame keyed by ``keys``)."""
+    return {n: METRICS[n](ens, truth, list(keys), region) for n in names}

@@ -144,3 +144,24 @@ def test_title_case_matches_python(spark):
     df = spark.createDataFrame([(w,) for w in words], "w string")
     got = [r[0] for r in df.select(P.feature_label("w")).collect()]
     assert got == [w.replace("_", " ").title() for w in words]
+
+
+def test_feature_stats_wide_matches_long(spark):
+    from fieldframe.sources import testviews as V
+    long = V.f2_obs(spark, "/root/testdata/sf0.001")
+    feats = [r[0] for r in long.select("feature").distinct().collect()]
+    wide = long.groupBy("time", "lat_i", "lon_i").pivot("feature", feats).agg(F.first("value"))
+    a = {r["feature"]: r for r in FL.feature_stats_wide(wide, feats).collect()}
+    b = {r["feature"]: r for r in FL.feature_stats(long).collect()}
+    for f in feats:
+        for c in ("mean", "std", "max", "min"):
+            assert a[f][c] == pytest.approx(b[f][c])
+
+
+def test_metric_registry(spark):
+    from fieldframe.operators import ensemble as E
+    from fieldframe.sources import testviews as V
+    d = "/root/testdata/sf0.001"
+    out = E.compute_metrics(V.f1_ensemble(spark, d), V.f1_truth(spark, d), ["init", "step", "feature"])
+    assert set(out) == {"energy_score", "crps", "mean_rmse"}
+    assert out["crps"].count() == out["mean_rmse"].count() > 0
