@@ -18,7 +18,6 @@ from fieldframe.config import (
     HUMIDITY_EPS,
     PRECIP_EPS,
     PRECIP_SHIFT,
-    SOLAR_CONSTANT,
 )
 
 PI = math.pi

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldframe.config import EXPORT_UNITS
-from fieldframe.functions.physics import base_variable, date_stamp, file_key
+from fieldframe.functions.physics import date_stamp, file_key
 
 
 def unit_table(spark: SparkSession) -> DataFrame:

@@ -91,3 +91,19 @@ def test_small_tables_and_split_static(spark, tmp_path):
     IO.write_table(dyn, path)  # overwrite, not append
     back = IO.read_table(spark, path)
     assert back.count() == 2
+
+
+def test_cut_lineage_uses_shared_checkpoint_dir(spark):
+    from fieldframe.session import cut_lineage, ensure_checkpoint_dir
+    d = ensure_checkpoint_dir(spark)
+    df = cut_lineage(spark.range(10).withColumn("x", F.col("id") * 2))
+    assert df.agg(F.sum("x")).first()[0] == 90
+    assert d and not d.startswith("file:/tmp/local")
+
+
+def test_report_rows_order(spark):
+    from fieldframe.operators import report as R
+    rows = [("m", 0, "f", "T", metric, cell) for metric, cell in
+            [("mean_spread", "d"), ("crps", "b"), ("energy_score", "a"), ("mean_rmse", "c")]]
+    cells = spark.createDataFrame(rows, "model string, init long, feature string, label string, metric string, cell string")
+    assert R.report_rows(cells).first()["row"] == "a & b & c & d"
