@@ -42,12 +42,14 @@ def preprocess(raw: DataFrame, out_root: str, from_year: int, ids: Sequence[str]
 
 
 def training_table(long: DataFrame, grid: DataFrame, constants: DataFrame, constant_vars: Sequence[str], start: str,
-                   end: str, steps: int = 1, res_h: int = 6) -> DataFrame:
+                   end: str, steps: int = 1, res_h: int = 6, toa_stats: DataFrame | None = None) -> DataFrame:
     """Time slice, NaN guard, per-field standardisation (mu/sigma kept), time forcings,
     normalised TOA radiation, z-scored constants, then input/target sample windows.
 
     ``long``: (time, feature, lat_i, lon_i, value); ``grid``: (lat_i, lon_i, latitude, longitude);
-    ``constants``: (lat_i, lon_i, <constant_vars>, land_sea_mask).
+    ``constants``: (lat_i, lon_i, <constant_vars>, land_sea_mask). ``toa_stats`` is the stored
+    one-row (toa_mean, toa_std) table from preprocessing (A2); without it the statistics are
+    taken over the slice's times and grid.
     """
     s = IO.time_range(long, start, end, steps=steps, res_h=res_h)
     s = s.withColumn("value", F.when(F.isnan("value"), F.raise_error(F.lit("NaN values detected in input/output data")))
@@ -57,7 +59,7 @@ def training_table(long: DataFrame, grid: DataFrame, constants: DataFrame, const
     times = s.select("time").distinct()
     forc = FO.time_forcings(times)
     toa = FO.toa_radiation(times, grid)
-    toa = FO.normalize_toa(toa, FO.toa_stats(toa)).select("time", *CELL, "toa_norm")
+    toa = FO.normalize_toa(toa, toa_stats if toa_stats is not None else FO.toa_stats(toa)).select("time", *CELL, "toa_norm")
     cst = FO.normalize_constants(constants, FL.constant_stats(constants, constant_vars), constant_vars,
                                  lat_col=None, lon_col=None)
     x = J.attach_time_forcings(z, forc)
