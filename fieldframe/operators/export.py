@@ -31,8 +31,9 @@ def export_records(forecast: DataFrame, mapping: DataFrame, deet_default: int =
     longitude-major order (the transposed field), with short name, level code (ip1), lead hour
     (ip2), grid size, first-lead interval ``deet`` in seconds and the file key ``yyyyMMddHH_HHH``.
 
-    ``forecast`` rows: init_time, lead_hours (NULL when the store has no lead axis), variable,
-    level (NULL for surface), lat_i, lon_i, value. Each group is one grid (bounded).
+    ``forecast`` rows: init_time (NULL for static fields: date stamps 0), lead_hours (NULL when the
+    store has no lead axis: ip2 0, deet 3600), variable, level (NULL for surface), lat_i, lon_i,
+    value. Each group is one grid (bounded).
     """
     conv = export_units(forecast, mapping)
     conv = conv.withColumn("_l0", forecast.agg(F.min("lead_hours")).scalar())
@@ -51,7 +52,7 @@ def export_records(forecast: DataFrame, mapping: DataFrame, deet_default: int =
         F.coalesce(F.col("lead_hours"), F.lit(0)).alias("ip2"),
         "ni", "nj",
         F.when(F.col("_l0").isNotNull(), F.col("_l0") * 3600).otherwise(F.lit(deet_default)).cast("long").alias("deet"),
-        ymd.alias("yyyymmdd"), hms.alias("hhmmss00"),
+        F.coalesce(ymd, F.lit(0)).alias("yyyymmdd"), F.coalesce(hms, F.lit(0)).alias("hhmmss00"),
         file_key("init_time", F.coalesce(F.col("lead_hours"), F.lit(0))).alias("file_key"),
         F.transform("_cells", lambda c: c["v"]).alias("data"),
     )

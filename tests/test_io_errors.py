@@ -107,3 +107,12 @@ def test_report_rows_order(spark):
             [("mean_spread", "d"), ("crps", "b"), ("energy_score", "a"), ("mean_rmse", "c")]]
     cells = spark.createDataFrame(rows, "model string, init long, feature string, label string, metric string, cell string")
     assert R.report_rows(cells).first()["row"] == "a & b & c & d"
+
+
+def test_export_record_static_field(spark):
+    from fieldframe.operators import export as X
+    rows = [(None, None, "land_sea_mask", None, i, j, float(i + j)) for i in range(2) for j in range(2)]
+    fc = spark.createDataFrame(rows, "init_time timestamp_ntz, lead_hours int, variable string, level double, "
+                                     "lat_i int, lon_i int, value double")
+    r = X.export_records(fc, X.unit_table(spark)).first()
+    assert (r["nomvar"], r["ip1"], r["ip2"], r["deet"], r["yyyymmdd"]) == ("MG", 0, 0, 3600, 0)
