@@ -87,16 +87,21 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 # ------------------------------------------------------------ forecast store S7
 def save_forecast(batch: DataFrame, path: str, first: bool, constants: DataFrame | None = None) -> None:
-    """The first batch replaces the store, later ones append on init time.
+    """The first batch replaces the store, later ones add their init times.
 
     ``batch`` rows are (init_time, step, feature, lat_i, lon_i, value); the lead is
-    (step + 1) * 6 h. Constants are written only with the first batch.
+    (step + 1) * 6 h. Constants are written only with the first batch. Later batches use
+    dynamic partition overwrite on ``init_date``, so re-running a failed batch replaces its
+    own partitions instead of duplicating rows.
     """
     out = batch.withColumn("lead", F.make_dt_interval(F.lit(0), ((F.col("step") + 1) * 6).cast("int"))) \
         .withColumn("lead_hours", ((F.col("step") + 1) * 6).cast("int")) \
         .withColumn("init_date", F.to_date("init_time"))
     out = out.drop("lead")  # parquet stores the lead as hours; rebuild the interval on read
-    (out.write.mode("overwrite" if first else "append").partitionBy("init_date").parquet(f"{path}/forecast"))
+    w = out.write.partitionBy("init_date").mode("overwrite")
+    if not first:
+        w = w.option("partitionOverwriteMode", "dynamic")
+    w.parquet(f"{path}/forecast")
     if first and constants is not None:
         constants.write.mode("overwrite").parquet(f"{path}/constants")
 
