@@ -116,3 +116,18 @@ def test_export_record_static_field(spark):
                                      "lat_i int, lon_i int, value double")
     r = X.export_records(fc, X.unit_table(spark)).first()
     assert (r["nomvar"], r["ip1"], r["ip2"], r["deet"], r["yyyymmdd"]) == ("MG", 0, 0, 3600, 0)
+
+
+def test_forecast_store_replay_is_idempotent(spark, tmp_path):
+    fc = V.f1_deterministic(spark, D).select(
+        (F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(F.col("init").cast("int"))).alias("init_time"),
+        "step", "feature", "lat_i", "lon_i", "value")
+    first = fc.where(F.dayofmonth("init_time") < 4)
+    rest = fc.where(F.dayofmonth("init_time") >= 4)
+    path = str(tmp_path / "fc")
+    IO.save_forecast(first, path, first=True)
+    IO.save_forecast(rest, path, first=False)
+    IO.save_forecast(rest, path, first=False)  # replayed batch
+    back = IO.read_forecast(spark, path)
+    assert back.count() == fc.count()
+    assert back.where("lead_hours = 6").count() == fc.where("step = 0").count()
