@@ -17,10 +17,11 @@ from fieldframe.config import TIME_RESOLUTION_H
 from fieldframe.functions.hashing import hash_uniform
 
 
-def time_index(df: DataFrame, res_h: int = TIME_RESOLUTION_H, time_col: str = "time", col: str = "t_idx") -> DataFrame:
+def time_index(df: DataFrame, res_h: int = TIME_RESOLUTION_H, time_col: str = "time", col: str = "t_idx",
+               times: DataFrame | None = None) -> DataFrame:
     """Index of each time on the regular ``res_h`` axis starting at the earliest time
-    (the earliest time is a scalar subquery, computed once)."""
-    t0 = df.agg(F.min(time_col)).scalar()
+    (a scalar subquery, computed once; from ``times`` when the time axis is given)."""
+    t0 = (times if times is not None else df).agg(F.min(time_col)).scalar()
     secs = F.unix_seconds(F.col(time_col).cast("timestamp")) - F.unix_seconds(t0.cast("timestamp"))
     return df.withColumn(col, F.floor(secs / F.lit(res_h * 3600)).cast("long"))
 
@@ -36,15 +37,18 @@ def pair_next(long: DataFrame, keys: Sequence[str] = ("feature", "lat_i", "lon_i
     return x.join(y, ["x_time", *keys], "inner")
 
 
-def sample_windows(long: DataFrame, k: int, res_h: int = TIME_RESOLUTION_H, time_col: str = "time") -> DataFrame:
+def sample_windows(long: DataFrame, k: int, res_h: int = TIME_RESOLUTION_H, time_col: str = "time",
+                   times: DataFrame | None = None) -> DataFrame:
     """Sample s has inputs at indices s..s+k-1 and targets s+1..s+k (n - k samples);
     ``k = 0`` (diffusion) makes every time a one-row sample.
 
     Each row is replicated once per window it belongs to (explode of a k-long
-    sequence): the replication is the training table itself.
+    sequence): the replication is the training table itself. ``times`` (the distinct time
+    axis) lets a caller with an expensive ``long`` plan derive the axis from a cheap table.
     """
-    df = time_index(long, res_h, time_col)
-    df = df.withColumn("_n", df.agg(F.max("t_idx") + 1).scalar())
+    df = time_index(long, res_h, time_col, times=times)
+    axis = time_index(times, res_h, time_col) if times is not None else df
+    df = df.withColumn("_n", axis.agg(F.max("t_idx") + 1).scalar())
     if k == 0:
         return df.select(F.col("t_idx").alias("sample"), F.lit("input").alias("role"), F.lit(0).alias("offset"),
                          *[c for c in long.columns])

@@ -65,7 +65,7 @@ def training_table(long: DataFrame, grid: DataFrame, constants: DataFrame, const
     x = J.attach_time_forcings(z, forc)
     x = x.join(toa, ["time", *CELL], "inner")
     x = J.attach_constants(x, cst)
-    return S.sample_windows(x, steps, res_h)
+    return S.sample_windows(x, steps, res_h, times=times)
 
 
 def diffusion_table(long: DataFrame, operator_output: DataFrame | None, seed, res_h: int = 6) -> DataFrame:
@@ -73,7 +73,7 @@ def diffusion_table(long: DataFrame, operator_output: DataFrame | None, seed, re
     condition mix (null / operator / clean), target (operator output or clean) and its forward-noised
     state sqrt(ab) x + sqrt(1 - ab) eps."""
     spark = long.sparkSession
-    w = S.sample_windows(FL.standardize_field(long), 0, res_h)
+    w = S.sample_windows(FL.standardize_field(long), 0, res_h, times=long.select("time").distinct())
     w = D.assign_diffusion_step(w, ["sample"], seed)
     w = D.condition_mix(w, ["sample"], seed)
     w = D.gaussian_noise(w, ["sample", "feature", *CELL], seed)
