@@ -94,9 +94,13 @@ def metrics_wide(metrics: DataFrame, features: Sequence[str], labels: Sequence[s
     return metrics.withColumn("col", col).groupBy(*by).pivot("col", names).agg(F.first("value"))
 
 
-def ordered_leads(metrics: DataFrame) -> DataFrame:
-    """O1: leads ascending; blocks 'first' (first two leads) and 'last' (last two)."""
-    leads = metrics.select("label", "lead_hours").distinct()
+def ordered_leads(metrics: DataFrame, points: DataFrame) -> DataFrame:
+    """O1: leads ascending; blocks 'first' (first two leads) and 'last' (last two).
+
+    The ordering is taken from the evaluation-point table (``label``, ``lead_hours``; four rows),
+    not from the metric table, so the metric plan runs once.
+    """
+    leads = points.select("label", "lead_hours").distinct()
     w = Window.orderBy("lead_hours")  # four evaluation leads
     r = leads.withColumn("lead_rank", F.row_number().over(w))
     n = leads.agg(F.count(F.lit(1))).scalar()

@@ -124,7 +124,9 @@ FROM metrics m JOIN (SELECT label, lead_hours, row_number() OVER (ORDER BY lead_
 )
 def o_leads(spark, d):
     """O1: leads in ascending order with first-two / last-two report blocks."""
-    return R.ordered_leads(_metrics(spark, d))
+    from fieldframe.operators.samples import eval_points
+
+    return R.ordered_leads(_metrics(spark, d), eval_points(V.f1_truth(spark, d)))
 
 
 def _title_sql(s: str) -> str:
