@@ -130,9 +130,11 @@ def even_step_table(df: DataFrame, k: int, step_col: str = "step") -> DataFrame:
     return n.select(F.explode(even_positions(F.col("n"), k)).alias(step_col)).distinct()
 
 
-def even_steps(df: DataFrame, k: int, step_col: str = "step") -> DataFrame:
-    """W8 on the step axis of ``df``: keep rows whose step is one of the evenly spaced steps."""
-    return df.join(F.broadcast(even_step_table(df, k, step_col)), step_col, "left_semi")
+def even_steps(df: DataFrame, k: int, step_col: str = "step", axis: DataFrame | None = None) -> DataFrame:
+    """Keep rows whose step is one of the evenly spaced steps of the step axis (of ``axis``
+    when given, e.g. the input forecast, else of ``df``)."""
+    steps = even_step_table(axis if axis is not None else df, k, step_col)
+    return df.join(F.broadcast(steps), step_col, "left_semi")
 
 
 def eval_window(long: DataFrame, start: int, n: int, n_samples_offset: int = 1,

@@ -160,10 +160,9 @@ FROM metrics WHERE model <> 'deterministic'"""),
     floats=["value", "guidance", "eta"],
 )
 def j_run_params(spark, d):
-    """Sweep parameters parsed from the run path, joined to the run's metrics."""
+    """Sweep parameters parsed from the run path into typed columns of the run's metrics."""
     m = _metrics(spark, d).where(F.col("model") != R.DET_MODEL)
-    runs = run_parameters(m.select("model").distinct(), "model")
-    return m.join(F.broadcast(runs), "model").select(
+    return run_parameters(m, "model").select(
         "model", "init", "label", "metric", "feature", "value", "sampler", "walks", "guidance", "eta",
         "solver_order", "algorithm", "steps")
 

@@ -198,7 +198,8 @@ DETR = f"SELECT {KS}, sqrt(avg((value - truth) * (value - truth))) AS rmse FROM
 )
 def w_even_steps(spark, d):
     """Deterministic RMSE at int(linspace(0, n-1, 4)) steps."""
-    return S.even_steps(E.rmse(V.f1_deterministic(spark, d), V.f1_truth(spark, d), K), 4)
+    det = V.f1_deterministic(spark, d)
+    return S.even_steps(E.rmse(det, V.f1_truth(spark, d), K), 4, axis=det)
 
 
 @register(
@@ -217,7 +218,9 @@ def w_members(spark, d):
 @register("p_leads", _f1("SELECT * FROM detr WHERE step IN (1, 4, 8, 9)", detr=DETR), floats=["rmse"])
 def p_leads(spark, d):
     """Rows at the steps of leads 6, 24, 48 and 1000 h (clamped to the last step)."""
-    return FL.select_leads(E.rmse(V.f1_deterministic(spark, d), V.f1_truth(spark, d), K), [6, 24, 48, 1000])
+    det = V.f1_deterministic(spark, d)
+    n = det.agg(F.max("step") + 1).scalar()
+    return FL.select_leads(E.rmse(det, V.f1_truth(spark, d), K), [6, 24, 48, 1000], n_steps=n)
 
 
 WIDE_VARS = ["temperature", "specific_humidity", "total_precipitation_6hr", "2m_temperature"]
