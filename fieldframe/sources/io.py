@@ -174,3 +174,17 @@ def training_curve(log: DataFrame, by: Sequence[str] = ("run", "step")) -> DataF
     return log.where(F.col("metric").isin("train_loss", "valid_loss")).groupBy(*by).pivot(
         "metric", ["train_loss", "valid_loss"]
     ).agg(F.avg("value"))
+
+
+# ------------------------------------------------------------------ co-located storage
+def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int, path: str) -> DataFrame:
+    """Store ``df`` as an external table bucketed and sorted on ``keys`` at ``path``.
+
+    Tables written with the same keys and bucket count (e.g. ensemble and truth on
+    field + cell) join, window and aggregate on those keys without shuffling either side.
+    Returns the table as a DataFrame (bucketed scan).
+    """
+    spark = df.sparkSession
+    (df.write.mode("overwrite").format("parquet").option("path", path)
+     .bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table))
+    return spark.table(table)

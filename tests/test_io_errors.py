@@ -131,3 +131,27 @@ def test_forecast_store_replay_is_idempotent(spark, tmp_path):
     back = IO.read_forecast(spark, path)
     assert back.count() == fc.count()
     assert back.where("lead_hours = 6").count() == fc.where("step = 0").count()
+
+
+def test_bucketed_inputs_remove_the_big_shuffle(spark, tmp_path):
+    import contextlib
+    import io as _io
+
+    from fieldframe.operators import ensemble as EN
+    keys = ["init", "step", "feature", "lat_i", "lon_i"]
+    ens = IO.write_bucketed(V.f1_ensemble(spark, D), "ens_b", keys, 4, str(tmp_path / "ens"))
+    truth = IO.write_bucketed(V.f1_truth(spark, D), "truth_b", keys, 4, str(tmp_path / "truth"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        x = EN.member_frame(EN.attach_region(EN.align(ens, truth, ["init", "step", "feature"]), None),
+                            ["init", "step", "feature"])
+        cells = EN.cell_frame(x, ["init", "step", "feature"], with_pairs=False)
+        buf = _io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            cells.explain()
+        plan = buf.getvalue()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan
+    assert "Exchange" not in plan  # join, window and per-cell aggregate run on the buckets
+    assert cells.count() == V.f1_truth(spark, D).count()
