@@ -116,24 +116,6 @@ def member_pairs(ens: DataFrame, seed=None, scope: Sequence[str] = ()) -> DataFr
     )
 
 
-def _crps_fair_spread(aligned: DataFrame, keys, weighted: bool) -> DataFrame:
-    """Exact E|X-X'| over all distinct member pairs from sorted members.
-
-    sum_{i<j}|x_i-x_j| = sum_i (2i-n-1) x_(i); mean over ordered pairs = 2*that/(n(n-1)).
-    """
-    w = Window.partitionBy(*keys, *CELL).orderBy("value")
-    r = aligned.withColumn("i", F.row_number().over(w))
-    agg = [
-        F.sum((2 * F.col("i") - 1) * F.col("value")).alias("s1"),
-        F.sum("value").alias("s0"),
-        F.count("value").alias("n"),
-    ] + ([F.max("w").alias("w")] if weighted else [])
-    per_cell = r.groupBy(*keys, *CELL).agg(*agg)
-    n = F.col("n")
-    cell_spread = F.lit(2.0) * (F.col("s1") - n * F.col("s0")) / F.nullif(n * (n - 1), F.lit(0))
-    return per_cell.groupBy(*keys).agg(grid_mean(cell_spread, weighted).alias("crps_fair_spread"))
-
-
 def ensemble_mean_rmse(ens, truth, keys, region=None, skipna=False, by: Sequence[str] = ()) -> DataFrame:
     """RMSE of the ensemble mean (named MSE in the source docstring; the value is RMSE).
 
@@ -176,12 +158,30 @@ def crps(ens, truth, keys, region=None, skipna=False, seed=None, scope: Sequence
 
 
 def crps_fair(ens, truth, keys, region=None, skipna=False) -> DataFrame:
-    """CRPS with the exact all-pairs spread E|X-X'|."""
-    a = attach_region(align(ens, truth, keys), region)
+    """CRPS with the exact all-pairs spread E|X-X'| from sorted members.
+
+    sum_{i<j}|x_i - x_j| = sum_i (2i - n - 1) x_(i), so the per-cell spread over ordered
+    distinct pairs is 2 (sum_i (2i - 1) x_(i) - n sum_i x_i) / (n (n - 1)). One window (members
+    sorted by value inside the (keys, cell) partition) and one per-cell aggregate give skill and
+    spread together.
+    """
     weighted = region is not None
-    skill = _skill(cell_stats(a, keys), keys, weighted)
-    spread = _crps_fair_spread(a, keys, weighted)
-    return _score_frame(skill, spread, keys, "l1_skill", "crps_fair_spread", "crps_fair", "CRPS Score", skipna)
+    a = attach_region(align(ens, truth, keys), region)
+    x = a.withColumn("i", F.row_number().over(Window.partitionBy(*keys, *CELL).orderBy("value")))
+    cells = x.groupBy(*keys, *CELL).agg(
+        F.avg("value").alias("ens_mean"), F.max("truth").alias("truth"), F.max("w").alias("w"),
+        F.count("value").alias("n"), F.sum((2 * F.col("i") - 1) * F.col("value")).alias("s1"),
+        F.sum("value").alias("s0"),
+    )
+    n = F.col("n")
+    cell_spread = F.lit(2.0) * (F.col("s1") - n * F.col("s0")) / F.nullif(n * (n - 1), F.lit(0))
+    d = F.col("ens_mean") - F.col("truth")
+    fs = cells.groupBy(*keys).agg(
+        grid_mean(F.abs(d), weighted).alias("l1_skill"),
+        grid_mean(cell_spread, weighted).alias("crps_fair_spread"),
+        F.min("n").alias("n_members"),
+    )
+    return _score_frame(fs, None, keys, "l1_skill", "crps_fair_spread", "crps_fair", "CRPS Score", skipna)
 
 
 def mean_spread(ens, truth, keys) -> DataFrame:
