@@ -191,7 +191,7 @@ def field_mu_sigma(long: DataFrame, keys: Sequence[str] = ("time", "feature")) -
     return long.groupBy(*keys).agg(F.avg("value").alias("mu"), F.stddev_samp("value").alias("sigma"))
 
 
-def standardize_field(long: DataFrame, keys: Sequence[str] = ("time", "feature")) -> DataFrame:
+def standardize_field(long: DataFrame, keys: Sequence[str] = ("time", "feature"), keep_stats: bool = False) -> DataFrame:
     """(x - mean) / sample std over the grid of each field; NULL where std is 0 or undefined.
 
     Field statistics come from a partial (map-side) aggregate joined back on the
@@ -201,7 +201,10 @@ def standardize_field(long: DataFrame, keys: Sequence[str] = ("time", "feature")
     st = long.groupBy(*keys).agg(F.avg("value").alias("_mu"), F.stddev_samp("value").alias("_sd"))
     j = long.join(st, list(keys), "inner")
     z = F.try_divide(F.col("value") - F.col("_mu"), F.nullif(F.col("_sd"), F.lit(0.0)))
-    return j.withColumn("value", z).drop("_mu", "_sd").select(*long.columns)
+    out = j.withColumn("value", z)
+    if keep_stats:  # the field's mu / sigma (A5) ride along: no second aggregation pass
+        return out.select(*long.columns, F.col("_mu").alias("mu"), F.col("_sd").alias("sigma"))
+    return out.select(*long.columns)
 
 
 def uncertainty_norm(df: DataFrame, keys: Sequence[str], col: str = "value") -> DataFrame:

@@ -54,8 +54,7 @@ def training_table(long: DataFrame, grid: DataFrame, constants: DataFrame, const
     s = IO.time_range(long, start, end, steps=steps, res_h=res_h)
     s = s.withColumn("value", F.when(F.isnan("value"), F.raise_error(F.lit("NaN values detected in input/output data")))
                      .otherwise(F.col("value")))
-    mu = FL.field_mu_sigma(s)
-    z = FL.standardize_field(s).join(mu, ["time", "feature"], "inner")
+    z = FL.standardize_field(s, keep_stats=True)
     times = s.select("time").distinct()
     forc = FO.time_forcings(times)
     toa = FO.toa_radiation(times, grid)
