@@ -254,17 +254,17 @@ def metric_label(metric) -> Column:
 
 # -------------------------------------------------------------------- keys M25
 def lead_interval(step) -> Column:
-    """(i + 1) * 6 h as a day-time interval."""
+    """Lead of step i = (i + 1) * 6 h as a day-time interval."""
     return F.make_dt_interval(F.lit(0), ((_c(step) + 1) * 6).cast("int"))
 
 
 def file_key(init_time, lead_hours) -> Column:
-    """``yyyyMMddHH_HHH``."""
+    """File key ``yyyyMMddHH_HHH``."""
     return F.concat(F.date_format(_c(init_time), "yyyyMMddHH"), F.lit("_"), F.lpad(_c(lead_hours).cast("string"), 3, "0"))
 
 
 def date_stamp(time) -> tuple[Column, Column]:
-    """(yyyyMMdd, HHmmss00) as integers."""
+    """Date stamps (yyyyMMdd, HHmmss00) as integers."""
     t = _c(time)
     return F.date_format(t, "yyyyMMdd").cast("int"), F.concat(F.date_format(t, "HHmmss"), F.lit("00")).cast("int")
 

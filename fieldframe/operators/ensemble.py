@@ -206,7 +206,7 @@ def rmse_scalar(fc, truth, keys, by: Sequence[str] = ()) -> DataFrame:
 
 
 def member_rmse(ens, truth, keys, min_step: int = 1, region=None) -> tuple[DataFrame, DataFrame]:
-    """Per-member RMSE for steps >= ``min_step`` and its mean over members."""
+    """Per-member RMSE for steps >= ``min_step`` (analysis step dropped) and its mean over members."""
     e = ens.where(F.col("step") >= min_step) if "step" in keys else ens
     a = attach_region(align(e, truth, keys), region)
     d = F.col("value") - F.col("truth")
@@ -216,7 +216,8 @@ def member_rmse(ens, truth, keys, min_step: int = 1, region=None) -> tuple[DataF
 
 
 def rmse_curves(ens, det, truth, keys, min_step: int = 1) -> DataFrame:
-    """Average-member, ensemble-mean and deterministic RMSE curves in one long table."""
+    """Average-member, ensemble-mean and deterministic RMSE curves (step 0 dropped, lead hours
+    = step * 6) in one long table."""
     _, members = member_rmse(ens, truth, keys, min_step)
     ens_s = ens.where(F.col("step") >= min_step)
     mean = ensemble_mean_rmse(ens_s, truth, keys)
@@ -276,7 +277,7 @@ def value_limits(truth, prediction, ens, by: Sequence[str] = ("feature",)) -> Da
 
 
 def member_frame(aligned: DataFrame, keys, pairs: DataFrame | None = None, scope: Sequence[str] = ()) -> DataFrame:
-    """Aligned member rows with the next member's value (``nxt``) and, when ``pairs`` is given,
+    """Aligned member rows with the next member's value (``nxt``) and, when ``pairs`` is given,
     each member's CRPS pair/side. One exchange on (keys, cell); the pair table is member-sized."""
     w = Window.partitionBy(*keys, *CELL).orderBy("member")
     x = aligned.withColumn("nxt", F.lead("value").over(w))

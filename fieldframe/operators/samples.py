@@ -103,7 +103,7 @@ def shard(batches: DataFrame, n: int) -> DataFrame:
 
 
 def eval_points(df: DataFrame, step_col: str = "step") -> DataFrame:
-    """T/4 -> n//4, T/2 -> n//2, T3/4 -> 3n//4, T -> n-1 with n = max(step) + 1; lead hours = step * 6."""
+    """T/4 -> n//4, T/2 -> n//2, T3/4 -> 3n//4, T -> n-1 with n = max(step) + 1; lead hours = step * 6."""
     n = df.agg((F.max(step_col) + 1).alias("n"))
     pts = F.array(
         F.struct(F.lit("T/4").alias("label"), F.floor(F.col("n") / 4).alias("s")),
