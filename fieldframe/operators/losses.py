@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldframe.config import VARIABLE_LOSS_WEIGHTS, FeatureConfig
@@ -124,21 +124,39 @@ def epoch_loss(log: DataFrame, keys: Sequence[str] = ("run", "epoch", "metric"),
 def ensemble_summary(ens: DataFrame, reference: DataFrame, keys: Sequence[str], channel0: str) -> DataFrame:
     """L2 from member 0 to the reference and to every other member; mean and one global
     sample std of the ensemble mean; spread (sample std over members) of channel 0: mean,
-    lower median, max, min. One row per (keys..., member >= 1)."""
-    m0 = ens.groupBy(*keys).agg(F.min("member").alias("m0"))
-    e = ens.join(m0, list(keys), "inner")
-    base = e.where(F.col("member") == F.col("m0")).select(*keys, "feature", *CELL, F.col("value").alias("v0"))
-    ref = reference.select(*keys, "feature", *CELL, F.col("value").alias("r"))
-    l2_ref = base.join(ref, [*keys, "feature", *CELL]).groupBy(*keys).agg(
-        F.sqrt(F.sum((F.col("v0") - F.col("r")) ** 2)).alias("l2_reference"))
-    others = e.where(F.col("member") != F.col("m0")).join(base, [*keys, "feature", *CELL])
-    l2_mem = others.groupBy(*keys, "member").agg(F.sqrt(F.sum((F.col("v0") - F.col("value")) ** 2)).alias("l2_member0"))
-    cells = ens.groupBy(*keys, "feature", *CELL).agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
-    mean_stats = cells.groupBy(*keys).agg(F.avg("m").alias("mean_of_mean"), F.stddev_samp("m").alias("std_of_mean"))
-    c0 = cells.where(F.col("feature") == channel0)
-    spread = c0.groupBy(*keys).agg(
-        F.avg("s").alias("spread_mean"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY s)").alias("spread_median"),
-        F.max("s").alias("spread_max"), F.min("s").alias("spread_min"),
+    lower median, max, min. One row per (keys..., member >= 1).
+
+    One pass: windows inside the (keys, feature, cell) partition give member 0's value, the
+    cell mean and the cell spread; one (keys, member) aggregate holds the per-member L2 and,
+    in member 0's group, the summary, which a small window over ``keys`` spreads to every row.
+    """
+    keys = list(keys)
+    kc = [*keys, "feature", *CELL]
+    ref = reference.select(*kc, F.col("value").alias("r"))
+    a = ens.join(ref, kc, "inner")
+    w = Window.partitionBy(*kc)
+    wo = w.orderBy("member")
+    x = (a.withColumn("v0", F.first("value").over(wo.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+         .withColumn("rk", F.row_number().over(wo))
+         .withColumn("m", F.avg("value").over(w))
+         .withColumn("s", F.stddev_samp("value").over(w)))
+    first = F.col("rk") == 1
+    ch0 = first & (F.col("feature") == channel0)
+    d0 = F.col("v0") - F.col("value")
+    dr = F.col("v0") - F.col("r")
+    g = x.groupBy(*keys, "member").agg(
+        F.sqrt(F.sum(d0 * d0)).alias("l2_member0"),
+        F.max(first.cast("int")).alias("is_first"),
+        F.sqrt(F.sum(F.when(first, dr * dr))).alias("l2_reference"),
+        F.avg(F.when(first, F.col("m"))).alias("mean_of_mean"),
+        F.stddev_samp(F.when(first, F.col("m"))).alias("std_of_mean"),
+        F.avg(F.when(ch0, F.col("s"))).alias("spread_mean"),
+        F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY s) FILTER (WHERE rk = 1 AND feature = '{channel0}')")
+        .alias("spread_median"),
+        F.max(F.when(ch0, F.col("s"))).alias("spread_max"),
+        F.min(F.when(ch0, F.col("s"))).alias("spread_min"),
     )
-    return l2_mem.join(l2_ref, list(keys)).join(mean_stats, list(keys)).join(spread, list(keys))
+    summary = ["l2_reference", "mean_of_mean", "std_of_mean", "spread_mean", "spread_median", "spread_max", "spread_min"]
+    wk = Window.partitionBy(*keys)
+    out = g.select(*keys, "member", "l2_member0", "is_first", *[F.max(c).over(wk).alias(c) for c in summary])
+    return out.where(F.col("is_first") == 0).drop("is_first")
