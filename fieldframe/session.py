@@ -8,7 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "fieldframe") -> SparkSession:
+def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "fieldframe",
+              extra: dict | None = None) -> SparkSession:
     """Local session with AQE on, UTC clock and the UI off.
 
     On a cluster the submitter owns the session; library code only calls
@@ -29,6 +30,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
         .config("spark.driver.memory", "16g")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
     )
+    for k, v in (extra or {}).items():
+        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
