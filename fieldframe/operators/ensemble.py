@@ -369,7 +369,7 @@ def verify(ens, det, truth, keys, region=None, skipna=False, seed=None, scope: S
     a = attach_region(align(ens, truth, keys), region)
     x = member_frame(a, keys, member_pairs(ens, seed, scope), scope)
     fs = field_scores(x, keys, weighted)
-    det_rmse = rmse(det, truth, keys, region)
+    det_rmse = rmse(det, truth, keys)  # A9 is unweighted; region weights apply to the ensemble scores
     g = F.col("n_members")
     j = fs.join(det_rmse, _k(keys), "left")
     cols = {

@@ -125,3 +125,15 @@ def test_skipna_maps_inf_to_nan(spark):
     assert math.isnan(r["rmse"])
     r2 = E.ensemble_mean_rmse(ens, truth, K, skipna=False).first()
     assert math.isinf(r2["rmse"])
+
+
+def test_verify_region_weights_ensemble_scores_only(spark):
+    ens = ens_df(spark, {0: M0, 1: M1})
+    truth = truth_df(spark, ZERO)
+    det = truth_df(spark, M2)
+    region = spark.createDataFrame([(i, j, float(i + 1)) for i in range(2) for j in range(3)], "lat_i int, lon_i int, weight double")
+    r = E.verify(ens, det, truth, K, region=region).first()
+    assert r["det_rmse"] == pytest.approx(1.0)  # unweighted RMSE of an all-ones error
+    means = [2, 2, 2, 5, 5, 5]
+    w = [1, 1, 1, 2, 2, 2]
+    assert r["ens_mean_rmse"] == pytest.approx(math.sqrt(sum(wi * m * m for wi, m in zip(w, means)) / sum(w)))
