@@ -39,11 +39,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return ``spark.checkpoint.dir``; set a scratch one only when the session has none (tests)."""
+    """Return ``spark.checkpoint.dir``; set a scratch one only when the session has none and runs
+    in local mode (tests). A cluster session without it is an error: scratch output and
+    checkpoints must live on storage every executor sees."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS / object store) for this cluster")
         current = tempfile.mkdtemp(prefix="ff-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
