@@ -117,7 +117,7 @@ def s_metrics_wide(spark, d):
 
 @register(
     "o_leads",
-    _w("""SELECT m.*, lead_rank, CASE WHEN lead_rank <= 2 THEN 'first' WHEN lead_rank > n - 2 THEN 'last' END AS block
+    _w("""SELECT m.*, CAST(lead_rank AS INT) AS lead_rank, CASE WHEN lead_rank <= 2 THEN 'first' WHEN lead_rank > n - 2 THEN 'last' END AS block
 FROM metrics m JOIN (SELECT label, lead_hours, row_number() OVER (ORDER BY lead_hours) AS lead_rank, count(*) OVER () AS n
   FROM (SELECT DISTINCT label, lead_hours FROM metrics)) USING (label, lead_hours)"""),
     floats=["value"],

@@ -366,7 +366,7 @@ def a_minmax(spark, d):
 # --------------------------------------------------------------- catalogue ops
 @register(
     "p_catalog",
-    V.with_views("""SELECT DISTINCT f2.feature, c.idx FROM f2 JOIN (
+    V.with_views("""SELECT DISTINCT f2.feature, CAST(c.idx AS INT) AS idx FROM f2 JOIN (
   SELECT v || '_h' || CAST(l AS VARCHAR) AS feature, (vi - 1) * 13 + (li - 1) AS idx FROM
    (SELECT unnest(['geopotential', 'wind_x', 'wind_y', 'wind_z', 'specific_humidity', 'temperature']) AS v,
            generate_subscripts(['geopotential', 'wind_x', 'wind_y', 'wind_z', 'specific_humidity', 'temperature'], 1) AS vi)

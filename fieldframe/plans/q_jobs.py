@@ -30,13 +30,14 @@ def _yearly_store(spark, d):
     return path
 
 
-@register("s_read_years", V.with_views(f"SELECT {F3K}, time, year, u FROM f3", f3=V.SQL_F3), floats=["u"])
+@register("s_read_years", V.with_views(f"SELECT {F3K}, time, CAST(year AS INT) AS year, u FROM f3", f3=V.SQL_F3), floats=["u"])
 def s_read_years(spark, d):
     """Write one partition per year, read all years back as one table."""
     return IO.read_fields(spark, _yearly_store(spark, d)).select(*F3_KEYS, "time", "year", "u")
 
 
-@register("s_year_prune", V.with_views(f"SELECT {F3K}, time, year, u FROM f3 WHERE year >= 1998", f3=V.SQL_F3), floats=["u"])
+@register("s_year_prune", V.with_views(f"SELECT {F3K}, time, CAST(year AS INT) AS year, u FROM f3 WHERE year >= 1998", f3=V.SQL_F3),
+          floats=["u"])
 def s_year_prune(spark, d):
     """Years >= 1998 only (partition pruning on ``year``)."""
     return IO.read_year_range(spark, _yearly_store(spark, d), 1998).select(*F3_KEYS, "time", "year", "u")
@@ -44,7 +45,8 @@ def s_year_prune(spark, d):
 
 @register(
     "s_write_years",
-    V.with_views("SELECT year, count(*) AS n, sum(CASE WHEN year = 1998 THEN u * 2 ELSE u END) AS sum_u FROM f3 GROUP BY year",
+    V.with_views("""SELECT CAST(year AS INT) AS year, count(*) AS n, sum(CASE WHEN year = 1998 THEN u * 2 ELSE u END) AS sum_u
+FROM f3 GROUP BY year""",
                  f3=V.SQL_F3),
     floats=["sum_u"],
 )
@@ -299,7 +301,7 @@ TRAIN_CTES = dict(
     "c_training",
     V.with_views(TRAIN_SQL, **TRAIN_CTES),
     floats=["value", "mu", "sigma", "sin_time_of_day", "cos_time_of_day", "sin_year_progress", "cos_year_progress",
-            "toa_norm", "geopotential_at_surface", "land_sea_mask"],
+            "toa_norm", "geopotential_at_surface"],
     digits=5,
 )
 def c_training(spark, d):

@@ -94,7 +94,7 @@ def a_rollout_loss(spark, d):
 
 @register(
     "a_epoch_loss",
-    V.with_views("""SELECT run, epoch, metric, avg(m) AS epoch_loss FROM (
+    V.with_views("""SELECT run, CAST(epoch AS INT) AS epoch, metric, avg(m) AS epoch_loss FROM (
   SELECT run, epoch, metric, process, avg(value) AS m FROM f6 GROUP BY ALL) GROUP BY run, epoch, metric""", f6=V.SQL_F6),
     floats=["epoch_loss"],
 )
