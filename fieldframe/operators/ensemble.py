@@ -286,29 +286,35 @@ def member_frame(aligned: DataFrame, keys, pairs: DataFrame | None = None, scope
     return x
 
 
+def _q(names) -> str:
+    return ", ".join(f"`{n}`" for n in names)
+
+
 def cell_frame(x: DataFrame, keys, with_pairs: bool) -> DataFrame:
     """One row per cell of a :func:`member_frame`, computed inside its (keys, cell) partitioning
     (no new exchange): ensemble mean, truth, weight, member count, both spreads, the mean |a - b|
     over the cell's member pairs (``pair_ad``) and the squared adjacent-member differences
-    ``adj`` = [(member, (x_m - x_next)^2)] (at most ensemble-size entries)."""
-    if with_pairs:
-        pw = Window.partitionBy(*keys, *CELL, "pair")  # clustered within (keys, cell): no exchange
-        x = x.withColumn("partner", F.max(F.when(F.col("side") == 1, F.col("value"))).over(pw))
-    d2 = (F.col("value") - F.col("nxt")) * (F.col("value") - F.col("nxt"))
+    ``adj`` = [(member, (x_m - x_next)^2)] (at most ensemble-size entries).
+
+    Expressions are written as SQL text (one planner call each).
+    """
+    kc = [*keys, *CELL]
+    if with_pairs:  # clustered within (keys, cell): no exchange
+        x = x.withColumn("partner", F.expr(
+            f"max(CASE WHEN side = 1 THEN value END) OVER (PARTITION BY {_q(kc)}, pair)"))
     aggs = [
-        F.avg("value").alias("ens_mean"),
-        F.max("truth").alias("truth"),
-        F.max("w").alias("w"),
-        F.count("value").alias("n_members"),
-        F.stddev_pop("value").alias("spread_pop"),
-        F.stddev_samp("value").alias("spread_samp"),
-        F.collect_list(F.when(F.col("nxt").isNotNull(), F.struct(F.col("member").cast("long").alias("member"),
-                                                                d2.alias("d2")))).alias("adj"),
+        "avg(value) AS ens_mean",
+        "max(truth) AS truth",
+        "max(w) AS w",
+        "count(value) AS n_members",
+        "stddev_pop(value) AS spread_pop",
+        "stddev_samp(value) AS spread_samp",
+        "collect_list(CASE WHEN nxt IS NOT NULL THEN named_struct('member', CAST(member AS BIGINT), "
+        "'d2', (value - nxt) * (value - nxt)) END) AS adj",
     ]
     if with_pairs:
-        aggs.append(F.avg(F.when((F.col("side") == 0) & F.col("partner").isNotNull(),
-                                 F.abs(F.col("value") - F.col("partner")))).alias("pair_ad"))
-    return x.groupBy(*keys, *CELL).agg(*aggs)
+        aggs.append("avg(CASE WHEN side = 0 AND partner IS NOT NULL THEN abs(value - partner) END) AS pair_ad")
+    return x.groupBy(*kc).agg(*[F.expr(a) for a in aggs])
 
 
 def field_scores(x: DataFrame, keys, weighted: bool, with_pairs: bool = True) -> DataFrame:
@@ -322,41 +328,37 @@ def field_scores(x: DataFrame, keys, weighted: bool, with_pairs: bool = True) ->
     equal to the mean over pairs of their grid means when every cell holds every pair.
     """
     cells = cell_frame(x, keys, with_pairs)
-    summary = F.struct(F.lit(None).cast("long").alias("member"), F.lit(None).cast("double").alias("d2"))
-    e = cells.select(*keys, "w", "n_members", "ens_mean", "truth", "spread_samp",
-                     *(["pair_ad"] if with_pairs else []),
-                     F.explode(F.concat(F.array(summary), F.col("adj"))).alias("p"))
-    is_sum = F.col("p.member").isNull()
-    d = F.col("ens_mean") - F.col("truth")
-    ms = F.abs(d) - F.col("spread_samp")
-    w = F.col("w")
-
-    def on_sum(c):
-        return F.when(is_sum, c)
-
+    e = cells.selectExpr(
+        *[f"`{k}`" for k in keys], "w", "n_members", "ens_mean", "truth", "spread_samp",
+        *(["pair_ad"] if with_pairs else []),
+        "explode(concat(array(named_struct('member', CAST(NULL AS BIGINT), 'd2', CAST(NULL AS DOUBLE))), adj)) AS p",
+    )
+    s = "p.member IS NULL"  # the cell's summary entry
+    d = "(ens_mean - truth)"
+    ms = f"(abs{d} - spread_samp)"
     aggs = [
-        F.sum(on_sum(d * d * w)).alias("s_l2"),
-        F.sum(on_sum(F.abs(d) * w)).alias("s_l1"),
-        F.sum(on_sum(F.when(d.isNotNull(), w))).alias("s_w"),
-        F.min(on_sum(F.col("n_members"))).alias("n_members"),
-        F.sum(on_sum(ms * ms)).alias("s_ms"),
-        F.sum(F.col("p.d2") * w).alias("s_d2"),
-        F.sum(F.when(F.col("p.d2").isNotNull(), w)).alias("s_wd2"),
+        f"sum(CASE WHEN {s} THEN {d} * {d} * w END) AS s_l2",
+        f"sum(CASE WHEN {s} THEN abs{d} * w END) AS s_l1",
+        f"sum(CASE WHEN {s} AND {d} IS NOT NULL THEN w END) AS s_w",
+        f"min(CASE WHEN {s} THEN n_members END) AS n_members",
+        f"sum(CASE WHEN {s} THEN {ms} * {ms} END) AS s_ms",
+        "sum(p.d2 * w) AS s_d2",
+        "sum(CASE WHEN p.d2 IS NOT NULL THEN w END) AS s_wd2",
     ]
     if with_pairs:
-        aggs += [F.sum(on_sum(F.col("pair_ad") * w)).alias("s_pair"),
-                 F.sum(on_sum(F.when(F.col("pair_ad").isNotNull(), w))).alias("s_wpair")]
-    g = e.groupBy(*keys, F.col("p.member").alias("member")).agg(*aggs)
+        aggs += [f"sum(CASE WHEN {s} THEN pair_ad * w END) AS s_pair",
+                 f"sum(CASE WHEN {s} AND pair_ad IS NOT NULL THEN w END) AS s_wpair"]
+    g = e.groupBy(*keys, F.col("p.member").alias("member")).agg(*[F.expr(a) for a in aggs])
     out = [
-        F.sqrt(F.max("s_l2") / F.max("s_w")).alias("l2_skill"),
-        (F.max("s_l1") / F.max("s_w")).alias("l1_skill"),
-        F.min("n_members").alias("n_members"),
-        F.sqrt(F.max("s_ms")).alias("mean_spread"),
-        F.avg(F.when(F.col("member").isNotNull(), F.sqrt(F.col("s_d2") / F.col("s_wd2")))).alias("energy_spread"),
+        "sqrt(max(s_l2) / max(s_w)) AS l2_skill",
+        "max(s_l1) / max(s_w) AS l1_skill",
+        "min(n_members) AS n_members",
+        "sqrt(max(s_ms)) AS mean_spread",
+        "avg(CASE WHEN member IS NOT NULL THEN sqrt(s_d2 / s_wd2) END) AS energy_spread",
     ]
     if with_pairs:
-        out.append((F.max("s_pair") / F.max("s_wpair")).alias("crps_spread"))
-    return g.groupBy(*keys).agg(*out)
+        out.append("max(s_pair) / max(s_wpair) AS crps_spread")
+    return g.groupBy(*keys).agg(*[F.expr(a) for a in out])
 
 
 def verify(ens, det, truth, keys, region=None, skipna=False, seed=None, scope: Sequence[str] = ()) -> DataFrame:
