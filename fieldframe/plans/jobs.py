@@ -21,11 +21,13 @@ CELL = ["lat_i", "lon_i"]
 
 
 def preprocess(raw: DataFrame, out_root: str, from_year: int, ids: Sequence[str] = (), remove_poles: bool = True) -> DataFrame:
-    """Allow-list, optional pole removal, Cartesian winds, stack onto a feature axis,
-    write one partition per year, then per-feature statistics over years >= ``from_year``
-    read back from the store (the year predicate prunes partitions).
+    """Allow-list, optional pole removal, Cartesian winds (and 10 m winds when the raw
+    table carries them), stack onto a feature axis, write one partition per year, then
+    per-feature statistics over years >= ``from_year`` read back from the store (the year
+    predicate prunes partitions).
 
-    ``raw`` rows: (time, level, latitude, longitude, u/v/omega/temperature columns, ...).
+    ``raw`` rows: (time, level, latitude, longitude, u/v/omega/temperature columns, optional
+    10 m u/v columns, ...).
     """
     spark = raw.sparkSession
     df = FL.keep_variables(raw, [*KEEP_VARIABLES, *ids])
@@ -35,12 +37,35 @@ def preprocess(raw: DataFrame, out_root: str, from_year: int, ids: Sequence[str]
                                   "level", "latitude", "longitude")
     df = df.select("*", wx.alias("wind_x"), wy.alias("wind_y"), wz.alias("wind_z"))
     long = FL.to_long(df, ["time", *ids], ["wind_x", "wind_y", "wind_z", "temperature"], level_col="level")
+    if {"10m_u_component_of_wind", "10m_v_component_of_wind"} <= set(df.columns):
+        wx10, wy10 = P.cartesian_wind_10m("10m_u_component_of_wind", "10m_v_component_of_wind", "latitude", "longitude")
+        sfc = df.select("time", *ids, wx10.alias("wind_x_10m"), wy10.alias("wind_y_10m"))
+        long = long.unionByName(FL.to_long(sfc, ["time", *ids], ["wind_x_10m", "wind_y_10m"]))
     long = long.withColumn("year", F.year("time"))
     IO.write_yearly(long, out_root)
     stored = IO.read_year_range(spark, out_root, from_year)
     return FL.feature_stats(stored)
 
 
+def preprocess_static(static: DataFrame, variables: Sequence[str], out_root: str) -> tuple[DataFrame, DataFrame]:
+    """C1 (static branch): drop static variables holding any NaN (P12), add the radian and
+    cos/sin grid tables (M11), compute population mean/std of every kept field (A3) and write
+    the constants and their statistics as small tables (S5). Returns both tables read back.
+
+    ``static``: (lat_i, lon_i, latitude, longitude, <variables>).
+    """
+    spark = static.sparkSession
+    kept = FL.drop_nan_static(static, list(variables))
+    keep_vars = [v for v in variables if v in kept.columns]
+    grid = FO.lat_lon_static(kept.select("lat_i", "lon_i", "latitude", "longitude"))
+    constants = kept.join(grid, ["lat_i", "lon_i"], "inner")
+    stat_vars = [*keep_vars, "cos_latitude", "cos_longitude", "sin_longitude"]
+    stats = FL.constant_stats(constants, stat_vars)
+    IO.write_table(constants, f"{out_root}/constants")
+    IO.write_table(stats, f"{out_root}/constant_stats")
+    return IO.read_table(spark, f"{out_root}/constants"), IO.read_table(spark, f"{out_root}/constant_stats")
+
+
 def training_table(long: DataFrame, grid: DataFrame, constants: DataFrame, constant_vars: Sequence[str], start: str,
                    end: str, steps: int = 1, res_h: int = 6, toa_stats: DataFrame | None = None) -> DataFrame:
     """Time slice, NaN guard, per-field standardisation (mu/sigma kept), time forcings,

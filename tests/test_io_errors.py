@@ -155,3 +155,34 @@ def test_bucketed_inputs_remove_the_big_shuffle(spark, tmp_path):
     assert "SortMergeJoin" in plan
     assert "Exchange" not in plan  # join, window and per-cell aggregate run on the buckets
     assert cells.count() == V.f1_truth(spark, D).count()
+
+
+def test_preprocess_static_branch(spark, tmp_path):
+    import math
+
+    from fieldframe.plans import jobs as JB
+    f5 = V.f5_static(spark, D).withColumn("holes", F.when(F.col("lat_i") == 3, F.lit(float("nan"))).otherwise(F.lit(1.0)))
+    static = f5.withColumn("latitude", F.lit(-87.1875) + F.lit(5.625) * F.col("lat_i")) \
+        .withColumn("longitude", F.lit(5.625) * F.col("lon_i"))
+    consts, stats = JB.preprocess_static(static, ["geopotential_at_surface", "land_sea_mask", "holes"], str(tmp_path / "pp"))
+    assert "holes" not in consts.columns and "cos_latitude" in consts.columns
+    s = {r["variable"]: r for r in stats.collect()}
+    assert set(s) == {"geopotential_at_surface", "land_sea_mask", "cos_latitude", "cos_longitude", "sin_longitude"}
+    vals = [r["geopotential_at_surface"] for r in static.collect()]
+    mean = sum(vals) / len(vals)
+    assert s["geopotential_at_surface"]["mean"] == pytest.approx(mean)
+    assert s["geopotential_at_surface"]["std"] == pytest.approx(math.sqrt(sum((v - mean) ** 2 for v in vals) / len(vals)))
+
+
+def test_preprocess_adds_surface_winds(spark, tmp_path):
+    from fieldframe.plans import jobs as JB
+    rows = [("2011-01-01 00:00:00", 500.0, lat, 90.0, 1.0, 2.0, 0.0, 250.0, 3.0, 4.0)
+            for lat in (-60.0, 0.0, 30.0, 60.0)]
+    raw = spark.createDataFrame(rows, "t string, level double, latitude double, longitude double, u_component_of_wind double, "
+                                      "v_component_of_wind double, vertical_velocity double, temperature double, "
+                                      "`10m_u_component_of_wind` double, `10m_v_component_of_wind` double") \
+        .withColumn("time", F.to_timestamp_ntz("t")).drop("t")
+    stats = {r["feature"]: r for r in JB.preprocess(raw, str(tmp_path / "pp"), 2010).collect()}
+    assert {"wind_x_10m", "wind_y_10m", "wind_x_h500", "temperature_h500"} <= set(stats)
+    # poles removed: latitudes 0 and 30 remain; at lon 90, wind_x_10m = -u10 = -3 everywhere
+    assert stats["wind_x_10m"]["mean"] == pytest.approx(-3.0)
