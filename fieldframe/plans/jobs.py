@@ -11,6 +11,7 @@ from fieldframe.config import KEEP_VARIABLES
 from fieldframe.functions import physics as P
 from fieldframe.operators import diffusion as D
 from fieldframe.operators import ensemble as E
+from fieldframe.operators import export as X
 from fieldframe.operators import fields as FL
 from fieldframe.operators import forcings as FO
 from fieldframe.operators import joins as J
@@ -92,6 +93,19 @@ def training_table(long: DataFrame, grid: DataFrame, constants: DataFrame, const
     return S.sample_windows(x, steps, res_h, times=times)
 
 
+TRAIN_FORCINGS = ["toa_norm", "sin_time_of_day", "cos_time_of_day", "sin_year_progress", "cos_year_progress"]
+
+
+def training_arrays(table: DataFrame, catalog: DataFrame, constant_cols: Sequence[str]) -> DataFrame:
+    """C2 hand-off (M26): one vector per (sample, role, offset, time, cell): dynamic channels in
+    catalogue order, then the forcings, then the constants (each group holds one cell's
+    features: bounded by the catalogue size)."""
+    keys = ["sample", "role", "offset", "time", *CELL]
+    extra = [c for c in (*TRAIN_FORCINGS, *constant_cols) if c in table.columns]
+    packed = X.pack_channels(table, catalog, keys, extra)
+    return packed.withColumn("x", F.transform("x", lambda v: v.cast("float")))
+
+
 def diffusion_table(long: DataFrame, operator_output: DataFrame | None, seed, res_h: int = 6) -> DataFrame:
     """Every time is a sample (k = 0); standardised state, hashed diffusion step and noise,
     condition mix (null / operator / clean), target (operator output or clean) and its forward-noised

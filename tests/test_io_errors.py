@@ -186,3 +186,17 @@ def test_preprocess_adds_surface_winds(spark, tmp_path):
     assert {"wind_x_10m", "wind_y_10m", "wind_x_h500", "temperature_h500"} <= set(stats)
     # poles removed: latitudes 0 and 30 remain; at lon 90, wind_x_10m = -u10 = -3 everywhere
     assert stats["wind_x_10m"]["mean"] == pytest.approx(-3.0)
+
+
+def test_training_arrays_pack_order(spark):
+    from fieldframe.operators.fields import feature_catalog
+    from fieldframe.plans import jobs as JB
+    rows = [(0, "input", 0, "2024-01-01 00:00:00", 0, 0, f, v, 0.5, 0.1, 0.2, 0.3, 0.4, 9.0)
+            for f, v in (("2m_temperature", 2.0), ("temperature_h850", 1.0))]
+    t = spark.createDataFrame(rows, "sample long, role string, offset int, t string, lat_i int, lon_i int, feature string, "
+                                    "value double, toa_norm double, sin_time_of_day double, cos_time_of_day double, "
+                                    "sin_year_progress double, cos_year_progress double, land_sea_mask double") \
+        .withColumn("time", F.to_timestamp_ntz("t")).drop("t")
+    x = JB.training_arrays(t, feature_catalog(spark), ["land_sea_mask"]).first()["x"]
+    # catalogue order puts temperature_h850 (atmospheric) before 2m_temperature (surface)
+    assert x == pytest.approx([1.0, 2.0, 0.5, 0.1, 0.2, 0.3, 0.4, 9.0])
