@@ -200,3 +200,23 @@ def test_training_arrays_pack_order(spark):
     x = JB.training_arrays(t, feature_catalog(spark), ["land_sea_mask"]).first()["x"]
     # catalogue order puts temperature_h850 (atmospheric) before 2m_temperature (surface)
     assert x == pytest.approx([1.0, 2.0, 0.5, 0.1, 0.2, 0.3, 0.4, 9.0])
+
+
+def test_compare_runs_end_to_end(spark, tmp_path):
+    from fieldframe.plans import jobs as JB
+    ens = V.f1_run_ensemble(spark, D)
+    truth, det = V.f1_truth(spark, D), V.f1_deterministic(spark, D)
+    runs = F.array(*[F.lit(r) for r, _ in V.RUNS])
+    cols = ["part", "run", "init", "step", "member", "feature", "lat_i", "lon_i", "value"]
+    parts = ens.withColumn("part", F.lit("diffusion")).select(*cols)
+    for name, df in (("truth", truth), ("deterministic", det)):
+        parts = parts.unionByName(df.select("*", F.explode(runs).alias("run")).withColumn("part", F.lit(name))
+                                  .withColumn("member", F.lit(None).cast("int")).select(*cols))
+    IO.save_history(parts, str(tmp_path / "hist"))
+    cells = JB.compare_runs(spark, str(tmp_path / "hist"), ["A", "B"], [r for r, _ in V.RUNS], ["f0", "f1"],
+                            str(tmp_path / "csv"), seed=42)
+    models = {r["model"] for r in cells.select("model").distinct().collect()}
+    assert models == {"A", "B", "deterministic"}
+    assert cells.where("is_best").count() > 0
+    wide = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    assert "T/4_crps_f0" in wide.columns and wide.count() == cells.select("model", "init").distinct().count()
