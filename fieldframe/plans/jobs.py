@@ -171,6 +171,20 @@ def ensemble_products(ens: DataFrame, truth: DataFrame, keys: Sequence[str], lea
     return j.withColumn("abs_error", F.abs(F.col("ens_mean") - F.col("truth")))
 
 
+def ensemble_product_tables(ens: DataFrame, truth: DataFrame, keys: Sequence[str],
+                            lead_hours: Sequence[int]) -> dict[str, DataFrame]:
+    """C7 tables behind the ensemble plots: per-cell products at the selected leads (P13, A6, A7,
+    A20), domain-average series of members, ensemble mean and truth (A8) and the shared
+    mean/spread colour limits over the selected leads (A21)."""
+    keys = list(keys)
+    cells = ensemble_products(ens, truth, keys, lead_hours)
+    limits = cells.groupBy("feature").agg(
+        F.min("ens_mean").alias("mean_min"), F.max("ens_mean").alias("mean_max"),
+        F.min("ens_spread").alias("spread_min"), F.max("ens_spread").alias("spread_max"),
+        F.min("abs_error").alias("error_min"), F.max("abs_error").alias("error_max"))
+    return {"cells": cells, "domain": E.domain_average(ens, truth, keys), "limits": limits}
+
+
 def rollout_inputs(forecast: DataFrame, truth: DataFrame, exo: DataFrame, exo_cols: Sequence[str], res_h: int = 6) -> DataFrame:
     """The network's next-step output (a table at init times) is standardised per field, rescaled
     with the truth's mu/sigma at the valid time (J7) and given the forcings of that time (J6)."""

@@ -220,3 +220,14 @@ def test_compare_runs_end_to_end(spark, tmp_path):
     assert cells.where("is_best").count() > 0
     wide = spark.read.option("header", True).csv(str(tmp_path / "csv"))
     assert "T/4_crps_f0" in wide.columns and wide.count() == cells.select("model", "init").distinct().count()
+
+
+def test_ensemble_product_tables(spark):
+    from fieldframe.plans import jobs as JB
+    t = JB.ensemble_product_tables(V.f1_ensemble(spark, D), V.f1_truth(spark, D), ["init", "step", "feature"], [6, 54])
+    cells = t["cells"]
+    assert {r["step"] for r in cells.select("step").distinct().collect()} == {1, 9}
+    lim = {r["feature"]: r for r in t["limits"].collect()}
+    mx = cells.where("feature = 'f0'").agg(F.max("ens_spread")).first()[0]
+    assert lim["f0"]["spread_max"] == pytest.approx(mx)
+    assert {r["series"] for r in t["domain"].select("series").distinct().collect()} == {"member", "ensemble_mean", "truth"}
