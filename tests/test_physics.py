@@ -165,3 +165,25 @@ def test_metric_registry(spark):
     out = E.compute_metrics(V.f1_ensemble(spark, d), V.f1_truth(spark, d), ["init", "step", "feature"])
     assert set(out) == {"energy_score", "crps", "mean_rmse"}
     assert out["crps"].count() == out["mean_rmse"].count() > 0
+
+
+def test_time_forcings_match_python_definition(spark):
+    import datetime as dt
+    times = ["2020-02-29 18:00:00", "2020-12-31 23:59:59", "2021-01-01 00:30:00", "2024-07-04 06:00:00"]
+    df = spark.createDataFrame([(t,) for t in times], "t string").select(F.to_timestamp_ntz("t").alias("time"))
+    got = FO.time_forcings(df).collect()
+    for r in got:
+        t = r["time"]
+        hour = t.hour  # truncated to the hour
+        day = (dt.datetime(t.year, t.month, t.day, hour) - dt.datetime(t.year, 1, 1)).total_seconds() / 86400
+        assert r["sin_time_of_day"] == pytest.approx(math.sin(2 * math.pi * hour / 24))
+        assert r["cos_year_progress"] == pytest.approx(math.cos(2 * math.pi * day / 365.25))
+
+
+def test_equation_of_time_range(spark):
+    df = spark.range(0, 400).select(F.to_timestamp_ntz(F.lit("2023-01-01 00:00:00")).alias("t0"), "id") \
+        .select((F.col("t0") + F.make_dt_interval(F.col("id").cast("int"))).alias("time"))
+    eot = [r["equation_of_time"] for r in FO.solar_table(df).collect()]
+    assert all(-math.pi <= e < math.pi for e in eot)
+    # the equation of time stays within about +-17 minutes (about 0.075 rad)
+    assert max(abs(e) for e in eot) < 0.08
