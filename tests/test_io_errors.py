@@ -231,3 +231,29 @@ def test_ensemble_product_tables(spark):
     mx = cells.where("feature = 'f0'").agg(F.max("ens_spread")).first()[0]
     assert lim["f0"]["spread_max"] == pytest.approx(mx)
     assert {r["series"] for r in t["domain"].select("series").distinct().collect()} == {"member", "ensemble_mean", "truth"}
+
+
+def _plan(df):
+    import contextlib
+    import io as _io
+    buf = _io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    return buf.getvalue()
+
+
+def test_time_slice_prunes_year_partitions(spark, tmp_path):
+    f3 = V.f3_wind(spark, D).select("l_orderkey", "time", "year", "u")
+    path = str(tmp_path / "years")
+    IO.write_yearly(f3, path)
+    sl = IO.time_range(IO.read_fields(spark, path), "1997-03-01", "1997-06-30")
+    plan = _plan(sl)
+    assert "PartitionFilters: [isnotnull(year" in plan and "(year#" in plan and "1997" in plan
+    assert sl.count() == f3.where("time >= '1997-03-01' AND time <= '1997-06-30 23:59:59' + INTERVAL 6 HOURS").count()
+
+
+def test_feature_stats_read_only_needed_columns(spark):
+    from fieldframe.plans import QUERIES
+    plan = _plan(QUERIES["a_feature_stats"](spark, D))
+    read = [l for l in plan.splitlines() if "ReadSchema" in l]
+    assert read and all("props" not in l and "event_id" not in l for l in read)
