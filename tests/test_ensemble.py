@@ -137,3 +137,14 @@ def test_verify_region_weights_ensemble_scores_only(spark):
     means = [2, 2, 2, 5, 5, 5]
     w = [1, 1, 1, 2, 2, 2]
     assert r["ens_mean_rmse"] == pytest.approx(math.sqrt(sum(wi * m * m for wi, m in zip(w, means)) / sum(w)))
+
+
+def test_domain_average_with_observations(spark):
+    ens = ens_df(spark, {0: M0, 1: M1})
+    truth = truth_df(spark, ZERO)
+    obs = truth_df(spark, M2)
+    rows = {(r["series"], r["member"]): r["value"] for r in E.domain_average(ens, truth, K, obs=obs).collect()}
+    assert rows[("member", 0)] == pytest.approx(3.5)
+    assert rows[("ensemble_mean", None)] == pytest.approx(3.5)
+    assert rows[("truth", None)] == pytest.approx(0.0)
+    assert rows[("observation", None)] == pytest.approx(1.0)
