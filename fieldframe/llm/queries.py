@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldframe.llm import decontaminate, exact_dedup, language_id, packing, sharding, warc
+from fieldframe.llm import decontaminate, exact_dedup, language_id, lm_score, packing, sharding, substring_dedup, warc
 from fieldframe.llm.shared import tables
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,18 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(tables(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated windows of 35 words."""
+    out = substring_dedup.remove_repeats(tables(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the model of six sevenths of them."""
+    seventh = F.crc32(F.col("doc_id").cast("string")) % 7
+    return lm_score.score_documents(tables(spark, sf_dir, "documents").select("doc_id", "text", (seventh == 2).alias("held_out")))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by rank-order profiles of four fifths of them."""
     out = language_id.identify(tables(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
@@ -53,7 +65,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, ["doc_id"], SHARDS).withColumn("law", F.lit("key"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_exact_dedup, op7_language_id, op8_warc, op9_packing, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_exact_dedup, op5_substring_dedup, op6_lm_score, op7_language_id,
+                                op8_warc, op9_packing, op10_sharding)}
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ITEM_WORDS_SQL = f"regexp_extract_all({LOWER_SQL}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
@@ -78,6 +91,17 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, h AS text_sha256
 FROM (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS h FROM documents)
 WINDOW g AS (PARTITION BY h)
+""",
+    "op5_substring_dedup": """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+pos AS (SELECT doc_id, k, list_slice(ws, k, k + 34) AS p FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS k FROM d)),
+again AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY p) AS n FROM pos) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 35)) AS k FROM again),
+word AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS k, unnest(ws) AS w FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY k) AS t FROM word ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
 """,
     "op8_warc": """
 SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 100 AND page_id <> f THEN 'revisit' ELSE 'response' END AS record_type,
