@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldframe.llm import decontaminate, exact_dedup, language_id, lm_score, packing, sharding, substring_dedup, warc
+from fieldframe.llm import decontaminate, exact_dedup, html_text, language_id, lm_score, packing, sharding, substring_dedup, warc
 from fieldframe.llm.shared import tables
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page, laid out."""
+    out = html_text.extract_text(tables(spark, sf_dir, "pages").select("page_id", "html"))
+    return out.select("page_id", "text", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of every document by the digest index."""
     return exact_dedup.exact_duplicates(tables(spark, sf_dir, "documents"))
@@ -65,7 +71,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, ["doc_id"], SHARDS).withColumn("law", F.lit("key"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_exact_dedup, op5_substring_dedup, op6_lm_score, op7_language_id,
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_html_text, op4_exact_dedup, op5_substring_dedup, op6_lm_score, op7_language_id,
                                 op8_warc, op9_packing, op10_sharding)}
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
