@@ -21,13 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldframe.llm.shared import mix64, small_batches, space_words, stage, word_hashes
+from fieldframe.llm.shared import drop_staged, mix64, small_batches, space_words, stage, word_hashes
 
 END = np.uint64(0x5851F42D4C957F2D)  # the token at the end of a text, and the context of its first word
-CHUNK_TOKENS = 4 << 20
+CHUNK_TOKENS = 1 << 20
 RATIO = 1.5  # of neighbouring count levels
 PROBES = 4
-BITS_PER_ENTRY = 10
+BITS_PER_ENTRY = 8
 MAX_FILTER_BYTES = 256 << 20
 PAIR_WEIGHT = 0.2
 DOCS, WORD, PAIR, FILTER, TOTALS = range(5)
@@ -245,14 +245,16 @@ def score_documents(docs: DataFrame, pair_weight: float = PAIR_WEIGHT, chunk_tok
     rows = docs.select(F.col("doc_id").cast("bigint"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
     chunks = stage(read_chunks(rows, blocks, chunk_tokens), "lm-chunks", "kind")
     counted = stage(count_words(chunks.where(F.col("kind") == WORD), max_block), "lm-words", "kind")
-    pairs = count_pairs(chunks.where(F.col("kind") == PAIR), max_block).collect()
-    found = counted.where(F.col("kind") == FILTER).select("block", "hashes", "tokens", "words").collect()
-    tokens = sum(r.tokens for r in found)
+    pairs = {r.block: r.hashes for r in count_pairs(chunks.where(F.col("kind") == PAIR), max_block).collect()}
+    for kind in (WORD, PAIR):  # their sums are in ``counted`` and ``pairs``
+        drop_staged(chunks, f"kind={kind}")
+    size = counted.where(F.col("kind") == FILTER).agg(F.sum("tokens"), F.sum("words")).first()
+    tokens, distinct = size[0] or 0, size[1] or 0
+    words = {r.block: r.hashes for r in counted.where(F.col("kind") == FILTER).select("block", "hashes").collect()}
     top = int(levels(np.array([tokens]))[0])
-    model = spark.sparkContext.broadcast(Model(
-        CountFilter({r.block: bytes(r.hashes) for r in found}, blocks, top),
-        CountFilter({r.block: bytes(r.hashes) for r in pairs}, blocks, top),
-        tokens, sum(r.words for r in found), pair_weight))
+    model = spark.sparkContext.broadcast(
+        Model(CountFilter(words, blocks, top), CountFilter(pairs, blocks, top), tokens, distinct, pair_weight))
+    del words, pairs
 
     def score(_, chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         return model.value.score(chunk, answers)

@@ -31,10 +31,11 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     return out
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Remove the files of a table from :func:`stage` that nothing reads any more."""
+def drop_staged(df: DataFrame, part: str | None = None) -> None:
+    """Remove the files of a table from :func:`stage`, or of one of its partitions (``column=value``), that
+    nothing reads any more."""
     spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{df.staged_path}/{part}" if part else df.staged_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
