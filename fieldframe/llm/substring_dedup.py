@@ -171,7 +171,7 @@ def repeated_spans(rows: DataFrame, window: int, prefix: int, group: int) -> Dat
     # windows of large groups: the prefix is the whole window, so a count of two is a deep node
     deep = regions.where(F.col("kind") == DEEP).select("low", "high", "_id", "_text", "first")
     nodes = stage(deep.groupBy("low", "high").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "nodes")
-    deep = deep.join(nodes, ["low", "high"]).select("_id", "_text", "first", (F.col("first") + window).alias("stop"))
+    deep = deep.join(nodes.hint("merge"), ["low", "high"]).select("_id", "_text", "first", (F.col("first") + window).alias("stop"))
     tree = subtree_spans(regions.where(F.col("kind") == SUBTREE), window)
     spans = tree.unionByName(deep).groupBy("_id", "_text").agg(F.collect_set(F.struct("first", "stop")).alias("spans"))
     out = stage(spans.select("_id", "_text", F.flatten(F.transform("spans", lambda s: F.array(s["first"], s["stop"]))).alias("spans")), "spans")
