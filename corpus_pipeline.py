@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldframe.llm import decontaminate, exact_dedup, language_id, packing
+from fieldframe.llm import decontaminate, exact_dedup, language_id, near_dedup, packing
 from fieldframe.llm.queries import TOKENIZER
 from fieldframe.llm.shared import stage, tables
 
@@ -32,6 +32,11 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return exact_dedup.drop_exact_copies(docs)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dedup.drop_near_copies(docs)
+
+
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of ``benchmark``."""
     return decontaminate.drop_contaminated(docs, tables(spark, sf_dir, "benchmark"))
@@ -42,7 +47,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, TOKENIZER)
 
 
-STAGES = [("language_id", identified), ("exact_dedup", without_copies), ("decontaminate", uncontaminated), ("packing", packed)]
+STAGES = [("language_id", identified), ("exact_dedup", without_copies), ("near_dedup", without_near_copies),
+          ("decontaminate", uncontaminated), ("packing", packed)]
 
 # the tokenizer of the last stage is beyond SQL; tests/llm/test_pipeline.py has a brute-force version
 ORACLE_SQL = None

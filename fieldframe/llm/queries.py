@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldframe.llm import decontaminate, exact_dedup, html_text, language_id, lm_score, packing, sharding, substring_dedup, warc
+from fieldframe.llm import decontaminate, exact_dedup, html_text, language_id, lm_score, near_dedup, packing, sharding, substring_dedup, warc
 from fieldframe.llm.shared import tables
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents by MinHash."""
+    return near_dedup.near_duplicates(tables(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of every page, laid out."""
     out = html_text.extract_text(tables(spark, sf_dir, "pages").select("page_id", "html"))
@@ -71,7 +76,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, ["doc_id"], SHARDS).withColumn("law", F.lit("key"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_html_text, op4_exact_dedup, op5_substring_dedup, op6_lm_score, op7_language_id,
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_near_dedup, op3_html_text, op4_exact_dedup, op5_substring_dedup, op6_lm_score, op7_language_id,
                                 op8_warc, op9_packing, op10_sharding)}
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -92,6 +97,17 @@ found AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+""",
+    "op2_near_dedup": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, list_slice(ws, k, k + 3) AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS k FROM d
+       WHERE len(ws) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pairs JOIN size x ON a = x.doc_id JOIN size y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT reach.a AS doc_id, any_value(coalesce(n, 0)) AS n_shingles, min(reach.b) AS component_id, reach.a = min(reach.b) AS kept
+FROM reach LEFT JOIN size ON reach.a = size.doc_id GROUP BY reach.a
 """,
     "op4_exact_dedup": """
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, h AS text_sha256

@@ -79,7 +79,7 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     if n == 0:
         return words
     run = min(n, size)
-    odd = (np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
+    odd = mix64(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
     out = np.full(n - run + 1, run, np.uint64)
     for k in range(run):
         out += words[k:n - run + 1 + k] * odd[k]
