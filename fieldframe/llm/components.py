@@ -8,13 +8,20 @@ turns each component into a star. Links are (u, v) rows with v < u.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fieldframe.llm.shared import drop_staged, stage
 
 
-def _star(links: DataFrame, both_ways: bool) -> DataFrame:
+def _staged(links: DataFrame) -> tuple[DataFrame, dict]:
+    """Staged links, with their number and the sum of their hashes (taken while they are written)."""
+    seen = Observation()
+    out = stage(links.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash")), "star-links")
+    return out, seen.get
+
+
+def _star(links: DataFrame, both_ways: bool) -> tuple[DataFrame, dict]:
     """One large-star (``both_ways``) or small-star step.
 
     The smallest neighbour of a vertex comes from an aggregate, which adds up in the map tasks, and is
@@ -23,22 +30,16 @@ def _star(links: DataFrame, both_ways: bool) -> DataFrame:
     """
     pairs = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both_ways else links
     low = stage(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star-low")
-    if both_ways:
-        # larger neighbours only: those are the links as they are stored, seen from their smaller end
+    if both_ways:  # larger neighbours are the stored links seen from their smaller end
         moved = links.select(F.col("v").alias("u"), F.col("u").alias("w")).join(low, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
     else:
         moved = links.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         moved = moved.unionByName(low.select("u", F.col("m").alias("v")))
-    out = stage(moved.where("u <> v").distinct(), "star-links")
+    out = _staged(moved.where("u <> v").distinct())
     drop_staged(low)
     return out
 
 
-def _state(links: DataFrame) -> tuple:
-    row = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
-
-
 def connected_components(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(``node``, ``component``): the smallest node reachable, for every node of ``pairs`` (``a``, ``b``).
 
@@ -46,16 +47,15 @@ def connected_components(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
     logarithmic in the longest path in practice; more than ``max_rounds`` raises an error.
     """
     ends = pairs.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    links = stage(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star-links")
-    state = _state(links)
+    links, state = _staged(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(max_rounds):
-        large = _star(links, both_ways=True)
-        small = _star(large, both_ways=False)
+        large, after_large = _star(links, both_ways=True)
+        small, after_small = _star(large, both_ways=False)
         drop_staged(links)
         drop_staged(large)
-        links, last = small, state
-        state = _state(links)
-        if state == last:
+        settled = state == after_large == after_small
+        links, state = small, after_small
+        if settled:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -7,10 +7,10 @@ the others are compared, and links are joined to components by large-star and sm
 
 Equal sets are one class with one representative before any of this, so copies cost one row each. In a
 bucket of any size candidates are pairs with a centre, one per member: first the smallest member, then
-centres drawn at random, always between classes not yet joined. What is left, buckets with members of
-several components, is compared signature by signature inside tasks, in slices of bounded size, and only
-likely links leave the task. Every pair of a bucket is thus either in one component already, or has
-been compared.
+a centre drawn at random, between classes not yet joined. What is left, buckets with members of several
+components, is compared inside tasks, in slices of bounded size: signatures first, then the full sets,
+each pair in one bucket only, and nothing but links leaves the task. Every pair that shares a bucket is
+thus in one component already, or has been compared.
 """
 
 from __future__ import annotations
@@ -29,9 +29,8 @@ PERCENT = 80
 BANDS, ROWS, SEED = 40, 6, 29
 # a pair of similarity 0.8 agrees in less than this part of 240 minima with a chance below 2e-6
 LIKELY = 0.68
-RANDOM_ROUNDS = 2
-SLICE = 2000  # members of a bucket that one comparison task group holds
-BEST = 8
+RANDOM_ROUNDS = 1
+SLICE = 1 << 20  # shingles of a bucket that are held together for comparison
 _HASHES = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64, endpoint=False)
 SKETCH = "id bigint, n bigint, key_a bigint, key_b bigint, signature binary, bands array<bigint>"
 
@@ -80,9 +79,17 @@ def sketches(docs: DataFrame) -> DataFrame:
     return stage(docs.mapInPandas(read, SKETCH), "sketches")
 
 
-def _similar(a: np.ndarray, b: np.ndarray) -> bool:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+def common_counts(items: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of a sorted set with each of some others, none of them empty."""
+    size = np.array([len(o) for o in others])
+    flat = np.concatenate(others)
+    found = items[np.minimum(np.searchsorted(items, flat), len(items) - 1)] == flat
+    return np.add.reduceat(found.astype(np.int64), np.cumsum(size) - size)
+
+
+def linked(items: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    common = common_counts(items, others)
+    return 100 * common >= PERCENT * (len(items) + np.array([len(o) for o in others]) - common)
 
 
 def confirm(likely: DataFrame, texts: DataFrame) -> DataFrame:
@@ -95,7 +102,7 @@ def confirm(likely: DataFrame, texts: DataFrame) -> DataFrame:
             for text, b, other in zip(pdf["text_a"], pdf["b"], pdf["text_b"]):
                 if b != last:
                     last, items = b, shingle_set(other)
-                keep.append(_similar(shingle_set(text), items))
+                keep.append(bool(linked(items, [shingle_set(text)])[0]))
             yield pdf.loc[keep, ["a", "b"]]
 
     both = (likely.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -113,47 +120,65 @@ def _sizes_allow(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def with_centres(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def likely_pairs(pairs: DataFrame, subjects: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sizes and signatures allow a link; staged."""
-    side = [classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")) for x in "ab"]
+    side = [subjects.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}")) for x in "ab"]
     both = pairs.join(side[0], "a").join(side[1], "b").where(_sizes_allow("n_a", "n_b"))
     shared = F.pandas_udf(agreement, "double")
     return stage(both.where(shared("s_a", "s_b") >= LIKELY).select("a", "b"), "likely")
 
 
-def compare_in_buckets(members: DataFrame, classes: DataFrame, best: int | None) -> DataFrame:
-    """Likely links between members of different components in one bucket, ``best`` of each member and
-    other component or, if None, all; staged.
+class Bucket:
+    """Members of one slice of one bucket; those that ask are compared with those that do not."""
+
+    def __init__(self, key: int, pdf: pd.DataFrame):
+        self.key = key
+        self.ids, self.labels, self.n, asks = (pdf[c].to_numpy() for c in ("id", "label", "n", "asks"))
+        self.asking, self.here = np.flatnonzero(asks), np.flatnonzero(~asks)
+        self.signatures = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(len(pdf), -1)
+        self.bands = np.stack(pdf["bands"].to_list())
+        self.texts, self.sets = pdf["text"].to_list(), {}
+
+    def set_of(self, k: int) -> np.ndarray:
+        if k not in self.sets:
+            self.sets[k] = shingle_set(self.texts[k])
+        return self.sets[k]
+
+    def candidates(self, k: int) -> np.ndarray:
+        """Members of other components that may be linked with ``k`` and share no earlier band with it."""
+        may = self.here[self.labels[self.here] != self.labels[k]]
+        may = may[100 * np.minimum(self.n[may], self.n[k]) >= PERCENT * np.maximum(self.n[may], self.n[k])]
+        may = may[(self.signatures[may] == self.signatures[k]).mean(axis=1) >= LIKELY]
+        first = (self.bands[may] == self.bands[k]).argmax(axis=1)
+        return may[self.bands[k][first] == self.key]
+
+    def links(self) -> list[tuple[int, int]]:
+        """One link of each asking member with each component that it is linked with."""
+        out = []
+        for k in self.asking:
+            may = self.candidates(k)
+            if len(may):
+                may = may[linked(self.set_of(k), [self.set_of(j) for j in may])]
+                out += [(self.ids[k], self.ids[j]) for j in may[np.unique(self.labels[may], return_index=True)[1]]]
+        return out
+
+
+def compare_in_buckets(members: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components of buckets; staged.
 
-    ``members`` has (key, id, label). The members of a bucket outside its largest component meet all
-    its members, which are dealt to slices of about ``SLICE``.
+    ``members`` has (key, id, label). The members of a bucket outside its largest component are compared
+    with all its members, which are dealt to slices of about ``SLICE`` shingles.
     """
-    sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-    buckets = stage(sizes.groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("total")), "buckets")
-    rows = members.join(buckets.select("key", F.col("top.label").alias("main"), F.ceil(F.col("total") / SLICE).alias("slices")), "key")
-    rows = rows.join(classes.select("id", "n", "signature"), "id")
-    dealt = rows.select("key", F.pmod(F.xxhash64("id"), "slices").alias("slice"), "id", "label", "n", "signature", F.lit(False).alias("asks"))
-    asking = rows.where("label <> main").select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"), "id",
-                                                "label", "n", "signature", F.lit(True).alias("asks"))
-    both = dealt.unionByName(asking).repartition("key", "slice").sortWithinPartitions("key", "slice")
-
-    def compare(pdf: pd.DataFrame) -> list:
-        asks, out = pdf["asks"].to_numpy(), []
-        ids, labels, n = (pdf[c].to_numpy() for c in ("id", "label", "n"))
-        signs = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(len(pdf), -1)
-        here = np.flatnonzero(~asks)
-        for k in np.flatnonzero(asks):
-            may = here[(labels[here] != labels[k]) & (100 * np.minimum(n[here], n[k]) >= PERCENT * np.maximum(n[here], n[k]))]
-            same = (signs[may] == signs[k]).mean(axis=1)
-            may, same = may[same >= LIKELY], same[same >= LIKELY]
-            if best is not None and len(may):
-                order = np.lexsort((-same, labels[may]))
-                of = labels[may][order]
-                first = np.concatenate(([0], np.flatnonzero(np.diff(of)) + 1))
-                rank = np.arange(len(of)) - np.repeat(first, np.diff(np.append(first, len(of))))
-                may = may[order[rank < best]]
-            out += [(max(ids[k], ids[j]), min(ids[k], ids[j])) for j in may]
-        return out
+    rows = members.join(subjects, "id")
+    sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    buckets = stage(sizes.groupBy("key").agg(F.max(F.struct("size", "label"))["label"].alias("main"),
+                                             F.ceil(F.sum("n") / SLICE).alias("slices")), "buckets")
+    rows = rows.join(buckets, "key")
+    columns = ["id", "label", "n", "signature", "bands", "text"]
+    here = rows.select("key", F.pmod(F.xxhash64("id"), "slices").alias("slice"), F.lit(False).alias("asks"), *columns)
+    asking = rows.where("label <> main").select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"),
+                                                F.lit(True).alias("asks"), *columns)
+    both = here.unionByName(asking).repartition("key", "slice").sortWithinPartitions("key", "slice")
 
     def walk(frames):
         held = None
@@ -162,50 +187,47 @@ def compare_in_buckets(members: DataFrame, classes: DataFrame, best: int | None)
             change = np.flatnonzero((np.diff(held["key"]) != 0) | (np.diff(held["slice"]) != 0)) + 1
             if len(change):
                 edges = [0, *change.tolist()]
-                out = [p for i, j in zip(edges, edges[1:]) for p in compare(held.iloc[i:j])]
-                yield pd.DataFrame(out, columns=["a", "b"])
+                found = [p for i, j in zip(edges, edges[1:]) for p in Bucket(held["key"].iloc[i], held.iloc[i:j]).links()]
+                yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
                 held = held.iloc[edges[-1]:]
         if held is not None and len(held):
-            yield pd.DataFrame(compare(held), columns=["a", "b"])
+            yield pd.DataFrame(Bucket(held["key"].iloc[0], held).links(), columns=["a", "b"], dtype="int64")
 
-    return stage(both.mapInPandas(walk, "a bigint, b bigint").distinct(), "likely")
+    return stage(both.mapInPandas(walk, "a bigint, b bigint"), "links")
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``members`` of buckets with three members or more and more than one component, with their label."""
+def open_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, id, label) of the buckets of three members or more with more than one component; a bucket of
+    two was settled by its centre."""
     labels = stage(connected_components(links), "labels")
     rows = members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
     rows = stage(rows.select("key", "id", F.coalesce("component", "id").alias("label")), "members")
-    open_keys = stage(rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
-                      .where("low < high AND size > 2").select("key"), "open")
-    return stage(rows.join(open_keys, "key"), "members")
+    keys = stage(rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
+                 .where("low < high AND size > 2").select("key"), "open")
+    return stage(rows.join(keys, "key"), "members")
 
 
 def class_links(classes: DataFrame, texts_of) -> DataFrame:
     """Links (a, b) that join the classes (``id, n, signature, bands``) to components.
 
-    ``texts_of`` gives the texts of a table of ids, once: of all classes that share a bucket.
+    ``texts_of`` gives the texts of a table of ids; it is asked once, for all classes that share a bucket.
     """
     rows = classes.select("id", F.explode("bands").alias("key"))
     buckets = stage(rows.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").drop("last"), "buckets")
     members = stage(rows.join(buckets, "key"), "members")
-    texts = stage(texts_of(members.select("id").distinct()), "texts")
+    subjects = stage(texts_of(members.select("id").distinct()).join(classes, "id"), "subjects")
+    texts = subjects.select("id", "text")
     pairs = members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
-    links = confirm(with_centres(pairs, classes), texts)
+    links = confirm(likely_pairs(pairs, subjects), texts)
     members = members.select("key", "id")
-    for number in range(RANDOM_ROUNDS + 2):
-        members = _labelled(members, links)
-        if members.isEmpty():
-            break
-        if number < RANDOM_ROUNDS:
-            drawn = stage(members.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(number), "key", "id").alias("draw"), "id", "label"))
-                                                     .alias("c")).select("key", F.col("c.id").alias("b"), F.col("c.label").alias("other")), "centres")
-            pairs = members.join(drawn, "key").where("label <> other").select(F.col("id").alias("a"), "b").distinct()
-            likely = with_centres(pairs, classes)
-        else:
-            likely = compare_in_buckets(members, classes, BEST if number == RANDOM_ROUNDS else None)
-        links = stage(links.unionByName(confirm(likely, texts)), "links")
-    return links
+    for draw in range(RANDOM_ROUNDS):
+        members = open_buckets(members, links)
+        drawn = stage(members.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(draw), "key", "id").alias("draw"), "id", "label")).alias("c"))
+                      .select("key", F.col("c.id").alias("b"), F.col("c.label").alias("other")), "centres")
+        pairs = members.join(drawn, "key").where("label <> other").select(F.col("id").alias("a"), "b").distinct()
+        links = links.unionByName(confirm(likely_pairs(pairs, subjects), texts))
+        members = members.select("key", "id")
+    return links.unionByName(compare_in_buckets(open_buckets(members, links), subjects))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
