@@ -6,9 +6,12 @@ cluster's shared ``spark.checkpoint.dir``, never a machine-local folder.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,8 +79,9 @@ def time_range(df: DataFrame, start: str, end: str | None = None, steps: int = 1
 
 # --------------------------------------------------------------- small tables S5/S6
 def write_table(df: DataFrame, out: str) -> None:
-    """Overwrite a small table (stats, constants) as one file."""
-    df.coalesce(1).write.mode("overwrite").parquet(out)
+    """Overwrite a small table (stats, constants) as one file. Only the finished rows go to one
+    task; what computes them keeps its own parallelism."""
+    df.repartition(1).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(out)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -90,52 +94,61 @@ def save_forecast(batch: DataFrame, path: str, first: bool, constants: DataFrame
     """The first batch replaces the store, later ones add their init times.
 
     ``batch`` rows are (init_time, step, feature, lat_i, lon_i, value); the lead is
-    (step + 1) * 6 h. Constants are written only with the first batch. Later batches use
-    dynamic partition overwrite on ``init_date``, so re-running a failed batch replaces its
-    own partitions instead of duplicating rows.
+    (step + 1) * 6 h, stored as hours. Constants are written only with the first batch. Each
+    init time is a partition of its own under its date, so a later batch touches nothing but
+    the init times it holds: other inits of the same day stay, and re-running a failed batch
+    replaces its own rows instead of duplicating them. A batch must hold its init times whole.
     """
-    out = batch.withColumn("lead", F.make_dt_interval(F.lit(0), ((F.col("step") + 1) * 6).cast("int"))) \
-        .withColumn("lead_hours", ((F.col("step") + 1) * 6).cast("int")) \
-        .withColumn("init_date", F.to_date("init_time"))
-    out = out.drop("lead")  # parquet stores the lead as hours; rebuild the interval on read
-    w = out.write.partitionBy("init_date").mode("overwrite")
-    if not first:
-        w = w.option("partitionOverwriteMode", "dynamic")
-    w.parquet(f"{path}/forecast")
+    out = batch.withColumn("lead_hours", ((F.col("step") + 1) * 6).cast("int")) \
+        .withColumn("init_date", F.to_date("init_time")) \
+        .withColumn("init_key", F.date_format("init_time", "'t'yyyyMMddHHmmss"))
+    (out.repartition("init_key", "step").write.partitionBy("init_date", "init_key").mode("overwrite")
+     .option("partitionOverwriteMode", "static" if first else "dynamic").parquet(f"{path}/forecast"))
     if first and constants is not None:
-        constants.write.mode("overwrite").parquet(f"{path}/constants")
+        write_table(constants, f"{path}/constants")
 
 
 def read_forecast(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.parquet(f"{path}/forecast")
+    df = spark.read.parquet(f"{path}/forecast").drop("init_key")
     return df.withColumn("lead", F.make_dt_interval(F.lit(0), F.col("lead_hours")))
 
 
 # ----------------------------------------------------------------- histories S8
-def save_history(runs: DataFrame, path: str) -> None:
-    """The three parts of every run (truth / deterministic / diffusion) partitioned by run."""
-    runs.write.mode("overwrite").partitionBy("part", "run").parquet(path)
+def save_history(diffusion: DataFrame, truth: DataFrame, deterministic: DataFrame, path: str) -> None:
+    """The parts of a sweep: the ensemble of every run (``run`` partitions, each written by as
+    many tasks as it has fields), and the truth and deterministic parts that all runs share, once."""
+    fields = [c for c in ("init", "step") if c in diffusion.columns]
+    for name, df in (("truth", truth), ("deterministic", deterministic)):
+        df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/{name}")
+    (diffusion.repartition("run", *fields).write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .partitionBy("run").parquet(f"{path}/diffusion"))
+
+
+def _history_part(spark: SparkSession, path: str, part: str) -> DataFrame:
+    try:
+        return spark.read.parquet(f"{path}/{part}")
+    except AnalysisException as e:
+        raise FileNotFoundError(f"the history at {path} has no {part} part") from e
 
 
 def load_history(spark: SparkSession, path: str, names: Sequence[str], run_paths: Sequence[str]) -> dict[str, DataFrame]:
-    """Load named runs; every run shares the first run's truth and deterministic parts.
+    """Load named runs; every run shares the stored truth and deterministic parts.
 
-    Raises when the name and path counts differ or a part is missing.
+    Raises when the name and path counts differ, or a part or run is missing (seen from the file
+    listing: no data is read).
     """
     if len(names) != len(run_paths):
-        raise ValueError("Number of names must equal number of checkpoints!")
-    hist = spark.read.parquet(path)
-    present = {(r["run"], r["part"]) for r in hist.select("run", "part").distinct().collect()}
+        raise ValueError(f"{len(run_paths)} runs but {len(names)} names: give one name for each run")
+    truth, det, diff = (_history_part(spark, path, p) for p in ("truth", "deterministic", "diffusion"))
+    # partition folders are escaped once by the writer and once more in the file URIs
+    folders = {m[1] for f in diff.inputFiles() if (m := re.search(r"/run=([^/]+)/", f))}
+    present = {unquote(unquote(f)) for f in folders}
     for rp in run_paths:
-        for part in ("truth", "deterministic", "diffusion"):
-            if (rp, part) not in present:
-                raise FileNotFoundError(f"{part} part not found for run {rp}")
+        if rp not in present:
+            raise FileNotFoundError(f"the history at {path} has no run {rp}")
     mapping = spark.createDataFrame(list(zip(run_paths, names)), "run string, name string")
-    diff = hist.where(F.col("part") == "diffusion").join(F.broadcast(mapping), "run").drop("run", "part") \
-        .withColumnRenamed("name", "run")
-    first = run_paths[0]
-    truth = hist.where((F.col("part") == "truth") & (F.col("run") == first)).drop("run", "part", "member")
-    det = hist.where((F.col("part") == "deterministic") & (F.col("run") == first)).drop("run", "part", "member")
+    diff = diff.withColumn("run", F.col("run").cast("string")).where(F.col("run").isin(list(run_paths)))
+    diff = diff.join(F.broadcast(mapping), "run").drop("run").withColumnRenamed("name", "run")  # one row per named run
     return {"diffusion": diff, "truth": truth, "deterministic": det}
 
 

@@ -21,7 +21,7 @@ def _write_batch(path: str):
         )
         writer = out.write.partitionBy("batch_id")
         if batch_id == 0:
-            writer.mode("overwrite").parquet(path)
+            writer.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
         else:
             writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
