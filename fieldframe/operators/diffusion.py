@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 
 from fieldframe.config import BETA_END, BETA_START, DIFFUSION_STEPS
 from fieldframe.functions.hashing import gaussian, hash_int, hash_uniform
+from fieldframe.operators.joins import join_all
 
 
 def noise_schedule(spark: SparkSession, timesteps: int = DIFFUSION_STEPS) -> DataFrame:
     """beta = linspace(1e-4, 0.02, T), alpha = 1 - beta, alpha_bar = cumulative product.
 
-    As in the source, the schedule always uses 1e-4, 0.02 and 1000 steps
-    (its arguments are ignored); ``timesteps`` is accepted for the same reason.
+    ``timesteps`` is the T of the steps that :func:`assign_diffusion_step` draws: one value for both.
     The cumulative product is exp(running sum of ln alpha) over the T-row table.
     """
-    T = DIFFUSION_STEPS
+    T = timesteps
     r = spark.range(T).select(F.col("id").cast("int").alias("t"))
     beta = F.lit(BETA_START) + (F.lit(BETA_END) - F.lit(BETA_START)) * F.col("t") / F.lit(T - 1)
     s = r.withColumn("beta", beta).withColumn("alpha", 1 - F.col("beta"))
@@ -53,9 +53,10 @@ def condition_mix(df: DataFrame, keys: Sequence[str], seed) -> DataFrame:
 
 def forward_noise(df: DataFrame, schedule: DataFrame, value_col: str = "value", noise_col: str = "noise",
                   step_col: str = "diffusion_step") -> DataFrame:
-    """sqrt(alpha_bar_t) x + sqrt(1 - alpha_bar_t) eps (schedule: T rows, broadcast)."""
+    """sqrt(alpha_bar_t) x + sqrt(1 - alpha_bar_t) eps (schedule: T rows, broadcast). A step beyond
+    the schedule raises."""
     s = schedule.select(F.col("t").alias(step_col), "alpha_bar")
-    j = df.join(F.broadcast(s), step_col, "inner")
+    j = join_all(df, F.broadcast(s), [step_col], "noise schedule")
     return j.withColumn(
         "noisy", F.sqrt("alpha_bar") * F.col(value_col) + F.sqrt(1 - F.col("alpha_bar")) * F.col(noise_col)
     )

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldframe.functions.hashing import hash_uniform
-from fieldframe.operators.joins import bounded_broadcast
+from fieldframe.operators.joins import bounded_broadcast, join_all
 
 CELL = ("lat_i", "lon_i")
 INF = float("inf")
@@ -28,9 +28,12 @@ def _k(keys: Sequence[str]) -> list[str]:
     return list(keys)
 
 
-def align(fc: DataFrame, truth: DataFrame, keys: Sequence[str], cell: Sequence[str] = CELL) -> DataFrame:
-    """Inner equi-join of forecast/ensemble cells with the truth cell (column ``truth``)."""
+def align(fc: DataFrame, truth: DataFrame, keys: Sequence[str], cell: Sequence[str] = CELL, strict: bool = False) -> DataFrame:
+    """forecast/ensemble cells with the truth cell (column ``truth``). Cells without truth (a
+    forecast that runs past the observed period) are left out, or raise an error if ``strict``."""
     t = truth.select(*keys, *cell, F.col("value").alias("truth"))
+    if strict:
+        return join_all(fc, t, [*keys, *cell], "truth")
     return fc.join(t, [*keys, *cell], "inner")
 
 
@@ -38,8 +41,8 @@ def attach_region(df: DataFrame, region: DataFrame | None) -> DataFrame:
     """Add weight column ``w`` (1.0 without a region). Region tables are grid-sized."""
     if region is None:
         return df.withColumn("w", F.lit(1.0))
-    r = bounded_broadcast(region.select(*CELL, F.col("weight").alias("w")), max_rows=2_000_000)
-    return df.join(r, list(CELL), "inner")
+    r = bounded_broadcast(region.select(*CELL, F.col("weight").alias("w")))
+    return join_all(df, r, CELL, "region weight")
 
 
 def grid_mean(x: Column, weighted: bool) -> Column:
@@ -56,7 +59,7 @@ def inf_to_nan(x: Column) -> Column:
 
 def _guard(n_members: Column, x: Column, what: str) -> Column:
     return F.when(
-        n_members < 2, F.raise_error(F.lit(f"Need at least 2 ensemble members for {what} calculation"))
+        n_members < 2, F.raise_error(F.lit(f"{what}: a field has fewer than two members"))
     ).otherwise(x)
 
 

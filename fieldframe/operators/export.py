@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldframe.config import EXPORT_UNITS
 from fieldframe.functions.physics import date_stamp, file_key
+from fieldframe.operators.joins import join_all
 
 
 def unit_table(spark: SparkSession) -> DataFrame:
@@ -41,16 +42,18 @@ def export_records(forecast: DataFrame, mapping: DataFrame, deet_default: int =
     keys = ["init_time", "lead_hours", "variable", "level", "short_name", "level_code", "_l0"]
     g = conv.groupBy(*keys).agg(
         F.array_sort(F.collect_list(item)).alias("_cells"),
-        F.countDistinct("lon_i").alias("ni"),
-        F.countDistinct("lat_i").alias("nj"),
     )
+
+    def distinct(axis: str):
+        return F.size(F.array_distinct(F.transform("_cells", lambda c: c[axis]))).cast("long")
+
     ymd, hms = date_stamp("init_time")
     return g.select(
         "init_time", "lead_hours", "variable", "level",
         F.col("short_name").alias("nomvar"),
         F.when(F.col("level").isNotNull(), F.col("level").cast("long")).otherwise(F.coalesce("level_code", F.lit(0))).alias("ip1"),
         F.coalesce(F.col("lead_hours"), F.lit(0)).alias("ip2"),
-        "ni", "nj",
+        distinct("lon_i").alias("ni"), distinct("lat_i").alias("nj"),
         F.when(F.col("_l0").isNotNull(), F.col("_l0") * 3600).otherwise(F.lit(deet_default)).cast("long").alias("deet"),
         F.coalesce(ymd, F.lit(0)).alias("yyyymmdd"), F.coalesce(hms, F.lit(0)).alias("hhmmss00"),
         file_key("init_time", F.coalesce(F.col("lead_hours"), F.lit(0))).alias("file_key"),
@@ -60,8 +63,8 @@ def export_records(forecast: DataFrame, mapping: DataFrame, deet_default: int =
 
 def pack_channels(long: DataFrame, catalog: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     """Per key, channel values in catalogue order followed by the ``extra`` columns
-    (forcings, constants) in the given order."""
-    j = long.join(F.broadcast(catalog.select("feature", "idx")), "feature", "inner")
+    (forcings, constants) in the given order. A feature outside the catalogue raises."""
+    j = join_all(long, F.broadcast(catalog.select("feature", "idx")), ["feature"], "catalogue entry")
     g = j.groupBy(*keys, *extra).agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_c"))
     dyn = F.transform("_c", lambda c: c["value"])
     return g.select(*keys, F.concat(dyn, F.array(*[F.col(c).cast("double") for c in extra])).alias("x") if extra else dyn.alias("x"))

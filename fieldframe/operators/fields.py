@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldframe.config import (
@@ -37,9 +37,12 @@ def remove_poles(df: DataFrame, lat_col: str = "latitude") -> DataFrame:
     return df.where((F.col(lat_col) > b["lo"]) & (F.col(lat_col) < b["hi"]))
 
 
-def split_static(df: DataFrame, time_col: str = "time") -> tuple[DataFrame, DataFrame]:
-    """Time-dependent rows vs static (no time) rows."""
-    return df.where(F.col(time_col).isNotNull()), df.where(F.col(time_col).isNull())
+def split_static(df: DataFrame, time_col: str = "time", variable_col: str = "feature") -> tuple[DataFrame, DataFrame]:
+    """Rows of the variables that have a time axis, and rows of the static variables. A variable is
+    time-dependent if any of its rows has a time (their names, catalogue-sized, are a scalar subquery)."""
+    timed = df.where(F.col(time_col).isNotNull()).agg(F.collect_set(variable_col)).scalar()
+    dynamic = F.array_contains(timed, F.col(variable_col))
+    return df.where(dynamic), df.where(~dynamic)
 
 
 def to_long(wide: DataFrame, ids: Sequence[str], variables: Sequence[str], level_col: str | None = None) -> DataFrame:
@@ -117,7 +120,7 @@ def assert_no_nan(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count NaNs in ``cols`` (lazy); evaluating the result raises if any is found."""
     n = sum((F.sum(F.isnan(F.col(c)).cast("long")) for c in cols), F.lit(0))
     return df.agg(n.alias("nan_count")).select(
-        F.when(F.col("nan_count") > 0, F.raise_error(F.lit("NaN values detected in input/output data")))
+        F.when(F.col("nan_count") > 0, F.raise_error(F.lit("NaN found in the field values")))
         .otherwise(F.col("nan_count")).alias("nan_count")
     )
 
@@ -194,12 +197,11 @@ def field_mu_sigma(long: DataFrame, keys: Sequence[str] = ("time", "feature")) -
 def standardize_field(long: DataFrame, keys: Sequence[str] = ("time", "feature"), keep_stats: bool = False) -> DataFrame:
     """(x - mean) / sample std over the grid of each field; NULL where std is 0 or undefined.
 
-    Field statistics come from a partial (map-side) aggregate joined back on the
-    field keys, so a very large field is never gathered into one task; AQE's
-    skew-join handling splits a hot key on the big side.
+    ``long`` is read once and shuffled once on the field keys; a window holds one field, which the
+    grid bounds (2,048 cells at 5.625 degrees, about 1 M at 0.25 degrees).
     """
-    st = long.groupBy(*keys).agg(F.avg("value").alias("_mu"), F.stddev_samp("value").alias("_sd"))
-    j = long.join(st, list(keys), "inner")
+    w = Window.partitionBy(*keys)
+    j = long.select("*", F.avg("value").over(w).alias("_mu"), F.stddev_samp("value").over(w).alias("_sd"))
     z = F.try_divide(F.col("value") - F.col("_mu"), F.nullif(F.col("_sd"), F.lit(0.0)))
     out = j.withColumn("value", z)
     if keep_stats:  # the field's mu / sigma (A5) ride along: no second aggregation pass
@@ -208,23 +210,24 @@ def standardize_field(long: DataFrame, keys: Sequence[str] = ("time", "feature")
 
 
 def uncertainty_norm(df: DataFrame, keys: Sequence[str], col: str = "value") -> DataFrame:
-    """(u - min) / (max - min) per field; NULL for a flat field (aggregate + join)."""
-    st = df.groupBy(*keys).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
-    j = df.join(st, list(keys), "inner")
+    """(u - min) / (max - min) per field; NULL for a flat field (a window over one grid)."""
+    w = Window.partitionBy(*keys)
+    j = df.select("*", F.min(col).over(w).alias("_lo"), F.max(col).over(w).alias("_hi"))
     v = F.try_divide(F.col(col) - F.col("_lo"), F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)))
     return j.withColumn(col, v).drop("_lo", "_hi").select(*df.columns)
 
 
 def dataset_profile(long: DataFrame, steps: int, cfg: FeatureConfig | None = None) -> DataFrame:
-    """Times, samples (= times - steps), grid sizes and feature-set counts in one aggregate."""
+    """Times, samples (= times - steps), grid sizes and feature-set counts in one aggregate: sets
+    of the axis values, merged in the map tasks and bounded by the axes."""
     cfg = cfg or FeatureConfig()
     ins, outs = set(cfg.inputs), set(cfg.outputs)
     common = [f for f in cfg.outputs if f in ins]
     prof = long.agg(
-        F.countDistinct("time").alias("n_times"),
-        F.countDistinct("lat_i").alias("n_lat"),
-        F.countDistinct("lon_i").alias("n_lon"),
-        F.countDistinct("feature").alias("n_features_present"),
+        F.size(F.collect_set("time")).cast("long").alias("n_times"),
+        F.size(F.collect_set("lat_i")).cast("long").alias("n_lat"),
+        F.size(F.collect_set("lon_i")).cast("long").alias("n_lon"),
+        F.size(F.collect_set("feature")).cast("long").alias("n_features_present"),
     )
     return prof.select(
         "*",

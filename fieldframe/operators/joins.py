@@ -3,7 +3,8 @@
 Small-side rule: a side is broadcast only when its size has a proven bound
 (config-sized literals) or after :func:`bounded_broadcast` checked it; any
 other join is left to the planner (sort-merge, or AQE's runtime broadcast
-when the measured size is small).
+when the measured size is small). Lookups that every row must have go through
+:func:`join_all`, which raises instead of dropping rows.
 """
 
 from __future__ import annotations
@@ -17,48 +18,68 @@ from pyspark.sql import types as T
 from fieldframe.config import TIME_RESOLUTION_H
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only behind a size check; otherwise leave the join to the planner.
+MAX_BROADCAST_BYTES = 64 << 20
 
-    With adaptive execution on, no hint is added: AQE materialises the small
-    side as its own stage and converts the join to a broadcast only if the
-    measured size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``
-    (no second computation of a derived table). Without AQE, the side is
-    counted up to ``max_rows + 1`` rows and hinted only when it fits.
+
+def bounded_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint for a side whose size the planner bounds by ``max_bytes`` before it runs.
+
+    The bound is the optimised plan's size: the file size of a stored table, and for a derived one
+    that of what it is derived from (an aggregate has no more rows than its input). A larger side
+    gets no hint and the planner's shuffle join; the choice never changes the rows.
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.sql.adaptive.enabled", "true").lower() == "true":
-        return df
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= max_bytes else df
+
+
+def join_all(df: DataFrame, side: DataFrame, on: Sequence[str], what: str) -> DataFrame:
+    """Join that keeps every row of ``df`` and raises on a row that ``side`` has no match for."""
+    found = side.withColumn("_found", F.lit(True))
+    out = df.join(found, list(on), "left")
+    missing = F.concat(F.lit(f"no {what} for "), F.to_json(F.struct(*on)))
+    # the check rides on the side's own columns, so that it runs whichever of them are used
+    ok = F.when(F.col("_found").isNull(), F.raise_error(missing))
+    taken = [c for c in side.columns if c not in on]
+    return out.select(*on, *[f"`{c}`" for c in df.columns if c not in on],
+                      *[F.coalesce(ok.cast(side.schema[c].dataType), F.col(f"`{c}`")).alias(c) for c in taken])
 
 
 def attach_stats(df: DataFrame, stats: DataFrame, on: str = "feature") -> DataFrame:
-    """Per-feature statistics joined by feature name (one row per feature)."""
-    return df.join(bounded_broadcast(stats), on, "inner")
+    """Per-feature statistics by feature name, raising on a feature without any.
+
+    The statistics (one row per catalogue feature) become one map in a scalar subquery, looked up
+    row by row: the field table is neither shuffled nor joined, wherever the statistics come from.
+    """
+    values = [c for c in stats.columns if c != on]
+    table = stats.agg(F.map_from_entries(F.collect_list(F.struct(F.col(on), F.struct(*values)))).alias("m")).scalar()
+    missing = F.raise_error(F.concat(F.lit("no statistics for feature "), F.coalesce(F.col(on), F.lit("NULL"))))
+    out = df.withColumn("_stats", F.coalesce(F.try_element_at(table, F.col(on)),
+                                             missing.cast(f"struct<{', '.join(f'`{f.name}`: {f.dataType.simpleString()}' for f in stats.schema if f.name != on)}>")))
+    return out.select(*[f"`{c}`" for c in df.columns], *[F.col(f"_stats.`{c}`").alias(c) for c in values])
 
 
 def attach_constants(df: DataFrame, constants: DataFrame, cell: Sequence[str] = ("lat_i", "lon_i")) -> DataFrame:
-    """Static fields repeated over every time (grid-sized side)."""
-    return df.join(bounded_broadcast(constants, 5_000_000), list(cell), "inner")
+    """Static fields repeated over every time (grid-sized side), raising on a cell without any."""
+    return join_all(df, bounded_broadcast(constants), cell, "constants")
 
 
 def attach_time_forcings(df: DataFrame, forcings: DataFrame, on: str = "time") -> DataFrame:
-    """One forcing row per time spread over the grid (time-sized side: planner decides)."""
-    return df.join(forcings, on, "inner")
+    """One stored forcing row per time spread over the grid, raising on a time without one. Forcings
+    that are functions of the time alone need no join: see ``forcings.time_forcings``."""
+    return join_all(df, bounded_broadcast(forcings), [on], "forcings")
 
 
 def refresh_exogenous(state: DataFrame, exo: DataFrame, exo_cols: Sequence[str]) -> DataFrame:
     """Next rollout input = forecast channels + forcings/constants at the new valid time.
 
     ``state`` has (init, step, lat_i, lon_i, ...); ``exo`` has (time, lat_i, lon_i, exo_cols...).
-    The valid time is init + step * 6h.
+    The valid time is init + step * 6h; a state row without forcings raises.
     """
     s = state.withColumn(
         "valid_time", F.col("init_time") + F.make_dt_interval(F.lit(0), F.col("step").cast("int") * TIME_RESOLUTION_H)
     )
     e = exo.select(F.col("time").alias("valid_time"), "lat_i", "lon_i", *exo_cols)
-    return s.join(e, ["valid_time", "lat_i", "lon_i"], "inner")
+    return join_all(s, e, ["valid_time", "lat_i", "lon_i"], "forcings")
 
 
 def rescale_with_truth(fc: DataFrame, mu_sigma: DataFrame, keys: Sequence[str] = ("time", "feature")) -> DataFrame:

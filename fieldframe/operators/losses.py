@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fieldframe.config import VARIABLE_LOSS_WEIGHTS, FeatureConfig
 from fieldframe.operators.ensemble import CELL, align
+from fieldframe.operators.joins import join_all
 
 
 def mse(pred: DataFrame, target: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -32,43 +33,34 @@ def operator_norm1(pred: DataFrame, target: DataFrame, keys: Sequence[str]) -> D
     return col_sums.groupBy(*keys).agg(F.max("s").alias("norm1"))
 
 
-def _spectral(pdf: pd.DataFrame) -> pd.DataFrame:
+def _norms(pdf: pd.DataFrame) -> pd.DataFrame:
     lat = pdf["lat_i"].to_numpy()
     lon = pdf["lon_i"].to_numpy()
-    m = np.zeros((int(lat.max()) + 1, int(lon.max()) + 1)) if len(pdf) else np.zeros((0, 0))
+    m = np.zeros((int(lat.max()) + 1, int(lon.max()) + 1))
     m[lat, lon] = pdf["d"].to_numpy()
     out = pdf.iloc[:1].drop(columns=["lat_i", "lon_i", "d"]).copy()
-    out["norm2"] = float(np.linalg.norm(m, 2)) if m.size else 0.0
+    out["norm2"] = float(np.linalg.norm(m, 2))
+    out["norm1"] = float(np.linalg.norm(m, 1))
     return out
 
 
-def operator_norm2(pred: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A23 ord=2 matrix norm per field: largest singular value of the error grid (numpy per field)."""
+def operator_norms(pred: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A23 matrix norms of each field's error grid in one grouped pass: ``norm2`` (largest singular
+    value) and ``norm1`` (largest column sum). A group is one grid, bounded by the grid size."""
     a = align(pred, target, keys).select(*keys, *CELL, (F.col("value") - F.col("truth")).alias("d"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in a.schema.fields if f.name in keys) + ", norm2 double"
-    return a.groupBy(*keys).applyInPandas(_spectral, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in a.schema.fields if f.name in keys)
+    return a.groupBy(*keys).applyInPandas(_norms, schema + ", norm2 double, norm1 double")
 
 
-def _norms(pdf: pd.DataFrame) -> pd.DataFrame:
-    lat = pdf["lat_i"].to_numpy()
-    lon = pdf["lon_i"].to_numpy()
-    m = np.zeros((int(lat.max()) + 1, int(lon.max()) + 1))
-    m[lat, lon] = pdf["d"].to_numpy()
-    out = pdf.iloc[:1].drop(columns=["lat_i", "lon_i", "d"]).copy()
-    out["norm2"] = float(np.linalg.norm(m, 2))
-    out["norm1"] = float(np.linalg.norm(m, 1))
-    return out
+def operator_norm2(pred: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A23 ord=2 matrix norm per field: largest singular value of the error grid."""
+    return operator_norms(pred, target, keys).drop("norm1")
 
 
 def operator_loss(pred: DataFrame, target: DataFrame, keys: Sequence[str], batch: Sequence[str],
                   a1: float, a2: float) -> DataFrame:
-    """a1 * mean_batch(mean_channel(norm2)) + a2 * mean_batch(mean_channel(norm1)).
-
-    Both matrix norms of each field's error grid come from one grouped pass.
-    """
-    a = align(pred, target, keys).select(*keys, *CELL, (F.col("value") - F.col("truth")).alias("d"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in a.schema.fields if f.name in keys)
-    per = a.groupBy(*keys).applyInPandas(_norms, schema + ", norm2 double, norm1 double")
+    """a1 * mean_batch(mean_channel(norm2)) + a2 * mean_batch(mean_channel(norm1))."""
+    per = operator_norms(pred, target, keys)
     per_item = per.groupBy(*batch).agg(F.avg("norm2").alias("l2"), F.avg("norm1").alias("l1"))
     return per_item.agg((F.lit(a1) * F.avg("l2") + F.lit(a2) * F.avg("l1")).alias("loss"),
                         F.avg("l2").alias("l2"), F.avg("l1").alias("l1"))
@@ -104,7 +96,7 @@ def reversed_huber(error, delta: float = 1.0):
 def huber_loss(pred: DataFrame, target: DataFrame, keys: Sequence[str], weights: DataFrame,
                by: Sequence[str] = (), delta: float = 1.0) -> DataFrame:
     """Feature-weighted reversed Huber loss, mean over every element (per ``by``)."""
-    a = align(pred, target, keys).join(F.broadcast(weights.select("feature", "weight")), "feature", "inner")
+    a = align(pred, target, keys).transform(join_all, F.broadcast(weights.select("feature", "weight")), ["feature"], "loss weight")
     e = F.col("value") - F.col("truth")
     return a.groupBy(*by).agg(F.avg(reversed_huber(e, delta) * F.col("weight")).alias("huber"))
 

@@ -19,11 +19,23 @@ from fieldframe.functions.hashing import hash_uniform
 
 def time_index(df: DataFrame, res_h: int = TIME_RESOLUTION_H, time_col: str = "time", col: str = "t_idx",
                times: DataFrame | None = None) -> DataFrame:
-    """Index of each time on the regular ``res_h`` axis starting at the earliest time
-    (a scalar subquery, computed once; from ``times`` when the time axis is given)."""
-    t0 = (times if times is not None else df).agg(F.min(time_col)).scalar()
-    secs = F.unix_seconds(F.col(time_col).cast("timestamp")) - F.unix_seconds(t0.cast("timestamp"))
-    return df.withColumn(col, F.floor(secs / F.lit(res_h * 3600)).cast("long"))
+    """Position (from 0) of each time among the distinct times of ``times`` (default: of ``df``).
+
+    Positions are the slot on the ``res_h`` clock minus the empty slots before it: the earliest time and
+    the empty slots (none on a regular axis) come from one scalar subquery over the time axis, so field
+    rows are neither joined nor ranked.
+    """
+    axis = (times if times is not None else df).select(F.unix_seconds(F.col(time_col).cast("timestamp")).alias("s")).distinct()
+    t0 = axis.agg(F.min("s")).scalar()
+
+    def slot(seconds):
+        return F.floor((seconds - t0) / F.lit(res_h * 3600)).cast("long")
+
+    taken = F.collect_set(slot(F.col("s")))
+    empty = axis.agg(F.array_except(F.sequence(F.lit(0).cast("long"), F.max(slot(F.col("s")))), taken)).scalar()
+    here = slot(F.unix_seconds(F.col(time_col).cast("timestamp")))
+    slotted = df.select("*", here.alias("_slot"), empty.alias("_empty"))
+    return slotted.withColumn(col, F.col("_slot") - F.size(F.filter("_empty", lambda e: e < F.col("_slot")))).drop("_slot", "_empty")
 
 
 def pair_next(long: DataFrame, keys: Sequence[str] = ("feature", "lat_i", "lon_i"), res_h: int = TIME_RESOLUTION_H,
@@ -64,17 +76,23 @@ def sample_windows(long: DataFrame, k: int, res_h: int = TIME_RESOLUTION_H, time
 
 
 def global_positions(df: DataFrame, order: Sequence[str], n_parts: int | None = None, col: str = "position") -> DataFrame:
-    """0-based position of every row in ``order`` (which must be unique), without a one-task window.
+    """0-based position of every row in ``order`` (unique, its first column a number), without a
+    one-task window.
 
-    Rows are range-partitioned on ``order``; each range is numbered locally, and the
-    per-range counts (one row per range) give each range's offset.
+    Rows fall into equal-width ranges of the first column, which follow from the data alone: however
+    often the plan runs, a row is in the same range. Each range is numbered locally, and the per-range
+    counts (one row per range) give each range's offset.
     """
     spark = df.sparkSession
     n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    first = F.col(order[0]).cast("double")
+    ends = df.agg(F.struct(F.min(first).alias("lo"), F.max(first).alias("hi"))).scalar()
+    width = F.nullif((ends["hi"] - ends["lo"]) / F.lit(float(n)), F.lit(0.0))
+    part = F.coalesce(F.least(F.floor((first - ends["lo"]) / width), F.lit(n - 1)), F.lit(0)).cast("int")
+    r = df.withColumn("_pid", part)
     r = r.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)) - 1)
-    counts = r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
-    # one row per range partition: a tiny ordered table
+    counts = df.select(part.alias("_pid")).groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    # one row per range: a tiny ordered table
     offs = counts.select("_pid", F.coalesce(F.sum("_c").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     out = r.join(F.broadcast(offs), "_pid", "inner")
@@ -88,8 +106,10 @@ def minibatches(samples: DataFrame, size: int, seed=None, drop_last: bool = True
     distributed range-partitioned numbering.
     """
     keys = samples.select(key).distinct()
-    keys = keys.withColumn("_h", hash_uniform(seed, F.col(key)) if seed is not None else F.lit(0.0))
-    ranked = global_positions(keys, ["_h", key]).drop("_h")
+    if seed is None:
+        ranked = global_positions(keys, [key])
+    else:
+        ranked = global_positions(keys.withColumn("_h", hash_uniform(seed, F.col(key))), ["_h", key]).drop("_h")
     out = ranked.withColumn("batch", F.floor(F.col("position") / size).cast("long"))
     if drop_last:
         total = keys.agg(F.count(F.lit(1))).scalar()
@@ -139,29 +159,30 @@ def even_steps(df: DataFrame, k: int, step_col: str = "step", axis: DataFrame |
 
 def eval_window(long: DataFrame, start: int, n: int, n_samples_offset: int = 1,
                 res_h: int = TIME_RESOLUTION_H, time_col: str = "time") -> DataFrame:
-    """Valid-set times start..start+n-1 become steps 0..n-1; raises unless start + n < #samples
-    (#samples = #times - ``n_samples_offset``)."""
+    """The ``start``-th to ``start + n - 1``-th valid-set times become steps 0..n-1; raises unless
+    start + n < #samples (#samples = #times - ``n_samples_offset``). Times count by position, so a gap
+    in the axis takes no step."""
     df = time_index(long, res_h, time_col)
     n_samples = long.agg(F.countDistinct(time_col) - n_samples_offset).scalar()
     df = df.where((F.col("t_idx") >= start) & (F.col("t_idx") < start + n))
-    step = F.when(F.lit(start + n) >= n_samples, F.raise_error(F.lit("The predictions must be within the valid dataset!"))) \
+    step = F.when(F.lit(start + n) >= n_samples, F.raise_error(F.lit(f"the window of {n} steps from {start} ends after the last sample"))) \
         .otherwise(F.col("t_idx") - start)
     return df.withColumn("step", step.cast("long")).drop("t_idx")
 
 
 def first_members(ens: DataFrame, m: int = 16) -> DataFrame:
-    """The first ``m`` members (at most 16) by member order."""
-    mm = min(m, 16)
+    """The first ``m`` members by member order."""
     members = ens.select("member").distinct()
-    keep = members.withColumn("r", F.dense_rank().over(Window.orderBy("member"))).where(F.col("r") <= mm).select("member")
+    keep = members.withColumn("r", F.dense_rank().over(Window.orderBy("member"))).where(F.col("r") <= m).select("member")
     return ens.join(F.broadcast(keep), "member", "left_semi")
 
 
-def even_members(ens: DataFrame, k: int = 3, max_members: int = 16) -> DataFrame:
-    """``k`` evenly spaced members among the first ``max_members`` (W8 over member ranks)."""
+def even_members(ens: DataFrame, k: int = 3, max_members: int | None = None) -> DataFrame:
+    """``k`` evenly spaced members (W8 over member ranks), of the first ``max_members`` if given."""
     members = ens.select("member").distinct()
     ranked = members.withColumn("r", (F.dense_rank().over(Window.orderBy("member")) - 1).cast("long"))
-    n = members.agg(F.least(F.count(F.lit(1)), F.lit(max_members)).cast("long").alias("n"))
+    count = F.count(F.lit(1))
+    n = members.agg((count if max_members is None else F.least(count, F.lit(max_members))).cast("long").alias("n"))
     pos = n.select(F.explode(even_positions(F.col("n"), k)).alias("r")).distinct()
     keep = ranked.join(pos, "r", "inner").select("member")
     return ens.join(F.broadcast(keep), "member", "left_semi")
