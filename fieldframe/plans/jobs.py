@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldframe.config import KEEP_VARIABLES
+from fieldframe.config import DIFFUSION_STEPS, KEEP_VARIABLES
 from fieldframe.functions import physics as P
 from fieldframe.operators import diffusion as D
 from fieldframe.operators import ensemble as E
@@ -21,31 +21,59 @@ from fieldframe.sources import io as IO
 CELL = ["lat_i", "lon_i"]
 
 
-def preprocess(raw: DataFrame, out_root: str, from_year: int, ids: Sequence[str] = (), remove_poles: bool = True) -> DataFrame:
-    """Allow-list, optional pole removal, Cartesian winds (and 10 m winds when the raw
-    table carries them), stack onto a feature axis, write one partition per year, then
-    per-feature statistics over years >= ``from_year`` read back from the store (the year
-    predicate prunes partitions).
+RAW_COORDINATES = {"time", "level", "latitude", "longitude"}
+RAW_WINDS = ("u_component_of_wind", "v_component_of_wind", "vertical_velocity")
+RAW_WINDS_10M = ("10m_u_component_of_wind", "10m_v_component_of_wind")
 
-    ``raw`` rows: (time, level, latitude, longitude, u/v/omega/temperature columns, optional
-    10 m u/v columns, ...).
+
+def stack_features(raw: DataFrame, surface: DataFrame | None, ids: Sequence[str] = ()) -> DataFrame:
+    """Every time-dependent raw variable on one feature axis: (time, ids..., feature, value).
+
+    Upper-air variables are named ``var_h{level}``; the three wind components become Cartesian ones
+    (the vertical one needs the temperature), the two 10 m components likewise. Nothing else is
+    dropped: what the tables hold besides coordinates and ``ids`` becomes a feature.
+    """
+    skip = {*RAW_COORDINATES, *ids}
+    wx, wy, wz = P.cartesian_wind(*RAW_WINDS, "temperature", "level", "latitude", "longitude")
+    upper = raw.select("*", wx.alias("wind_x"), wy.alias("wind_y"), wz.alias("wind_z")).drop(*RAW_WINDS)
+    long = FL.to_long(upper, ["time", *ids], [c for c in upper.columns if c not in skip], level_col="level")
+    if surface is None:
+        return long
+    if set(RAW_WINDS_10M) <= set(surface.columns):
+        wx10, wy10 = P.cartesian_wind_10m(*RAW_WINDS_10M, "latitude", "longitude")
+        surface = surface.select("*", wx10.alias("wind_x_10m"), wy10.alias("wind_y_10m")).drop(*RAW_WINDS_10M)
+    return long.unionByName(FL.to_long(surface, ["time", *ids], [c for c in surface.columns if c not in skip]))
+
+
+def preprocess(raw: DataFrame, surface: DataFrame | None, out_root: str, from_year: int, ids: Sequence[str] = (),
+               remove_poles: bool = False, grid: DataFrame | None = None, static: DataFrame | None = None,
+               static_variables: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """Allow-list, optional pole removal, winds, all features stacked, one partition per year, then
+    the small tables: statistics of each feature over years >= ``from_year`` (read back from the
+    store; the year predicate prunes partitions), TOA statistics over the same times if ``grid`` is
+    given (A2), and the constants with their statistics if ``static`` is.
+
+    ``raw``: (time, level, latitude, longitude, ids..., upper-air variables); ``surface``: the same
+    without level, with the surface variables. Returns the tables read back: ``fields``, ``stats`` and,
+    if made, ``toa_stats``, ``constants``, ``constant_stats``.
     """
     spark = raw.sparkSession
-    df = FL.keep_variables(raw, [*KEEP_VARIABLES, *ids])
+    tables = [FL.keep_variables(t, [*KEEP_VARIABLES, *ids]) for t in (raw, surface) if t is not None]
     if remove_poles:
-        df = FL.remove_poles(df)
-    wx, wy, wz = P.cartesian_wind("u_component_of_wind", "v_component_of_wind", "vertical_velocity", "temperature",
-                                  "level", "latitude", "longitude")
-    df = df.select("*", wx.alias("wind_x"), wy.alias("wind_y"), wz.alias("wind_z"))
-    long = FL.to_long(df, ["time", *ids], ["wind_x", "wind_y", "wind_z", "temperature"], level_col="level")
-    if {"10m_u_component_of_wind", "10m_v_component_of_wind"} <= set(df.columns):
-        wx10, wy10 = P.cartesian_wind_10m("10m_u_component_of_wind", "10m_v_component_of_wind", "latitude", "longitude")
-        sfc = df.select("time", *ids, wx10.alias("wind_x_10m"), wy10.alias("wind_y_10m"))
-        long = long.unionByName(FL.to_long(sfc, ["time", *ids], ["wind_x_10m", "wind_y_10m"]))
-    long = long.withColumn("year", F.year("time"))
-    IO.write_yearly(long, out_root)
-    stored = IO.read_year_range(spark, out_root, from_year)
-    return FL.feature_stats(stored)
+        tables = [FL.remove_poles(t) for t in tables]
+    long = stack_features(tables[0], tables[1] if surface is not None else None, ids)
+    IO.write_yearly(long.withColumn("year", F.year("time")), f"{out_root}/fields")
+    stored = IO.read_year_range(spark, f"{out_root}/fields", from_year)
+    small = {"stats": FL.feature_stats(stored)}
+    if grid is not None:
+        small["toa_stats"] = FO.toa_stats(FO.toa_radiation(stored.select("time").distinct(), grid))
+    out = {"fields": IO.read_fields(spark, f"{out_root}/fields")}
+    for name, table in small.items():
+        IO.write_table(table, f"{out_root}/{name}")
+        out[name] = IO.read_table(spark, f"{out_root}/{name}")
+    if static is not None:
+        out["constants"], out["constant_stats"] = preprocess_static(static, static_variables, out_root)
+    return out
 
 
 def preprocess_static(static: DataFrame, variables: Sequence[str], out_root: str) -> tuple[DataFrame, DataFrame]:
@@ -68,27 +96,32 @@ def preprocess_static(static: DataFrame, variables: Sequence[str], out_root: str
 
 
 def training_table(long: DataFrame, grid: DataFrame, constants: DataFrame, constant_vars: Sequence[str], start: str,
-                   end: str, steps: int = 1, res_h: int = 6, toa_stats: DataFrame | None = None) -> DataFrame:
-    """Time slice, NaN guard, per-field standardisation (mu/sigma kept), time forcings,
-    normalised TOA radiation, z-scored constants, then input/target sample windows.
+                   end: str, steps: int = 1, res_h: int = 6, toa_stats: DataFrame | None = None,
+                   switch: DataFrame | None = None) -> DataFrame:
+    """Time slice, enabled features, NaN guard, per-field standardisation (mu/sigma kept), time
+    forcings, normalised TOA radiation, the six constants, then input/target sample windows.
 
     ``long``: (time, feature, lat_i, lon_i, value); ``grid``: (lat_i, lon_i, latitude, longitude);
-    ``constants``: (lat_i, lon_i, <constant_vars>, land_sea_mask). ``toa_stats`` is the stored
-    one-row (toa_mean, toa_std) table from preprocessing (A2); without it the statistics are
-    taken over the slice's times and grid.
+    ``constants``: (lat_i, lon_i, <constant_vars>, land_sea_mask, latitude, longitude). ``toa_stats`` is
+    the stored one-row (toa_mean, toa_std) table from preprocessing (A2); without it the statistics
+    are taken over the slice's times and grid. ``switch`` (feature, enabled) selects features (P9).
+    A cell without constants or radiation raises: no row of the slice is lost on the way.
+
+    Plan: the slice is shuffled on the field for its statistics and on (time, cell) for the radiation;
+    time forcings are expressions of the time, and constants are broadcast behind a size check.
     """
+    spark = long.sparkSession
     s = IO.time_range(long, start, end, steps=steps, res_h=res_h)
-    s = s.withColumn("value", F.when(F.isnan("value"), F.raise_error(F.lit("NaN values detected in input/output data")))
+    times = s.select("time").distinct()
+    if switch is not None:
+        s = FL.enabled_features(s, FL.feature_catalog(spark), switch)
+    s = s.withColumn("value", F.when(F.isnan("value"), F.raise_error(F.lit("NaN found in the field values")))
                      .otherwise(F.col("value")))
     z = FL.standardize_field(s, keep_stats=True)
-    times = s.select("time").distinct()
-    forc = FO.time_forcings(times)
     toa = FO.toa_radiation(times, grid)
     toa = FO.normalize_toa(toa, toa_stats if toa_stats is not None else FO.toa_stats(toa)).select("time", *CELL, "toa_norm")
-    cst = FO.normalize_constants(constants, FL.constant_stats(constants, constant_vars), constant_vars,
-                                 lat_col=None, lon_col=None)
-    x = J.attach_time_forcings(z, forc)
-    x = x.join(toa, ["time", *CELL], "inner")
+    cst = FO.normalize_constants(constants, FL.constant_stats(constants, constant_vars), constant_vars)
+    x = J.join_all(FO.time_forcings(z), toa, ["time", *CELL], "radiation")
     x = J.attach_constants(x, cst)
     return S.sample_windows(x, steps, res_h, times=times)
 
@@ -106,27 +139,35 @@ def training_arrays(table: DataFrame, catalog: DataFrame, constant_cols: Sequenc
     return packed.withColumn("x", F.transform("x", lambda v: v.cast("float")))
 
 
-def diffusion_table(long: DataFrame, operator_output: DataFrame | None, seed, res_h: int = 6) -> DataFrame:
-    """Every time is a sample (k = 0); standardised state, hashed diffusion step and noise,
+def diffusion_table(long: DataFrame, operator_output: DataFrame | None, seed, res_h: int = 6,
+                    constants: DataFrame | None = None, timesteps: int = DIFFUSION_STEPS) -> DataFrame:
+    """Every time is a sample (k = 0); NaN guard, standardised state, hashed diffusion step and noise,
     condition mix (null / operator / clean), target (operator output or clean) and its forward-noised
-    state sqrt(ab) x + sqrt(1 - ab) eps."""
+    state sqrt(ab) x + sqrt(1 - ab) eps; the time forcings and, if given, the normalised ``constants``
+    (lat_i, lon_i, ...) of every row. A missing operator output or constant raises."""
     spark = long.sparkSession
+    long = long.withColumn("value", F.when(F.isnan("value"), F.raise_error(F.lit("NaN found in the field values")))
+                           .otherwise(F.col("value")))
     w = S.sample_windows(FL.standardize_field(long), 0, res_h, times=long.select("time").distinct())
-    w = D.assign_diffusion_step(w, ["sample"], seed)
+    w = D.assign_diffusion_step(w, ["sample"], seed, timesteps)
     w = D.condition_mix(w, ["sample"], seed)
     w = D.gaussian_noise(w, ["sample", "feature", *CELL], seed)
     if operator_output is not None:
         op = operator_output.select("time", "feature", *CELL, F.col("value").alias("op"))
-        w = w.join(op, ["time", "feature", *CELL], "left")
+        w = J.join_all(w, op, ["time", "feature", *CELL], "operator output")
     else:
         w = w.withColumn("op", F.col("value"))
     w = w.withColumn("clean", F.col("value"))
     w = w.withColumn("condition_value", F.when(F.col("condition") == "null", F.lit(0.0))
                      .when(F.col("condition") == "operator", F.col("op")).otherwise(F.col("clean")))
     w = w.withColumn("target", F.when(F.col("target_kind") == "operator", F.col("op")).otherwise(F.col("clean")))
-    out = D.forward_noise(w, D.noise_schedule(spark), value_col="target")
+    out = FO.time_forcings(D.forward_noise(w, D.noise_schedule(spark, timesteps), value_col="target"))
+    extra = list(P.time_forcings("time"))
+    if constants is not None:
+        out = J.attach_constants(out, constants)
+        extra += [c for c in constants.columns if c not in CELL]
     return out.select("sample", "time", "feature", *CELL, "clean", "condition", "condition_value", "target",
-                      "diffusion_step", "noise", "noisy")
+                      "diffusion_step", "noise", "noisy", *extra)
 
 
 def compare_runs(spark: SparkSession, history: str, names: Sequence[str], run_paths: Sequence[str],
@@ -140,7 +181,7 @@ def compare_runs(spark: SparkSession, history: str, names: Sequence[str], run_pa
     h = IO.load_history(spark, history, names, run_paths)
     metrics = R.compare_metrics(h["diffusion"], h["deterministic"], h["truth"], keys, seed=seed)
     cells = R.report_cells(R.best_by_metric(metrics))
-    R.metrics_wide(metrics, features).coalesce(1).write.mode("overwrite").option("header", True).csv(out)
+    R.metrics_wide(metrics, features).repartition(1).write.mode("overwrite").option("header", True).csv(out)
     return cells
 
 

@@ -242,31 +242,32 @@ def m_noise(spark, d):
 
 # ---------------------------------------------------------------- constants F5
 CSTAT_SQL = """SELECT avg(geopotential_at_surface) AS gm, stddev_pop(geopotential_at_surface) AS gs,
-  avg(slope_of_sub_gridscale_orography) AS sm, stddev_pop(slope_of_sub_gridscale_orography) AS ss FROM f5"""
+  avg(slope_of_sub_gridscale_orography) AS sm, stddev_pop(slope_of_sub_gridscale_orography) AS ss,
+  avg(standard_deviation_of_orography) AS om, stddev_pop(standard_deviation_of_orography) AS os FROM f5"""
 
 
 @register(
     "m_const_norm",
     V.with_views("""SELECT lat_i, lon_i, (geopotential_at_surface - gm) / gs AS geopotential_at_surface,
-  (slope_of_sub_gridscale_orography - sm) / ss AS slope_of_sub_gridscale_orography, land_sea_mask FROM f5, cs""",
-                 f5=V.SQL_F5, cs=CSTAT_SQL),
-    floats=["geopotential_at_surface", "slope_of_sub_gridscale_orography"],
+  (slope_of_sub_gridscale_orography - sm) / ss AS slope_of_sub_gridscale_orography,
+  (standard_deviation_of_orography - om) / os AS standard_deviation_of_orography, land_sea_mask,
+  radians(latitude) AS lat_rad, radians(longitude) AS lon_rad FROM f5, cs""",
+                 f5=V.SQL_F2_STATIC, cs=CSTAT_SQL),
+    floats=["geopotential_at_surface", "slope_of_sub_gridscale_orography", "standard_deviation_of_orography", "lat_rad", "lon_rad"],
 )
 def m_const_norm(spark, d):
-    """M12 with A3: z-scored constants, raw land-sea mask."""
-    static = V.f5_static(spark, d)
-    zs = [v for v in ZSCORE_CONSTANTS if v in static.columns]
-    stats = constant_stats(static, zs)
-    return FO.normalize_constants(static, stats, zs, lat_col=None, lon_col=None)
+    """M12 with A3: the six constants: three z-scored, raw land-sea mask, latitude and longitude in radians."""
+    static = V.f2_static(spark, d)
+    return FO.normalize_constants(static, constant_stats(static, ZSCORE_CONSTANTS), ZSCORE_CONSTANTS)
 
 
 @register(
     "j_constants",
     V.with_views("""SELECT f4.time, f4.lat_i, f4.lon_i, f5.geopotential_at_surface, f5.land_sea_mask
-FROM f4 JOIN f5 ON f4.lat_i = f5.lat_i AND f4.lon_i = f5.lon_i""", f4=V.SQL_F4, f5=V.SQL_F5),
+FROM f4 LEFT JOIN f5 ON f4.lat_i = f5.lat_i AND f4.lon_i = f5.lon_i""", f4=V.SQL_F2_GRID, f5=V.SQL_F2_STATIC),
     floats=["geopotential_at_surface"],
 )
 def j_constants(spark, d):
     """Static fields repeated over every time of the grid."""
-    grid = V.f4_grid(spark, d).select("time", "lat_i", "lon_i")
-    return J.attach_constants(grid, V.f5_static(spark, d).select("lat_i", "lon_i", "geopotential_at_surface", "land_sea_mask"))
+    grid = V.f2_grid(spark, d).select("time", "lat_i", "lon_i")
+    return J.attach_constants(grid, V.f2_static(spark, d).select("lat_i", "lon_i", "geopotential_at_surface", "land_sea_mask"))

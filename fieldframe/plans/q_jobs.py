@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fieldframe.config import ATMOSPHERIC, SURFACE
 from fieldframe.functions import physics as P
 from fieldframe.operators import ensemble as E
 from fieldframe.operators import export as X
@@ -80,18 +81,23 @@ def _det_forecast(spark, d):
 
 @register(
     "s_forecast_append",
-    V.with_views("""SELECT TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(init AS INT)) AS init_time, step, feature, lat_i, lon_i,
-  value, CAST((step + 1) * 6 AS INT) AS lead_hours FROM det""", det=V.SQL_F1_DET),
+    V.with_views("""SELECT TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST((init * 10 + step) * 6 AS INT)) AS init_time, step, feature, lat_i,
+  lon_i, value, CAST((step + 1) * 6 AS INT) AS lead_hours FROM det""", det=V.SQL_F1_DET),
     floats=["value"],
 )
 def s_forecast_append(spark, d):
-    """The first batch replaces the store (with constants), later batches append on init time."""
-    fc = _det_forecast(spark, d)
+    """Four inits a day; a first batch replaces an older store (with constants), later batches append
+    on init time, with batch edges inside a day."""
+    hours = ((F.col("init") * 10 + F.col("step")) * 6).cast("int")
+    fc = V.f1_deterministic(spark, d).select(
+        (F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(F.lit(0), hours)).alias("init_time"),
+        "step", "feature", "lat_i", "lon_i", "value")
     path = IO.scratch_path(spark, "forecast")
-    first = fc.where(F.col("init_time") < F.to_timestamp_ntz(F.lit("2024-01-05 00:00:00")))
-    rest = fc.where(F.col("init_time") >= F.to_timestamp_ntz(F.lit("2024-01-05 00:00:00")))
-    IO.save_forecast(first, path, first=True, constants=V.f5_static(spark, d))
-    IO.save_forecast(rest, path, first=False)
+    IO.save_forecast(fc.withColumn("init_time", F.col("init_time") - F.make_dt_interval(F.lit(3))), path, first=True)
+    edges = [F.to_timestamp_ntz(F.lit(t)) for t in ("2024-01-02 12:00:00", "2024-01-03 18:00:00")]
+    IO.save_forecast(fc.where(F.col("init_time") < edges[0]), path, first=True, constants=V.f5_static(spark, d))
+    IO.save_forecast(fc.where((F.col("init_time") >= edges[0]) & (F.col("init_time") < edges[1])), path, first=False)
+    IO.save_forecast(fc.where(F.col("init_time") >= edges[1]), path, first=False)
     back = IO.read_forecast(spark, path)
     return back.select("init_time", "step", "feature", "lat_i", "lon_i", "value", "lead_hours")
 
@@ -109,18 +115,10 @@ GROUP BY n.name, {KS}""", ens=V.SQL_F1_RUN_ENS, truth=V.SQL_F1_TRUTH),
     floats=["rmse"],
 )
 def s_history(spark, d):
-    """Save every run's truth / deterministic / diffusion parts, load them under run names
-    (all runs share the first run's truth), then ensemble-mean RMSE per run."""
-    ens = V.f1_run_ensemble(spark, d)
-    truth, det = V.f1_truth(spark, d), V.f1_deterministic(spark, d)
-    runs = F.array(*[F.lit(r) for r, _ in V.RUNS])
-    cols = ["part", "run", "init", "step", "member", "feature", "lat_i", "lon_i", "value"]
-    parts = ens.withColumn("part", F.lit("diffusion")).select(*cols)
-    for name, df in (("truth", truth), ("deterministic", det)):
-        parts = parts.unionByName(df.select("*", F.explode(runs).alias("run")).withColumn("part", F.lit(name))
-                                  .withColumn("member", F.lit(None).cast("int")).select(*cols))
+    """Save the runs of a sweep with the truth and deterministic parts they share, load them
+    under run names, then ensemble-mean RMSE per run."""
     path = IO.scratch_path(spark, "history")
-    IO.save_history(parts, path)
+    IO.save_history(V.f1_run_ensemble(spark, d), V.f1_truth(spark, d), V.f1_deterministic(spark, d), path)
     h = IO.load_history(spark, path, NAMES, [r for r, _ in V.RUNS])
     return E.ensemble_mean_rmse(h["diffusion"], h["truth"], ["init", "step", "feature"], by=["run"])
 
@@ -254,46 +252,116 @@ def m_levels(spark, d):
 
 
 # ------------------------------------------------------------------ composite jobs
-@register(
-    "c_preprocess",
-    V.with_views("""SELECT feature, avg(value) AS mean, stddev_pop(value) AS std, max(value) AS max, min(value) AS min FROM (
-  SELECT year, v.name || '_h' || CAST(CAST(level AS INT) AS VARCHAR) AS feature, v.val AS value FROM (
-    SELECT *, w * 287.05 * t / (level * 100 * 9.80616) AS f FROM f3
-    WHERE latitude > (SELECT min(latitude) FROM f3) AND latitude < (SELECT max(latitude) FROM f3)),
+RAW_VALUES = """(SELECT year(time) AS year, v.name || '_h' || CAST(CAST(level AS INT) AS VARCHAR) AS feature, v.val AS value FROM (
+    SELECT *, w * 287.05 * t / (level * 100 * 9.80616) AS f FROM f3),
   LATERAL (VALUES ('wind_x', -u * sin(radians(longitude)) - v * sin(radians(latitude)) * cos(radians(longitude)) - f * cos(radians(latitude)) * cos(radians(longitude))),
                   ('wind_y', u * cos(radians(longitude)) - v * sin(radians(latitude)) * sin(radians(longitude)) - f * cos(radians(latitude)) * sin(radians(longitude))),
                   ('wind_z', v * cos(radians(latitude)) - f * sin(radians(latitude))),
-                  ('temperature', t)) AS v(name, val))
-WHERE year >= 1998 GROUP BY feature""", f3=V.SQL_F3),
+                  ('geopotential', geopotential), ('specific_humidity', specific_humidity), ('temperature', t)) AS v(name, val)
+  UNION ALL SELECT year(time), v.name, v.val FROM sfc,
+  LATERAL (VALUES ('wind_x_10m', -u10 * sin(radians(longitude)) - v10 * sin(radians(latitude)) * cos(radians(longitude))),
+                  ('wind_y_10m', u10 * cos(radians(longitude)) - v10 * sin(radians(latitude)) * sin(radians(longitude))),
+                  ('2m_temperature', t2), ('mean_sea_level_pressure', msl), ('surface_pressure', sp), ('total_column_water', tcw),
+                  ('total_precipitation_6hr', tp)) AS v(name, val))"""
+RAW_VIEWS = dict(f3=V.SQL_F3_RAW, sfc=V.SQL_F3_SURFACE)
+
+
+def _preprocessed(spark, d):
+    static = V.f2_static(spark, d)
+    return JB.preprocess(V.f3_raw(spark, d), V.f3_surface(spark, d), IO.scratch_path(spark, "preprocess"), 1998, ids=["cell"],
+                         grid=V.f2_cells(spark, d).where("lon_i = 0"), static=static.withColumn("holes", F.lit(float("nan"))),
+                         static_variables=["geopotential_at_surface", "land_sea_mask", "holes"])
+
+
+@register(
+    "c_preprocess",
+    V.with_views(f"""SELECT feature, avg(value) AS mean, stddev_pop(value) AS std, max(value) AS max, min(value) AS min
+FROM {RAW_VALUES} WHERE year >= 1998 GROUP BY feature""", **RAW_VIEWS),
     floats=["mean", "std", "max", "min"],
 )
 def c_preprocess(spark, d):
-    """Allow-list, pole removal, winds, stacking, yearly store, statistics from 1998 on."""
-    raw = V.f3_wind(spark, d)
-    for a, b in {"u": "u_component_of_wind", "v": "v_component_of_wind", "w": "vertical_velocity", "t": "temperature"}.items():
-        raw = raw.withColumnRenamed(a, b)
-    return JB.preprocess(raw, IO.scratch_path(spark, "preprocess"), 1998, ids=F3_KEYS)
+    """Two raw tables -> winds, all features stacked, yearly store, static and TOA tables; the stored
+    statistics (S5, read by S6) of every feature from 1998 on."""
+    return _preprocessed(spark, d)["stats"]
+
+
+@register(
+    "c_preprocess_store",
+    V.with_views(f"""SELECT CAST(year AS INT) AS year, feature, count(*) AS n, sum(value) AS total FROM {RAW_VALUES} GROUP BY year, feature
+UNION ALL SELECT NULL, 'constant ' || variable, n, mean * n FROM (SELECT 'geopotential_at_surface' AS variable, count(*) AS n,
+  avg(geopotential_at_surface) AS mean FROM f5 UNION ALL SELECT 'land_sea_mask', count(*), avg(land_sea_mask) FROM f5
+  UNION ALL SELECT 'cos_latitude', count(*), avg(cos(radians(latitude))) FROM f5 UNION ALL SELECT 'cos_longitude', count(*),
+  avg(cos(radians(longitude))) FROM f5 UNION ALL SELECT 'sin_longitude', count(*), avg(sin(radians(longitude))) FROM f5)""",
+                 f5=V.SQL_F2_STATIC, **RAW_VIEWS),
+    floats=["total"], digits=4,
+)
+def c_preprocess_store(spark, d):
+    """Rows and sums of the yearly store by year and feature, and of the constants by variable (the
+    variable with holes is gone)."""
+    t = _preprocessed(spark, d)
+    fields = t["fields"].groupBy("year", "feature").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    cells = t["constants"].agg(F.count(F.lit(1))).scalar()
+    return fields.unionByName(t["constant_stats"].select(
+        F.lit(None).cast("int").alias("year"), F.concat(F.lit("constant "), "variable").alias("feature"), cells.alias("n"),
+        (F.col("mean") * cells).alias("total")))
+
+
+@register(
+    "s_small_table",
+    V.with_views("SELECT feature, avg(value) AS mean, stddev_pop(value) AS std, max(value) AS max, min(value) AS min FROM f2 GROUP BY feature", f2=V.SQL_F2),
+    floats=["mean", "std", "max", "min"],
+)
+def s_small_table(spark, d):
+    """The feature statistics written over an older small table and read back."""
+    path = IO.scratch_path(spark, "small")
+    IO.write_table(V.f2_obs(spark, d), path)
+    IO.write_table(FL.feature_stats(V.f2_obs(spark, d)), path)
+    return IO.read_table(spark, path)
 
 
-F2_GRID = "SELECT DISTINCT lat_i, lon_i, CAST(-87.1875 + 5.625 * lat_i AS DOUBLE) AS latitude, CAST(5.625 * lon_i AS DOUBLE) AS longitude FROM f2"
+@register(
+    "p_split_static",
+    V.with_views("""SELECT kind, feature, count(*) AS n, sum(value) AS total FROM (
+  SELECT 'dynamic' AS kind, feature, value FROM f2 UNION ALL SELECT 'dynamic', 'temperature_h850', value FROM f2 WHERE feature = '2m_temperature'
+  UNION ALL SELECT 'static', 'geopotential_at_surface', geopotential_at_surface FROM f5
+  UNION ALL SELECT 'static', 'land_sea_mask', land_sea_mask FROM f5) GROUP BY kind, feature""", f2=V.SQL_F2, f5=V.SQL_F2_STATIC),
+    floats=["total"],
+)
+def p_split_static(spark, d):
+    """Variables with a time axis and static ones; a row without a time stays with its time-dependent
+    variable."""
+    f2 = V.f2_obs(spark, d).select("time", "feature", "value")
+    timeless = f2.where("feature = '2m_temperature'").select(F.lit(None).cast("timestamp_ntz").alias("time"), F.lit("temperature_h850").alias("feature"), "value")
+    static = V.f2_static(spark, d).select("geopotential_at_surface", F.col("land_sea_mask").cast("double").alias("land_sea_mask"))
+    stacked = static.unpivot([], ["geopotential_at_surface", "land_sea_mask"], "feature", "value").withColumn("time", F.lit(None).cast("timestamp_ntz"))
+    dynamic, fixed = FL.split_static(f2.unionByName(timeless).unionByName(stacked))
+    both = dynamic.withColumn("kind", F.lit("dynamic")).unionByName(fixed.withColumn("kind", F.lit("static")))
+    return both.groupBy("kind", "feature").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+CONSTANT_COLUMNS = ["geopotential_at_surface", "slope_of_sub_gridscale_orography", "standard_deviation_of_orography",
+                    "land_sea_mask", "lat_rad", "lon_rad"]
+CONSTANTS_SQL = "SELECT lat_i, lon_i, " + ", ".join(
+    f"({v} - avg({v}) OVER ()) / stddev_pop({v}) OVER () AS {v}" for v in CONSTANT_COLUMNS[:3]) + \
+    ", land_sea_mask, radians(latitude) AS lat_rad, radians(longitude) AS lon_rad FROM f5"
 TRAIN_SQL = f"""SELECT sample, role, "offset", time, feature, lat_i, lon_i, value, mu, sigma, sin_time_of_day, cos_time_of_day,
-  sin_year_progress, cos_year_progress, toa_norm, geopotential_at_surface, land_sea_mask FROM (
+  sin_year_progress, cos_year_progress, toa_norm, {", ".join(CONSTANT_COLUMNS)} FROM (
   SELECT x.t_idx - o AS sample, 'input' AS role, CAST(o AS INT) AS "offset", x.*, max(x.t_idx) OVER () + 1 AS n FROM x, range(1) r(o)
   UNION ALL SELECT x.t_idx - 1 - o, 'target', CAST(o AS INT), x.*, max(x.t_idx) OVER () + 1 FROM x, range(1) r(o))
 WHERE sample >= 0 AND sample <= n - 1 - 1"""
 TRAIN_CTES = dict(
-    f2=V.SQL_F2, f5=V.SQL_F5,
+    f2=V.SQL_F2, f5=V.SQL_F2_STATIC,
     s="SELECT * FROM f2 WHERE time >= TIMESTAMP '2024-01-02 00:00:00' AND time <= TIMESTAMP '2024-01-12 23:59:59' + INTERVAL 6 HOUR",
-    f4=f"SELECT t.time, g.* FROM (SELECT DISTINCT time FROM s) t CROSS JOIN ({F2_GRID}) g",
+    f4=f"SELECT t.time, g.* FROM (SELECT DISTINCT time FROM s) t CROSS JOIN ({V.SQL_F2_CELLS}) g",
     toa=TOA_SQL,
     tn="SELECT time, lat_i, lon_i, (toa - avg(toa) OVER ()) / stddev_pop(toa) OVER () AS toa_norm FROM toa",
-    cst="""SELECT lat_i, lon_i, (geopotential_at_surface - avg(geopotential_at_surface) OVER ()) / stddev_pop(geopotential_at_surface) OVER ()
-      AS geopotential_at_surface, land_sea_mask FROM f5""",
+    cst=CONSTANTS_SQL,
     z="""SELECT time, feature, lat_i, lon_i, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS value,
-      avg(value) OVER w AS mu, stddev_samp(value) OVER w AS sigma FROM s WINDOW w AS (PARTITION BY time, feature)""",
-    x=f"""SELECT z.*, {", ".join(f"{v} AS {k}" for k, v in TF.items())}, tn.toa_norm, cst.geopotential_at_surface, cst.land_sea_mask,
-      CAST((epoch(z.time) - epoch(min(z.time) OVER ())) // 21600 AS BIGINT) AS t_idx
-      FROM z JOIN tn USING (time, lat_i, lon_i) JOIN cst USING (lat_i, lon_i)""",
+      avg(value) OVER w AS mu, stddev_samp(value) OVER w AS sigma FROM s WHERE feature <> 'specific_humidity_h500'
+      WINDOW w AS (PARTITION BY time, feature)""",
+    ti="SELECT time, row_number() OVER (ORDER BY time) - 1 AS t_idx FROM (SELECT DISTINCT time FROM s)",
+    x=f"""SELECT z.*, {", ".join(f"{v} AS {k}" for k, v in TF.items())}, tn.toa_norm, {", ".join(f"cst.{c}" for c in CONSTANT_COLUMNS)}, ti.t_idx
+      FROM z JOIN ti USING (time) LEFT JOIN tn USING (time, lat_i, lon_i) LEFT JOIN cst USING (lat_i, lon_i)""",
 )
 
 
@@ -301,24 +369,24 @@ TRAIN_CTES = dict(
     "c_training",
     V.with_views(TRAIN_SQL, **TRAIN_CTES),
     floats=["value", "mu", "sigma", "sin_time_of_day", "cos_time_of_day", "sin_year_progress", "cos_year_progress",
-            "toa_norm", "geopotential_at_surface"],
+            "toa_norm", *[c for c in CONSTANT_COLUMNS if c != "land_sea_mask"]],
     digits=5,
 )
 def c_training(spark, d):
-    """Training table: slice, NaN guard, standardisation, forcings, TOA, constants, windows (k = 1)."""
-    f2 = V.f2_obs(spark, d)
-    grid = JB.grid_coordinates(spark, f2, -87.1875, 5.625, 0.0, 5.625)
-    static = V.f5_static(spark, d).select("lat_i", "lon_i", "geopotential_at_surface", "land_sea_mask")
-    t = JB.training_table(f2, grid, static, ["geopotential_at_surface"], "2024-01-02", "2024-01-12", steps=1)
+    """Training table: slice, enabled features, NaN guard, standardisation, forcings, TOA, the six
+    constants, windows (k = 1); every cell of the slice stays."""
+    switch = FL.feature_switch(spark, levels={850: True}, variables={v: True for v in (*ATMOSPHERIC, *SURFACE)})
+    t = JB.training_table(V.f2_obs(spark, d), V.f2_cells(spark, d), V.f2_static(spark, d), CONSTANT_COLUMNS[:3], "2024-01-02",
+                          "2024-01-12", steps=1, switch=switch)
     return t.select("sample", "role", "offset", "time", "feature", "lat_i", "lon_i", "value", "mu", "sigma", "sin_time_of_day",
-                    "cos_time_of_day", "sin_year_progress", "cos_year_progress", "toa_norm", "geopotential_at_surface",
-                    "land_sea_mask")
+                    "cos_time_of_day", "sin_year_progress", "cos_year_progress", "toa_norm", *CONSTANT_COLUMNS)
 
 
 SKEY = "CAST(sample AS VARCHAR)"
 CKEY = "concat_ws(':', sample, feature, lat_i, lon_i)"
 DIFF_SQL = f"""SELECT sample, time, feature, lat_i, lon_i, clean, condition, condition_value, target, diffusion_step, noise,
-  sqrt(alpha_bar) * target + sqrt(1 - alpha_bar) * noise AS noisy FROM (
+  sqrt(alpha_bar) * target + sqrt(1 - alpha_bar) * noise AS noisy, {", ".join(f"{v} AS {k}" for k, v in TF.items())},
+  {", ".join(f"cst.{c}" for c in CONSTANT_COLUMNS)} FROM (
   SELECT *, CASE condition WHEN 'null' THEN 0.0 WHEN 'operator' THEN op ELSE clean END AS condition_value,
     CASE WHEN condition = 'operator' THEN op ELSE clean END AS target FROM (
     SELECT *, value AS clean, 0.5 * value AS op,
@@ -326,22 +394,24 @@ DIFF_SQL = f"""SELECT sample, time, feature, lat_i, lon_i, clean, condition, con
       CASE WHEN {hash_uniform_sql(f'{SEED}:null', SKEY)} < 0.1 THEN 'null'
            WHEN {hash_uniform_sql(f'{SEED}:op', SKEY)} < 0.5 THEN 'operator' ELSE 'clean' END AS condition,
       sqrt(-2 * ln({hash_uniform_sql(f'{SEED}:1', CKEY)})) * cos(2 * pi() * {hash_uniform_sql(f'{SEED}:2', CKEY)}) AS noise
-    FROM (SELECT *, CAST((epoch(time) - epoch(min(time) OVER ())) // 21600 AS BIGINT) AS sample FROM z)))
-JOIN sched ON sched.t = diffusion_step"""
+    FROM (SELECT *, CAST(dense_rank() OVER (ORDER BY time) - 1 AS BIGINT) AS sample FROM z))) r
+JOIN sched ON sched.t = diffusion_step LEFT JOIN cst USING (lat_i, lon_i)"""
 
 
 @register(
     "c_diffusion",
-    V.with_views(DIFF_SQL, f2=V.SQL_F2, sched=SCHED_SQL,
+    V.with_views(DIFF_SQL, f2=V.SQL_F2, sched=SCHED_SQL, f5=V.SQL_F2_STATIC, cst=CONSTANTS_SQL,
                  z="""SELECT time, feature, lat_i, lon_i, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS value
                       FROM f2 WINDOW w AS (PARTITION BY time, feature)"""),
-    floats=["clean", "condition_value", "target", "noise", "noisy"],
+    floats=["clean", "condition_value", "target", "noise", "noisy", *TF, *[c for c in CONSTANT_COLUMNS if c != "land_sea_mask"]],
 )
 def c_diffusion(spark, d):
-    """Diffusion training table (operator output stand-in: half the standardised state)."""
-    f2 = V.f2_obs(spark, d)
+    """Diffusion training table with forcings and constants (operator output stand-in: half the
+    standardised state)."""
+    f2, static = V.f2_obs(spark, d), V.f2_static(spark, d)
     op = FL.standardize_field(f2).select("time", "feature", "lat_i", "lon_i", (F.col("value") * 0.5).alias("value"))
-    return JB.diffusion_table(f2, op, SEED)
+    constants = FO.normalize_constants(static, FL.constant_stats(static, CONSTANT_COLUMNS[:3]), CONSTANT_COLUMNS[:3])
+    return JB.diffusion_table(f2, op, SEED, constants=constants)
 
 
 @register(
@@ -373,10 +443,9 @@ def c_products(spark, d):
 
 @register(
     "c_rollout_inputs",
-    V.with_views("""SELECT r.init_time, 1 AS step, r.feature, r.lat_i, r.lon_i, r.value, f4.time AS valid_time,
-  sin(2 * pi() * hour(f4.time) / 24.0) AS sin_time_of_day
-FROM rs r JOIN f4 ON f4.time = r.time AND f4.lat_i = r.lat_i AND f4.lon_i = r.lon_i""",
-                 f2=V.SQL_F2, f4=V.SQL_F4, rs="""SELECT s.time AS init_time, s.time + INTERVAL 6 HOUR AS time, s.feature, s.lat_i, s.lon_i,
+    V.with_views("""SELECT init_time, 1 AS step, feature, lat_i, lon_i, value, time AS valid_time,
+  sin(2 * pi() * hour(time) / 24.0) AS sin_time_of_day FROM rs""",
+                 f2=V.SQL_F2, rs="""SELECT s.time AS init_time, s.time + INTERVAL 6 HOUR AS time, s.feature, s.lat_i, s.lon_i,
   s.z * ms.sigma + ms.mu AS value
 FROM (SELECT *, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS z FROM f2 WINDOW w AS (PARTITION BY time, feature)) s
 JOIN (SELECT time, feature, avg(value) AS mu, stddev_samp(value) AS sigma FROM f2 GROUP BY ALL) ms
@@ -386,7 +455,7 @@ JOIN (SELECT time, feature, avg(value) AS mu, stddev_samp(value) AS sigma FROM f
 def c_rollout_inputs(spark, d):
     """Next rollout inputs: rescaled network output (stand-in: the state itself) + forcings at the valid time."""
     f2 = V.f2_obs(spark, d)
-    exo = FO.time_forcings(V.f4_grid(spark, d)).select("time", "lat_i", "lon_i", "sin_time_of_day")
+    exo = FO.time_forcings(V.f2_grid(spark, d)).select("time", "lat_i", "lon_i", "sin_time_of_day")
     return JB.rollout_inputs(f2, f2, exo, ["sin_time_of_day"]).select(
         "init_time", "step", "feature", "lat_i", "lon_i", "value", "valid_time", "sin_time_of_day")
 

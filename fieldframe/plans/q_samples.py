@@ -43,7 +43,23 @@ def a_op_norm1(spark, d):
     return L.operator_norm1(V.f1_deterministic(spark, d), V.f1_truth(spark, d), K)
 
 
-@register("a_op_loss")
+# largest eigenvalue of the 4 x 4 Gram matrix g of each error grid by repeated squaring, scaled by the
+# trace each time: ln(lambda) = sum over k of ln(trace of step k) / 2^k
+SQUARE = """list_transform(range(16), lambda p: list_sum(list_transform(range(4), lambda q: g[(p // 4) * 4 + q + 1] * g[q * 4 + p % 4 + 1])))"""
+OP_SQL = f"""SELECT 0.5 * avg(l2) + 0.5 * avg(l1) AS loss, avg(l2) AS l2, avg(l1) AS l1 FROM (
+  SELECT init, step, avg(sqrt(exp(l))) AS l2, avg(norm1) AS l1 FROM it JOIN n1 USING ({KS}) WHERE k = 40 GROUP BY init, step)"""
+OP_CTES = dict(
+    e=f"SELECT {CS}, value - truth AS d FROM dt",
+    n1=f"SELECT {KS}, max(s) AS norm1 FROM (SELECT {KS}, lon_i, sum(abs(d)) AS s FROM e GROUP BY {KS}, lon_i) GROUP BY {KS}",
+    gram=f"""SELECT {KS}, list(v ORDER BY i, j) AS g FROM (SELECT {KS}, a.lat_i AS i, b.lat_i AS j, sum(a.d * b.d) AS v
+  FROM e a JOIN e b USING ({KS}, lon_i) GROUP BY {KS}, i, j) GROUP BY {KS}""",
+    it=f"""SELECT {KS}, 0 AS k, ln(tr) AS l, list_transform(g, lambda x: x / tr) AS g FROM (SELECT *, g[1] + g[6] + g[11] + g[16] AS tr FROM gram)
+  UNION ALL SELECT {KS}, k + 1, l + ln(tr) / pow(2, k + 1), list_transform(sq, lambda x: x / tr)
+  FROM (SELECT *, sq[1] + sq[6] + sq[11] + sq[16] AS tr FROM (SELECT {KS}, k, l, {SQUARE} AS sq FROM it WHERE k < 40))""",
+)
+
+
+@register("a_op_loss", _f1(OP_SQL, **OP_CTES).replace("WITH", "WITH RECURSIVE", 1), floats=["loss", "l2", "l1"])
 def a_op_loss(spark, d):
     """a1 * mean spectral norm + a2 * mean column-sum norm (spectral norm via applyInPandas)."""
     return L.operator_loss(V.f1_deterministic(spark, d), V.f1_truth(spark, d), K, batch=["init", "step"], a1=0.5, a2=0.5)
@@ -126,7 +142,7 @@ def a_ens_summary(spark, d):
 
 
 # ------------------------------------------------------------- samples on F2
-IDX = "CAST((epoch(time) - epoch(min(time) OVER ())) // 21600 AS BIGINT)"
+IDX = "CAST(dense_rank() OVER (ORDER BY time) - 1 AS BIGINT)"
 F2I = f"SELECT *, {IDX} AS t_idx FROM f2"
 
 
@@ -147,12 +163,12 @@ def w_pair(spark, d):
     V.with_views("""SELECT sample, role, "offset", time, feature, lat_i, lon_i, value FROM (
   SELECT t_idx - o AS sample, 'input' AS role, CAST(o AS INT) AS "offset", *, max(t_idx) OVER () + 1 AS n FROM f2i, range(2) r(o)
   UNION ALL SELECT t_idx - 1 - o, 'target', CAST(o AS INT), *, max(t_idx) OVER () + 1 FROM f2i, range(2) r(o))
-WHERE sample >= 0 AND sample <= n - 2 - 1""", f2=V.SQL_F2, f2i=F2I),
+WHERE sample >= 0 AND sample <= n - 2 - 1""", f2=V.SQL_F2_GAP, f2i=F2I),
     floats=["value"],
 )
 def w_windows(spark, d):
-    """Sample windows with k = 2 (inputs t..t+1, targets t+1..t+2)."""
-    return S.sample_windows(V.f2_obs(spark, d), 2)
+    """Sample windows with k = 2 (inputs t..t+1, targets t+1..t+2) on an axis with a gap."""
+    return S.sample_windows(V.f2_gap(spark, d), 2)
 
 
 def _samples(spark, d):
@@ -180,12 +196,12 @@ def w_shard(spark, d):
 @register(
     "w_eval_window",
     V.with_views("""SELECT time, feature, lat_i, lon_i, value, t_idx - 10 AS step FROM f2i WHERE t_idx >= 10 AND t_idx < 50""",
-                 f2=V.SQL_F2, f2i=F2I),
+                 f2=V.SQL_F2_GAP, f2i=F2I),
     floats=["value"],
 )
 def w_eval_window(spark, d):
-    """Valid times 10..49 become steps 0..39 (checked against the sample count)."""
-    return S.eval_window(V.f2_obs(spark, d), start=10, n=40)
+    """Valid times 10..49 become steps 0..39 (checked against the sample count) on an axis with a gap."""
+    return S.eval_window(V.f2_gap(spark, d), start=10, n=40)
 
 
 DETR = f"SELECT {KS}, sqrt(avg((value - truth) * (value - truth))) AS rmse FROM dt GROUP BY {KS}"
@@ -208,7 +224,7 @@ def w_even_steps(spark, d):
 UNION ALL SELECT 'even', member, count(*) FROM ens WHERE member IN (0, 3, 6) GROUP BY member""", ens=V.SQL_F1_ENS),
 )
 def w_members(spark, d):
-    """First (at most 16) members and 3 evenly spaced members, with their cell counts."""
+    """First 16 members and 3 evenly spaced members, with their cell counts."""
     ens = V.f1_ensemble(spark, d)
     a = S.first_members(ens, 16).groupBy("member").agg(F.count(F.lit(1)).alias("n_cells")).withColumn("selection", F.lit("first"))
     b = S.even_members(ens, 3).groupBy("member").agg(F.count(F.lit(1)).alias("n_cells")).withColumn("selection", F.lit("even"))
@@ -260,15 +276,14 @@ def j_nearest(spark, d):
 
 @register(
     "j_exogenous",
-    V.with_views("""SELECT f2.time AS init_time, 1 AS step, f2.feature, f2.lat_i, f2.lon_i, f2.value, f4.time AS valid_time,
-  sin(2 * pi() * hour(f4.time) / 24.0) AS sin_time_of_day
-FROM f2 JOIN f4 ON f4.time = f2.time + INTERVAL 6 HOUR AND f4.lat_i = f2.lat_i AND f4.lon_i = f2.lon_i""", f2=V.SQL_F2, f4=V.SQL_F4),
+    V.with_views("""SELECT time AS init_time, 1 AS step, feature, lat_i, lon_i, value, time + INTERVAL 6 HOUR AS valid_time,
+  sin(2 * pi() * hour(time + INTERVAL 6 HOUR) / 24.0) AS sin_time_of_day FROM f2""", f2=V.SQL_F2),
     floats=["value", "sin_time_of_day"],
 )
 def j_exogenous(spark, d):
     """Next-step inputs keep the state and take forcings at the new valid time (init + 6 h)."""
     state = V.f2_obs(spark, d).select(F.col("time").alias("init_time"), F.lit(1).alias("step"), "feature", "lat_i", "lon_i", "value")
-    exo = FO.time_forcings(V.f4_grid(spark, d)).select("time", "lat_i", "lon_i", "sin_time_of_day")
+    exo = FO.time_forcings(V.f2_grid(spark, d, 6)).select("time", "lat_i", "lon_i", "sin_time_of_day")
     return J.refresh_exogenous(state, exo, ["sin_time_of_day"])
 
 

@@ -176,6 +176,61 @@ def f5_static(spark, sf_dir) -> DataFrame:
     )
 
 
+def f2_cells(spark, sf_dir) -> DataFrame:
+    """Every cell of F2 with its coordinates."""
+    ev = _read(spark, sf_dir, "events")
+    return ev.select((F.col("user_id") % 10).alias("lat_i"), F.expr("user_id div 10").alias("lon_i")).distinct().select(
+        "lat_i", "lon_i", (F.lit(-87.1875) + F.lit(5.625) * F.col("lat_i")).cast("double").alias("latitude"),
+        (F.lit(5.625) * F.col("lon_i")).cast("double").alias("longitude"))
+
+
+def f2_grid(spark, sf_dir, shift_h: int = 0) -> DataFrame:
+    """F2's own grid: its distinct times (moved by ``shift_h`` hours) x its cells."""
+    times = f4_times(spark, sf_dir).select((F.col("time") + F.make_dt_interval(F.lit(0), F.lit(shift_h))).alias("time"))
+    return times.crossJoin(f2_cells(spark, sf_dir))
+
+
+def f2_static(spark, sf_dir) -> DataFrame:
+    """Static fields of every F2 cell."""
+    ev = _read(spark, sf_dir, "events")
+    return ev.groupBy((F.col("user_id") % 10).alias("lat_i"), F.expr("user_id div 10").alias("lon_i")).agg(
+        F.avg(F.col("event_id") % 1000).alias("geopotential_at_surface"),
+        F.avg(F.col("event_id") % 97).alias("slope_of_sub_gridscale_orography"),
+        F.avg(F.col("event_id") % 89).alias("standard_deviation_of_orography"),
+        F.max(F.col("event_id") % 2).alias("land_sea_mask"),
+    ).join(f2_cells(spark, sf_dir), ["lat_i", "lon_i"])
+
+
+GAP = "2024-01-04 06:00:00"
+
+
+def f2_gap(spark, sf_dir) -> DataFrame:
+    """F2 without one time slot."""
+    return f2_obs(spark, sf_dir).where(F.col("time") != F.to_timestamp_ntz(F.lit(GAP)))
+
+
+def f3_raw(spark, sf_dir) -> DataFrame:
+    """F3 under raw variable names, with two more upper-air variables."""
+    li = _read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_quantity") * 9.5).alias("geopotential"), (F.col("l_discount") / 1000).alias("specific_humidity"))
+    names = {"u": "u_component_of_wind", "v": "v_component_of_wind", "w": "vertical_velocity", "t": "temperature"}
+    return f3_wind(spark, sf_dir).withColumnsRenamed(names).join(li, ["l_orderkey", "l_linenumber"]).select(
+        "*", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("cell")).drop("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "year")
+
+
+def f3_surface(spark, sf_dir) -> DataFrame:
+    """Raw surface variables: one row per order."""
+    o = _read(spark, sf_dir, "orders")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return o.select(
+        k.alias("cell"), F.col("o_orderdate").alias("time"), (F.lit(-87.1875) + F.lit(5.625) * (c % 32)).cast("double").alias("latitude"),
+        (F.lit(5.625) * (k % 64)).cast("double").alias("longitude"),
+        (c % 20 - 10).cast("double").alias("10m_u_component_of_wind"), (k % 14 - 7).cast("double").alias("10m_v_component_of_wind"),
+        (c % 30 + 270).cast("double").alias("2m_temperature"), (F.lit(100000.0) + F.col("o_totalprice") / 100).alias("mean_sea_level_pressure"),
+        (c + 98000).cast("double").alias("surface_pressure"), (k % 50).cast("double").alias("total_column_water"),
+        (c % 100 / 1e4).alias("total_precipitation_6hr"))
+
+
 def f6_log(spark, sf_dir) -> DataFrame:
     o = _read(spark, sf_dir, "orders")
     return o.select(
@@ -236,6 +291,25 @@ SQL_F5 = """
 SELECT p_partkey % 32 AS lat_i, (p_partkey // 32) % 64 AS lon_i, avg(p_retailprice) AS geopotential_at_surface,
        avg(p_size) AS slope_of_sub_gridscale_orography, max(p_size % 2) AS land_sea_mask FROM part GROUP BY 1, 2
 """
+SQL_F2_CELLS = """SELECT DISTINCT user_id % 10 AS lat_i, user_id // 10 AS lon_i, CAST(-87.1875 + 5.625 * (user_id % 10) AS DOUBLE) AS latitude,
+  CAST(5.625 * (user_id // 10) AS DOUBLE) AS longitude FROM events"""
+SQL_F2_GRID = f"SELECT * FROM ({SQL_F4_TIMES}) CROSS JOIN ({SQL_F2_CELLS})"
+SQL_F2_STATIC = f"""
+SELECT * FROM (SELECT user_id % 10 AS lat_i, user_id // 10 AS lon_i, avg(event_id % 1000) AS geopotential_at_surface,
+  avg(event_id % 97) AS slope_of_sub_gridscale_orography, avg(event_id % 89) AS standard_deviation_of_orography,
+  max(event_id % 2) AS land_sea_mask FROM events GROUP BY 1, 2) JOIN ({SQL_F2_CELLS}) USING (lat_i, lon_i)
+"""
+SQL_F2_GAP = f"SELECT * FROM ({SQL_F2}) WHERE time <> TIMESTAMP '{GAP}'"
+SQL_F3_RAW = f"""
+SELECT time, level, latitude, longitude, u, v, w, t, l_quantity * 9.5 AS geopotential, l_discount / 1000 AS specific_humidity
+FROM ({SQL_F3}) JOIN (SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem) USING (l_orderkey, l_linenumber)
+"""
+SQL_F3_SURFACE = """
+SELECT o_orderdate AS time, CAST(-87.1875 + 5.625 * (o_custkey % 32) AS DOUBLE) AS latitude, CAST(5.625 * (o_orderkey % 64) AS DOUBLE) AS longitude,
+  CAST(o_custkey % 20 - 10 AS DOUBLE) AS u10, CAST(o_orderkey % 14 - 7 AS DOUBLE) AS v10, CAST(o_custkey % 30 + 270 AS DOUBLE) AS t2,
+  100000.0 + o_totalprice / 100 AS msl, CAST(o_custkey + 98000 AS DOUBLE) AS sp, CAST(o_orderkey % 50 AS DOUBLE) AS tcw,
+  o_custkey % 100 / 1e4 AS tp FROM orders
+"""
 SQL_F6 = """
 SELECT o_orderpriority AS run, year(o_orderdate) * 12 + month(o_orderdate) - 23941 AS epoch, o_orderkey AS step,
        CASE o_orderstatus WHEN 'F' THEN 'train_loss' WHEN 'O' THEN 'valid_loss' ELSE 'lr' END AS metric,

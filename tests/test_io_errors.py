@@ -12,27 +12,38 @@ D = "/root/testdata/sf0.001"
 
 
 def test_history_name_count_mismatch(spark, tmp_path):
-    with pytest.raises(ValueError, match="Number of names"):
+    with pytest.raises(ValueError, match="one name for each run"):
         IO.load_history(spark, str(tmp_path), ["a", "b"], ["only-one"])
 
 
 def test_history_missing_part(spark, tmp_path):
-    truth = V.f1_truth(spark, D).withColumn("member", F.lit(None).cast("int"))
-    parts = truth.withColumn("part", F.lit("truth")).withColumn("run", F.lit("r1"))
     path = str(tmp_path / "hist")
-    IO.save_history(parts, path)
-    with pytest.raises(FileNotFoundError):
+    V.f1_truth(spark, D).write.parquet(f"{path}/truth")
+    with pytest.raises(FileNotFoundError, match="no deterministic part"):
         IO.load_history(spark, path, ["run one"], ["r1"])
 
 
+def test_history_missing_run_and_replacement(spark, tmp_path):
+    path = str(tmp_path / "hist")
+    ens, truth, det = V.f1_run_ensemble(spark, D), V.f1_truth(spark, D), V.f1_deterministic(spark, D)
+    IO.save_history(ens.withColumn("run", F.lit("old/run=1 +%")), truth, det, path)
+    assert IO.load_history(spark, path, ["a"], ["old/run=1 +%"])["diffusion"].count() == ens.count()
+    IO.save_history(ens, truth, det, path)  # replaces, whatever the session's overwrite mode
+    with pytest.raises(FileNotFoundError, match="no run old"):
+        IO.load_history(spark, path, ["a"], ["old/run=1 +%"])
+    h = IO.load_history(spark, path, ["A", "B"], [r for r, _ in V.RUNS])
+    assert {r["run"] for r in h["diffusion"].select("run").distinct().collect()} == {"A", "B"}
+    assert h["truth"].count() == truth.count()  # stored once, not once per run
+
+
 def test_nan_guard_raises(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),)], "value double")
-    with pytest.raises(Exception, match="NaN values detected"):
+    with pytest.raises(Exception, match="NaN found"):
         FL.assert_no_nan(df, ["value"]).collect()
 
 
 def test_eval_window_bound_raises(spark):
-    with pytest.raises(Exception, match="within the valid dataset"):
+    with pytest.raises(Exception, match="after the last sample"):
         S.eval_window(V.f2_obs(spark, D), start=100, n=40).collect()
 
 
@@ -82,15 +93,15 @@ def test_export_record_layout(spark):
 
 
 def test_small_tables_and_split_static(spark, tmp_path):
-    rows = [("2024-01-01 00:00:00", 1.0), (None, 2.0), ("2024-01-01 06:00:00", 3.0)]
-    df = spark.createDataFrame(rows, "t string, value double").select(F.to_timestamp_ntz("t").alias("time"), "value")
+    rows = [("2024-01-01 00:00:00", "a", 1.0), (None, "b", 2.0), ("2024-01-01 06:00:00", "a", 3.0), (None, "a", 4.0)]
+    df = spark.createDataFrame(rows, "t string, feature string, value double").select(F.to_timestamp_ntz("t").alias("time"), "feature", "value")
     dyn, static = FL.split_static(df)
-    assert dyn.count() == 2 and static.count() == 1
+    assert dyn.count() == 3 and [r["feature"] for r in static.collect()] == ["b"]
     path = str(tmp_path / "stats")
     IO.write_table(static, path)
     IO.write_table(dyn, path)  # overwrite, not append
     back = IO.read_table(spark, path)
-    assert back.count() == 2
+    assert back.count() == 3 and len(back.inputFiles()) == 1
 
 
 def test_cut_lineage_uses_shared_checkpoint_dir(spark):
@@ -176,16 +187,26 @@ def test_preprocess_static_branch(spark, tmp_path):
 
 def test_preprocess_adds_surface_winds(spark, tmp_path):
     from fieldframe.plans import jobs as JB
-    rows = [("2011-01-01 00:00:00", 500.0, lat, 90.0, 1.0, 2.0, 0.0, 250.0, 3.0, 4.0)
-            for lat in (-60.0, 0.0, 30.0, 60.0)]
-    raw = spark.createDataFrame(rows, "t string, level double, latitude double, longitude double, u_component_of_wind double, "
-                                      "v_component_of_wind double, vertical_velocity double, temperature double, "
-                                      "`10m_u_component_of_wind` double, `10m_v_component_of_wind` double") \
+    lats = (-60.0, 0.0, 30.0, 60.0)
+    raw = spark.createDataFrame(
+        [("2011-01-01 00:00:00", 500.0, lat, 90.0, 1.0, 2.0, 0.0, 250.0, lat, 0.1) for lat in lats],
+        "t string, level double, latitude double, longitude double, u_component_of_wind double, v_component_of_wind double, "
+        "vertical_velocity double, temperature double, geopotential double, specific_humidity double") \
         .withColumn("time", F.to_timestamp_ntz("t")).drop("t")
-    stats = {r["feature"]: r for r in JB.preprocess(raw, str(tmp_path / "pp"), 2010).collect()}
-    assert {"wind_x_10m", "wind_y_10m", "wind_x_h500", "temperature_h500"} <= set(stats)
-    # poles removed: latitudes 0 and 30 remain; at lon 90, wind_x_10m = -u10 = -3 everywhere
-    assert stats["wind_x_10m"]["mean"] == pytest.approx(-3.0)
+    sfc = spark.createDataFrame([("2011-01-01 00:00:00", lat, 90.0, 3.0, 4.0, 280.0, 9.0) for lat in lats],
+                                "t string, latitude double, longitude double, `10m_u_component_of_wind` double, "
+                                "`10m_v_component_of_wind` double, `2m_temperature` double, not_listed double") \
+        .withColumn("time", F.to_timestamp_ntz("t")).drop("t")
+    names = {"wind_x_10m", "wind_y_10m", "2m_temperature", *(f"{v}_h500" for v in ("wind_x", "wind_y", "wind_z", "temperature",
+                                                                                  "geopotential", "specific_humidity"))}
+    stats = {r["feature"]: r for r in JB.preprocess(raw, sfc, str(tmp_path / "pp"), 2010)["stats"].collect()}
+    assert set(stats) == names
+    # at lon 90, wind_x_10m = -u10 = -3 everywhere; poles stay unless asked
+    assert stats["wind_x_10m"]["mean"] == pytest.approx(-3.0) and stats["geopotential_h500"]["max"] == 60.0
+    grid = spark.createDataFrame([(0, 0, 10.0, 20.0), (1, 0, -10.0, 20.0)], "lat_i int, lon_i int, latitude double, longitude double")
+    cut = JB.preprocess(raw, sfc, str(tmp_path / "pp2"), 2010, remove_poles=True, grid=grid)
+    assert {r["feature"]: r for r in cut["stats"].collect()}["geopotential_h500"]["max"] == 30.0
+    assert cut["toa_stats"].count() == 1 and cut["fields"].count() == 2 * len(names)
 
 
 def test_training_arrays_pack_order(spark):
@@ -206,13 +227,7 @@ def test_compare_runs_end_to_end(spark, tmp_path):
     from fieldframe.plans import jobs as JB
     ens = V.f1_run_ensemble(spark, D)
     truth, det = V.f1_truth(spark, D), V.f1_deterministic(spark, D)
-    runs = F.array(*[F.lit(r) for r, _ in V.RUNS])
-    cols = ["part", "run", "init", "step", "member", "feature", "lat_i", "lon_i", "value"]
-    parts = ens.withColumn("part", F.lit("diffusion")).select(*cols)
-    for name, df in (("truth", truth), ("deterministic", det)):
-        parts = parts.unionByName(df.select("*", F.explode(runs).alias("run")).withColumn("part", F.lit(name))
-                                  .withColumn("member", F.lit(None).cast("int")).select(*cols))
-    IO.save_history(parts, str(tmp_path / "hist"))
+    IO.save_history(ens, truth, det, str(tmp_path / "hist"))
     cells = JB.compare_runs(spark, str(tmp_path / "hist"), ["A", "B"], [r for r, _ in V.RUNS], ["f0", "f1"],
                             str(tmp_path / "csv"), seed=42)
     models = {r["model"] for r in cells.select("model").distinct().collect()}
@@ -257,3 +272,93 @@ def test_feature_stats_read_only_needed_columns(spark):
     plan = _plan(QUERIES["a_feature_stats"](spark, D))
     read = [l for l in plan.splitlines() if "ReadSchema" in l]
     assert read and all("props" not in l and "event_id" not in l for l in read)
+
+
+# ------------------------------------------------------- stores, joins and time axes that lose nothing
+def test_forecast_store_keeps_other_inits_of_the_day(spark, tmp_path):
+    def batch(hours, value):
+        rows = [(f"2024-01-01 {h:02d}:00:00", 0, "f", 0, 0, value) for h in hours]
+        return spark.createDataFrame(rows, "t string, step int, feature string, lat_i int, lon_i int, value double") \
+            .withColumn("init_time", F.to_timestamp_ntz("t")).drop("t")
+
+    path = str(tmp_path / "fc")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        IO.save_forecast(batch([3, 9], 0.0), path, first=True)
+        IO.save_forecast(batch([0, 6], 1.0), path, first=True)  # replaces the store under any session default
+        IO.save_forecast(batch([12, 18], 2.0), path, first=False)
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    got = sorted((r["init_time"].hour, r["value"]) for r in IO.read_forecast(spark, path).collect())
+    assert got == [(0, 1.0), (6, 1.0), (12, 2.0), (18, 2.0)]
+
+
+def test_lookups_raise_instead_of_dropping_rows(spark):
+    from fieldframe.operators import diffusion as DF
+    from fieldframe.operators import joins as J
+    df = spark.createDataFrame([("a", 0, 0, 1.0), ("b", 1, 0, 2.0)], "feature string, lat_i int, lon_i int, value double")
+    stats = spark.createDataFrame([("a", 1.0, 2.0)], "feature string, mean double, std double")
+    const = spark.createDataFrame([(0, 0, 5.0)], "lat_i int, lon_i int, height double")
+    for run, what in ((lambda: J.attach_stats(df, stats), "no statistics for feature b"),
+                      (lambda: J.attach_constants(df, const), "no constants for"),
+                      (lambda: DF.forward_noise(df.withColumn("noise", F.lit(0.0)).withColumn("diffusion_step", F.lit(1500)),
+                                                DF.noise_schedule(spark)), "no noise schedule for")):
+        with pytest.raises(Exception, match=what):
+            run().collect()
+    ok = J.attach_constants(J.attach_stats(df.where("feature = 'a'"), stats), const).first()
+    assert (ok["mean"], ok["std"], ok["height"]) == (1.0, 2.0, 5.0)
+    steps = DF.assign_diffusion_step(spark.range(2000).withColumn("noise", F.lit(0.0)).withColumn("value", F.lit(1.0)), ["id"], 1, 4000)
+    assert DF.forward_noise(steps, DF.noise_schedule(spark, 4000)).count() == 2000
+
+
+def test_lookups_do_not_shuffle_the_field_table(spark, tmp_path):
+    from fieldframe.operators import joins as J
+    path = str(tmp_path / "fields")
+    spark.range(2000).select((F.col("id") % 5).cast("string").alias("feature"), (F.col("id") % 7).cast("int").alias("lat_i"),
+                             F.lit(0).alias("lon_i"), F.col("id").cast("double").alias("value")).write.parquet(path)
+    field = spark.read.parquet(path)
+    stats = FL.feature_stats(field)
+    consts = field.groupBy("lat_i", "lon_i").agg(F.avg("value").alias("height"))
+    plan = _plan(J.attach_constants(J.attach_stats(field, stats), consts)).split("Subqueries")[0]
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    # the only exchange of rows is that of the derived constants, below the broadcast
+    assert plan.count("hashpartitioning(lat_i") <= 2 and "hashpartitioning(feature" not in plan
+
+
+def test_time_positions_skip_gaps(spark):
+    hours = [0, 6, 18, 24, 42, 48, 54, 60]
+    df = spark.createDataFrame([(h, float(h)) for h in hours], "h int, value double").select(
+        (F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(F.lit(0), F.col("h"))).alias("time"), "value")
+    got = {r["value"]: r["t_idx"] for r in S.time_index(df).collect()}
+    assert [got[float(h)] for h in hours] == list(range(8))
+    w = S.sample_windows(df, 1).groupBy("sample").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {r["sample"]: r["n"] for r in w} == {k: 2 for k in range(7)}
+    ev = S.eval_window(df, start=1, n=2).collect()
+    assert sorted((r["step"], r["value"]) for r in ev) == [(0, 6.0), (1, 18.0)]
+
+
+def test_positions_do_not_depend_on_exchange_reuse(spark):
+    keys = spark.range(50_000).select(F.col("id").alias("sample"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        for seed in (7, None):
+            p = S.minibatches(keys, 10, seed=seed)
+            r = p.agg(F.countDistinct("position").alias("n"), F.max("position").alias("m")).first()
+            assert (r["n"], r["m"]) == (50_000, 49_999)
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_member_selection_has_no_cap(spark):
+    ens = spark.range(32).select(F.col("id").alias("member"), F.lit(1.0).alias("value"))
+    assert S.first_members(ens, 32).count() == 32
+    assert sorted(r["member"] for r in S.even_members(ens, 3).collect()) == [0, 15, 31]
+    assert sorted(r["member"] for r in S.even_members(ens, 3, max_members=16).collect()) == [0, 7, 15]
+
+
+def test_strict_alignment_raises_on_missing_truth(spark):
+    from fieldframe.operators import ensemble as EN
+    fc = spark.createDataFrame([("k", 0, 0, 1.0), ("k", 0, 1, 2.0)], "key string, lat_i int, lon_i int, value double")
+    assert EN.align(fc, fc.where("lon_i = 0"), ["key"]).count() == 1
+    with pytest.raises(Exception, match="no truth for"):
+        EN.align(fc, fc.where("lon_i = 0"), ["key"], strict=True).collect()
