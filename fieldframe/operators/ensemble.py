@@ -96,13 +96,17 @@ def _skill(cells: DataFrame, keys, weighted: bool) -> DataFrame:
     )
 
 
-def member_pairs(ens: DataFrame, seed=None, scope: Sequence[str] = ()) -> DataFrame:
+def member_pairs(ens: DataFrame, seed=None, scope: Sequence[str] = (), n_members: int | None = None) -> DataFrame:
     """Disjoint member pairs from a seeded permutation (odd member left out).
 
     Ranks only the distinct-member table (one row per member and scope), never
-    field data. ``seed=None`` pairs by member order. Output: scope, member, pair, side.
+    field data. ``n_members`` (the run's configured size: members 0..n-1, the same in every scope) spares
+    the scan that lists them. ``seed=None`` pairs by member order. Output: scope, member, pair, side.
     """
-    members = ens.select(*scope, "member").distinct()
+    if n_members is None:
+        members = ens.select(*scope, "member").distinct()
+    else:
+        members, scope = ens.sparkSession.range(n_members).select(F.col("id").cast(ens.schema["member"].dataType).alias("member")), ()
     order = hash_uniform(seed, F.col("member")) if seed is not None else F.lit(0.0)
     rank_w = Window.partitionBy(*scope).orderBy(order, F.col("member"))
     all_w = Window.partitionBy(*scope)
@@ -208,50 +212,55 @@ def rmse_scalar(fc, truth, keys, by: Sequence[str] = ()) -> DataFrame:
     return a.groupBy(*by).agg(F.sqrt(F.avg(d * d)).alias("rmse"))
 
 
-def member_rmse(ens, truth, keys, min_step: int = 1, region=None) -> tuple[DataFrame, DataFrame]:
-    """Per-member RMSE for steps >= ``min_step`` (analysis step dropped) and its mean over members."""
+def member_rmse(ens, truth, keys, min_step: int = 1, region=None) -> DataFrame:
+    """Per-member RMSE for steps >= ``min_step`` (analysis step dropped) and, beside it, its mean
+    over the members of the field (``avg_rmse``: a window over the small per-member table)."""
     e = ens.where(F.col("step") >= min_step) if "step" in keys else ens
     a = attach_region(align(e, truth, keys), region)
     d = F.col("value") - F.col("truth")
     per = a.groupBy(*keys, "member").agg(F.sqrt(grid_mean(d * d, region is not None)).alias("rmse"))
-    avg = per.groupBy(*keys).agg(F.avg("rmse").alias("rmse"))
-    return per, avg
+    return per.withColumn("avg_rmse", F.avg("rmse").over(Window.partitionBy(*keys)))
 
 
 def rmse_curves(ens, det, truth, keys, min_step: int = 1) -> DataFrame:
     """Average-member, ensemble-mean and deterministic RMSE curves (step 0 dropped, lead hours
-    = step * 6) in one long table."""
-    _, members = member_rmse(ens, truth, keys, min_step)
-    ens_s = ens.where(F.col("step") >= min_step)
-    mean = ensemble_mean_rmse(ens_s, truth, keys)
-    d = rmse(det.where(F.col("step") >= min_step), truth, keys)
-    parts = [
-        members.withColumn("curve", F.lit("average_member")),
-        mean.withColumn("curve", F.lit("ensemble_mean")),
-        d.withColumn("curve", F.lit("deterministic")),
-    ]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    = step * 6) in one long table.
+
+    One plan: members and the deterministic forecast are aligned together, each cell yields the squared
+    error of every row and of the ensemble mean, and two small aggregates finish the curves.
+    """
+    keys = list(keys)
+    rows = ens.select(*keys, *CELL, "value", F.col("member").cast("long").alias("member"), F.lit("average_member").alias("curve"))
+    rows = rows.unionByName(det.select(*keys, *CELL, "value", F.lit(None).cast("long").alias("member"), F.lit("deterministic").alias("curve")))
+    a = align(rows.where(F.col("step") >= min_step), truth.where(F.col("step") >= min_step), keys)
+    mean = F.avg(F.when(F.col("curve") == "average_member", F.col("value")))
+    d = F.col("value") - F.col("truth")
+    cells = a.groupBy(*keys, *CELL).agg(
+        F.collect_list(F.struct("curve", "member", (d * d).alias("d2"))).alias("rows"),
+        F.struct(F.lit("ensemble_mean").alias("curve"), F.lit(None).cast("long").alias("member"),
+                 F.pow(mean - F.max("truth"), 2).alias("d2")).alias("mean"))
+    e = cells.select(*keys, F.explode(F.concat("rows", F.array("mean"))).alias("r"))
+    per = e.groupBy(*keys, "r.curve", "r.member").agg(F.sqrt(F.avg("r.d2")).alias("rmse"))
+    out = per.groupBy(*keys, "curve").agg(F.avg("rmse").alias("rmse")).where("rmse IS NOT NULL")
     return out.withColumn("lead_hours", F.col("step") * 6)
 
 
 def domain_average(ens, truth, keys, obs: DataFrame | None = None) -> DataFrame:
-    """Grid-mean series per member, of the ensemble mean, of truth and optional observations."""
-    members = ens.groupBy(*keys, "member").agg(F.avg("value").alias("value")).withColumn("series", F.lit("member"))
-    mean = (
-        ensemble_mean(ens, keys).groupBy(*keys).agg(F.avg("value").alias("value"))
-        .withColumn("member", F.lit(None).cast("int")).withColumn("series", F.lit("ensemble_mean"))
-    )
-    tr = (
-        truth.groupBy(*keys).agg(F.avg("value").alias("value"))
-        .withColumn("member", F.lit(None).cast("int")).withColumn("series", F.lit("truth"))
-    )
-    out = members.unionByName(mean).unionByName(tr)
-    if obs is not None:
-        ob = (
-            obs.groupBy(*keys).agg(F.avg("value").alias("value"))
-            .withColumn("member", F.lit(None).cast("int")).withColumn("series", F.lit("observation"))
-        )
-        out = out.unionByName(ob)
+    """Grid-mean series per member, of the ensemble mean, of truth and optional observations.
+
+    The ensemble is read once, and no cell is shuffled: a member's grid mean is a map-side aggregate, and the
+    ensemble-mean series is the mean of the members' series, which equals the grid mean of the cell means
+    because every member of a field holds the same cells.
+    """
+    members = ens.groupBy(*keys, "member").agg(F.avg("value").alias("value"))
+    one = F.struct(F.lit("member").alias("series"), F.col("member").cast("int").alias("member"), F.col("value"))
+    mean = F.struct(F.lit("ensemble_mean").alias("series"), F.lit(None).cast("int").alias("member"), F.avg("value").alias("value"))
+    both = members.groupBy(*keys).agg(F.concat(F.collect_list(one), F.array(mean)).alias("s"))
+    out = both.select(*keys, F.explode("s").alias("s")).select(*keys, "s.*")
+    others = {"truth": truth} | ({"observation": obs} if obs is not None else {})
+    for series, df in others.items():
+        out = out.unionByName(df.groupBy(*keys).agg(F.avg("value").alias("value"))
+                              .withColumn("member", F.lit(None).cast("int")).withColumn("series", F.lit(series)))
     return out
 
 
@@ -285,7 +294,7 @@ def member_frame(aligned: DataFrame, keys, pairs: DataFrame | None = None, scope
     w = Window.partitionBy(*keys, *CELL).orderBy("member")
     x = aligned.withColumn("nxt", F.lead("value").over(w))
     if pairs is not None:
-        x = x.join(F.broadcast(pairs), [*scope, "member"], "left")
+        x = x.join(F.broadcast(pairs), [c for c in (*scope, "member") if c in pairs.columns], "left")
     return x
 
 
@@ -364,15 +373,20 @@ def field_scores(x: DataFrame, keys, weighted: bool, with_pairs: bool = True) ->
     return g.groupBy(*keys).agg(*[F.expr(a) for a in out])
 
 
-def verify(ens, det, truth, keys, region=None, skipna=False, seed=None, scope: Sequence[str] = ()) -> DataFrame:
-    """C4: deterministic RMSE, ensemble-mean RMSE, energy score and CRPS per field.
+def verify(ens, det, truth, keys, region=None, skipna=False, seed=None, scope: Sequence[str] = (),
+           min_step: int = 0, n_members: int | None = None) -> DataFrame:
+    """C4: deterministic RMSE, ensemble-mean RMSE, energy score and CRPS per field, from step ``min_step`` on
+    (0 keeps the analysis step, as the metric tables do; the RMSE curves start at 1, P14).
 
     The aligned ensemble is shuffled once on (keys, cell); every per-cell quantity is
-    computed in that partitioning and only per-field partials are shuffled again.
+    computed in that partitioning and only per-field partials are shuffled again. With
+    ``n_members`` the ensemble is read once.
     """
+    if min_step and "step" in keys:
+        ens, det, truth = (t.where(F.col("step") >= min_step) for t in (ens, det, truth))
     weighted = region is not None
     a = attach_region(align(ens, truth, keys), region)
-    x = member_frame(a, keys, member_pairs(ens, seed, scope), scope)
+    x = member_frame(a, keys, member_pairs(ens, seed, scope, n_members), scope)
     fs = field_scores(x, keys, weighted)
     det_rmse = rmse(det, truth, keys)  # A9 is unweighted; region weights apply to the ensemble scores
     g = F.col("n_members")
@@ -393,17 +407,24 @@ def verify(ens, det, truth, keys, region=None, skipna=False, seed=None, scope: S
     return out
 
 
-# Metric registry: name -> fn(ensemble, truth, keys, region=None) -> DataFrame (native aggregates).
+# Metric registry: name -> (column of a field-score row, name used in errors).
 METRICS = {
-    "energy_score": lambda ens, truth, keys, region=None: energy_score(ens, truth, keys, region),
-    "crps": lambda ens, truth, keys, region=None: crps(ens, truth, keys, region),
-    "crps_fair": lambda ens, truth, keys, region=None: crps_fair(ens, truth, keys, region),
-    "mean_rmse": lambda ens, truth, keys, region=None: ensemble_mean_rmse(ens, truth, keys, region),
-    "mean_spread": lambda ens, truth, keys, region=None: mean_spread(ens, truth, keys),
+    "energy_score": (lambda: F.col("l2_skill") - 0.5 * F.col("energy_spread"), "Energy Score"),
+    "crps": (lambda: F.col("l1_skill") - 0.5 * F.col("crps_spread"), "CRPS Score"),
+    "mean_rmse": (lambda: F.col("l2_skill"), "Ensemble-Mean Score"),
+    "mean_spread": (lambda: F.col("mean_spread"), "Mean Spread"),
 }
 
 
 def compute_metrics(ens: DataFrame, truth: DataFrame, keys, names=("energy_score", "crps", "mean_rmse"),
-                    region: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Evaluate registered metrics by name (each a lazy DataFrame keyed by ``keys``)."""
-    return {n: METRICS[n](ens, truth, list(keys), region) for n in names}
+                    region: DataFrame | None = None, skipna: bool = False, seed=None, n_members: int | None = None) -> DataFrame:
+    """Registered metrics by name, one column each, from one aligned member frame."""
+    keys = list(keys)
+    a = attach_region(align(ens, truth, keys), region)
+    fs = field_scores(member_frame(a, keys, member_pairs(ens, seed, n_members=n_members)), keys, region is not None)
+    out = fs
+    for n in names:
+        column, what = METRICS[n]
+        x = _guard(F.col("n_members"), column(), what)
+        out = out.withColumn(f"_m_{n}", inf_to_nan(x) if skipna else x)
+    return out.select(*keys, *[F.col(f"_m_{n}").alias(n) for n in names])

@@ -22,23 +22,24 @@ DET_MODEL = "deterministic"
 
 
 def compare_metrics(run_ens: DataFrame, det: DataFrame, truth: DataFrame, keys: Sequence[str] = ("init", "step", "feature"),
-                    seed=None) -> DataFrame:
+                    seed=None, n_steps: int | None = None, n_members: int | None = None) -> DataFrame:
     """C6 core: long table (model, keys..., label, lead_hours, metric, value) at the evaluation leads.
 
     Runs share the truth and deterministic parts; the deterministic row stores
     its RMSE under all four metric names (placeholder kept from the source).
     Metrics of different steps are independent, so all inputs are first narrowed to
-    the four evaluation steps (a semi-join with the four-row point table).
+    the four evaluation steps (a semi-join with the four-row point table). The configured
+    ``n_steps`` and ``n_members`` of the sweep spare the scans that find them in the data.
     """
     keys = list(keys)
     rk = ["run", *keys]
-    pts = eval_points(truth)  # four rows
+    pts = eval_points(truth, n_steps=n_steps)  # four rows
     steps = F.broadcast(pts.select("step"))
     run_ens = run_ens.join(steps, "step", "left_semi")
     det = det.join(steps, "step", "left_semi")
     truth = truth.join(steps, "step", "left_semi")
     a = E.attach_region(E.align(run_ens, truth, keys), None)
-    x = E.member_frame(a, rk, E.member_pairs(run_ens, seed, ("run",)), ("run",))
+    x = E.member_frame(a, rk, E.member_pairs(run_ens, seed, ("run",), n_members), ("run",))
     fs = E.field_scores(x, rk, False)
     g = F.col("n_members")
     wide = fs.select(

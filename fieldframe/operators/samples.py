@@ -122,9 +122,13 @@ def shard(batches: DataFrame, n: int) -> DataFrame:
     return batches.withColumn("process", (F.col("batch") % n).cast("int"))
 
 
-def eval_points(df: DataFrame, step_col: str = "step") -> DataFrame:
-    """T/4 -> n//4, T/2 -> n//2, T3/4 -> 3n//4, T -> n-1 with n = max(step) + 1; lead hours = step * 6."""
-    n = df.agg((F.max(step_col) + 1).alias("n"))
+def eval_points(df: DataFrame, step_col: str = "step", n_steps: int | None = None) -> DataFrame:
+    """T/4 -> n//4, T/2 -> n//2, T3/4 -> 3n//4, T -> n-1 with n = ``n_steps`` or, from the data,
+    max(step) + 1; lead hours = step * 6."""
+    if n_steps is None:
+        n = df.agg((F.max(step_col) + 1).alias("n"))
+    else:
+        n = df.sparkSession.range(1).select(F.lit(n_steps).cast("long").alias("n"))
     pts = F.array(
         F.struct(F.lit("T/4").alias("label"), F.floor(F.col("n") / 4).alias("s")),
         F.struct(F.lit("T/2").alias("label"), F.floor(F.col("n") / 2).alias("s")),

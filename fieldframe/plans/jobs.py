@@ -172,14 +172,14 @@ def diffusion_table(long: DataFrame, operator_output: DataFrame | None, seed, re
 
 def compare_runs(spark: SparkSession, history: str, names: Sequence[str], run_paths: Sequence[str],
                  features: Sequence[str], out: str, keys: Sequence[str] = ("init", "step", "feature"),
-                 seed=None) -> DataFrame:
+                 seed=None, n_steps: int | None = None, n_members: int | None = None) -> DataFrame:
     """C6 end to end: load the named run histories (S8, first run's truth and deterministic
     shared), compute every metric at the evaluation leads, mark the best model (A29), format
     the report cells (M24) and write the wide per-model CSV (S9) to ``out``. Returns the cells."""
     from fieldframe.operators import report as R
 
     h = IO.load_history(spark, history, names, run_paths)
-    metrics = R.compare_metrics(h["diffusion"], h["deterministic"], h["truth"], keys, seed=seed)
+    metrics = R.compare_metrics(h["diffusion"], h["deterministic"], h["truth"], keys, seed=seed, n_steps=n_steps, n_members=n_members)
     cells = R.report_cells(R.best_by_metric(metrics))
     R.metrics_wide(metrics, features).repartition(1).write.mode("overwrite").option("header", True).csv(out)
     return cells

@@ -19,7 +19,8 @@ KS = "init, step, feature"
 
 
 def _metrics(spark, d):
-    return R.compare_metrics(V.f1_run_ensemble(spark, d), V.f1_deterministic(spark, d), V.f1_truth(spark, d), K, seed=SEED)
+    return R.compare_metrics(V.f1_run_ensemble(spark, d), V.f1_deterministic(spark, d), V.f1_truth(spark, d), K, seed=SEED,
+                             n_steps=V.N_STEPS, n_members=V.N_MEMBERS)
 
 
 PAIRS = f"""SELECT run, member, r % (n // 2) AS pair, r // (n // 2) AS side FROM (
@@ -111,7 +112,7 @@ def s_metrics_wide(spark, d):
 
     wide = R.metrics_wide(_metrics(spark, d), FEATS, LABELS)
     path = scratch_path(spark, "metrics-wide")
-    wide.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    wide.repartition(1).write.mode("overwrite").option("header", True).csv(path)
     return spark.read.schema(wide.schema).option("header", True).csv(path)
 
 
@@ -129,6 +130,30 @@ def o_leads(spark, d):
     return R.ordered_leads(_metrics(spark, d), eval_points(V.f1_truth(spark, d)))
 
 
+@register(
+    "c_compare_runs",
+    _w("""SELECT r.model, init, label, metric, feature, cell, w.cells FROM (
+  SELECT CASE model WHEN '%s' THEN 'A' WHEN '%s' THEN 'B' ELSE model END AS model, init, label, metric, feature, cell FROM rep) r
+JOIN (SELECT CASE model WHEN '%s' THEN 'A' WHEN '%s' THEN 'B' ELSE model END AS model, init, count(*) AS cells FROM metrics
+  WHERE feature = 'f0' GROUP BY ALL) w USING (model, init)""" % (2 * tuple(r for r, _ in V.RUNS)),
+       best_t=BEST, rep=REPORT),
+)
+def c_compare_runs(spark, d):
+    """C6 end to end: stored sweep (S8) -> metrics at the leads -> best model (A29) -> report cells (M24), and
+    the wide table (S9) read back: the number of f0 values of each model and init in it."""
+    from fieldframe.plans.jobs import compare_runs
+    from fieldframe.sources import io as IO
+
+    history, out = IO.scratch_path(spark, "sweep"), IO.scratch_path(spark, "compare-wide")
+    IO.save_history(V.f1_run_ensemble(spark, d), V.f1_truth(spark, d), V.f1_deterministic(spark, d), history)
+    cells = compare_runs(spark, history, ["A", "B"], [r for r, _ in V.RUNS], ["f0"], out, K, seed=SEED,
+                         n_steps=V.N_STEPS, n_members=V.N_MEMBERS)
+    wide = spark.read.option("header", True).option("inferSchema", True).csv(out)
+    filled = sum((F.col(f"`{c}`").isNotNull().cast("long") for c in wide.columns if c not in ("model", "init")), F.lit(0))
+    counts = wide.select("model", F.col("init").cast("long").alias("init"), filled.cast("long").alias("cells"))
+    return cells.select("model", "init", "label", "metric", "feature", "cell").join(F.broadcast(counts), ["model", "init"])
+
+
 def _title_sql(s: str) -> str:
     return (f"list_aggregate(list_transform(range(length({s})), lambda i: CASE WHEN i = 0 OR NOT regexp_matches(substr({s}, i, 1), '[A-Za-z]') "
             f"THEN upper(substr({s}, i + 1, 1)) ELSE lower(substr({s}, i + 1, 1)) END), 'string_agg', '')")

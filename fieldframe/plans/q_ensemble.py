@@ -62,7 +62,7 @@ FROM skill s LEFT JOIN espread USING ({KS}) LEFT JOIN cspread USING ({KS}) LEFT
 )
 def c_verify(spark, d):
     """C4 flagship: align ensemble and deterministic with truth, then every score per field."""
-    return E.verify(V.f1_ensemble(spark, d), V.f1_deterministic(spark, d), V.f1_truth(spark, d), K, seed=SEED)
+    return E.verify(V.f1_ensemble(spark, d), V.f1_deterministic(spark, d), V.f1_truth(spark, d), K, seed=SEED, n_members=V.N_MEMBERS)
 
 
 @register("j_align", _w(f"SELECT e.*, t.value AS truth FROM ens e JOIN truth t USING ({CS})"), floats=["value", "truth"])
@@ -186,8 +186,7 @@ FROM ens e JOIN truth t USING ({CS}) WHERE step >= 1 GROUP BY {KS}, member"""
 )
 def a_member_rmse(spark, d):
     """Per-member RMSE (steps >= 1) next to the members' average."""
-    per, avg = E.member_rmse(V.f1_ensemble(spark, d), V.f1_truth(spark, d), K)
-    return per.join(avg.withColumnRenamed("rmse", "avg_rmse"), K, "inner")
+    return E.member_rmse(V.f1_ensemble(spark, d), V.f1_truth(spark, d), K)
 
 
 @register(
@@ -215,6 +214,18 @@ def a_domain_avg(spark, d):
     return E.domain_average(V.f1_ensemble(spark, d), V.f1_truth(spark, d), K)
 
 
+@register(
+    "a_metrics",
+    _w(f"""SELECT {KS}, l2 - 0.5 * es AS energy_score, l1 - 0.5 * cs AS crps, l2 AS mean_rmse
+FROM skill LEFT JOIN espread USING ({KS}) LEFT JOIN cspread USING ({KS})""",
+       al=AL, cells=CELLS, skill=SKILL, espread=ESPREAD, pairs=_pairs_sql(SEED), cspread=CSPREAD),
+    floats=["energy_score", "crps", "mean_rmse"],
+)
+def a_metrics(spark, d):
+    """Registered metrics by name from one aligned member frame, infinities as NaN."""
+    return E.compute_metrics(V.f1_ensemble(spark, d), V.f1_truth(spark, d), K, skipna=True, seed=SEED, n_members=V.N_MEMBERS)
+
+
 @register(
     "a_abs_error",
     _w(f"""SELECT {KS}, max(abs(d.value - t.value)) AS max_abs_error, avg(abs(d.value - t.value)) AS mean_abs_error

@@ -10,6 +10,8 @@ from fieldframe.operators import ensemble as E
 from fieldframe.operators import export as X
 from fieldframe.operators import fields as FL
 from fieldframe.operators import forcings as FO
+from fieldframe.operators import joins as J
+from fieldframe.operators import postprocess as PP
 from fieldframe.plans import jobs as JB
 from fieldframe.plans.q_forcings import SCHED_SQL, TOA_SQL
 from fieldframe.plans.registry import register
@@ -441,6 +443,50 @@ def c_products(spark, d):
     return JB.ensemble_products(V.f1_ensemble(spark, d), V.f1_truth(spark, d), ["init", "step", "feature"], [6, 24, 54])
 
 
+@register(
+    "c_product_tables",
+    V.with_views(f"""SELECT 'domain' AS part, init, step, feature, series AS name, member, value FROM (
+  SELECT {KS}, 'member' AS series, member, avg(value) AS value FROM ens GROUP BY {KS}, member
+  UNION ALL SELECT {KS}, 'ensemble_mean', NULL, avg(v) FROM (SELECT {CS}, avg(value) AS v FROM ens GROUP BY {CS}) GROUP BY {KS}
+  UNION ALL SELECT {KS}, 'truth', NULL, avg(value) FROM truth GROUP BY {KS})
+UNION ALL SELECT 'limits', NULL, NULL, feature, l.name, NULL, l.value FROM (SELECT feature, min(m) AS a, max(m) AS b, min(s) AS c, max(s) AS d,
+  min(e) AS f, max(e) AS g FROM (SELECT {CS}, avg(e.value) AS m, stddev_pop(e.value) AS s, abs(avg(e.value) - max(t.value)) AS e
+    FROM ens e JOIN truth t USING ({CS}) WHERE step IN (1, 4, 9) GROUP BY {CS}) GROUP BY feature),
+  LATERAL (VALUES ('mean_min', a), ('mean_max', b), ('spread_min', c), ('spread_max', d), ('error_min', f), ('error_max', g)) AS l(name, value)""",
+                 ens=V.SQL_F1_ENS, truth=V.SQL_F1_TRUTH),
+    floats=["value"],
+)
+def c_product_tables(spark, d):
+    """The domain-average series (A8) and the shared limits (A21) behind the ensemble plots."""
+    t = JB.ensemble_product_tables(V.f1_ensemble(spark, d), V.f1_truth(spark, d), ["init", "step", "feature"], [6, 24, 54])
+    domain = t["domain"].select(F.lit("domain").alias("part"), "init", "step", "feature", F.col("series").alias("name"), "member", "value")
+    names = [c for c in t["limits"].columns if c != "feature"]
+    limits = t["limits"].unpivot(["feature"], names, "name", "value").select(
+        F.lit("limits").alias("part"), F.lit(None).cast("long").alias("init"), F.lit(None).cast("long").alias("step"), "feature", "name",
+        F.lit(None).cast("int").alias("member"), "value")
+    return domain.unionByName(limits)
+
+
+@register(
+    "c_postprocess",
+    V.with_views("""SELECT time, cell, v.name || '_h' || CAST(CAST(level AS INT) AS VARCHAR) AS feature, v.val AS value FROM f3,
+  LATERAL (VALUES ('u_component_of_wind', u), ('v_component_of_wind', v), ('vertical_velocity', w), ('air_temperature', t),
+                  ('geopotential', geopotential), ('specific_humidity', specific_humidity)) AS v(name, val)""", f3=V.SQL_F3_RAW),
+    floats=["value"],
+)
+def c_postprocess(spark, d):
+    """Normalised features back to physical values, spherical winds and raw names: what preprocessing and
+    normalisation (C1, M16) made of the raw table is undone."""
+    raw = V.f3_raw(spark, d)
+    fields = JB.stack_features(raw, None, ["cell"])
+    stats = FL.feature_stats(fields)
+    b = FL.humidity_bounds(stats).select(F.struct("q_min", "q_max")).scalar()
+    x = J.attach_stats(fields, stats).withColumns({"q_min": b["q_min"], "q_max": b["q_max"]})
+    normalised = x.select("time", "cell", "feature", P.normalize("value", "feature", "mean", "std", "q_min", "q_max").alias("value"))
+    return PP.postprocess(normalised, stats, raw.select("cell", "latitude", "longitude").distinct(), ["time", "cell"], ["cell"],
+                          names={"temperature": "air_temperature"})
+
+
 @register(
     "c_rollout_inputs",
     V.with_views("""SELECT init_time, 1 AS step, feature, lat_i, lon_i, value, time AS valid_time,

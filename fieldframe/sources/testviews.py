@@ -20,6 +20,7 @@ RUNS = [
     ("outputs/DPM++/walks_4/guidance_0.5/solver_2/algo_dpmsolver++/steps_25", 0.5),
 ]
 TRUTH_MEMBER = 7
+N_MEMBERS, N_STEPS = 7, 10  # configured size of F1: members 0-6, steps 0-9
 DET_MEMBER = 0
 
 
@@ -211,11 +212,11 @@ def f2_gap(spark, sf_dir) -> DataFrame:
 
 def f3_raw(spark, sf_dir) -> DataFrame:
     """F3 under raw variable names, with two more upper-air variables."""
-    li = _read(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", (F.col("l_quantity") * 9.5).alias("geopotential"), (F.col("l_discount") / 1000).alias("specific_humidity"))
     names = {"u": "u_component_of_wind", "v": "v_component_of_wind", "w": "vertical_velocity", "t": "temperature"}
-    return f3_wind(spark, sf_dir).withColumnsRenamed(names).join(li, ["l_orderkey", "l_linenumber"]).select(
-        "*", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("cell")).drop("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "year")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return f3_wind(spark, sf_dir).select(
+        "*", ((F.col("u") + 25) * 9.5).alias("geopotential"), ((F.col("w") + 0.05) / 1000).alias("specific_humidity"),
+        F.concat_ws("-", *keys).alias("cell")).drop(*keys, "year").withColumnsRenamed(names)
 
 
 def f3_surface(spark, sf_dir) -> DataFrame:
@@ -223,7 +224,7 @@ def f3_surface(spark, sf_dir) -> DataFrame:
     o = _read(spark, sf_dir, "orders")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     return o.select(
-        k.alias("cell"), F.col("o_orderdate").alias("time"), (F.lit(-87.1875) + F.lit(5.625) * (c % 32)).cast("double").alias("latitude"),
+        k.cast("string").alias("cell"), F.col("o_orderdate").alias("time"), (F.lit(-87.1875) + F.lit(5.625) * (c % 32)).cast("double").alias("latitude"),
         (F.lit(5.625) * (k % 64)).cast("double").alias("longitude"),
         (c % 20 - 10).cast("double").alias("10m_u_component_of_wind"), (k % 14 - 7).cast("double").alias("10m_v_component_of_wind"),
         (c % 30 + 270).cast("double").alias("2m_temperature"), (F.lit(100000.0) + F.col("o_totalprice") / 100).alias("mean_sea_level_pressure"),
@@ -301,8 +302,8 @@ SELECT * FROM (SELECT user_id % 10 AS lat_i, user_id // 10 AS lon_i, avg(event_i
 """
 SQL_F2_GAP = f"SELECT * FROM ({SQL_F2}) WHERE time <> TIMESTAMP '{GAP}'"
 SQL_F3_RAW = f"""
-SELECT time, level, latitude, longitude, u, v, w, t, l_quantity * 9.5 AS geopotential, l_discount / 1000 AS specific_humidity
-FROM ({SQL_F3}) JOIN (SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem) USING (l_orderkey, l_linenumber)
+SELECT time, level, latitude, longitude, u, v, w, t, (u + 25) * 9.5 AS geopotential, (w + 0.05) / 1000 AS specific_humidity,
+  concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS cell FROM ({SQL_F3})
 """
 SQL_F3_SURFACE = """
 SELECT o_orderdate AS time, CAST(-87.1875 + 5.625 * (o_custkey % 32) AS DOUBLE) AS latitude, CAST(5.625 * (o_orderkey % 64) AS DOUBLE) AS longitude,
