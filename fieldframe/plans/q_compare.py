@@ -94,6 +94,14 @@ def m_report(spark, d):
     return R.report_cells(R.best_by_metric(_metrics(spark, d))).select("model", "init", "label", "metric", "feature", "cell")
 
 
+@register("m_report_rows", _w("""SELECT model, init, feature, label, string_agg(cell, ' & ' ORDER BY
+  list_position(['energy_score', 'crps', 'mean_rmse', 'mean_spread'], metric)) AS row FROM rep GROUP BY model, init, feature, label""",
+                             best_t=BEST, rep=REPORT))
+def m_report_rows(spark, d):
+    """Report rows: the four metric cells of each model, feature and lead in report order."""
+    return R.report_rows(R.report_cells(R.best_by_metric(_metrics(spark, d))))
+
+
 FEATS = ["f0", "f1"]
 LABELS = ["T/4", "T/2", "T3/4", "T"]
 WIDE_COLS = [f"{lb}_{m}_{f}" for lb in LABELS for m in R.METRICS for f in FEATS]

@@ -149,6 +149,16 @@ def a_feature_stats(spark, d):
     return _f2_stats(spark, d)
 
 
+F2_FEATURES = ["temperature_h850", "specific_humidity_h850", "specific_humidity_h500", "total_precipitation_6hr", "2m_temperature"]
+
+
+@register("a_feature_stats_wide", V.with_views(STATS_SQL, f2=V.SQL_F2), floats=["mean", "std", "max", "min"])
+def a_feature_stats_wide(spark, d):
+    """A1 on the wide layout: one row per (time, cell), one column per feature, one aggregate pass."""
+    wide = V.f2_obs(spark, d).groupBy("time", "lat_i", "lon_i").pivot("feature", F2_FEATURES).agg(F.first("value"))
+    return FL.feature_stats_wide(wide, F2_FEATURES)
+
+
 @register("a_q_bounds", V.with_views(QB_SQL, f2=V.SQL_F2, stats=STATS_SQL), floats=["q_max", "q_min"])
 def a_q_bounds(spark, d):
     """A4: humidity bounds from the feature statistics, minimum floored at 1e-12."""

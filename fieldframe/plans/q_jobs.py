@@ -367,6 +367,12 @@ TRAIN_CTES = dict(
 )
 
 
+def _training(spark, d):
+    switch = FL.feature_switch(spark, levels={850: True}, variables={v: True for v in (*ATMOSPHERIC, *SURFACE)})
+    return JB.training_table(V.f2_obs(spark, d), V.f2_cells(spark, d), V.f2_static(spark, d), CONSTANT_COLUMNS[:3], "2024-01-02",
+                             "2024-01-12", steps=1, switch=switch)
+
+
 @register(
     "c_training",
     V.with_views(TRAIN_SQL, **TRAIN_CTES),
@@ -377,13 +383,23 @@ TRAIN_CTES = dict(
 def c_training(spark, d):
     """Training table: slice, enabled features, NaN guard, standardisation, forcings, TOA, the six
     constants, windows (k = 1); every cell of the slice stays."""
-    switch = FL.feature_switch(spark, levels={850: True}, variables={v: True for v in (*ATMOSPHERIC, *SURFACE)})
-    t = JB.training_table(V.f2_obs(spark, d), V.f2_cells(spark, d), V.f2_static(spark, d), CONSTANT_COLUMNS[:3], "2024-01-02",
-                          "2024-01-12", steps=1, switch=switch)
-    return t.select("sample", "role", "offset", "time", "feature", "lat_i", "lon_i", "value", "mu", "sigma", "sin_time_of_day",
+    return _training(spark, d).select("sample", "role", "offset", "time", "feature", "lat_i", "lon_i", "value", "mu", "sigma", "sin_time_of_day",
                     "cos_time_of_day", "sin_year_progress", "cos_year_progress", "toa_norm", *CONSTANT_COLUMNS)
 
 
+@register(
+    "c_training_arrays",
+    V.with_views(f"""SELECT sample, role, "offset", time, lat_i, lon_i, list_transform(list_concat(list(value ORDER BY idx),
+  [toa_norm, {", ".join(TF.values())}, {", ".join(CONSTANT_COLUMNS)}]), lambda v: CAST(CAST(v AS FLOAT) AS DOUBLE)) AS x FROM ({TRAIN_SQL}) t JOIN cat USING (feature)
+GROUP BY sample, role, "offset", time, lat_i, lon_i, toa_norm, {", ".join(CONSTANT_COLUMNS)}""", cat=CAT_SQL, **TRAIN_CTES),
+    arrays=["x"], digits=4,
+)
+def c_training_arrays(spark, d):
+    """C2 with M26: one float vector per sample, role and cell: features in catalogue order, forcings, constants."""
+    return JB.training_arrays(_training(spark, d), FL.feature_catalog(spark), CONSTANT_COLUMNS).withColumn(
+        "x", F.transform("x", lambda v: v.cast("double")))
+
+
 SKEY = "CAST(sample AS VARCHAR)"
 CKEY = "concat_ws(':', sample, feature, lat_i, lon_i)"
 DIFF_SQL = f"""SELECT sample, time, feature, lat_i, lon_i, clean, condition, condition_value, target, diffusion_step, noise,
