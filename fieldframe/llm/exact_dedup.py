@@ -47,6 +47,10 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def close(self) -> None:
+        """Forget the session's table name; the files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def ingest(self, members: DataFrame) -> None:
         """Add one arrival of (id, digest) rows. New digests are those that the anti-join leaves; the
         smallest id of the arrival becomes their ``keep_id`` (null ids only if there is no other)."""
@@ -78,6 +82,7 @@ def exact_duplicates(docs: DataFrame, arrivals: int = 2, index: DigestIndex | No
     """
     spark = docs.sparkSession
     members = stage(digests(docs, id_col, text_col), "digests")
+    own = index is None
     index = index or DigestIndex(spark)
     low, high = members.agg(F.min("id"), F.max("id")).first()
     edges = [] if low is None else [low + (high - low) * k // arrivals for k in range(1, arrivals)]
@@ -92,6 +97,8 @@ def exact_duplicates(docs: DataFrame, arrivals: int = 2, index: DigestIndex | No
     # one row per digest, staged, so that both sides of the join below are plain exchanges and a
     # digest that holds a third of the rows is split over tasks
     groups = stage(index.groups(), "digest-groups")
+    if own:
+        index.close()
     return members.join(groups, "digest").select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))
