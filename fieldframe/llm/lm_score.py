@@ -3,8 +3,10 @@
 Counts of words and word pairs are quantised to a logarithmic scale; a sequence with level q is in the
 filter with each of the levels 1..q, so its count is read back by asking for level 1, 2, 3, ... until
 one is absent. The filter is split into blocks by hash: one task adds up the counts of a block and sets
-its bits, and the finished blocks are broadcast. A token's probability mixes the pair estimate with the
-smoothed single-word estimate.
+its bits. Finished blocks are broadcast in groups of at most ``MAX_BROADCAST_BYTES``, and each group answers
+the sequences of its own blocks, so the filter grows with the corpus, what is broadcast at once does not,
+and every sequence is asked for once. A token's probability mixes the pair estimate with the smoothed
+single-word estimate.
 
 Exact word counts, for the base score, never meet in one place. Texts are read in chunks; a chunk keeps
 its distinct words as one sorted array of hashes, cut into blocks by hash. A block adds up the counts of
@@ -28,12 +30,13 @@ CHUNK_TOKENS = 1 << 20
 RATIO = 1.5  # of neighbouring count levels
 PROBES = 4
 BITS_PER_ENTRY = 8
-MAX_FILTER_BYTES = 256 << 20
+MAX_BROADCAST_BYTES = 128 << 20
 PAIR_WEIGHT = 0.2
 DOCS, WORD, PAIR, FILTER, TOTALS = range(5)
 CHUNK_ROW = ("kind int, chunk bigint, block int, hashes binary, counts binary, doc_ids array<bigint>, held_out array<boolean>, "
              "lengths array<bigint>")
 BLOCK_ROW = "kind int, chunk bigint, block int, hashes binary, counts binary, tokens bigint, words bigint"
+ANSWER_ROW = "kind int, chunk bigint, block int, hashes binary, counts binary, levels binary"
 SCORE_ROW = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, "
              "score double")
 
@@ -83,10 +86,10 @@ def _probe(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     return h, mix64(h) | np.uint64(1)
 
 
-def build_block(hashes: np.ndarray, counts: np.ndarray, max_bytes: int) -> bytes:
+def build_block(hashes: np.ndarray, counts: np.ndarray) -> bytes:
     """Filter bits of one block."""
     level = levels(counts)
-    size = min(max_bytes, max(8, int(level.sum()) * BITS_PER_ENTRY // 8 + 1))
+    size = max(8, int(level.sum()) * BITS_PER_ENTRY // 8 + 1)
     flags = np.zeros(8 * size, bool)
     for q in range(1, int(level.max(initial=0)) + 1):
         h, step = _probe(hashes[level >= q], q)
@@ -96,7 +99,7 @@ def build_block(hashes: np.ndarray, counts: np.ndarray, max_bytes: int) -> bytes
 
 
 class CountFilter:
-    """All blocks of one kind of sequence."""
+    """Blocks of one kind of sequence."""
 
     def __init__(self, held: dict[int, bytes], blocks: int, top: int):
         sizes = np.array([len(held.get(b, b"")) for b in range(blocks)], np.uint64)
@@ -105,8 +108,8 @@ class CountFilter:
         self.data = np.frombuffer(b"".join(held[b] for b in sorted(held)), np.uint8)
         self.blocks, self.top = blocks, top
 
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
-        """Approximate count of each hash, 0 if absent."""
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        """Level of each hash, 0 if absent."""
         level = np.zeros(len(hashes), np.int64)
         block = block_of(hashes, self.blocks)
         live, q = np.flatnonzero(self.bits[block] > 0), 1
@@ -119,7 +122,7 @@ class CountFilter:
                 live, bits, first, h, step = live[there], bits[there], first[there], h[there], step[there]
             level[live] = q
             q += 1
-        return level_counts(level)
+        return level
 
 
 def chunk_rows(chunk: int, docs: list[tuple], blocks: int) -> list[tuple]:
@@ -132,7 +135,8 @@ def chunk_rows(chunk: int, docs: list[tuple], blocks: int) -> list[tuple]:
     rows = [(DOCS, chunk, -1, squeeze(place, 4), None, [d for d, _, _ in docs], [h for _, h, _ in docs], lengths)]
     rows += [(WORD, chunk, b, squeeze(words[i:j], 8), squeeze(counts[i:j], 8), None, None, None) for b, i, j in _slices(words, blocks)]
     before = np.concatenate(([END], tokens[:-1]))
-    pairs, n = np.unique(pair_hashes(tokens[train], before[train]), return_counts=True)
+    pairs, place = np.unique(pair_hashes(tokens, before), return_inverse=True)
+    n = np.bincount(place[train], minlength=len(pairs))
     rows += [(PAIR, chunk, b, squeeze(pairs[i:j] >> np.uint64(16), 6), squeeze(n[i:j], 8), None, None, None)
              for b, i, j in _slices(pairs, blocks)]
     return rows
@@ -169,7 +173,7 @@ def _merged(pdf: pd.DataFrame, width: int, shift: int) -> tuple[list[np.ndarray]
     return parts, found, totals
 
 
-def count_words(rows: DataFrame, max_block: int) -> DataFrame:
+def count_words(rows: DataFrame) -> DataFrame:
     """Totals of the words of each block: answers to the chunks, the block's filter, its tokens and words."""
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -178,87 +182,118 @@ def count_words(rows: DataFrame, max_block: int) -> DataFrame:
         out = [(TOTALS, int(c), block, h, squeeze(totals[np.searchsorted(found, p)], 8), 0, 0)
                for c, h, p in zip(pdf["chunk"], pdf["hashes"], parts)]
         seen = totals > 0
-        out.append((FILTER, -1, block, build_block(found[seen], totals[seen], max_block), None, int(totals.sum()), int(seen.sum())))
+        out.append((FILTER, -1, block, build_block(found[seen], totals[seen]), None, int(totals.sum()), int(seen.sum())))
         return pd.DataFrame(out, columns=[c.split()[0] for c in BLOCK_ROW.split(", ")])
 
     return rows.select("chunk", "block", "hashes", "counts").groupBy("block").applyInPandas(total, BLOCK_ROW)
 
 
-def count_pairs(rows: DataFrame, max_block: int) -> DataFrame:
+def count_pairs(rows: DataFrame) -> DataFrame:
     """The filter of the pairs of each block."""
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
         _, found, totals = _merged(pdf, 6, 16)
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "hashes": [build_block(found, totals, max_block)]})
+        seen = totals > 0
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "hashes": [build_block(found[seen], totals[seen])]})
 
     return rows.select("block", "hashes", "counts").groupBy("block").applyInPandas(total, "block int, hashes binary")
 
 
-class Model:
-    """Both filters and the size of the training text."""
-
-    def __init__(self, words: CountFilter, pairs: CountFilter, tokens: int, distinct: int, pair_weight: float):
-        self.words, self.pairs, self.tokens, self.distinct, self.pair_weight = words, pairs, tokens, distinct, pair_weight
-
-    def score(self, chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        """Scores of the documents of one chunk."""
-        answers = answers.sort_values("block")
-        words = np.concatenate([unsqueeze(h, 8) for h in answers["hashes"]])
-        exact = np.concatenate([unsqueeze(c, 8) for c in answers["counts"]]).astype(np.float64)
-        row = chunk.iloc[0]
-        place = unsqueeze(row["hashes"], 4).astype(np.int64)
-        lengths = np.asarray(row["lengths"], np.int64)
-        total = self.tokens + self.distinct + 1
-        about = self.words.counts(words)
-        single = (about + 1) / total
-        tokens = words[place]
-        before = np.concatenate(([END], tokens[:-1]))
-        pairs, where = np.unique(pair_hashes(tokens, before), return_inverse=True)
-        together = self.pairs.counts(pairs)[where]
-        first = self.words.counts(np.array([END]))
-        context = np.concatenate((first, about[place[:-1]]))
-        weight = np.where(context > 0, self.pair_weight, 0.0)
-        p = (1 - weight) * single[place] + weight * together / np.maximum(np.maximum(context, together), 1)
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        return pd.DataFrame({
-            "doc_id": pd.array(list(row["doc_ids"]), "Int64"), "held_out": list(row["held_out"]), "n_tokens": lengths,
-            "n_known": np.add.reduceat((exact[place] > 0).astype(np.int64), starts), "train_tokens": self.tokens,
-            "base_score": np.add.reduceat(np.log10((exact[place] + 1) / total), starts),
-            "score": np.add.reduceat(np.log10(p), starts)})
+def _groups(filters: DataFrame, max_bytes: int) -> list[tuple[int, int]]:
+    """(first, last) block of runs of blocks whose filters have at most ``max_bytes`` together, or are one."""
+    out: list[tuple[int, int]] = []
+    held = 0
+    for r in filters.select("block", F.octet_length("hashes").alias("n")).orderBy("block").collect():
+        if out and held + r.n <= max_bytes:
+            out[-1], held = (out[-1][0], r.block), held + r.n
+        else:
+            out.append((r.block, r.block))
+            held = r.n
+    return out
+
+
+def probe(kind: int, rows: DataFrame, filters: DataFrame, blocks: int, top: int, width: int, shift: int, max_bytes: int) -> list[DataFrame]:
+    """Levels of the sequences of ``rows`` (``chunk, block, hashes``), as ``ANSWER_ROW`` rows of ``kind``; staged,
+    one table for each group of filter blocks that is broadcast."""
+    spark = rows.sparkSession
+    out = []
+    for first, last in _groups(filters, max_bytes):
+        here = F.col("block").between(first, last)
+        held = {r.block: r.hashes for r in filters.where(here).select("block", "hashes").collect()}
+        broadcast = spark.sparkContext.broadcast(CountFilter(held, blocks, top))
+        del held
+
+        def ask(frames, broadcast=broadcast):
+            for pdf in frames:
+                found = [squeeze(broadcast.value.levels(unsqueeze(h, width) << np.uint64(shift)), 1) for h in pdf["hashes"]]
+                yield pd.DataFrame({"kind": kind, "chunk": pdf["chunk"], "block": pdf["block"], "hashes": None, "counts": None, "levels": found})
+
+        out.append(stage(rows.where(here).select("chunk", "block", "hashes").mapInPandas(ask, ANSWER_ROW), "lm-levels"))
+        broadcast.destroy()
+    return out
+
+
+def score_chunk(chunk: pd.DataFrame, answers: pd.DataFrame, trained: int, distinct: int, pair_weight: float) -> pd.DataFrame:
+    """Scores of the documents of one chunk. ``trained`` and ``distinct``: tokens and words of the training text."""
+    answers = answers.sort_values("block")
+
+    def gathered(kind: int, column: str, width: int) -> np.ndarray:
+        return np.concatenate([unsqueeze(x, width) for x in answers.loc[answers["kind"] == kind, column]])
+
+    words, exact = gathered(TOTALS, "hashes", 8), gathered(TOTALS, "counts", 8).astype(np.float64)
+    about = level_counts(gathered(WORD, "levels", 1).astype(np.int64))
+    row = chunk.iloc[0]
+    place = unsqueeze(row["hashes"], 4).astype(np.int64)
+    lengths = np.asarray(row["lengths"], np.int64)
+    total = trained + distinct + 1
+    tokens = words[place]
+    before = np.concatenate(([np.searchsorted(words, END)], place[:-1]))
+    where = np.unique(pair_hashes(tokens, words[before]), return_inverse=True)[1]
+    together = level_counts(gathered(PAIR, "levels", 1).astype(np.int64))[where]
+    context = about[before]
+    weight = np.where(context > 0, pair_weight, 0.0)
+    p = (1 - weight) * (about[place] + 1) / total + weight * together / np.maximum(np.maximum(context, together), 1)
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    return pd.DataFrame({
+        "doc_id": pd.array(list(row["doc_ids"]), "Int64"), "held_out": list(row["held_out"]), "n_tokens": lengths,
+        "n_known": np.add.reduceat((exact[place] > 0).astype(np.int64), starts), "train_tokens": trained,
+        "base_score": np.add.reduceat(np.log10((exact[place] + 1) / total), starts),
+        "score": np.add.reduceat(np.log10(p), starts)})
 
 
 def score_documents(docs: DataFrame, pair_weight: float = PAIR_WEIGHT, chunk_tokens: int = CHUNK_TOKENS,
-                    max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+                    max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Score every row of ``docs`` (``doc_id, text, held_out``) with the model of the rows not held out:
     ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` (log10).
 
     Tokens are lower-cased words and one end; a null or empty text is its end alone. Null ``held_out``
     counts as not held out. Rows that repeat an id are counted and scored like others. Without training
-    rows every count is 0. Other columns are ignored. Each filter grows with its sequences up to half of
-    ``max_filter_bytes``, which bounds the broadcast; beyond it no sequence is left out, but the rate of
-    false hits grows.
+    rows every count is 0. Other columns are ignored. ``max_broadcast_bytes`` bounds the filter blocks that
+    are broadcast at once and changes no score.
     """
     spark = docs.sparkSession
     small_batches(spark)
     blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    max_block = max(8, max_filter_bytes // 2 // blocks)
     rows = docs.select(F.col("doc_id").cast("bigint"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
     chunks = stage(read_chunks(rows, blocks, chunk_tokens), "lm-chunks", "kind")
-    counted = stage(count_words(chunks.where(F.col("kind") == WORD), max_block), "lm-words", "kind")
-    pairs = {r.block: r.hashes for r in count_pairs(chunks.where(F.col("kind") == PAIR), max_block).collect()}
-    for kind in (WORD, PAIR):  # their sums are in ``counted`` and ``pairs``
-        drop_staged(chunks, f"kind={kind}")
-    size = counted.where(F.col("kind") == FILTER).agg(F.sum("tokens"), F.sum("words")).first()
-    tokens, distinct = size[0] or 0, size[1] or 0
-    words = {r.block: r.hashes for r in counted.where(F.col("kind") == FILTER).select("block", "hashes").collect()}
-    top = int(levels(np.array([tokens]))[0])
-    model = spark.sparkContext.broadcast(
-        Model(CountFilter(words, blocks, top), CountFilter(pairs, blocks, top), tokens, distinct, pair_weight))
-    del words, pairs
+    counted = stage(count_words(chunks.where(F.col("kind") == WORD)), "lm-words", "kind")
+    drop_staged(chunks, f"kind={WORD}")  # summed up in ``counted``
+    filters, totals = counted.where(F.col("kind") == FILTER), counted.where(F.col("kind") == TOTALS)
+    size = filters.agg(F.sum("tokens"), F.sum("words")).first()
+    trained, distinct = size[0] or 0, size[1] or 0
+    top = int(levels(np.array([trained]))[0])
+    answers = totals.select("kind", "chunk", "block", "hashes", "counts", F.lit(None).cast("binary").alias("levels"))
+    for part in probe(WORD, totals, filters, blocks, top, 8, 0, max_broadcast_bytes):
+        answers = answers.unionByName(part)
+    pairs = chunks.where(F.col("kind") == PAIR)
+    filters = stage(count_pairs(pairs), "lm-pairs")
+    for part in probe(PAIR, pairs, filters, blocks, top, 6, 16, max_broadcast_bytes):
+        answers = answers.unionByName(part)
+    drop_staged(chunks, f"kind={PAIR}")
+    drop_staged(filters)
 
     def score(_, chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        return model.value.score(chunk, answers)
+        return score_chunk(chunk, answers, trained, distinct, pair_weight)
 
     texts = chunks.where(F.col("kind") == DOCS).select("chunk", "hashes", "doc_ids", "held_out", "lengths")
-    totals = counted.where(F.col("kind") == TOTALS).select("chunk", "block", "hashes", "counts")
-    return texts.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInPandas(score, SCORE_ROW)
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, SCORE_ROW)

@@ -302,14 +302,20 @@ def test_count_filter_never_misses_and_seldom_invents():
     keys = np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64) << np.uint64(1))
     counts = rng.integers(1, 2000, len(keys))
     block = lm_score.block_of(keys, 8)
-    parts = {b: lm_score.build_block(keys[block == b], counts[block == b], 1 << 30) for b in range(8)}
+    parts = {b: lm_score.build_block(keys[block == b], counts[block == b]) for b in range(8)}
     f = lm_score.CountFilter(parts, 8, 40)
-    got = f.counts(keys)
-    assert (got >= lm_score.level_counts(lm_score.levels(counts))).all()
-    assert np.mean(got == lm_score.level_counts(lm_score.levels(counts))) > 0.9
-    assert np.mean(f.counts(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) > 0) < 0.08
+    got = f.levels(keys)
+    assert (got >= lm_score.levels(counts)).all()
+    assert np.mean(got == lm_score.levels(counts)) > 0.9
+    assert np.mean(f.levels(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) > 0) < 0.08
     full = lm_score.CountFilter({0: b"\xff" * 8}, 1, 12)  # a saturated filter still ends
-    assert (full.counts(keys[:5]) > 0).all()
+    assert (full.levels(keys[:5]) == 12).all()
+
+
+def test_scores_do_not_depend_on_the_broadcast_bound(sf_docs):
+    df = sf_docs.select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % 7 == 2).alias("held_out"))
+    one = {tuple(r) for r in lm_score.score_documents(df).collect()}
+    assert {tuple(r) for r in lm_score.score_documents(df, max_broadcast_bytes=30_000).collect()} == one
 
 
 def test_byte_planes_round_trip():
