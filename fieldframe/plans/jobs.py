@@ -61,8 +61,10 @@ def preprocess(raw: DataFrame, surface: DataFrame | None, out_root: str, from_ye
     tables = [FL.keep_variables(t, [*KEEP_VARIABLES, *ids]) for t in (raw, surface) if t is not None]
     if remove_poles:
         tables = [FL.remove_poles(t) for t in tables]
-    long = stack_features(tables[0], tables[1] if surface is not None else None, ids)
-    IO.write_yearly(long.withColumn("year", F.year("time")), f"{out_root}/fields")
+    # the wide rows are put in time order, so that stacking, which makes many rows of each, runs after the shuffle
+    tables = [IO.time_ordered(t.withColumn("year", F.year("time"))) for t in tables]
+    long = stack_features(tables[0], tables[1] if surface is not None else None, ["year", *ids])
+    IO.write_yearly(long, f"{out_root}/fields", ordered=True)
     stored = IO.read_year_range(spark, f"{out_root}/fields", from_year)
     small = {"stats": FL.feature_stats(stored)}
     if grid is not None:

@@ -26,16 +26,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 # ------------------------------------------------------------ yearly store S1-S4
-def write_yearly(df: DataFrame, out: str, year_col: str = "year", time_col: str = "time") -> None:
-    """One overwrite per year: dynamic partition overwrite, files time-ordered within a year.
+def time_ordered(df: DataFrame, year_col: str = "year", time_col: str = "time") -> DataFrame:
+    """Rows in time-contiguous partitions (a year is never one task), in time order inside each."""
+    return df.repartitionByRange(year_col, time_col).sortWithinPartitions(year_col, time_col)
 
-    ``repartitionByRange(year, time)`` splits every year into many time-contiguous
-    tasks (a year is never one task), and ``sortWithinPartitions(time)`` gives
-    time-ordered row groups, so time predicates skip row groups via parquet min/max.
-    """
+
+def write_yearly(df: DataFrame, out: str, year_col: str = "year", time_col: str = "time", ordered: bool = False) -> None:
+    """One overwrite per year: dynamic partition overwrite, files time-ordered within a year, so time
+    predicates skip row groups via parquet min/max. ``ordered`` says that ``df`` comes from
+    :func:`time_ordered` rows, for instance with several rows made of each since."""
     (
-        df.repartitionByRange(year_col, time_col)
-        .sortWithinPartitions(year_col, time_col)
+        (df if ordered else time_ordered(df, year_col, time_col))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(year_col)
