@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from fieldframe.llm.components import connected_components
 from fieldframe.llm.shared import shingle_hashes, small_batches, space_words, stage, word_hashes
 
-SHINGLE = 4
+SHINGLE = 5
 PERCENT = 80
 BANDS, ROWS, SEED = 40, 6, 29
 # a pair of similarity 0.8 agrees in less than this part of 240 minima with a chance below 2e-6
@@ -54,9 +54,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def sketch(text: str | None) -> tuple:
+def sketch(text: str | None, size: int = SHINGLE) -> tuple:
     """(size, two 64-bit digests of the set, signature, band keys) of a text; no bands without words."""
-    items = shingle_set(text)
+    items = shingle_set(text, size)
     if not len(items):
         return 0, 0, 0, b"", []
     low = minima(items)
@@ -67,12 +67,12 @@ def sketch(text: str | None) -> tuple:
     return len(items), int(digest[0]), int(digest[1]), (_mix(low) >> np.uint64(56)).astype(np.uint8).tobytes(), key.view(np.int64)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, size: int) -> DataFrame:
     """``SKETCH`` rows of (id, text) rows; staged."""
 
     def read(frames):
         for pdf in frames:
-            out = pd.DataFrame([sketch(t) for t in pdf["text"]], columns=["n", "key_a", "key_b", "signature", "bands"])
+            out = pd.DataFrame([sketch(t, size) for t in pdf["text"]], columns=["n", "key_a", "key_b", "signature", "bands"])
             out.insert(0, "id", pdf["id"])
             yield out
 
@@ -92,7 +92,7 @@ def linked(items: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return 100 * common >= PERCENT * (len(items) + np.array([len(o) for o in others]) - common)
 
 
-def confirm(likely: DataFrame, texts: DataFrame) -> DataFrame:
+def confirm(likely: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; staged."""
 
     def compare(frames):
@@ -101,8 +101,8 @@ def confirm(likely: DataFrame, texts: DataFrame) -> DataFrame:
             keep = []
             for text, b, other in zip(pdf["text_a"], pdf["b"], pdf["text_b"]):
                 if b != last:
-                    last, items = b, shingle_set(other)
-                keep.append(bool(linked(items, [shingle_set(text)])[0]))
+                    last, items = b, shingle_set(other, size)
+                keep.append(bool(linked(items, [shingle_set(text, size)])[0]))
             yield pdf.loc[keep, ["a", "b"]]
 
     both = (likely.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -131,8 +131,8 @@ def likely_pairs(pairs: DataFrame, subjects: DataFrame) -> DataFrame:
 class Bucket:
     """Members of one slice of one bucket; those that ask are compared with those that do not."""
 
-    def __init__(self, key: int, pdf: pd.DataFrame):
-        self.key = key
+    def __init__(self, key: int, pdf: pd.DataFrame, size: int):
+        self.key, self.size = key, size
         self.ids, self.labels, self.n, asks = (pdf[c].to_numpy() for c in ("id", "label", "n", "asks"))
         self.asking, self.here = np.flatnonzero(asks), np.flatnonzero(~asks)
         self.signatures = np.frombuffer(b"".join(pdf["signature"]), np.uint8).reshape(len(pdf), -1)
@@ -141,7 +141,7 @@ class Bucket:
 
     def set_of(self, k: int) -> np.ndarray:
         if k not in self.sets:
-            self.sets[k] = shingle_set(self.texts[k])
+            self.sets[k] = shingle_set(self.texts[k], self.size)
         return self.sets[k]
 
     def candidates(self, k: int) -> np.ndarray:
@@ -163,21 +163,31 @@ class Bucket:
         return out
 
 
-def compare_in_buckets(members: DataFrame, subjects: DataFrame) -> DataFrame:
+def compare_in_buckets(members: DataFrame, subjects: DataFrame, size: int) -> DataFrame:
     """Links (a, b) that join the components of buckets; staged.
 
-    ``members`` has (key, id, label). The members of a bucket outside its largest component are compared
-    with all its members, which are dealt to slices of about ``SLICE`` shingles.
+    ``members`` has (key, id, label). The members of a bucket outside its largest component ask all its
+    members. Both are dealt to parts of about ``SLICE`` shingles, and a slice holds one part of each, so what
+    a task holds does not grow with the bucket.
     """
     rows = members.join(subjects, "id")
     sizes = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
-    buckets = stage(sizes.groupBy("key").agg(F.max(F.struct("size", "label"))["label"].alias("main"),
-                                             F.ceil(F.sum("n") / SLICE).alias("slices")), "buckets")
+    main = F.max(F.struct("size", "label", "n"))
+    buckets = stage(sizes.groupBy("key").agg(main["label"].alias("main"), F.ceil(F.sum("n") / SLICE).alias("parts"),
+                                             F.greatest(F.lit(1), F.ceil((F.sum("n") - main["n"]) / SLICE)).alias("asks_parts")), "buckets")
     rows = rows.join(buckets, "key")
+
+    def every(parts: str):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(parts) - 1))
+
+    def dealt(parts: str):
+        return F.pmod(F.xxhash64("id"), parts)
+
     columns = ["id", "label", "n", "signature", "bands", "text"]
-    here = rows.select("key", F.pmod(F.xxhash64("id"), "slices").alias("slice"), F.lit(False).alias("asks"), *columns)
-    asking = rows.where("label <> main").select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"),
-                                                F.lit(True).alias("asks"), *columns)
+    here = (rows.withColumn("part", every("asks_parts"))
+            .select("key", (F.col("part") * F.col("parts") + dealt("parts")).alias("slice"), F.lit(False).alias("asks"), *columns))
+    asking = (rows.where("label <> main").withColumn("part", every("parts"))
+              .select("key", (dealt("asks_parts") * F.col("parts") + F.col("part")).alias("slice"), F.lit(True).alias("asks"), *columns))
     both = here.unionByName(asking).repartition("key", "slice").sortWithinPartitions("key", "slice")
 
     def walk(frames):
@@ -187,11 +197,11 @@ def compare_in_buckets(members: DataFrame, subjects: DataFrame) -> DataFrame:
             change = np.flatnonzero((np.diff(held["key"]) != 0) | (np.diff(held["slice"]) != 0)) + 1
             if len(change):
                 edges = [0, *change.tolist()]
-                found = [p for i, j in zip(edges, edges[1:]) for p in Bucket(held["key"].iloc[i], held.iloc[i:j]).links()]
+                found = [p for i, j in zip(edges, edges[1:]) for p in Bucket(held["key"].iloc[i], held.iloc[i:j], size).links()]
                 yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
                 held = held.iloc[edges[-1]:]
         if held is not None and len(held):
-            yield pd.DataFrame(Bucket(held["key"].iloc[0], held).links(), columns=["a", "b"], dtype="int64")
+            yield pd.DataFrame(Bucket(held["key"].iloc[0], held, size).links(), columns=["a", "b"], dtype="int64")
 
     return stage(both.mapInPandas(walk, "a bigint, b bigint"), "links")
 
@@ -207,7 +217,7 @@ def open_buckets(members: DataFrame, links: DataFrame) -> DataFrame:
     return stage(rows.join(keys, "key"), "members")
 
 
-def class_links(classes: DataFrame, texts_of) -> DataFrame:
+def class_links(classes: DataFrame, texts_of, size: int) -> DataFrame:
     """Links (a, b) that join the classes (``id, n, signature, bands``) to components.
 
     ``texts_of`` gives the texts of a table of ids; it is asked once, for all classes that share a bucket.
@@ -218,22 +228,22 @@ def class_links(classes: DataFrame, texts_of) -> DataFrame:
     subjects = stage(texts_of(members.select("id").distinct()).join(classes, "id"), "subjects")
     texts = subjects.select("id", "text")
     pairs = members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
-    links = confirm(likely_pairs(pairs, subjects), texts)
+    links = confirm(likely_pairs(pairs, subjects), texts, size)
     members = members.select("key", "id")
     for draw in range(RANDOM_ROUNDS):
         members = open_buckets(members, links)
         drawn = stage(members.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(draw), "key", "id").alias("draw"), "id", "label")).alias("c"))
                       .select("key", F.col("c.id").alias("b"), F.col("c.label").alias("other")), "centres")
         pairs = members.join(drawn, "key").where("label <> other").select(F.col("id").alias("a"), "b").distinct()
-        links = links.unionByName(confirm(likely_pairs(pairs, subjects), texts))
+        links = links.unionByName(confirm(likely_pairs(pairs, subjects), texts, size))
         members = members.select("key", "id")
-    return links.unionByName(compare_in_buckets(open_buckets(members, links), subjects))
+    return links.unionByName(compare_in_buckets(open_buckets(members, links), subjects, size))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, kept``.
 
-    Linked are documents whose sets of distinct ``SHINGLE``-word shingles (lower-cased A-Z; all words as one if
+    Linked are documents whose sets of distinct ``shingle``-word shingles (lower-cased A-Z; all words as one if
     there are fewer) have a Jaccard similarity of ``PERCENT`` percent or more; components are their
     transitive groups and ``component_id`` the smallest id of the group. Null and empty text, and text of
     white space, has no shingle and is linked with nothing. Rows are known by id: rows that repeat an id
@@ -242,7 +252,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    found = sketches(rows)
+    found = sketches(rows, shingle)
     sets = stage(found.where("n > 0").groupBy("key_a", "key_b").agg(F.min("id").alias("first")), "sets")
     firsts = sets.where("first IS NOT NULL").select(F.col("first").alias("id"))
     classes = stage(found.join(firsts, "id", "left_semi").groupBy("id")
@@ -251,7 +261,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def texts_of(ids: DataFrame) -> DataFrame:
         return rows.join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
 
-    groups = connected_components(class_links(classes, texts_of))
+    groups = connected_components(class_links(classes, texts_of, shingle))
     named = stage(sets.join(groups, F.col("first") == F.col("node"), "left")
                   .select("key_a", "key_b", F.coalesce("component", "first").alias("group")), "groups")
     out = found.select("id", "n", "key_a", "key_b").join(named, ["key_a", "key_b"], "left")
@@ -260,7 +270,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, that of the smallest id. Rows without an id stay."""
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    gone = near_duplicates(docs, shingle).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")

@@ -23,8 +23,8 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate groups of all documents by MinHash."""
-    return near_dedup.near_duplicates(tables(spark, sf_dir, "documents"))
+    """Near-duplicate groups of all documents by MinHash of four-word shingles."""
+    return near_dedup.near_duplicates(tables(spark, sf_dir, "documents"), shingle=4)
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,11 +118,11 @@ def test_search_jumps_over_impossible_positions():
 
 # ---- 2 near-duplicates and components
 
-def brute_components(rows):
+def brute_components(rows, shingle=5):
     sets = {}
     for doc, text in rows:
         w = SPACE_WORDS.findall(lower(text or ""))
-        sets[doc] = frozenset(tuple(w[k:k + 4]) for k in range(max(1, len(w) - 3))) if w else frozenset()
+        sets[doc] = frozenset(tuple(w[k:k + shingle]) for k in range(max(1, len(w) - shingle + 1))) if w else frozenset()
     parent = {d: d for d in sets}
 
     def find(x):
@@ -140,10 +140,10 @@ def brute_components(rows):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
-@pytest.mark.parametrize("name", ["edge", "sf", "empty"])
-def test_near_duplicates_match_brute_force(corpora, name):
-    got = near_dedup.near_duplicates(corpora[name]).collect()
-    want = brute_components([r for r in texts_of(corpora[name]) if r[0] is not None])
+@pytest.mark.parametrize("name,shingle", [("edge", 4), ("edge", 5), ("sf", 4), ("sf", 5), ("empty", 5)])
+def test_near_duplicates_match_brute_force(corpora, name, shingle):
+    got = near_dedup.near_duplicates(corpora[name], shingle).collect()
+    want = brute_components([r for r in texts_of(corpora[name]) if r[0] is not None], shingle)
     assert len(got) == corpora[name].count()
     for r in got:
         if r.doc_id is not None:
@@ -163,14 +163,15 @@ def variants(n, seed, words=60, changes=5):
     return out
 
 
-@pytest.mark.parametrize("rounds,part", [(1, 1 << 20), (0, 400)])
+@pytest.mark.parametrize("rounds,part", [(1, 1 << 20), (0, 400), (0, 90)])
 def test_large_group_of_near_copies(spark, monkeypatch, rounds, part):
-    """Links that no centre shows are found too: by later rounds and by the comparison inside buckets."""
+    """Links that no centre shows are found too: by later rounds and by the comparison inside buckets, however
+    small the parts are to which those that ask and those that are asked are dealt."""
     monkeypatch.setattr(near_dedup, "RANDOM_ROUNDS", rounds)
     monkeypatch.setattr(near_dedup, "SLICE", part)
     rows = list(enumerate(variants(120, 1) + variants(40, 2, changes=3) + ["alone in the world"]))
-    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    want = brute_components(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=4).collect()
+    want = brute_components(rows, 4)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
