@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,10 +48,14 @@ ENDS = {
 SCOPE = frozenset("table td th caption html button object marquee".split())
 IN_HEAD = frozenset("title meta link base style script noscript template head html".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*+>?|<\?[^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+OPEN = re.compile(r"(?:<!--.*|<![^>]*+|<\?[^>]*+)()()", re.S)  # what needs no ">"
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
+LONG_NUMBER = re.compile(r"&#([0-9]{20,}+);?")
+MAX_INDENT = 64  # levels of lists and quotations that indent further
+MAX_COLUMN = 200  # a longer cell does not widen its column
 
 
 class Node:
@@ -60,10 +65,20 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
+def _short_reference(m: re.Match) -> str:
+    digits = m[1].lstrip("0") or "0"
+    return f"&#{digits};" if len(digits) < 20 else "\ufffd"
+
+
+def unescape(text: str) -> str:
+    """Character references replaced; a number beyond any character is the replacement character."""
+    return html.unescape(LONG_NUMBER.sub(_short_reference, text)) if "&" in text else text
+
+
 def attributes(text: str) -> dict[str, str]:
     out: dict[str, str] = {}
     for m in ATTRIBUTE.finditer(text):
-        out.setdefault(m[1].lower(), html.unescape(next((v for v in m.groups()[1:] if v is not None), "")))
+        out.setdefault(m[1].lower(), unescape(next((v for v in m.groups()[1:] if v is not None), "")))
     return out
 
 
@@ -79,8 +94,19 @@ def build_tree(text: str) -> Node:
     """Tree of elements and strings, with implied end tags."""
     root = Node("html", {})
     stack = [root]
+    count = Counter()  # open elements of each tag: nothing is looked for that is not open
+
+    def push(node: Node) -> None:
+        stack.append(node)
+        count[node.tag] += 1
+
+    def cut(low: int) -> None:
+        count.subtract(n.tag for n in stack[low:])
+        del stack[low:]
 
     def close(tags, scope) -> None:
+        if not any(count[t] for t in tags):
+            return
         low = None
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
@@ -88,17 +114,18 @@ def build_tree(text: str) -> Node:
             elif stack[k].tag in scope:
                 break
         if low is not None:
-            del stack[low:]
+            cut(low)
 
     def put(data: str) -> None:
         if data:
             if stack[-1].tag == "head" and data.strip():
-                stack.pop()
-            stack[-1].children.append(html.unescape(data) if "&" in data else data)
+                cut(len(stack) - 1)
+            stack[-1].children.append(unescape(data))
 
-    at = 0
+    at, last = 0, text.rfind(">")
     while True:
-        m = TOKEN.search(text, at)
+        # behind the last ">" only what needs no end can be markup
+        m = (TOKEN if at <= last else OPEN).search(text, at)
         if m is None:
             put(text[at:])
             return root
@@ -110,13 +137,13 @@ def build_tree(text: str) -> Node:
         if m[1]:
             if tag == "br":
                 stack[-1].children.append(Node("br", {}))
-            elif tag == "p" and not any(n.tag == "p" for n in stack):
+            elif tag == "p" and not count["p"]:
                 stack[-1].children.append(Node("p", {}))
-            else:
+            elif count[tag]:
                 barrier = frozenset() if tag in ("table", "body", "html") else frozenset({"table"}) if tag in TABLE_PARTS else SCOPE - {tag}
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
-                        del stack[k:]
+                        cut(k)
                         break
                     if stack[k].tag in barrier:
                         break
@@ -127,7 +154,7 @@ def build_tree(text: str) -> Node:
                 root.attrs.setdefault(name, value)
             continue
         if stack[-1].tag == "head" and tag not in IN_HEAD:
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in BLOCK:
             close({"p"}, SCOPE)
         if tag in ENDS:
@@ -135,7 +162,7 @@ def build_tree(text: str) -> Node:
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             row = Node("tr", {})
             stack[-1].children.append(row)
-            stack.append(row)
+            push(row)
         node = Node(tag, attrs)
         stack[-1].children.append(node)
         if tag in VOID:
@@ -145,10 +172,10 @@ def build_tree(text: str) -> Node:
             stop = end.start() if end else len(text)
             if tag in ("textarea", "title", "xmp"):
                 raw = text[at:stop]
-                node.children.append(raw if tag == "xmp" else html.unescape(raw))
+                node.children.append(raw if tag == "xmp" else unescape(raw))
             at = end.end() if end else len(text)
             continue
-        stack.append(node)
+        push(node)
 
 
 class Box:
@@ -196,9 +223,9 @@ class Box:
         if self.gap and self.lines:
             self.lines.append("")
         self.gap = False
-        prefix = "".join(self.indent)
+        prefix = "".join(self.indent[:MAX_INDENT])
         if self.marker is not None:
-            prefix, self.marker = prefix[:len(prefix) - len(self.marker)] + self.marker, None
+            prefix, self.marker = (prefix[:len(prefix) - len(self.marker)] if len(self.indent) <= MAX_INDENT else prefix) + self.marker, None
         self.lines.append((prefix + line).rstrip())
 
     def block(self, spaced: bool) -> None:
@@ -213,19 +240,38 @@ class Box:
 
 class Table:
     def __init__(self):
-        self.rows: list[list[list[str]]] = []
+        self.rows: list[list[tuple[int, list[str]]]] = []
+        self.next = 0  # column of the row's next cell
+
+    def start_row(self) -> None:
+        self.rows.append([])
+        self.next = 0
+
+    def add(self, cell: list[str], span: int) -> None:
+        self.rows[-1].append((self.next, cell))
+        self.next += span
 
     def lines(self) -> list[str]:
-        """Rows with the cells of a column starting at the same place."""
-        widths: list[int] = []
+        """Rows with the cells of a column starting at the same place; a line longer than ``MAX_COLUMN`` shifts
+        what follows it in its row."""
+        widths: dict[int, int] = {}
         for row in self.rows:
-            widths += [0] * (len(row) - len(widths))
-            for k, cell in enumerate(row):
-                widths[k] = max(widths[k], max(map(len, cell), default=0))
+            for k, cell in row:
+                widths[k] = max(widths.get(k, 0), min(MAX_COLUMN, max(map(len, cell), default=0)))
+        columns = sorted(widths)
+        start, at = {}, 0
+        for k in columns:
+            start[k], at = at, at + widths[k] + 2
         out = []
         for row in self.rows:
-            for n in range(max((len(cell) for cell in row), default=0)):
-                out.append("  ".join((cell[n] if n < len(cell) else "").ljust(widths[k]) for k, cell in enumerate(row)).rstrip())
+            for n in range(max((len(cell) for _, cell in row), default=0)):
+                pieces, size = [], 0
+                for k, cell in row:
+                    if n < len(cell) and cell[n]:
+                        gap = max(start[k] - size, 2 if size else 0)
+                        pieces += [" " * gap, cell[n]]
+                        size += gap + len(cell[n])
+                out.append("".join(pieces).rstrip())
         return out
 
 
@@ -258,7 +304,7 @@ def render(root: Node) -> list[str]:
                 continue
             if tag in ("td", "th") and tables:
                 if not tables[-1].rows:
-                    tables[-1].rows.append([])
+                    tables[-1].start_row()
                 boxes.append(Box())
             elif tag in BLOCK:
                 nested = tag in ("ul", "ol", "menu", "dir") and bool(lists)
@@ -277,7 +323,7 @@ def render(root: Node) -> list[str]:
             elif tag == "table":
                 tables.append(Table())
             elif tag == "tr" and tables:
-                tables[-1].rows.append([])
+                tables[-1].start_row()
             elif tag in ("pre", "xmp", "listing", "plaintext", "textarea"):
                 keep += 1
             elif tag == "hr":
@@ -289,9 +335,8 @@ def render(root: Node) -> list[str]:
             walk += [(child, False) for child in reversed(shown)]
             continue
         if tag in ("td", "th") and tables:
-            tables[-1].rows[-1].append(boxes.pop().done())
             span = node.attrs.get("colspan", "1")
-            tables[-1].rows[-1] += [[] for _ in range(min(int(span), 1000) - 1)] if span.isdecimal() else []
+            tables[-1].add(boxes.pop().done(), max(1, min(int(span), 1000)) if re.fullmatch(r"[0-9]{1,9}", span) else 1)
             continue
         if tag in ("pre", "xmp", "listing", "plaintext", "textarea"):
             keep -= 1

@@ -55,6 +55,21 @@ def test_depth_is_no_limit():
     assert page_text("<ul><li>" * 300 + "x").strip().endswith("x")
 
 
+def test_hostile_pages_stay_cheap():
+    """Long numbers, tags that never end, deep nesting, wide cells and spans: time and output stay in proportion."""
+    digits = "1" * 5000
+    assert page_text(f"a &#{digits}; b") == "a \ufffd b"
+    assert page_text(f"&#{'0' * 5000}65;") == "A"
+    assert page_text(f"<table><tr><td colspan={digits}>x<td>y</table>") == "x  y"
+    assert page_text("x <b y " * 30_000).count("<b") == 30_000
+    assert page_text("<div>x" * 30_000).count("x") == 30_000
+    assert page_text("<b>" * 30_000 + "x" + "</i>" * 30_000) == "x"
+    assert len(page_text("<blockquote>x" * 5_000)) < 300 * 5_000
+    wide = page_text("<table><tr><td>" + "w" * 100_000 + "<td>z" + "<tr><td>a<td>b" * 1_000 + "</table>")
+    assert len(wide) < 500_000 and wide.startswith("w" * 100_000 + "  z\na" + " " * 201 + "b\n")
+    assert page_text("<table>" + "<td colspan=1000>x" * 2_000 + "</table>") == "  ".join("x" * 2_000)
+
+
 def test_all_visible_words_stay_in_order(spark):
     """Against a plainer reading of the test pages: tags and unseen elements cut out."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
