@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldframe.llm.shared import small_batches, stage
@@ -94,14 +94,12 @@ def learn_profiles(docs: DataFrame, length: int = PROFILE) -> list[tuple[str, in
     rows = docs.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
     counts = stage(rows.mapInPandas(count, "lang string, code bigint, n bigint")
                    .groupBy("lang", "code").agg(F.sum("n").alias("n")), "ngrams")
-    langs = [r.lang for r in counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
-    if len(langs) > MAX_LANGUAGES:
+    if counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
-    out = []
-    for lang in langs:
-        top = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "code").limit(length)
-        out += [(lang, r.code, k) for k, r in enumerate(top.collect())]
-    return out
+    # Spark limits each language to its first rows before the exchange of a window that is cut by rank
+    by_rank = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
+    top = counts.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= length)
+    return [(r.lang, r.code, r.rank - 1) for r in top.select("lang", "code", "rank").collect()]
 
 
 def predict_language(docs: DataFrame, profiles: list[tuple[str, int, int]], length: int = PROFILE,
