@@ -9,7 +9,7 @@ the stream is cut every ``length`` tokens: only its last sequence can be padded.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +28,22 @@ class Encoder:
     """Ids of a ``tokenizers`` file without added special tokens.
 
     A byte-level BPE file whose merges are in id order is run by ``tiktoken``, which gives the same ids
-    several times faster; any other file by ``tokenizers`` itself.
+    several times faster; any other file by ``tokenizers`` itself, as is a text with a run of white space
+    (about a million) that is too long for the regular expressions of ``tiktoken``.
     """
 
     def __init__(self, path: str, fast: bool = True):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocab_size = max(max(spec["model"]["vocab"].values()), *(t["id"] for t in spec["added_tokens"]), 0) + 1
         self.fast = self._tiktoken(spec) if fast else None
-        if not self.fast:
-            import tokenizers
 
-            self.slow = tokenizers.Tokenizer.from_file(path)
+    @cached_property
+    def slow(self):
+        import tokenizers
+
+        return tokenizers.Tokenizer.from_file(self.path)
 
     @staticmethod
     def _tiktoken(spec: dict):
@@ -65,7 +69,10 @@ class Encoder:
 
     def __call__(self, text: str) -> list[int]:
         if self.fast:
-            return self.fast.encode(text, allowed_special="all")
+            try:
+                return self.fast.encode(text, allowed_special="all")
+            except ValueError:  # the regular expression's stack is full
+                pass
         return self.slow.encode(text, add_special_tokens=False).ids
 
 

@@ -459,6 +459,13 @@ def test_fast_and_plain_encoders_agree(docs, tokenizer):
     assert not other.fast and other("hello there")
 
 
+def test_encoder_takes_very_long_runs():
+    """Runs of white space that are too long for the fast encoder give the plain one's ids."""
+    enc = packing.encoder(TOKENIZER)
+    for text in (" " * 1_500_000 + "a", "\n" * 1_200_000, "a" * 300_000):
+        assert enc(text) == enc.slow.encode(text, add_special_tokens=False).ids
+
+
 def test_hilbert_neighbours_touch():
     for dims, bits in ((2, 4), (3, 3), (4, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
