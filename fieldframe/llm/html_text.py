@@ -3,7 +3,8 @@
 A tree builder reads the markup, adds the end tags that HTML implies and leaves out what a browser does
 not show; the renderer then lays the tree out as lines: blocks start lines, paragraphs are set apart by
 a blank line, list items have markers and indents, table cells are aligned in columns, preformatted
-text keeps its spaces. All visible text is emitted.
+text keeps its spaces. The text elements of drawings (SVG) and the parts of formulas (MathML) that stand
+at different places are set apart by spaces. All visible text is emitted.
 """
 
 from __future__ import annotations
@@ -21,8 +22,19 @@ from fieldframe.llm.shared import small_batches
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
-UNSEEN = frozenset("head script style title noscript template iframe noembed noframes object audio video canvas svg math datalist "
-                   "area param source track map colgroup".split())
+UNSEEN = frozenset("head script style title noscript template iframe noembed noframes object audio video canvas datalist "
+                   "area param source track colgroup".split())
+# parts of drawings and formulas that are not shown; of the children of FIRST_SHOWN only the first is
+UNSEEN_IN = {"svg": frozenset("desc metadata defs symbol clippath mask pattern marker filter lineargradient radialgradient".split()),
+             "math": frozenset("annotation annotation-xml mphantom".split())}
+FIRST_SHOWN = frozenset("semantics maction".split())
+# formula parts whose children stand at different places (above, below, raised), and the rows of formula tables
+SPREAD = frozenset("mfrac msup msub msubsup munder mover munderover mroot mmultiscripts mtd".split())
+FORMULA_ROWS = frozenset("mtr mlabeledtr".split())
+# elements of drawings and formulas that hold HTML, and start tags of HTML that end a drawing or formula
+HOLDS_HTML = {"svg": frozenset("foreignobject desc title".split()), "math": frozenset("mi mo mn ms mtext annotation-xml".split())}
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta "
+                       "nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 # blocks with a blank line around them, and blocks that only start a line
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table blockquote pre figure fieldset hr xmp listing plaintext".split())
 BLOCK = SPACED | frozenset("address article aside body center dd details dialog dir div dt figcaption footer form header hgroup html "
@@ -59,10 +71,16 @@ MAX_COLUMN = 200  # a longer cell does not widen its column
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    """An element; ``space`` is "svg" or "math" for the elements of drawings and formulas."""
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    __slots__ = ("tag", "attrs", "children", "space")
+
+    def __init__(self, tag: str, attrs: dict[str, str], space: str = ""):
+        self.tag, self.attrs, self.children, self.space = tag, attrs, [], space
+
+    def inner(self) -> str:
+        """``space`` of the elements it holds."""
+        return "" if self.space and self.tag in HOLDS_HTML[self.space] else self.space
 
 
 def _short_reference(m: re.Match) -> str:
@@ -82,14 +100,31 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
+def self_closed(text: str) -> bool:
+    """True if the attributes of a tag end with a slash that is not part of a value without quotes."""
+    if not text.endswith("/"):
+        return False
+    word = text.rsplit(None, 1)[-1]
+    return word == "/" or word[-2] in "\"'" or "=" not in word
+
+
 def hidden(node: Node) -> bool:
     """True if the element and all it holds are not shown."""
     a = node.attrs
+    if node.space and (node.tag in UNSEEN_IN[node.space] or a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse")):
+        return True
     if node.tag in UNSEEN or "hidden" in a or node.tag == "input" and a.get("type", "").lower() == "hidden":
         return True
     return bool(a) and "style" in a and bool(HIDING.search(a["style"]))
 
 
+def own_lines(node: Node) -> bool:
+    """True for the parts of drawings and formulas that stand on lines of their own."""
+    if node.space == "svg":
+        return node.tag == "foreignobject"
+    return node.tag in FORMULA_ROWS or node.tag == "math" and node.attrs.get("display") == "block"
+
+
 def build_tree(text: str) -> Node:
     """Tree of elements and strings, with implied end tags."""
     root = Node("html", {})
@@ -131,7 +166,13 @@ def build_tree(text: str) -> Node:
             return root
         put(text[at:m.start()])
         at = m.end()
+        space = stack[-1].inner()
         if not m[2]:
+            if space and text.startswith("<![CDATA[", m.start()):
+                stop = text.find("]]>", m.start())
+                stop = len(text) if stop < 0 else stop
+                stack[-1].children.append(text[m.start() + 9:stop])
+                at = stop + 3
             continue
         tag = m[2].lower()
         if m[1]:
@@ -155,19 +196,27 @@ def build_tree(text: str) -> Node:
             continue
         if stack[-1].tag == "head" and tag not in IN_HEAD:
             cut(len(stack) - 1)
-        if tag in BLOCK:
+        if space and tag in BREAKS_OUT:
+            low = len(stack)
+            while stack[low - 1].inner():
+                low -= 1
+            cut(low)
+            space = ""
+        if tag in ("svg", "math"):
+            space = tag
+        if tag in BLOCK and not space:
             close({"p"}, SCOPE)
-        if tag in ENDS:
+        if tag in ENDS and not space:
             close(*ENDS[tag])
-        if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
+        if not space and tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             row = Node("tr", {})
             stack[-1].children.append(row)
             push(row)
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, space)
         stack[-1].children.append(node)
-        if tag in VOID:
+        if tag in VOID or space and self_closed(m[3]):
             continue
-        if tag in RAW:
+        if tag in RAW and not space:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(text, at)
             stop = end.start() if end else len(text)
             if tag in ("textarea", "title", "xmp"):
@@ -276,9 +325,9 @@ class Table:
 
 
 def render(root: Node) -> list[str]:
-    """Lines of the visible text of a tree. The walk keeps its own stack: nesting depth is no limit."""
+    """Lines of the visible text of a tree; ``label`` counts the open text elements of drawings. The walk keeps its own stack: nesting depth is no limit."""
     boxes, tables, lists = [Box()], [], []
-    keep = 0
+    keep = label = 0
     walk: list[tuple] = [(root, False)]
     while walk:
         node, leaving = walk.pop()
@@ -290,6 +339,24 @@ def render(root: Node) -> list[str]:
         if not leaving:
             if hidden(node):
                 continue
+            if node.space:
+                walk.append((node, True))
+                shown = node.children
+                if own_lines(node):
+                    box.block(False)
+                elif node.space == "svg":
+                    if tag in ("text", "tspan", "textpath"):
+                        box.space = box.space or tag != "tspan" or not node.attrs.keys().isdisjoint(("x", "y", "dy"))
+                        label += tag == "text"
+                    if not label and node.inner():
+                        shown = [c for c in shown if not isinstance(c, str)]  # only text elements show text
+                elif tag in FIRST_SHOWN:
+                    first = next((c for c in shown if not isinstance(c, str)), None)
+                    shown = [c for c in shown if isinstance(c, str) or c is first]
+                elif tag in SPREAD:
+                    shown = [" ", *(piece for c in shown for piece in (c, " "))]
+                walk += [(child, False) for child in reversed(shown)]
+                continue
             if tag == "br":
                 box.end_line(force=bool(box.inline) or keep > 0)
                 continue
@@ -334,6 +401,13 @@ def render(root: Node) -> list[str]:
                 shown = [c for c in shown if not isinstance(c, str) and c.tag == "summary"]
             walk += [(child, False) for child in reversed(shown)]
             continue
+        if node.space:
+            if node.space == "svg" and tag == "text":
+                box.space = True
+                label -= 1
+            elif own_lines(node):
+                box.block(False)
+            continue
         if tag in ("td", "th") and tables:
             span = node.attrs.get("colspan", "1")
             tables[-1].add(boxes.pop().done(), max(1, min(int(span), 1000)) if re.fullmatch(r"[0-9]{1,9}", span) else 1)

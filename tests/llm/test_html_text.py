@@ -44,6 +44,37 @@ def test_layout(markup, want):
     assert page_text(markup) == want
 
 
+DRAWN = [
+    ("<p>so <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> holds", "so x= 1 2 holds"),
+    ("<math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow>"
+     "<annotation encoding=tex>no</annotation><annotation-xml><mi>no</mi></annotation-xml></semantics></math>", "E=m c 2"),
+    ("<math display=block><mtable><mtr><mtd>a</mtd><mtd>b</mtd></mtr><mtr><mtd>c</mtd><mtd>d</mtd></mtr></mtable></math>end", "a b\nc d\nend"),
+    ("<math><mphantom>no</mphantom><maction><mi>yes</mi><mi>no</mi></maction></math>", "yes"),
+    ("<svg><title>no</title><desc>no</desc><metadata>no</metadata><defs><text>no</text></defs><style>no</style>no<g>no"
+     "<text x=1>one<tspan>!</tspan><tspan x=2>two</tspan></text><text>three</text></g></svg>", "one! two three"),
+    ("<svg><title/><style/><path d='M 1'/><rect width=3 /><text>a &lt; b</text></svg> after", "a < b after"),
+    ("<svg><text><![CDATA[c<d>]]></text><foreignObject><p>in</p>side</foreignObject></svg>out", "c<d>\n\nin\n\nside\nout"),
+    ("<svg><text display=none>no</text><g visibility=hidden><text>no</text></g><a href=x>no<text>link</text></a></svg>", "link"),
+    ("<svg>no<p>the drawing ends here</svg>", "the drawing ends here"),
+    ("<svg><td>no<text>t</text></td></svg><table><td><svg><text>in</text></svg><td>cell</table>", "t\n\nin  cell"),
+    ("<map name=m><area alt=no><p>choose <a href=x>north</a></map>", "choose north"),
+    ("<desc>shown</desc> <metadata>as</metadata> <annotation>unknown</annotation>", "shown as unknown"),
+]
+
+
+@pytest.mark.parametrize("markup,want", DRAWN)
+def test_formulas_drawings_and_maps(markup, want):
+    """What a browser shows of them is text; titles, definitions, annotations and stray text are not."""
+    assert page_text(markup) == want
+
+
+def test_hostile_drawings_stay_cheap():
+    assert page_text("<svg>" + "<g>" * 30_000 + "<text>x").count("x") == 1
+    assert page_text("<math>" + "<msup><mi>x" * 10_000).count("x") == 10_000
+    assert page_text("<svg><p>x" * 10_000).count("x") == 10_000
+    assert page_text("<svg><text>" + "<![CDATA[x" * 10_000).count("x") == 10_000
+
+
 def test_null_and_odd_input():
     assert page_text(None) is None
     for markup in ("<", "<>", "</", "<!", "<!--", "<a", "<a b='", "&", "&#;", "<table><table>", "<li>", "</td>", "<td>x", "\x00", "<script>", "<xmp></xmp>"):
