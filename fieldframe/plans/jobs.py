@@ -68,7 +68,9 @@ def preprocess(raw: DataFrame, surface: DataFrame | None, out_root: str, from_ye
     stored = IO.read_year_range(spark, f"{out_root}/fields", from_year)
     small = {"stats": FL.feature_stats(stored)}
     if grid is not None:
-        small["toa_stats"] = FO.toa_stats(FO.toa_radiation(stored.select("time").distinct(), grid))
+        # a given number of partitions is not merged: the few times bring a whole grid each
+        times = stored.select("time").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "time")
+        small["toa_stats"] = FO.toa_stats(FO.toa_radiation(times, grid))
     out = {"fields": IO.read_fields(spark, f"{out_root}/fields")}
     for name, table in small.items():
         IO.write_table(table, f"{out_root}/{name}")

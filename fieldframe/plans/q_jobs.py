@@ -271,7 +271,7 @@ RAW_VIEWS = dict(f3=V.SQL_F3_RAW, sfc=V.SQL_F3_SURFACE)
 def _preprocessed(spark, d):
     static = V.f2_static(spark, d)
     return JB.preprocess(V.f3_raw(spark, d), V.f3_surface(spark, d), IO.scratch_path(spark, "preprocess"), 1998, ids=["cell"],
-                         grid=V.f2_cells(spark, d).where("lon_i = 0"), static=static.withColumn("holes", F.lit(float("nan"))),
+                         grid=V.f2_cells(spark, d), static=static.withColumn("holes", F.lit(float("nan"))),
                          static_variables=["geopotential_at_surface", "land_sea_mask", "holes"])
 
 
@@ -308,6 +308,18 @@ def c_preprocess_store(spark, d):
         (F.col("mean") * cells).alias("total")))
 
 
+@register(
+    "c_preprocess_toa",
+    V.with_views("SELECT avg(toa) AS toa_mean, stddev_pop(toa) AS toa_std FROM toa", f3=V.SQL_F3_RAW, sfc=V.SQL_F3_SURFACE,
+                 f4=f"""SELECT * FROM (SELECT DISTINCT CAST(time AS TIMESTAMP) AS time FROM (SELECT time FROM f3 UNION ALL SELECT time FROM sfc)
+  WHERE year(time) >= 1998) CROSS JOIN ({V.SQL_F2_CELLS})""", toa=TOA_SQL),
+    floats=["toa_mean", "toa_std"], digits=2,
+)
+def c_preprocess_toa(spark, d):
+    """C1 with A2: the stored TOA statistics over every cell and all stored times from 1998 on."""
+    return _preprocessed(spark, d)["toa_stats"]
+
+
 @register(
     "s_small_table",
     V.with_views("SELECT feature, avg(value) AS mean, stddev_pop(value) AS std, max(value) AS max, min(value) AS min FROM f2 GROUP BY feature", f2=V.SQL_F2),

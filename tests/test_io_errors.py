@@ -209,6 +209,18 @@ def test_preprocess_adds_surface_winds(spark, tmp_path):
     assert cut["toa_stats"].count() == 1 and cut["fields"].count() == 2 * len(names)
 
 
+def test_preprocess_radiation_covers_the_whole_grid(spark):
+    """The stored TOA statistics of the job are those of every cell and every stored time."""
+    from fieldframe.operators import forcings as FO
+    from fieldframe.plans import q_jobs
+    tables = q_jobs._preprocessed(spark, D)
+    times = tables["fields"].where("year >= 1998").select("time").distinct()
+    toa = FO.toa_radiation(times, V.f2_cells(spark, D))
+    assert toa.select("lon_i").distinct().count() > 1
+    got, want = tables["toa_stats"].first(), FO.toa_stats(toa).first()
+    assert got["toa_mean"] == pytest.approx(want["toa_mean"]) and got["toa_std"] == pytest.approx(want["toa_std"])
+
+
 def test_training_arrays_pack_order(spark):
     from fieldframe.operators.fields import feature_catalog
     from fieldframe.plans import jobs as JB
