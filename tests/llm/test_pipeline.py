@@ -1,5 +1,6 @@
 """The corpus pipeline against a brute-force version of all its stages, and its edge cases."""
 
+import base64
 import re
 from collections import Counter, defaultdict
 
@@ -74,6 +75,24 @@ def test_planted_cases(spark):
     assert left == {900001, 900003, 900006}
 
 
+def test_language_stage_rejects_junk_and_unlearned_languages(spark):
+    """Random letters, base64 and other languages in learned letters go; short clean texts stay."""
+    rng = np.random.default_rng(7)
+    learn = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    junk = ["".join(rng.choice(letters, 300)), " ".join("".join(rng.choice(letters, n)) for n in rng.integers(2, 10, 200)),
+            base64.b64encode(rng.bytes(60)).decode(), base64.b64encode(rng.bytes(3000)).decode(),
+            "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+            "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan."]
+    clean = ["from", "The", "of the", "this work is", "une", "de la", "und", "que", "los",
+             "Todos los seres humanos nacen libres e iguales en dignidad y derechos y, dotados como están de razón y conciencia, deben comportarse fraternalmente los unos con los otros."]
+    planted = [(900000 + k, t, None) for k, t in enumerate(junk)] + [(910000 + k, t, None) for k, t in enumerate(clean)]
+    docs = spark.createDataFrame([(*row, None, None) for row in learn + planted], DOC)
+    left = {r.doc_id for r in corpus_pipeline.identified(spark, docs, SF).collect()}
+    assert {d for d in left if d >= 900000} == {910000 + k for k in range(len(clean))}
+    assert {d for d, _, _ in learn} <= left
+
+
 @pytest.mark.parametrize("number,name", [(7, "language_id"), (4, "exact_dedup"), (2, "near_dedup"), (1, "decontaminate"), (9, "packing")])
 def test_stage_order(number, name):
     names = [n for n, _ in corpus_pipeline.STAGES]
