@@ -20,6 +20,8 @@ from fieldframe.llm.shared import stage, tables
 MIN_LANGUAGE_SCORE = 0.33
 MIN_SHORT_SCORE = 0.25
 SHORT_LETTERS = 5
+# a shorter run of words of the benchmark in a longer document is not a passage of it
+MIN_MATCHED_WORDS = 5
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +46,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of ``benchmark``."""
-    return decontaminate.drop_contaminated(docs, tables(spark, sf_dir, "benchmark"))
+    """Documents without a passage of ``benchmark``; a shorter item counts where it is all the text."""
+    return decontaminate.drop_contaminated(docs, tables(spark, sf_dir, "benchmark"), least=MIN_MATCHED_WORDS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

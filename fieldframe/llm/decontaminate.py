@@ -208,8 +208,13 @@ def _search(broadcast, key: str, window: int):
     return search
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` in which no window of an item occurs, columns unchanged."""
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: int = 1) -> DataFrame:
+    """The rows of ``docs`` that no item contaminates, columns unchanged.
+
+    A row goes if a run of ``least`` or more of its words lies inside occurrences of windows, or if all
+    its words do. With ``least`` up to ``window``, only items of fewer than ``least`` words depend on it:
+    an answer of a word or two is found in very many clean texts.
+    """
     row = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col("text").alias("_text"))
     found = find_occurrences(row, items, window, text_col="_text")
-    return found.where("size(spans) = 0").select("row.*")
+    return found.where(f"""NOT exists(spans, s -> s.stop - s.first >= {least} OR s.stop - s.first = n_words)""").select("row.*")

@@ -93,6 +93,16 @@ def test_language_stage_rejects_junk_and_unlearned_languages(spark):
     assert {d for d, _, _ in learn} <= left
 
 
+def test_short_items_keep_clean_documents(spark, tmp_path):
+    """A benchmark answer of a word or two drops only what is nothing else; longer items still drop their documents."""
+    items = [(1, "one"), (2, "Paris"), (3, "New York"), (4, "what is the capital of France")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "this one is a clean text about Paris and New York"), (2, "PARIS!"), (3, "so What is the capital of France? asks one"),
+            (4, "a text of no item"), (5, None), (6, "the capital of France")]
+    docs = spark.createDataFrame([(d, t, "en", None, None) for d, t in rows], DOC)
+    assert {r.doc_id for r in corpus_pipeline.uncontaminated(spark, docs, str(tmp_path)).collect()} == {1, 4, 5, 6}
+
+
 @pytest.mark.parametrize("number,name", [(7, "language_id"), (4, "exact_dedup"), (2, "near_dedup"), (1, "decontaminate"), (9, "packing")])
 def test_stage_order(number, name):
     names = [n for n, _ in corpus_pipeline.STAGES]
