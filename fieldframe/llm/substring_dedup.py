@@ -1,11 +1,12 @@
-"""Removal of repeated passages by prefix-partitioned suffix trees over words.
+"""Removal of repeated passages of words by anchored windows, in place of prefix-partitioned suffix trees.
 
 Every window of ``window`` words is a suffix cut at that depth; it is repeated if the suffix tree of all
-documents has a node at that depth above two or more leaves. The tree is never built whole. Each window
+documents has a node at that depth above two or more leaves. No tree is built, and no maximal repeats come
+out: the names of windows at that one depth say all that the removal needs. Each window
 picks an anchor, its run of ``PREFIX`` words with the smallest hash, so equal windows pick the same
 anchor words; only anchors that occur twice can lie in a repeated window, and only the text around them
 is gathered. Suffixes are split by those prefixes, and a prefix group with more than ``GROUP``
-occurrences is split by prefixes as long as the window. Inside a group the nodes of the subtree are named
+occurrences is split by the 128-bit hashes of its whole windows. Inside a smaller group the nodes are named
 depth by depth (1, 2, 4, ... words), which makes two suffixes share a name exactly when they share their
 first words.
 """
