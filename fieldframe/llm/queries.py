@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldframe.llm import decontaminate, exact_dedup, html_text, language_id, lm_score, near_dedup, packing, sharding, substring_dedup, warc
+from fieldframe.llm import (decontaminate, exact_dedup, filter_audit, html_text, language_id, line_dedup, lm_score, near_dedup, packing, ranked_search,
+                            sharding, substring_dedup, warc)
 from fieldframe.llm.shared import tables
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -76,8 +77,24 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, ["doc_id"], SHARDS).withColumn("law", F.lit("key"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five text filters in all 120 orders over every document, by language."""
+    return filter_audit.audit_filters(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return ranked_search.rank_documents(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that three documents or more share."""
+    out = line_dedup.drop_repeated_lines(tables(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_near_dedup, op3_html_text, op4_exact_dedup, op5_substring_dedup, op6_lm_score, op7_language_id,
-                                op8_warc, op9_packing, op10_sharding)}
+                                op8_warc, op9_packing, op10_sharding, op11_filter_audit, op12_ranked_search, op13_line_dedup)}
 
 LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ITEM_WORDS_SQL = f"regexp_extract_all({LOWER_SQL}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
@@ -130,5 +147,50 @@ SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 100 AND
        CASE WHEN n >= 100 AND page_id <> f THEN f END AS refers_to
 FROM (SELECT page_id, n, h, min(page_id) OVER (PARTITION BY h) AS f
       FROM (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha256(coalesce(html, '')) AS h FROM pages))
+""",
+    "op11_filter_audit": f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+                     FROM documents),
+f AS (SELECT d.part, coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic,
+             CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+             || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' ELSE '' END
+             || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+             || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS failed
+      FROM d LEFT JOIN labels l USING (doc_id)),
+c AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+o(s) AS (SELECT '' UNION ALL SELECT s || x FROM o, unnest(['A', 'B', 'C', 'D', 'E']) AS u(x) WHERE NOT contains(s, x)),
+p AS (SELECT part, s AS filter_order, k::INT AS step, s[k] AS x, s[1:k - 1] AS before FROM o, range(1, 6) AS r(k), (SELECT DISTINCT part FROM c) WHERE length(s) = 5),
+q AS (SELECT p.part, filter_order, step, x,
+             sum(CASE WHEN NOT contains(failed, x) AND translate(failed, before, '') = failed THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN contains(failed, x) AND translate(failed, before, '') = failed THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN contains(failed, x) AND translate(failed, before, '') <> failed THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN failed = x THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN contains(failed, x) AND translate(failed, before, '') = failed THEN good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN contains(failed, x) AND translate(failed, before, '') = failed THEN toxic ELSE 0 END) AS toxic_lost
+      FROM p JOIN c USING (part) GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM q
+""",
+    "op12_ranked_search": f"""
+WITH d AS (SELECT doc_id, {ITEM_WORDS_SQL} AS ws FROM documents),
+s AS (SELECT count(*)::BIGINT AS docs, sum(len(ws))::BIGINT AS words FROM d WHERE len(ws) > 0),
+tf AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS w FROM d) GROUP BY doc_id, w),
+wt AS (SELECT w, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS wt FROM tf, s GROUP BY w, docs),
+m AS (SELECT doc_id, 100 - 90 + (90 * len(ws) * docs) // words AS m FROM d, s WHERE len(ws) > 0),
+i AS (SELECT DISTINCT item_id, unnest({ITEM_WORDS_SQL}) AS w FROM benchmark),
+sc AS (SELECT item_id, doc_id, CAST(sum(wt * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+       FROM i JOIN wt USING (w) JOIN tf USING (w) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM sc WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+""",
+    "op13_line_dedup": """
+WITH line AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS k, unnest(ls) AS l FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+ln AS (SELECT *, translate(regexp_replace(l, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM line),
+freq AS (SELECT key, max(doc_id) AS last FROM ln WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(l, chr(10) ORDER BY k) AS t FROM ln LEFT JOIN freq USING (key) WHERE last IS NULL OR last = doc_id GROUP BY doc_id)
+SELECT a.doc_id, a.n AS n_lines, a.n - coalesce(kept.n, 0) AS n_dropped, sha256(coalesce(t, '')) AS kept_sha256
+FROM (SELECT doc_id, count(*) AS n FROM line GROUP BY doc_id) a LEFT JOIN kept USING (doc_id)
 """,
 }
