@@ -22,10 +22,13 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
+def text_digest(text):
+    return F.unhex(F.sha2(F.encode(normalised(text), "UTF-8"), 256))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id``, ``digest``): SHA-256 of each whole normalised text in UTF-8, as 32 bytes."""
-    return docs.select(F.col(f"`{id_col}`").alias("id"),
-                       F.unhex(F.sha2(F.encode(normalised(F.col(f"`{text_col}`")), "UTF-8"), 256)).alias("digest"))
+    return docs.select(F.col(f"`{id_col}`").alias("id"), text_digest(F.col(f"`{text_col}`")).alias("digest"))
 
 
 class DigestIndex:
@@ -104,8 +107,24 @@ def exact_duplicates(docs: DataFrame, arrivals: int = 2, index: DigestIndex | No
         F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def one_row_per_key(docs: DataFrame, keys: dict) -> DataFrame:
+    """(the ``keys``, ``row``) of ``docs``, rows as structs: one row of each key, the same one in every run.
+    Repeats collapse before they are shuffled."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("row"), F.xxhash64(*columns).alias("tie"), *[c.alias(k) for k, c in keys.items()])
+    return rows.groupBy(*keys).agg(F.min_by("row", "tie").alias("row"))
+
+
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text an earlier document (smaller ``doc_id``) has. A row without
-    an id stays."""
-    copies = exact_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti")
+    """``docs`` without the rows whose text another row with a smaller ``doc_id`` has, columns unchanged.
+
+    A row is known by its id and text together: of rows that repeat both one stays, and an id that holds
+    several texts loses only those that a smaller id holds. A null id is larger than any other: of the rows of
+    a text that has null ids alone, one stays.
+    """
+    index = DigestIndex(docs.sparkSession)
+    index.ingest(digests(docs))
+    kept = stage(index.groups().select("digest", F.col("keep_id").isNull().alias("no_id"), F.coalesce("keep_id", F.lit(0).cast("bigint")).alias("id")), "kept")
+    index.close()
+    keys = {"digest": text_digest(F.col("text")), "no_id": F.col("doc_id").isNull(), "id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0).cast("bigint"))}
+    return one_row_per_key(docs, keys).join(kept.hint("merge"), list(keys), "left_semi").select("row.*")

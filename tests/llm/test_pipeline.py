@@ -9,23 +9,45 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldframe.llm import language_id
-from tests.llm.test_operators import DOC, TEXTS, brute_components, brute_hits, squash
+from fieldframe.llm import language_id, near_dedup
+from tests.llm.test_operators import DOC, ITEM_WORDS, TEXTS, brute_components, lower, squash
 
 SF = "/root/testdata/sf0.001"
 
 
+def brute_runs(rows, items, m=10):
+    """(id, words, lengths of the runs of words inside windows of items)."""
+    windows = set()
+    for _, text in items:
+        w = ITEM_WORDS.findall(lower(text or ""))
+        windows |= {tuple(w[k:k + m]) for k in range(max(1, len(w) - m + 1))} - {()}
+    for doc, text in rows:
+        w = ITEM_WORDS.findall(lower(text or ""))
+        hit = bytearray(len(w))
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k:k + n]) in windows:
+                    hit[k:k + n] = b"x" * n
+        yield doc, len(w), [len(x) for x in bytes(hit).split(b"\0") if x]
+
+
 def expected_ids(rows, items, profiles):
     """Ids that are left before packing."""
     p = language_id.Profiles(profiles, language_id.PROFILE)
-    rows = [(d, t) for d, t in rows if p.predict(t)[0] != "und" and p.predict(t)[1] >= corpus_pipeline.MIN_LANGUAGE_SCORE]
+
+    def identified(t):
+        lang, score = p.predict(t)
+        short = sum(c.isalpha() for c in t or "") < corpus_pipeline.SHORT_LETTERS
+        return lang != "und" and score >= (corpus_pipeline.MIN_SHORT_SCORE if short else corpus_pipeline.MIN_LANGUAGE_SCORE)
+
+    rows = [(d, t) for d, t in rows if identified(t)]
     first = {}
     for d, t in sorted(rows):
         first.setdefault(squash(t), d)
     rows = [(d, t) for d, t in rows if first[squash(t)] == d]
     groups = brute_components(rows)
     rows = [(d, t) for d, t in rows if groups[d][1] == d]
-    hit = {d for d, _, n, _ in brute_hits(rows, items) if n}
+    hit = {d for d, n, runs in brute_runs(rows, items) if any(r >= corpus_pipeline.MIN_MATCHED_WORDS or r == n for r in runs)}
     return {d: t for d, t in rows if d not in hit}
 
 
@@ -57,6 +79,60 @@ def test_stages_keep_the_columns_and_take_edge_rows(spark):
         assert set(corpus_pipeline.STAGES[-1][1](spark, data, SF).columns) >= {"doc_id", "ids", "sequence_id", "offset"}
 
 
+def test_true_law_of_short_texts_and_items(spark, tmp_path):
+    """The brute-force version follows the stages where a text has few letters and an item few words."""
+    learn = [(r.doc_id, r.text, r.lang, None, None) for r in spark.read.parquet(f"{SF}/documents.parquet").where("n_chars > 300").collect()]
+    common = [w for w, _ in Counter(w for row in learn for w in row[1].split()).most_common(30)]
+    planted = [(900000 + k, t, None, None, None) for k, t in enumerate(common + ["xq", "zzkq", "qx wz", "kwzx"])]
+    items = [(1, common[0]), (2, " ".join(learn[0][1].split()[:6])), (3, " ".join(learn[1][1].split()[:4]))]
+    docs = spark.createDataFrame(learn + planted, DOC)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    profiles = language_id.learn_profiles(docs.where(~language_id.held_out("doc_id")))
+    want = expected_ids([(r.doc_id, r.text) for r in docs.collect()], items, profiles)
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(want)
+    assert any(d >= 900000 for d in want) and any(d not in want for d, *_ in planted)
+
+
+def key_rows(spark, rows):
+    df = spark.createDataFrame([(d, t, "en", None, n) for n, (d, t) in enumerate(rows)], DOC)
+    return df.withColumns({c: F.lit("clash") for c in ("row", "tie", "digest", "no_id", "id", "at", "text_key", "kept", "group", "class", "first", "n")})
+
+
+def stay(out):
+    return sorted(((r.doc_id, r.text) for r in out.select("doc_id", "text").collect()), key=str)
+
+
+LONGER = " ".join(f"long{k}" for k in range(60))
+NEAR = LONGER.replace("long30", "changed")
+
+
+@pytest.mark.parametrize("stage", [1, 2])
+def test_dedup_stages_lose_no_text(spark, stage):
+    """One id with two texts, rows that repeat, and null ids: no text goes that no other row holds."""
+    step = corpus_pipeline.STAGES[stage][1]
+    rows = [(1, "same text here"), (1, "same text here"), (1, "unique text other"), (0, "unique text other"), (None, "x y"), (None, "x y"), (None, "null alone"),
+            (7, "x y z"), (None, "x y z"), (7, "x y z"), (-(1 << 63), "least id"), ((1 << 63) - 1, "least id")]
+    want = [(1, "same text here"), (0, "unique text other"), (None, "x y"), (None, "null alone"), (7, "x y z"), (-(1 << 63), "least id")]
+    docs = key_rows(spark, rows)
+    out = step(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert stay(out) == sorted(want, key=str)
+
+
+def test_near_copies_of_one_id_with_two_texts(spark):
+    """Links are those of texts: ids 2 and 3 are each near one of the two texts of id 1."""
+    other = LONGER.replace("long", "word")
+    rows = [(1, LONGER), (1, other), (2, NEAR), (3, other.replace("word30", "changed")), (None, NEAR), (4, LONGER + " tail"), (5, "far from all of them"), (None, None), (6, "")]
+    docs = key_rows(spark, rows)
+    assert stay(corpus_pipeline.without_near_copies(spark, docs, SF)) == sorted([(1, LONGER), (1, other), (5, "far from all of them"), (None, None), (6, "")], key=str)
+    got = near_dedup.near_duplicates(docs).collect()
+    assert sorted(((r.doc_id, r.component_id, r.kept) for r in got), key=str) == sorted(
+        [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, 1, False), (4, 1, False), (5, 5, True), (None, None, True), (6, 6, True)], key=str)
+    exact = near_dedup.near_duplicates(docs, likely=0).collect()
+    assert sorted(exact, key=str) == sorted(got, key=str)
+
+
 def test_planted_cases(spark):
     """Copies, near copies and benchmark passages go; clean documents stay."""
     rng = np.random.default_rng(5)
