@@ -49,6 +49,9 @@ def _running_slots(shard: np.ndarray, taken: np.ndarray) -> np.ndarray:
     return slots
 
 
+MADE = ("shard", "grown_shard", "slot")
+
+
 def assign_shards(df: DataFrame, key: list[str], shards: int) -> DataFrame:
     """``df`` with ``shard``, ``grown_shard`` (its shard when one more is appended) and ``slot`` (its
     gapless position in the shard, from 0).
@@ -60,30 +63,26 @@ def assign_shards(df: DataFrame, key: list[str], shards: int) -> DataFrame:
     """
     spark = df.sparkSession
     small_batches(spark)
-    made = ["shard", "grown_shard", "slot", "_task", "_key"]
-    rows = df.withColumn("_key", F.xxhash64(*[F.col(f"`{c}`") for c in key])).drop(*made[:4])
-    kept = [f for f in rows.schema.fields if f.name != "_key"]
-    schema = T.StructType(kept + [T.StructField("shard", T.IntegerType()), T.StructField("grown_shard", T.IntegerType()),
-                                  T.StructField("slot", T.LongType()), T.StructField("_task", T.IntegerType())])
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in MADE])
+    rows = df.select(row.alias("row"), F.xxhash64(*[F.col(f"`{c}`") for c in key]).alias("key"))
+    schema = T.StructType([rows.schema["row"], *(T.StructField(c, T.LongType() if c == "slot" else T.IntegerType()) for c in (*MADE, "task"))])
 
     def place(batches):
         taken = np.zeros(shards, np.int64)
         task = TaskContext.get().partitionId()
         for b in batches:
-            keys = b.column("_key").to_numpy(zero_copy_only=False).view(np.uint64)
+            keys = b.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
             shard = jump_shard(keys, shards)
             yield pa.RecordBatch.from_arrays(
-                [b.column(f.name) for f in kept]
-                + [pa.array(shard), pa.array(jump_shard(keys, shards + 1)), pa.array(_running_slots(shard, taken)),
-                   pa.array(np.full(len(keys), task, np.int32))],
-                names=schema.names)
+                [b.column("row"), pa.array(shard), pa.array(jump_shard(keys, shards + 1)), pa.array(_running_slots(shard, taken)),
+                 pa.array(np.full(len(keys), task, np.int32))], names=schema.names)
 
     placed = stage(rows.mapInArrow(place, schema), "shards")
-    counts = placed.groupBy("_task", "shard").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("_task", "shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    out = placed.join(first, ["_task", "shard"])
-    return out.select(*[f"`{f.name}`" for f in kept], "shard", "grown_shard", (F.col("slot") + F.col("_first")).alias("slot"))
+    counts = placed.groupBy("task", "shard").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("task", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    out = placed.join(first, ["task", "shard"])
+    return out.select("row.*", "shard", "grown_shard", (F.col("slot") + F.col("first")).alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fieldframe.llm import filter_audit, line_dedup, ranked_search
+from fieldframe.llm import filter_audit, line_dedup, ranked_search, sharding
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -214,3 +214,16 @@ def test_line_removal_matches_brute_force(corpora, name, least):
     got = line_dedup.drop_repeated_lines(docs, *least)
     assert got.columns == ["doc_id", "n_lines", "n_dropped", "kept"]
     assert sorted(map(tuple, got.collect()), key=str) == brute_lines([tuple(r) for r in docs.select("doc_id", "text").collect()], *least)
+
+
+# ---- 10 names that the operator uses inside
+
+def test_sharding_keeps_columns_of_any_name(docs):
+    names = ["_first", "_n", "_task", "_key", "task", "row", "first", "key"]
+    out = sharding.assign_shards(docs.withColumns({c: F.lit("mine") for c in [*names, "slot"]}), ["doc_id"], 5)
+    rows = out.collect()
+    assert all(r[c] == "mine" for r in rows for c in names) and len(rows) == docs.count()
+    taken = defaultdict(list)
+    for r in rows:
+        taken[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in taken.values())
