@@ -73,7 +73,8 @@ def drop_repeated_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS,
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     lines = stage(hashed_lines(rows, least_chars), "lines")
     frequent = stage(repeated_lines(lines, least_documents), "frequent-lines")
-    gone = lines.join(frequent, "key").where("NOT id <=> keep_id").groupBy("id", "text_key").agg(F.collect_set("pos").alias("gone"))
+    # sort-merge joins at every size: neither the frequent lines nor the positions have a bound that would fit a broadcast
+    gone = lines.join(frequent.hint("merge"), "key").where("NOT id <=> keep_id").groupBy("id", "text_key").agg(F.collect_set("pos").alias("gone"))
     gone = stage(gone.withColumnsRenamed({"id": "gone_id", "text_key": "gone_key"}), "dropped-lines")
     drop_staged(lines)
     drop_staged(frequent)
@@ -90,5 +91,5 @@ def drop_repeated_lines(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS,
             out.append((n, n - len(lines), "\n".join(lines)))
         return pd.DataFrame(out, columns=["n_lines", "n_dropped", "kept"])
 
-    both = rows.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key")), "left")
+    both = rows.join(gone.hint("merge"), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("text_key") == F.col("gone_key")), "left")
     return both.withColumn("made", reassemble("text", "gone")).select(F.col("id").alias("doc_id"), "made.*")
