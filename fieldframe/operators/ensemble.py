@@ -248,15 +248,14 @@ def rmse_curves(ens, det, truth, keys, min_step: int = 1) -> DataFrame:
 def domain_average(ens, truth, keys, obs: DataFrame | None = None) -> DataFrame:
     """Grid-mean series per member, of the ensemble mean, of truth and optional observations.
 
-    The ensemble is read once, and no cell is shuffled: a member's grid mean is a map-side aggregate, and the
-    ensemble-mean series is the mean of the members' series, which equals the grid mean of the cell means
-    because every member of a field holds the same cells.
+    A member's series is a map-side aggregate. The ensemble mean is taken per cell first, then over the grid, so
+    members that lack cells weigh in each cell they have and in no other.
     """
-    members = ens.groupBy(*keys, "member").agg(F.avg("value").alias("value"))
-    one = F.struct(F.lit("member").alias("series"), F.col("member").cast("int").alias("member"), F.col("value"))
-    mean = F.struct(F.lit("ensemble_mean").alias("series"), F.lit(None).cast("int").alias("member"), F.avg("value").alias("value"))
-    both = members.groupBy(*keys).agg(F.concat(F.collect_list(one), F.array(mean)).alias("s"))
-    out = both.select(*keys, F.explode("s").alias("s")).select(*keys, "s.*")
+    none = F.lit(None).cast("int").alias("member")
+    members = ens.groupBy(*keys, F.col("member").cast("int").alias("member")).agg(F.avg("value").alias("value"))
+    mean = ensemble_mean(ens, keys).groupBy(*keys).agg(F.avg("value").alias("value"))
+    out = members.select(*keys, F.lit("member").alias("series"), "member", "value").unionByName(
+        mean.select(*keys, F.lit("ensemble_mean").alias("series"), none, "value"))
     others = {"truth": truth} | ({"observation": obs} if obs is not None else {})
     for series, df in others.items():
         out = out.unionByName(df.groupBy(*keys).agg(F.avg("value").alias("value"))

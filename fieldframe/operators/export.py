@@ -63,8 +63,16 @@ def export_records(forecast: DataFrame, mapping: DataFrame, deet_default: int =
 
 def pack_channels(long: DataFrame, catalog: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     """Per key, channel values in catalogue order followed by the ``extra`` columns
-    (forcings, constants) in the given order. A feature outside the catalogue raises."""
+    (forcings, constants) in the given order. A feature outside the catalogue raises. ``extra`` columns are
+    the same in every row of a key: they ride along as values and are no part of the grouping."""
+    out = pack_vectors(long, catalog, keys, {"x": "value"}, extra)
+    return out.select(*keys, F.concat("x", F.array(*[F.col(c).cast("double") for c in extra])).alias("x") if extra else "x")
+
+
+def pack_vectors(long: DataFrame, catalog: DataFrame, keys: Sequence[str], vectors: dict[str, str], extra: Sequence[str] = ()) -> DataFrame:
+    """Per key: for each ``name: column`` of ``vectors`` the values of that column in catalogue order, and the
+    ``extra`` columns, which are the same in every row of a key. A key's rows are bounded by the catalogue."""
     j = join_all(long, F.broadcast(catalog.select("feature", "idx")), ["feature"], "catalogue entry")
-    g = j.groupBy(*keys, *extra).agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_c"))
-    dyn = F.transform("_c", lambda c: c["value"])
-    return g.select(*keys, F.concat(dyn, F.array(*[F.col(c).cast("double") for c in extra])).alias("x") if extra else dyn.alias("x"))
+    channel = F.struct("idx", *[F.col(c).alias(name) for name, c in vectors.items()])
+    g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(channel)).alias("_c"), *[F.first(c).alias(c) for c in extra])
+    return g.select(*keys, *[F.col(f"_c.{name}").alias(name) for name in vectors], *extra)

@@ -1,8 +1,9 @@
 """Forcing fields: time-of-day / year-progress, top-of-atmosphere radiation, static grids.
 
-TOA plan: the solar terms of all quadrature nodes are computed once per time
-(an array of node structs), the grid (bounded, size-checked) is broadcast, and
-the quadrature sum runs inside each row with ``aggregate`` -- no shuffle at all.
+TOA plan: the quadrature is linear in three terms of the cell, so the solar terms of all nodes are
+computed once per time (three numbers a node), the trigonometry of the grid once per cell, and a row is
+left with sums of products, which compile with the rest of its stage. Both small sides are broadcast
+behind a size check; field rows are not shuffled for it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 from fieldframe.config import SOLAR_CONSTANT
 from fieldframe.functions import physics as P
+from fieldframe.operators.joins import bounded_broadcast, join_all
+
+NODES = 15
 
 
 def time_micros(time_col: str = "time") -> Column:
@@ -62,25 +66,51 @@ def quadrature_terms(time_col: str = "time", n_nodes: int = 15) -> Column:
     return F.transform(nodes, term)
 
 
-def toa_radiation(times: DataFrame, grid: DataFrame, time_col: str = "time", n_nodes: int = 15) -> DataFrame:
+def toa_coefficients(times: DataFrame, time_col: str = "time", n_nodes: int = NODES) -> DataFrame:
+    """(time, ``sun``): per time and node the factors of the cell's terms (:func:`cell_terms`). By angle addition
+    the weighted cosine of the zenith is ``a sin(lat) + b cos(lat) cos(lon) - e cos(lat) sin(lon)``."""
+    q = times.select(time_col, quadrature_terms(time_col, n_nodes).alias("_q"))
+    made = [x for k in range(n_nodes) for n in [f"_q[{k}]"] for x in (
+        f"{n}.c * {n}.sd AS a{k}", f"{n}.c * {n}.cd * cos({n}.off) AS b{k}", f"{n}.c * {n}.cd * sin({n}.off) AS e{k}")]
+    return q.selectExpr(f"`{time_col}`", f"struct({', '.join(made)}) AS sun")
+
+
+def _place() -> Column:
+    phi, lam = F.radians("latitude"), F.radians("longitude")
+    return F.struct(F.sin(phi).alias("p"), (F.cos(phi) * F.cos(lam)).alias("q"), (F.cos(phi) * F.sin(lam)).alias("r"))
+
+
+def cell_terms(grid: DataFrame) -> DataFrame:
+    """(lat_i, lon_i, ``place``): the three terms of each cell that the radiation is linear in."""
+    return grid.select("lat_i", "lon_i", _place().alias("place"))
+
+
+def _radiation(n_nodes: int) -> Column:
+    """The quadrature sum over ``sun`` and ``place``; a node weight is positive, so it may stand inside the maximum."""
+    return F.expr(" + ".join(f"greatest(0D, place.p * sun.a{k} + place.q * sun.b{k} - place.r * sun.e{k})" for k in range(n_nodes)))
+
+
+def toa_radiation(times: DataFrame, grid: DataFrame, time_col: str = "time", n_nodes: int = NODES) -> DataFrame:
     """M9: TOA solar radiation integrated over the hour ending at each time, on every grid cell.
 
-    ``times`` holds distinct times; ``grid`` holds (lat_i, lon_i, latitude, longitude). The
-    output is one value per (time, cell): the grid -- bounded by the dataset's grid size
-    (2,048 cells at 5.625 degrees, about 1 M at 0.25 degrees) -- is broadcast to the
-    time-partitioned side; no shuffle.
+    ``times`` holds distinct times; ``grid`` holds (lat_i, lon_i, latitude, longitude). The output is
+    one value per (time, cell): the product of both is the output domain itself. The grid (2,048 cells at
+    5.625 degrees, about 1 M at 0.25 degrees) is broadcast to the time-partitioned side if the planner
+    bounds its size, else the planner deals both sides out.
     """
-    t = times.select(time_col, quadrature_terms(time_col, n_nodes).alias("_q"))
-    g = F.broadcast(grid.select("lat_i", "lon_i", "latitude", "longitude"))
-    phi = F.radians(F.col("latitude"))
-    lam = F.radians(F.col("longitude"))
-    sphi, cphi = F.sin(phi), F.cos(phi)
-    toa = F.aggregate(
-        "_q",
-        F.lit(0.0),
-        lambda acc, q: acc + F.greatest(F.lit(0.0), sphi * q["sd"] + cphi * q["cd"] * F.cos(lam + q["off"])) * q["c"],
-    )
-    return t.crossJoin(g).select(time_col, "lat_i", "lon_i", "latitude", "longitude", toa.alias("toa"))
+    g = bounded_broadcast(grid.select("lat_i", "lon_i", "latitude", "longitude", _place().alias("place")))
+    t = toa_coefficients(times, time_col, n_nodes)
+    return t.crossJoin(g).select(time_col, "lat_i", "lon_i", "latitude", "longitude", _radiation(n_nodes).alias("toa"))
+
+
+def attach_toa(df: DataFrame, times: DataFrame, grid: DataFrame, time_col: str = "time", n_nodes: int = NODES) -> DataFrame:
+    """M9 on field rows: ``df`` with ``toa``. The factors of the time and the terms of the cell are joined as lookups
+    (broadcast behind a size check), so the field is neither joined with the time x grid product nor
+    shuffled for it. A row whose time is not in ``times``, or whose cell is not in ``grid``, raises."""
+    kept = [f"`{c}`" for c in df.columns if c != "toa"]
+    x = join_all(df, bounded_broadcast(toa_coefficients(times, time_col, n_nodes)), [time_col], "radiation")
+    x = join_all(x, bounded_broadcast(cell_terms(grid)), ["lat_i", "lon_i"], "radiation")
+    return x.select(*kept, _radiation(n_nodes).alias("toa"))
 
 
 def toa_stats(toa: DataFrame) -> DataFrame:

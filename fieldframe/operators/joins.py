@@ -19,17 +19,19 @@ from fieldframe.config import TIME_RESOLUTION_H
 
 
 MAX_BROADCAST_BYTES = 64 << 20
+# rows in memory are larger than the compressed columns that the planner's size of a stored table counts
+IN_MEMORY = 4
 
 
 def bounded_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint for a side whose size the planner bounds by ``max_bytes`` before it runs.
+    """Broadcast hint for a side that the planner bounds by ``max_bytes`` of memory before it runs.
 
-    The bound is the optimised plan's size: the file size of a stored table, and for a derived one
-    that of what it is derived from (an aggregate has no more rows than its input). A larger side
-    gets no hint and the planner's shuffle join; the choice never changes the rows.
+    The bound is ``IN_MEMORY`` times the optimised plan's size: the file size of a stored table, and for a
+    derived one that of what it is derived from (an aggregate has no more rows than its input). A larger
+    side gets no hint and the planner's shuffle join; the choice never changes the rows.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= max_bytes else df
+    return F.broadcast(df) if size * IN_MEMORY <= max_bytes else df
 
 
 def join_all(df: DataFrame, side: DataFrame, on: Sequence[str], what: str) -> DataFrame:
@@ -82,50 +84,64 @@ def refresh_exogenous(state: DataFrame, exo: DataFrame, exo_cols: Sequence[str])
     return join_all(s, e, ["valid_time", "lat_i", "lon_i"], "forcings")
 
 
-def rescale_with_truth(fc: DataFrame, mu_sigma: DataFrame, keys: Sequence[str] = ("time", "feature")) -> DataFrame:
+def rescale_with_truth(fc: DataFrame, mu_sigma: DataFrame, keys: Sequence[str] = ("time", "feature"), strict: bool = True) -> DataFrame:
     """Value * sigma + mu with the truth's per-field mu/sigma at the valid time.
 
     This keeps the reference's behaviour of scaling with statistics of the
-    truth at the valid time (not at initialisation).
+    truth at the valid time (not at initialisation). A row whose valid time has no truth raises, or is
+    left out if not ``strict`` (forecasts that run past the observed period, as in J4).
     """
-    j = fc.join(mu_sigma.select(*keys, "mu", "sigma"), list(keys), "inner")
+    ms = mu_sigma.select(*keys, "mu", "sigma")
+    j = join_all(fc, bounded_broadcast(ms), keys, "truth") if strict else fc.join(ms, list(keys), "inner")
     return j.withColumn("value", F.col("value") * F.col("sigma") + F.col("mu")).drop("mu", "sigma")
 
 
 def nearest(df: DataFrame, targets: DataFrame, coord: str, target_col: str = "target",
-            keys: Sequence[str] = ()) -> DataFrame:
+            keys: Sequence[str] = (), parts: int | None = None) -> DataFrame:
     """For every target value, the ``coord`` value of ``df`` nearest to it (ties -> smaller).
 
-    Implemented as an as-of join: targets and distinct coordinates are unioned
-    on one axis, and the previous / next coordinate around each target come
-    from ``last``/``first(ignorenulls)`` windows partitioned by ``keys``.
+    An as-of merge over ranges: distinct coordinates and targets fall into ``parts`` equal ranges of the
+    axis (default: one per shuffle partition without ``keys``, one with), each range also gets the last
+    coordinate before it and the first one after it, and ``last``/``first(ignorenulls)`` windows inside a
+    range find the neighbours of its targets. So no task sorts the whole axis, with or without keys. A
+    null target, and a target without any coordinate, has no nearest one.
     """
-    coords = df.select(*keys, F.col(coord).alias("_c")).distinct()
-    a = coords.select(*keys, F.col("_c").alias("_pos"), F.col("_c"), F.lit(None).cast(targets.schema[target_col].dataType).alias("_t"))
-    b = targets.select(*keys, F.col(target_col).alias("_pos"), F.lit(None).cast(a.schema["_c"].dataType).alias("_c"), F.col(target_col).alias("_t"))
-    u = a.unionByName(b)
-    # coordinates sort before a target at the same position
-    order = [F.col("_pos"), F.col("_t").isNotNull()]
-    w_prev = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    w_next = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    u = u.withColumn("_prev", F.last("_c", ignorenulls=True).over(w_prev)).withColumn(
-        "_next", F.first("_c", ignorenulls=True).over(w_next)
-    )
-    t = u.where(F.col("_t").isNotNull())
-    is_time = isinstance(a.schema["_c"].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    keys = list(keys)
+    n = parts or (1 if keys else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kind, is_time = targets.schema[target_col].dataType, isinstance(df.schema[coord].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
 
-    def num(c: str):
+    def num(c):
         return F.unix_micros(F.col(c).cast("timestamp")).cast("double") if is_time else F.col(c).cast("double")
 
+    coords = df.select(*keys, F.col(coord).alias("_c")).where("_c IS NOT NULL").distinct()
+    ends = coords.agg(F.struct(F.min(num("_c")).alias("lo"), F.max(num("_c")).alias("hi"))).scalar()
+    width = F.nullif((ends["hi"] - ends["lo"]) / F.lit(float(n)), F.lit(0.0))
+
+    def part(c):
+        at = F.floor((num(c) - ends["lo"]) / width) if n > 1 else F.lit(0)
+        return F.greatest(F.lit(0), F.least(F.coalesce(at, F.lit(0)), F.lit(n - 1))).cast("int")
+
+    a = coords.select(*keys, part("_c").alias("_part"), "_c")
+    if n > 1:  # one row per range and key
+        own = a.groupBy(*keys, "_part").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi"))
+        later = own.where(F.col("_part") < n - 1).select(*keys, F.explode(F.sequence(F.col("_part") + 1, F.lit(n - 1))).alias("_part"), "_hi")
+        earlier = own.where(F.col("_part") > 0).select(*keys, F.explode(F.sequence(F.lit(0), F.col("_part") - 1)).alias("_part"), "_lo")
+        a = a.unionByName(later.groupBy(*keys, "_part").agg(F.max("_hi").alias("_c"))).unionByName(
+            earlier.groupBy(*keys, "_part").agg(F.min("_lo").alias("_c")))
+    t = targets.select(*keys, F.col(target_col).alias("_t")).distinct()
+    u = a.select("*", F.lit(None).cast(kind).alias("_t")).unionByName(t.select(*keys, part("_t").alias("_part"), F.lit(None).cast(a.schema["_c"].dataType).alias("_c"), "_t"))
+    # coordinates sort before a target at the same position
+    order = [F.coalesce(num("_c"), num("_t")), F.col("_t").isNotNull()]
+    w = Window.partitionBy(*keys, "_part").orderBy(*order)
+    u = u.select("*", F.last("_c", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_prev"),
+                 F.first("_c", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_next"))
+
     def dist(c: str):
         return F.abs(num(c) - num("_t"))
-    pick = (
-        F.when(F.col("_prev").isNull(), F.col("_next"))
-        .when(F.col("_next").isNull(), F.col("_prev"))
-        .when(dist("_next") < dist("_prev"), F.col("_next"))
-        .otherwise(F.col("_prev"))
-    )
-    return t.select(*keys, F.col("_t").alias(target_col), pick.alias(f"nearest_{coord}")).distinct()
+
+    pick = (F.when(F.col("_prev").isNull(), F.col("_next")).when(F.col("_next").isNull(), F.col("_prev"))
+            .when(dist("_next") < dist("_prev"), F.col("_next")).otherwise(F.col("_prev")))
+    return u.where(F.col("_t").isNotNull()).select(*keys, F.col("_t").alias(target_col), pick.alias(f"nearest_{coord}"))
 
 
 # Sweep parameters encoded as path segments.

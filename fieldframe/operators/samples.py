@@ -1,9 +1,9 @@
 """Time-axis sequence operators: time index, input/target pairing, sample windows,
 mini-batches, shards, evaluation points and member selection.
 
-No window runs over field data without a partition key: the time index is
-arithmetic on the timestamp, pairing is an equi-join on shifted time, and the
-only global orderings rank small key tables (distinct samples or members).
+No window runs over field data without a partition key: the time index is a lookup in the numbered time
+axis, pairing is an equi-join on shifted time, and the only global orderings rank small key tables
+(distinct samples or members, one row per span of the time axis).
 """
 
 from __future__ import annotations
@@ -15,27 +15,36 @@ from pyspark.sql import functions as F
 
 from fieldframe.config import TIME_RESOLUTION_H
 from fieldframe.functions.hashing import hash_uniform
+from fieldframe.operators.joins import bounded_broadcast, join_all
 
 
-def time_index(df: DataFrame, res_h: int = TIME_RESOLUTION_H, time_col: str = "time", col: str = "t_idx",
-               times: DataFrame | None = None) -> DataFrame:
-    """Position (from 0) of each time among the distinct times of ``times`` (default: of ``df``).
+SPAN_DAYS = 32
 
-    Positions are the slot on the ``res_h`` clock minus the empty slots before it: the earliest time and
-    the empty slots (none on a regular axis) come from one scalar subquery over the time axis, so field
-    rows are neither joined nor ranked.
+
+def time_positions(times: DataFrame, time_col: str = "time", col: str = "t_idx") -> DataFrame:
+    """(time, ``t_idx``): each distinct time and its position (from 0) in time order, whatever the spacing.
+
+    Times are sorted inside spans of ``SPAN_DAYS``; the counts of the spans (one row each) give every span
+    its first position. No task holds more than a span of the axis.
     """
-    axis = (times if times is not None else df).select(F.unix_seconds(F.col(time_col).cast("timestamp")).alias("s")).distinct()
-    t0 = axis.agg(F.min("s")).scalar()
+    span = F.floor(F.unix_seconds(F.col(time_col).cast("timestamp")) / F.lit(SPAN_DAYS * 86400)).alias("_span")
+    axis = times.select(F.col(time_col)).where(F.col(time_col).isNotNull()).distinct()
+    spans = axis.groupBy(span).agg(F.sort_array(F.collect_list(time_col)).alias("_times"))
+    before = Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    first = spans.select("_span", F.size("_times").alias("_n")).select("_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    out = spans.join(F.broadcast(first), "_span").select("_first", F.posexplode("_times").alias("_pos", time_col))
+    return out.select(time_col, (F.col("_first") + F.col("_pos")).cast("long").alias(col))
 
-    def slot(seconds):
-        return F.floor((seconds - t0) / F.lit(res_h * 3600)).cast("long")
 
-    taken = F.collect_set(slot(F.col("s")))
-    empty = axis.agg(F.array_except(F.sequence(F.lit(0).cast("long"), F.max(slot(F.col("s")))), taken)).scalar()
-    here = slot(F.unix_seconds(F.col(time_col).cast("timestamp")))
-    slotted = df.select("*", here.alias("_slot"), empty.alias("_empty"))
-    return slotted.withColumn(col, F.col("_slot") - F.size(F.filter("_empty", lambda e: e < F.col("_slot")))).drop("_slot", "_empty")
+def time_index(df: DataFrame, time_col: str = "time", col: str = "t_idx", times: DataFrame | None = None) -> DataFrame:
+    """``df`` with the position (from 0) of its time among the distinct times of ``times`` (default: of ``df``).
+
+    The axis is a lookup table, broadcast behind a size check, so a row costs the same whatever the spacing
+    or gaps of the axis. A time that ``times`` does not hold raises.
+    """
+    axis = time_positions(times if times is not None else df, time_col, col)
+    out = join_all(df.drop(col), bounded_broadcast(axis), [time_col], "position")
+    return out.select(*[f"`{c}`" for c in df.columns if c != col], col)
 
 
 def pair_next(long: DataFrame, keys: Sequence[str] = ("feature", "lat_i", "lon_i"), res_h: int = TIME_RESOLUTION_H,
@@ -49,8 +58,7 @@ def pair_next(long: DataFrame, keys: Sequence[str] = ("feature", "lat_i", "lon_i
     return x.join(y, ["x_time", *keys], "inner")
 
 
-def sample_windows(long: DataFrame, k: int, res_h: int = TIME_RESOLUTION_H, time_col: str = "time",
-                   times: DataFrame | None = None) -> DataFrame:
+def sample_windows(long: DataFrame, k: int, time_col: str = "time", times: DataFrame | None = None) -> DataFrame:
     """Sample s has inputs at indices s..s+k-1 and targets s+1..s+k (n - k samples);
     ``k = 0`` (diffusion) makes every time a one-row sample.
 
@@ -58,9 +66,7 @@ def sample_windows(long: DataFrame, k: int, res_h: int = TIME_RESOLUTION_H, time
     sequence): the replication is the training table itself. ``times`` (the distinct time
     axis) lets a caller with an expensive ``long`` plan derive the axis from a cheap table.
     """
-    df = time_index(long, res_h, time_col, times=times)
-    axis = time_index(times, res_h, time_col) if times is not None else df
-    df = df.withColumn("_n", axis.agg(F.max("t_idx") + 1).scalar())
+    df = time_index(long, time_col, times=times)
     if k == 0:
         return df.select(F.col("t_idx").alias("sample"), F.lit("input").alias("role"), F.lit(0).alias("offset"),
                          *[c for c in long.columns])
@@ -69,7 +75,8 @@ def sample_windows(long: DataFrame, k: int, res_h: int = TIME_RESOLUTION_H, time
              for j in range(k)]
     slots += [F.struct(F.lit("target").alias("role"), F.lit(j).alias("offset"), (F.col("t_idx") - 1 - j).alias("sample"))
               for j in range(k)]
-    u = df.select("*", F.explode(F.array(*slots)).alias("_s"))
+    n = (times if times is not None else long).agg(F.countDistinct(time_col)).scalar()
+    u = df.select("*", F.explode(F.array(*slots)).alias("_s"), n.alias("_n"))
     u = u.where((F.col("_s.sample") >= 0) & (F.col("_s.sample") <= F.col("_n") - k - 1))
     return u.select(F.col("_s.sample").alias("sample"), F.col("_s.role").alias("role"),
                     F.col("_s.offset").cast("int").alias("offset"), *long.columns)
@@ -161,12 +168,11 @@ def even_steps(df: DataFrame, k: int, step_col: str = "step", axis: DataFrame |
     return df.join(F.broadcast(steps), step_col, "left_semi")
 
 
-def eval_window(long: DataFrame, start: int, n: int, n_samples_offset: int = 1,
-                res_h: int = TIME_RESOLUTION_H, time_col: str = "time") -> DataFrame:
+def eval_window(long: DataFrame, start: int, n: int, n_samples_offset: int = 1, time_col: str = "time") -> DataFrame:
     """The ``start``-th to ``start + n - 1``-th valid-set times become steps 0..n-1; raises unless
     start + n < #samples (#samples = #times - ``n_samples_offset``). Times count by position, so a gap
     in the axis takes no step."""
-    df = time_index(long, res_h, time_col)
+    df = time_index(long, time_col)
     n_samples = long.agg(F.countDistinct(time_col) - n_samples_offset).scalar()
     df = df.where((F.col("t_idx") >= start) & (F.col("t_idx") < start + n))
     step = F.when(F.lit(start + n) >= n_samples, F.raise_error(F.lit(f"the window of {n} steps from {start} ends after the last sample"))) \

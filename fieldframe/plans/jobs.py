@@ -111,23 +111,39 @@ def training_table(long: DataFrame, grid: DataFrame, constants: DataFrame, const
     are taken over the slice's times and grid. ``switch`` (feature, enabled) selects features (P9).
     A cell without constants or radiation raises: no row of the slice is lost on the way.
 
-    Plan: the slice is shuffled on the field for its statistics and on (time, cell) for the radiation;
-    time forcings are expressions of the time, and constants are broadcast behind a size check.
+    Plan: the slice is shuffled once, on the field for its statistics. Radiation, constants and the time's
+    position are lookups by time or cell, broadcast behind a size check, and time forcings are expressions
+    of the time. The slice's time axis is written as a small table first.
     """
     spark = long.sparkSession
     s = IO.time_range(long, start, end, steps=steps, res_h=res_h)
-    times = s.select("time").distinct()
+    times = stored_axis(s)
     if switch is not None:
         s = FL.enabled_features(s, FL.feature_catalog(spark), switch)
-    s = s.withColumn("value", F.when(F.isnan("value"), F.raise_error(F.lit("NaN found in the field values")))
-                     .otherwise(F.col("value")))
-    z = FL.standardize_field(s, keep_stats=True)
-    toa = FO.toa_radiation(times, grid)
-    toa = FO.normalize_toa(toa, toa_stats if toa_stats is not None else FO.toa_stats(toa)).select("time", *CELL, "toa_norm")
+    z = FL.standardize_field(without_nan(s), keep_stats=True)
     cst = FO.normalize_constants(constants, FL.constant_stats(constants, constant_vars), constant_vars)
-    x = J.join_all(FO.time_forcings(z), toa, ["time", *CELL], "radiation")
-    x = J.attach_constants(x, cst)
-    return S.sample_windows(x, steps, res_h, times=times)
+    x = J.attach_constants(with_toa(FO.time_forcings(z), times, grid, toa_stats), cst)
+    return S.sample_windows(x, steps, times=times)
+
+
+def stored_axis(long: DataFrame) -> DataFrame:
+    """The distinct times of ``long`` as a small table (S5): what is derived from it has a size that the planner
+    knows, and does not read the fields again."""
+    path = IO.scratch_path(long.sparkSession, "axis")
+    IO.write_table(long.select("time").distinct(), path)
+    return IO.read_table(long.sparkSession, path)
+
+
+def without_nan(long: DataFrame) -> DataFrame:
+    """``long``, raising on a NaN value."""
+    bad = F.raise_error(F.lit("NaN found in the field values"))
+    return long.withColumn("value", F.when(F.isnan("value"), bad).otherwise(F.col("value")))
+
+
+def with_toa(x: DataFrame, times: DataFrame, grid: DataFrame, toa_stats: DataFrame | None) -> DataFrame:
+    """``x`` with ``toa_norm`` (M9, M10): by the stored one-row statistics (A2), or those of ``times`` x ``grid``."""
+    stats = toa_stats if toa_stats is not None else FO.toa_stats(FO.toa_radiation(times, grid))
+    return FO.normalize_toa(FO.attach_toa(x, times, grid), stats).drop("toa")
 
 
 TRAIN_FORCINGS = ["toa_norm", "sin_time_of_day", "cos_time_of_day", "sin_year_progress", "cos_year_progress"]
@@ -143,16 +159,17 @@ def training_arrays(table: DataFrame, catalog: DataFrame, constant_cols: Sequenc
     return packed.withColumn("x", F.transform("x", lambda v: v.cast("float")))
 
 
-def diffusion_table(long: DataFrame, operator_output: DataFrame | None, seed, res_h: int = 6,
-                    constants: DataFrame | None = None, timesteps: int = DIFFUSION_STEPS) -> DataFrame:
+def diffusion_table(long: DataFrame, operator_output: DataFrame | None, seed, constants: DataFrame | None = None,
+                    timesteps: int = DIFFUSION_STEPS, grid: DataFrame | None = None, toa_stats: DataFrame | None = None) -> DataFrame:
     """Every time is a sample (k = 0); NaN guard, standardised state, hashed diffusion step and noise,
     condition mix (null / operator / clean), target (operator output or clean) and its forward-noised
-    state sqrt(ab) x + sqrt(1 - ab) eps; the time forcings and, if given, the normalised ``constants``
-    (lat_i, lon_i, ...) of every row. A missing operator output or constant raises."""
+    state sqrt(ab) x + sqrt(1 - ab) eps; then the exogenous channels of every row: normalised TOA radiation if
+    ``grid`` (lat_i, lon_i, latitude, longitude) is given (statistics as in C2), the time forcings and, if
+    given, the normalised ``constants`` (lat_i, lon_i, ...). A missing operator output, constant or
+    radiation raises."""
     spark = long.sparkSession
-    long = long.withColumn("value", F.when(F.isnan("value"), F.raise_error(F.lit("NaN found in the field values")))
-                           .otherwise(F.col("value")))
-    w = S.sample_windows(FL.standardize_field(long), 0, res_h, times=long.select("time").distinct())
+    times = stored_axis(long)
+    w = S.sample_windows(FL.standardize_field(without_nan(long)), 0, times=times)
     w = D.assign_diffusion_step(w, ["sample"], seed, timesteps)
     w = D.condition_mix(w, ["sample"], seed)
     w = D.gaussian_noise(w, ["sample", "feature", *CELL], seed)
@@ -167,6 +184,9 @@ def diffusion_table(long: DataFrame, operator_output: DataFrame | None, seed, re
     w = w.withColumn("target", F.when(F.col("target_kind") == "operator", F.col("op")).otherwise(F.col("clean")))
     out = FO.time_forcings(D.forward_noise(w, D.noise_schedule(spark, timesteps), value_col="target"))
     extra = list(P.time_forcings("time"))
+    if grid is not None:
+        out = with_toa(out, times, grid, toa_stats)
+        extra.insert(0, "toa_norm")
     if constants is not None:
         out = J.attach_constants(out, constants)
         extra += [c for c in constants.columns if c not in CELL]
@@ -174,6 +194,17 @@ def diffusion_table(long: DataFrame, operator_output: DataFrame | None, seed, re
                       "diffusion_step", "noise", "noisy", *extra)
 
 
+def diffusion_arrays(table: DataFrame, catalog: DataFrame, constant_cols: Sequence[str]) -> DataFrame:
+    """C3 hand-off (M26): per (sample, cell) what the trainer reads: the state, its condition, target, noise and
+    noised target as float vectors in catalogue order, the exogenous channels (radiation, time forcings,
+    constants) as another, and the diffusion step."""
+    exogenous = [c for c in (*TRAIN_FORCINGS, *constant_cols) if c in table.columns]
+    vectors = {"state": "clean", "condition_state": "condition_value", "target": "target", "noise": "noise", "noisy": "noisy"}
+    packed = X.pack_vectors(table, catalog, ["sample", "time", *CELL], vectors, ["condition", "diffusion_step", *exogenous])
+    return packed.select("sample", "time", *CELL, "condition", "diffusion_step", *[F.transform(v, lambda x: x.cast("float")).alias(v) for v in vectors],
+                         F.array(*[F.col(c).cast("float") for c in exogenous]).alias("exogenous"))
+
+
 def compare_runs(spark: SparkSession, history: str, names: Sequence[str], run_paths: Sequence[str],
                  features: Sequence[str], out: str, keys: Sequence[str] = ("init", "step", "feature"),
                  seed=None, n_steps: int | None = None, n_members: int | None = None) -> DataFrame:
@@ -232,11 +263,12 @@ def ensemble_product_tables(ens: DataFrame, truth: DataFrame, keys: Sequence[str
 
 def rollout_inputs(forecast: DataFrame, truth: DataFrame, exo: DataFrame, exo_cols: Sequence[str], res_h: int = 6) -> DataFrame:
     """The network's next-step output (a table at init times) is standardised per field, rescaled
-    with the truth's mu/sigma at the valid time (J7) and given the forcings of that time (J6)."""
+    with the truth's mu/sigma at the valid time (J7) and given the forcings of that time (J6). Init times whose
+    next time has no truth are left out. For n steps see :mod:`fieldframe.plans.rollout`."""
     z = FL.standardize_field(forecast)
     z = z.select(F.col("time").alias("init_time"), (F.col("time") + F.make_dt_interval(F.lit(0), F.lit(res_h))).alias("time"),
                  "feature", *CELL, "value")
-    fc = J.rescale_with_truth(z, FL.field_mu_sigma(truth))
+    fc = J.rescale_with_truth(z, FL.field_mu_sigma(truth), strict=False)
     state = fc.select("init_time", F.lit(1).alias("step"), "feature", *CELL, "value")
     return J.refresh_exogenous(state, exo, exo_cols)
 

@@ -13,10 +13,12 @@ from fieldframe.operators import forcings as FO
 from fieldframe.operators import joins as J
 from fieldframe.operators import postprocess as PP
 from fieldframe.plans import jobs as JB
+from fieldframe.plans import rollout as RO
 from fieldframe.plans.q_forcings import SCHED_SQL, TOA_SQL
 from fieldframe.plans.registry import register
 from fieldframe.functions.hashing import hash_uniform_sql
 from fieldframe.sources import io as IO
+from fieldframe.sources import moments as MO
 from fieldframe.sources import testviews as V
 
 F3_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -415,7 +417,7 @@ def c_training_arrays(spark, d):
 SKEY = "CAST(sample AS VARCHAR)"
 CKEY = "concat_ws(':', sample, feature, lat_i, lon_i)"
 DIFF_SQL = f"""SELECT sample, time, feature, lat_i, lon_i, clean, condition, condition_value, target, diffusion_step, noise,
-  sqrt(alpha_bar) * target + sqrt(1 - alpha_bar) * noise AS noisy, {", ".join(f"{v} AS {k}" for k, v in TF.items())},
+  sqrt(alpha_bar) * target + sqrt(1 - alpha_bar) * noise AS noisy, toa_norm, {", ".join(f"{v} AS {k}" for k, v in TF.items())},
   {", ".join(f"cst.{c}" for c in CONSTANT_COLUMNS)} FROM (
   SELECT *, CASE condition WHEN 'null' THEN 0.0 WHEN 'operator' THEN op ELSE clean END AS condition_value,
     CASE WHEN condition = 'operator' THEN op ELSE clean END AS target FROM (
@@ -425,23 +427,104 @@ DIFF_SQL = f"""SELECT sample, time, feature, lat_i, lon_i, clean, condition, con
            WHEN {hash_uniform_sql(f'{SEED}:op', SKEY)} < 0.5 THEN 'operator' ELSE 'clean' END AS condition,
       sqrt(-2 * ln({hash_uniform_sql(f'{SEED}:1', CKEY)})) * cos(2 * pi() * {hash_uniform_sql(f'{SEED}:2', CKEY)}) AS noise
     FROM (SELECT *, CAST(dense_rank() OVER (ORDER BY time) - 1 AS BIGINT) AS sample FROM z))) r
-JOIN sched ON sched.t = diffusion_step LEFT JOIN cst USING (lat_i, lon_i)"""
+JOIN sched ON sched.t = diffusion_step LEFT JOIN tn USING (time, lat_i, lon_i) LEFT JOIN cst USING (lat_i, lon_i)"""
+DIFF_CTES = dict(f2=V.SQL_F2, sched=SCHED_SQL, f5=V.SQL_F2_STATIC, cst=CONSTANTS_SQL, f4=V.SQL_F2_GRID, toa=TOA_SQL,
+                 tn="SELECT time, lat_i, lon_i, (toa - avg(toa) OVER ()) / stddev_pop(toa) OVER () AS toa_norm FROM toa",
+                 z="""SELECT time, feature, lat_i, lon_i, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS value
+                      FROM f2 WINDOW w AS (PARTITION BY time, feature)""")
 
 
 @register(
     "c_diffusion",
-    V.with_views(DIFF_SQL, f2=V.SQL_F2, sched=SCHED_SQL, f5=V.SQL_F2_STATIC, cst=CONSTANTS_SQL,
-                 z="""SELECT time, feature, lat_i, lon_i, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS value
-                      FROM f2 WINDOW w AS (PARTITION BY time, feature)"""),
-    floats=["clean", "condition_value", "target", "noise", "noisy", *TF, *[c for c in CONSTANT_COLUMNS if c != "land_sea_mask"]],
+    V.with_views(DIFF_SQL, **DIFF_CTES),
+    floats=["clean", "condition_value", "target", "noise", "noisy", "toa_norm", *TF, *[c for c in CONSTANT_COLUMNS if c != "land_sea_mask"]],
 )
 def c_diffusion(spark, d):
-    """Diffusion training table with forcings and constants (operator output stand-in: half the
-    standardised state)."""
+    """Diffusion training table with the eleven exogenous channels: radiation, four time forcings, six
+    constants (operator output stand-in: half the standardised state)."""
+    return _diffusion(spark, d)
+
+
+def _diffusion(spark, d):
     f2, static = V.f2_obs(spark, d), V.f2_static(spark, d)
     op = FL.standardize_field(f2).select("time", "feature", "lat_i", "lon_i", (F.col("value") * 0.5).alias("value"))
     constants = FO.normalize_constants(static, FL.constant_stats(static, CONSTANT_COLUMNS[:3]), CONSTANT_COLUMNS[:3])
-    return JB.diffusion_table(f2, op, SEED, constants=constants)
+    return JB.diffusion_table(f2, op, SEED, constants=constants, grid=V.f2_cells(spark, d))
+
+
+def _floats(x: str) -> str:
+    return f"list_transform({x}, lambda v: CAST(CAST(v AS FLOAT) AS DOUBLE))"
+
+
+VECTORS = {"state": "clean", "condition_state": "condition_value", "target": "target", "noise": "noise", "noisy": "noisy"}
+
+
+@register(
+    "c_diffusion_arrays",
+    V.with_views(f"""SELECT sample, time, lat_i, lon_i, condition, diffusion_step, {", ".join(f"{_floats(f'list({c} ORDER BY idx)')} AS {v}" for v, c in VECTORS.items())},
+  {_floats(f'any_value([toa_norm, {", ".join(TF)}, {", ".join(CONSTANT_COLUMNS)}])')} AS exogenous
+FROM ({DIFF_SQL}) t JOIN cat USING (feature) GROUP BY sample, time, lat_i, lon_i, condition, diffusion_step""", cat=CAT_SQL, **DIFF_CTES),
+    arrays=[*VECTORS, "exogenous"], digits=4,
+)
+def c_diffusion_arrays(spark, d):
+    """C3 with M26: per sample and cell the vectors that the trainer reads, and the diffusion step."""
+    out = JB.diffusion_arrays(_diffusion(spark, d), FL.feature_catalog(spark), CONSTANT_COLUMNS)
+    return out.select(*[F.transform(c, lambda v: v.cast("double")).alias(c) if c in (*VECTORS, "exogenous") else F.col(c) for c in out.columns])
+
+
+ROLLOUT_STEPS = 8
+
+
+def _rollout_sql() -> str:
+    """The same steps one after the other: standardise, then the stand-in for the network."""
+    def z(source: str) -> str:
+        return f"""(SELECT init_time, feature, lat_i, lon_i, (y - avg(y) OVER w) / nullif(stddev_samp(y) OVER w, 0) AS z FROM {source}
+  WINDOW w AS (PARTITION BY init_time, feature))"""
+
+    hour = "hour(init_time + INTERVAL {h} HOUR)"
+    steps = ["s0 AS MATERIALIZED " + z("(SELECT time AS init_time, feature, lat_i, lon_i, value AS y FROM f2 JOIN whole USING (time, feature))")]
+    for k in range(1, ROLLOUT_STEPS):
+        y = f"z + 0.01 * (-87.1875 + 5.625 * lat_i) * (1 + sin(2 * pi() * {hour.format(h=6 * (k - 1))} / 24.0))"
+        steps.append(f"s{k} AS MATERIALIZED " + z(f"(SELECT init_time, feature, lat_i, lon_i, {y} AS y FROM s{k - 1})"))
+    parts = " UNION ALL ".join(f"SELECT init_time, {k} AS step, init_time + INTERVAL {6 * k} HOUR AS valid_time, feature, lat_i, lon_i, z FROM s{k}" for k in range(ROLLOUT_STEPS))
+    return f"""WITH f2 AS MATERIALIZED ({V.SQL_F2}),
+ms AS MATERIALIZED (SELECT time, feature, avg(value) AS mu, stddev_samp(value) AS sigma FROM f2 GROUP BY ALL),
+whole AS MATERIALIZED (SELECT time - to_hours(CAST(6 * k AS INT)) AS time, feature FROM ms, range({ROLLOUT_STEPS}) r(k) GROUP BY ALL HAVING count(*) = {ROLLOUT_STEPS}),
+{", ".join(steps)}
+SELECT init_time, step, valid_time, p.feature, p.lat_i, p.lon_i, z * sigma + mu AS prediction, f2.value AS ground FROM ({parts}) p
+JOIN ms ON ms.time = valid_time AND ms.feature = p.feature
+LEFT JOIN f2 ON f2.time = valid_time AND f2.feature = p.feature AND f2.lat_i = p.lat_i AND f2.lon_i = p.lon_i"""
+
+
+@register("c_rollout", _rollout_sql(), floats=["prediction", "ground"])
+def c_rollout(spark, d):
+    """C8 over 8 steps with the analysis and the truth beside the forecast (stand-in for the network: the state
+    plus a term of latitude and hour), of every field whose valid times all have truth."""
+    f2 = V.f2_obs(spark, d)
+    analysis = f2.withColumnRenamed("time", "init_time").join(RO.complete_inits(f2, ROLLOUT_STEPS), ["init_time", "feature"], "left_semi")
+    exo = FO.time_forcings(V.f2_grid(spark, d)).select("time", "lat_i", "lon_i", "latitude", "sin_time_of_day")
+
+    def network(x):
+        return x.withColumn("value", F.col("value") + 0.01 * F.col("latitude") * (1 + F.col("sin_time_of_day")))
+
+    return RO.rollout(analysis, f2, exo, ["latitude", "sin_time_of_day"], network, ROLLOUT_STEPS, IO.scratch_path(spark, "rollout"))
+
+
+@register(
+    "c_stats_refresh",
+    V.with_views("""SELECT feature, count(value) AS n, avg(value) AS mean, stddev_pop(value) AS std, max(value) AS max, min(value) AS min
+FROM (SELECT feature, CASE WHEN year = 1995 THEN 2 * value + 1 ELSE value END AS value FROM f3 WHERE year <> 1997) GROUP BY feature""", f3=V.SQL_F3_FIELDS),
+    floats=["mean", "std", "max", "min"],
+)
+def c_stats_refresh(spark, d):
+    """A1 kept up to date: moments per year, one year rewritten (S4) and one emptied, only these two read again."""
+    store, out = IO.scratch_path(spark, "refresh"), IO.scratch_path(spark, "moments")
+    fields = V.f3_fields(spark, d).withColumn("value", F.col("value").cast("double"))
+    IO.write_yearly(fields, store)
+    MO.refresh_moments(spark, store, out)
+    IO.write_yearly(fields.where("year = 1995").withColumn("value", 2 * F.col("value") + 1), store)
+    IO.write_yearly(fields.where("year = 1997").withColumn("value", F.lit(None).cast("double")), store)
+    return MO.merge_moments(MO.refresh_moments(spark, store, out, [1995, 1997]))
 
 
 @register(

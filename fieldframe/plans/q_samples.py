@@ -274,6 +274,16 @@ def j_nearest(spark, d):
     return J.nearest(f, tg, "time", "target", keys=["feature"])
 
 
+@register(
+    "j_nearest_axis",
+    V.with_views("""SELECT target, arg_min(time, (abs(epoch(time) - epoch(target)), time)) AS nearest_time
+FROM (SELECT DISTINCT time FROM f2) c, (SELECT DISTINCT ts AS target FROM events) t GROUP BY target""", f2=V.SQL_F2_GAP),
+)
+def j_nearest_axis(spark, d):
+    """J5 without keys: the nearest stored time of every event's own time, on an axis with a gap."""
+    return J.nearest(V.f2_gap(spark, d), V.event_times(spark, d), "time")
+
+
 @register(
     "j_exogenous",
     V.with_views("""SELECT time AS init_time, 1 AS step, feature, lat_i, lon_i, value, time + INTERVAL 6 HOUR AS valid_time,
@@ -298,7 +308,7 @@ def _rescaled(spark, d):
     z = FL.standardize_field(f).select(
         F.col("time").alias("init_time"), (F.col("time") + F.make_dt_interval(F.lit(0), F.lit(6))).alias("time"),
         "feature", "lat_i", "lon_i", "value")
-    return J.rescale_with_truth(z, FL.field_mu_sigma(f))
+    return J.rescale_with_truth(z, FL.field_mu_sigma(f), strict=False)
 
 
 @register("j_rescale", V.with_views(RESCALE_SQL, f2=V.SQL_F2), floats=["value"])

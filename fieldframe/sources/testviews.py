@@ -165,6 +165,16 @@ def f4_times(spark, sf_dir) -> DataFrame:
     return _read(spark, sf_dir, "events").select(six_hour_bin(F.col("ts")).alias("time")).distinct()
 
 
+def event_times(spark, sf_dir) -> DataFrame:
+    """The times of events as they are."""
+    return _read(spark, sf_dir, "events").select(F.col("ts").alias("target")).distinct()
+
+
+def f3_fields(spark, sf_dir) -> DataFrame:
+    """F3's four wind-input variables as long fields: (year, time, feature, value)."""
+    return f3_wind(spark, sf_dir).unpivot(["year", "time"], ["u", "v", "w", "t"], "feature", "value")
+
+
 def f5_static(spark, sf_dir) -> DataFrame:
     p = _read(spark, sf_dir, "part")
     return (
@@ -311,6 +321,10 @@ SELECT o_orderdate AS time, CAST(-87.1875 + 5.625 * (o_custkey % 32) AS DOUBLE)
   100000.0 + o_totalprice / 100 AS msl, CAST(o_custkey + 98000 AS DOUBLE) AS sp, CAST(o_orderkey % 50 AS DOUBLE) AS tcw,
   o_custkey % 100 / 1e4 AS tp FROM orders
 """
+SQL_F3_FIELDS = f"""
+SELECT year, time, x.feature, CAST(x.value AS DOUBLE) AS value FROM ({SQL_F3}) f,
+  LATERAL (VALUES ('u', u), ('v', v), ('w', w), ('t', t)) AS x(feature, value)
+"""
 SQL_F6 = """
 SELECT o_orderpriority AS run, year(o_orderdate) * 12 + month(o_orderdate) - 23941 AS epoch, o_orderkey AS step,
        CASE o_orderstatus WHEN 'F' THEN 'train_loss' WHEN 'O' THEN 'valid_loss' ELSE 'lr' END AS metric,
