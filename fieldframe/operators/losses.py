@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from fieldframe.config import VARIABLE_LOSS_WEIGHTS, FeatureConfig
 from fieldframe.operators.ensemble import CELL, align
-from fieldframe.operators.joins import join_all
+from fieldframe.operators.joins import bounded_broadcast, join_all
+from fieldframe.session import cut_lineage
 
 
 def mse(pred: DataFrame, target: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -113,27 +114,57 @@ def epoch_loss(log: DataFrame, keys: Sequence[str] = ("run", "epoch", "metric"),
     return per.groupBy(*keys).agg(F.avg("m").alias("epoch_loss"))
 
 
-def ensemble_summary(ens: DataFrame, reference: DataFrame, keys: Sequence[str], channel0: str) -> DataFrame:
+def lower_median(values: DataFrame, keys: Sequence[str], col: str, bins: int = 1024, rounds: int = 2) -> DataFrame:
+    """(``keys``, ``median``): the element at rank (n - 1) // 2 of ``col`` per group, exact, null and NaN left out.
+
+    Selection by counting: each round splits the range that holds the rank into ``bins``, counts the values of
+    every bin (map-side) and goes on in the bin of the rank; last, the distinct values left are counted and
+    one is picked. A group is never held: what meets is ``bins`` counts a round and the few values of
+    a ``bins ** rounds``-th of the range, ties as one. ``values`` is read ``rounds`` + 2 times: store it if it is costly.
+    """
+    keys = list(keys)
+    v = values.select(*keys, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    at = v.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.floor((F.count(F.lit(1)) - 1) / 2).alias("_rank"))
+
+    def ranked(counts: DataFrame, order: str) -> DataFrame:
+        """The row of each group whose values the rank falls into, the rank counted from its first."""
+        before = F.sum("_n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+        c = counts.withColumn("_before", F.coalesce(before, F.lit(0)))
+        return c.where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
+
+    def inside() -> DataFrame:
+        return v.join(bounded_broadcast(at), keys).where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+
+    for _ in range(rounds):
+        width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+        bin_ = F.least(F.coalesce(F.floor((F.col("_v") - F.col("_lo")) / width * bins), F.lit(0)), F.lit(bins - 1)).alias("_bin")
+        counts = inside().groupBy(*keys, bin_).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first("_rank").alias("_rank"))
+        at = ranked(counts, "_bin").select(*keys, "_lo", "_hi", (F.col("_rank") - F.col("_before")).alias("_rank"))
+    counts = inside().groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"), F.first("_rank").alias("_rank"))
+    return ranked(counts, "_v").select(*keys, F.col("_v").alias("median"))
+
+
+def ensemble_summary(ens: DataFrame, reference: DataFrame, keys: Sequence[str], channel0: str, strict: bool = True) -> DataFrame:
     """L2 from member 0 to the reference and to every other member; mean and one global
     sample std of the ensemble mean; spread (sample std over members) of channel 0: mean,
-    lower median, max, min. One row per (keys..., member >= 1).
+    lower median, max, min. One row per (keys..., member >= 1). A cell without reference raises, or is left
+    out if not ``strict`` (fields beyond the observed period, as in J4).
 
-    One pass: windows inside the (keys, feature, cell) partition give member 0's value, the
-    cell mean and the cell spread; one (keys, member) aggregate holds the per-member L2 and,
-    in member 0's group, the summary, which a small window over ``keys`` spreads to every row.
+    Windows inside the (keys, feature, cell) partition give member 0's value and the cell mean; one
+    (keys, member) aggregate holds the per-member L2 and, in member 0's group, the summary, which a small
+    window over ``keys`` spreads to every row. The spread of channel 0 is one row per cell, checkpointed, from
+    which its median is selected by counts.
     """
     keys = list(keys)
     kc = [*keys, "feature", *CELL]
     ref = reference.select(*kc, F.col("value").alias("r"))
-    a = ens.join(ref, kc, "inner")
+    a = join_all(ens, ref, kc, "reference") if strict else ens.join(ref, kc)
     w = Window.partitionBy(*kc)
     wo = w.orderBy("member")
     x = (a.withColumn("v0", F.first("value").over(wo.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
          .withColumn("rk", F.row_number().over(wo))
-         .withColumn("m", F.avg("value").over(w))
-         .withColumn("s", F.stddev_samp("value").over(w)))
+         .withColumn("m", F.avg("value").over(w)))
     first = F.col("rk") == 1
-    ch0 = first & (F.col("feature") == channel0)
     d0 = F.col("v0") - F.col("value")
     dr = F.col("v0") - F.col("r")
     g = x.groupBy(*keys, "member").agg(
@@ -142,13 +173,12 @@ def ensemble_summary(ens: DataFrame, reference: DataFrame, keys: Sequence[str],
         F.sqrt(F.sum(F.when(first, dr * dr))).alias("l2_reference"),
         F.avg(F.when(first, F.col("m"))).alias("mean_of_mean"),
         F.stddev_samp(F.when(first, F.col("m"))).alias("std_of_mean"),
-        F.avg(F.when(ch0, F.col("s"))).alias("spread_mean"),
-        F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY s) FILTER (WHERE rk = 1 AND feature = '{channel0}')")
-        .alias("spread_median"),
-        F.max(F.when(ch0, F.col("s"))).alias("spread_max"),
-        F.min(F.when(ch0, F.col("s"))).alias("spread_min"),
     )
-    summary = ["l2_reference", "mean_of_mean", "std_of_mean", "spread_mean", "spread_median", "spread_max", "spread_min"]
+    spread = cut_lineage(ens.where(F.col("feature") == channel0).groupBy(*keys, *CELL).agg(F.stddev_samp("value").alias("s")))
+    spreads = spread.groupBy(*keys).agg(F.avg("s").alias("spread_mean"), F.max("s").alias("spread_max"), F.min("s").alias("spread_min"))
+    spreads = spreads.join(lower_median(spread, keys, "s").withColumnRenamed("median", "spread_median"), keys, "left")
+    summary = ["l2_reference", "mean_of_mean", "std_of_mean"]
     wk = Window.partitionBy(*keys)
     out = g.select(*keys, "member", "l2_member0", "is_first", *[F.max(c).over(wk).alias(c) for c in summary])
-    return out.where(F.col("is_first") == 0).drop("is_first")
+    return out.where(F.col("is_first") == 0).drop("is_first").join(spreads, keys, "left").select(
+        *keys, "member", "l2_member0", *summary, "spread_mean", "spread_median", "spread_max", "spread_min")

@@ -14,12 +14,14 @@ from fieldframe.operators import joins as J
 from fieldframe.operators import postprocess as PP
 from fieldframe.plans import jobs as JB
 from fieldframe.plans import rollout as RO
+from fieldframe.plans import wide as WI
 from fieldframe.plans.q_forcings import SCHED_SQL, TOA_SQL
 from fieldframe.plans.registry import register
 from fieldframe.functions.hashing import hash_uniform_sql
 from fieldframe.sources import io as IO
 from fieldframe.sources import moments as MO
 from fieldframe.sources import testviews as V
+from fieldframe.streaming import forecast_sink as SF
 
 F3_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 F3K = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
@@ -335,6 +337,26 @@ def s_small_table(spark, d):
     return IO.read_table(spark, path)
 
 
+@register(
+    "s_stream_forecast",
+    V.with_views("""SELECT TIMESTAMP '2024-01-01' + to_days(CAST(init AS INT)) AS init_time, step, feature, lat_i, lon_i, CASE WHEN init = 1 THEN value + 1 ELSE value END AS value,
+  CAST((step + 1) * 6 AS INT) AS lead_hours FROM det""", det=V.SQL_F1_DET),
+    floats=["value"],
+)
+def s_stream_forecast(spark, d):
+    """S7 from a stream: F1 in many small files, then late, corrected rows of one init time, into the batch store's own layout."""
+    src, path, offsets = (IO.scratch_path(spark, name) for name in ("arrivals", "streamed", "offsets"))
+    start = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))
+    det = V.f1_deterministic(spark, d).withColumn("init_time", start + F.make_dt_interval(F.col("init").cast("int"))).drop("init")
+    corrected = det.where(F.col("init_time") == start + F.make_dt_interval(F.lit(1))).withColumn("value", F.col("value") + 1)
+    for part in (det, corrected):  # the query is started again for the second drop of files and goes on where it was
+        part.repartition(4, "step").write.mode("append").parquet(src)
+        stream = spark.readStream.schema(det.schema).option("maxFilesPerTrigger", 2).parquet(src)
+        SF.stream_forecasts(stream, path, offsets, rows_per_init=640).awaitTermination()
+    SF.flush_forecasts(spark, path)
+    return IO.read_forecast(spark, path).select("init_time", "step", "feature", "lat_i", "lon_i", "value", "lead_hours")
+
+
 @register(
     "p_split_static",
     V.with_views("""SELECT kind, feature, count(*) AS n, sum(value) AS total FROM (
@@ -414,6 +436,30 @@ def c_training_arrays(spark, d):
         "x", F.transform("x", lambda v: v.cast("double")))
 
 
+@register(
+    "c_training_wide",
+    V.with_views(f"""SELECT a.t_idx AS sample, a.time, lat_i, lon_i,
+  list_transform(list_concat(a.z, [toa_norm, {", ".join(v.replace("time", "a.time") for v in TF.values())}, {", ".join(f"cst.{c}" for c in CONSTANT_COLUMNS)}]),
+    lambda v: CAST(CAST(v AS FLOAT) AS DOUBLE)) AS x, list_transform(b.z, lambda v: CAST(CAST(v AS FLOAT) AS DOUBLE)) AS y
+FROM wz a JOIN wz b USING (lat_i, lon_i) JOIN tn ON tn.time = a.time AND tn.lat_i = a.lat_i AND tn.lon_i = a.lon_i JOIN cst USING (lat_i, lon_i) WHERE b.t_idx = a.t_idx + 1""",
+                 **(TRAIN_CTES | dict(
+                     z="""SELECT time, feature, lat_i, lon_i, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS value FROM s
+                       WINDOW w AS (PARTITION BY time, feature)""", x="SELECT 1", cat=CAT_SQL,
+                     wz="""SELECT time, lat_i, lon_i, t_idx, list(value ORDER BY idx) AS z FROM (SELECT DISTINCT time, lat_i, lon_i FROM s) CROSS JOIN cat
+                       LEFT JOIN z USING (time, lat_i, lon_i, feature) JOIN ti USING (time) GROUP BY time, lat_i, lon_i, t_idx"""))),
+    arrays=["x", "y"], digits=4,
+)
+def c_training_wide(spark, d):
+    """C2 on wide rows: fields packed once into a store bucketed by cell, then input and target vectors of every
+    cell without another shuffle of its rows."""
+    catalog, static = FL.feature_catalog(spark), V.f2_static(spark, d)
+    path = IO.scratch_path(spark, "wide")
+    wide = WI.write_wide(V.f2_obs(spark, d), catalog, "wide_" + path.rpartition("-")[2], path, 8)
+    constants = FO.normalize_constants(static, FL.constant_stats(static, CONSTANT_COLUMNS[:3]), CONSTANT_COLUMNS[:3])
+    out = WI.training_pairs(wide, catalog.count(), V.f2_cells(spark, d), constants, "2024-01-02", "2024-01-12")
+    return out.withColumns({c: F.col(c).cast("array<double>") for c in ("x", "y")})
+
+
 SKEY = "CAST(sample AS VARCHAR)"
 CKEY = "concat_ws(':', sample, feature, lat_i, lon_i)"
 DIFF_SQL = f"""SELECT sample, time, feature, lat_i, lon_i, clean, condition, condition_value, target, diffusion_step, noise,

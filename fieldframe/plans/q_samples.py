@@ -12,6 +12,8 @@ from fieldframe.operators import joins as J
 from fieldframe.operators import losses as L
 from fieldframe.operators import samples as S
 from fieldframe.plans.registry import register
+from fieldframe.sources import handoff as HO
+from fieldframe.sources import io as IO
 from fieldframe.sources import testviews as V
 
 K = ["init", "step", "feature"]
@@ -138,7 +140,7 @@ JOIN (SELECT init, step, avg(s) AS spread_mean, quantile_disc(s, 0.5) AS spread_
 def a_ens_summary(spark, d):
     """Ensemble diagnostics (L2 to member 0 and to the reference, ensemble-mean stats, channel-0 spread)."""
     ens, truth = V.f1_ensemble(spark, d), V.f1_truth(spark, d)
-    return L.ensemble_summary(ens, truth, ["init", "step"], "f0")
+    return L.ensemble_summary(ens, truth, ["init", "step"], "f0", strict=False)
 
 
 # ------------------------------------------------------------- samples on F2
@@ -193,6 +195,22 @@ def w_shard(spark, d):
     return S.shard(S.minibatches(_samples(spark, d), 8, seed=SEED, drop_last=True), 2)
 
 
+@register(
+    "w_handoff",
+    V.with_views("""SELECT process, batch, position, w.sample, w.role, w.time, w.feature, w.lat_i, w.lon_i, w.value FROM sh JOIN (
+  SELECT t_idx AS sample, 'input' AS role, * FROM f2i UNION ALL SELECT t_idx - 1, 'target', * FROM f2i) w USING (sample)
+WHERE process = 1 AND batch > 1""", f2=V.SQL_F2, f2i=F2I, b=BATCH_SQL, sh="SELECT *, CAST(batch % 2 AS INT) AS process FROM b"),
+    floats=["value"],
+)
+def w_handoff(spark, d):
+    """W9/W10 written as files: process 1 goes on after its first batch and reads its own later batches only."""
+    windows = S.sample_windows(V.f2_obs(spark, d), 1)
+    batches = S.shard(S.minibatches(windows.select("sample").distinct(), 8, seed=SEED, drop_last=True), 2)
+    out = IO.scratch_path(spark, "handoff")
+    HO.write_batches(windows, batches, out, ["role", "feature", "lat_i", "lon_i"])
+    return HO.read_batches(spark, out, 1, after=1).select("process", F.col("batch").cast("long").alias("batch"), "position", "sample", "role", "time", "feature", "lat_i", "lon_i", "value")
+
+
 @register(
     "w_eval_window",
     V.with_views("""SELECT time, feature, lat_i, lon_i, value, t_idx - 10 AS step FROM f2i WHERE t_idx >= 10 AND t_idx < 50""",

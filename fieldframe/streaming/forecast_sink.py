@@ -1,9 +1,9 @@
-"""Streaming forecast sink (S7 fed by Structured Streaming).
+"""Forecast store fed by Structured Streaming.
 
-Each micro-batch of forecast rows goes to the forecast store: batch 0 replaces
-the store, later batches append. Every batch writes under its own
-``batch_id`` partition with dynamic overwrite, so a replayed batch (after a
-failure) replaces its own files instead of duplicating rows.
+Micro-batches land in a table partitioned by init time. An init time stays there until it is whole; then
+all its rows go through the batch writer (:func:`fieldframe.sources.io.save_forecast`) into the forecast store,
+which is the same store a batch job writes and is read by the same reader. What is known of an init time is
+its landed rows, in shared storage: nothing is held in a task's memory between batches.
 """
 
 from __future__ import annotations
@@ -12,29 +12,73 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from fieldframe.sources import io as IO
 
-def _write_batch(path: str):
+CELL_KEY = ["init_time", "step", "feature", "lat_i", "lon_i"]
+
+
+def _landed(spark: SparkSession, path: str) -> DataFrame:
+    """Landed rows, each (init time, step, feature, cell) once: that of the latest batch."""
+    rows = spark.read.parquet(f"{path}/landing")
+    value = F.max_by("value", "batch_id").alias("value")
+    return rows.groupBy("init_key", *CELL_KEY).agg(value)
+
+
+def _write_batch(path: str, rows_per_init: int, grace_h: int | None):
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = (
-            batch.withColumn("lead_hours", ((F.col("step") + 1) * 6).cast("int"))
-            .withColumn("batch_id", F.lit(batch_id).cast("long"))
-        )
-        writer = out.write.partitionBy("batch_id")
-        if batch_id == 0:
-            writer.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
-        else:
-            writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        spark = batch.sparkSession
+        keyed = batch.select(*CELL_KEY, "value").withColumn("init_key", F.date_format("init_time", "'t'yyyyMMddHHmmss"))
+        # a replayed batch replaces what it landed before
+        (keyed.withColumn("batch_id", F.lit(batch_id)).repartition("init_key").write.partitionBy("batch_id", "init_key").mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").parquet(f"{path}/landing"))
+        landing = spark.read.parquet(f"{path}/landing")
+        touched = landing.where(F.col("batch_id") == batch_id).select("init_key").distinct()
+        whole = _landed(spark, path).join(F.broadcast(touched), "init_key", "left_semi").groupBy("init_key").agg(F.count(F.lit(1)).alias("n"))
+        ready = whole.where(F.col("n") >= rows_per_init).select("init_key")
+        if grace_h is not None:  # init times left behind go out as they are
+            newest = landing.agg(F.max("init_time")).scalar()
+            late = landing.groupBy("init_key").agg(F.max("init_time").alias("t"), F.max("batch_id").alias("b"))
+            late = late.where(F.col("t") < newest - F.make_dt_interval(F.lit(0), F.lit(grace_h)))
+            ready = ready.unionByName(_unpublished(spark, path, late).select("init_key")).distinct()
+        _publish(spark, path, ready, batch_id)
 
     return write
 
 
-def stream_forecasts(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Start a streaming query that appends forecast micro-batches to ``path``."""
-    w = stream.writeStream.foreachBatch(_write_batch(path)).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+def _publish(spark: SparkSession, path: str, ready: DataFrame, batch_id: int) -> None:
+    rows = _landed(spark, path).join(F.broadcast(ready), "init_key", "left_semi").drop("init_key")  # a row per init time in flight
+    IO.save_forecast(rows, path, first=False)
+    (ready.withColumn("at_batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("at_batch").parquet(f"{path}/published"))
+
 
+def flush_forecasts(spark: SparkSession, path: str) -> None:
+    """At the end of a stream: publish what has landed and was not published, as far as it has come."""
+    landing = spark.read.parquet(f"{path}/landing")
+    last = landing.agg(F.max("batch_id")).first()[0]
+    inits = landing.groupBy("init_key").agg(F.max("batch_id").alias("b"))
+    if last is not None:
+        _publish(spark, path, _unpublished(spark, path, inits).select("init_key"), last + 1)
 
-def read_stream_store(spark: SparkSession, path: str) -> DataFrame:
-    """The forecast store written by :func:`stream_forecasts` (lead rebuilt as an interval)."""
-    return spark.read.parquet(path).withColumn("lead", F.make_dt_interval(F.lit(0), F.col("lead_hours")))
+
+def _unpublished(spark: SparkSession, path: str, inits: DataFrame) -> DataFrame:
+    """Those of (init_key, b: last batch with rows of it) that have rows newer than their last publication."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/published")
+    if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
+        return inits
+    last = spark.read.schema("init_key string, at_batch bigint").parquet(f"{path}/published").groupBy("init_key").agg(F.max("at_batch").alias("p"))
+    return inits.join(last, "init_key", "left").where("p IS NULL OR p < b")
+
+
+def stream_forecasts(stream: DataFrame, path: str, checkpoint: str, rows_per_init: int, grace_h: int | None = None,
+                     available_now: bool = True) -> StreamingQuery:
+    """Start a query that brings forecast rows (init_time, step, feature, lat_i, lon_i, value) into the store at ``path``.
+
+    An init time is published when ``rows_per_init`` of its cells have landed, and again, whole, with every
+    later batch that brings rows of it: the newest value of a cell wins. With ``grace_h``, an init time that
+    many hours older than the newest one is published as far as it has come. A batch that is replayed after a
+    failure replaces its own rows. Read the store by :func:`fieldframe.sources.io.read_forecast`.
+    """
+    w = stream.writeStream.foreachBatch(_write_batch(path, rows_per_init, grace_h)).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()

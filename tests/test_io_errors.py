@@ -66,19 +66,6 @@ def test_yearly_store_overwrites_one_year(spark, tmp_path):
     assert back.where("year = 1997").count() == f3.where("year = 1997").count()
 
 
-def test_streaming_forecast_sink(spark, tmp_path):
-    from fieldframe.streaming.forecast_sink import read_stream_store, stream_forecasts
-    src = str(tmp_path / "src")
-    det = V.f1_deterministic(spark, D)
-    det.write.parquet(src)
-    stream = spark.readStream.schema(det.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = stream_forecasts(stream, str(tmp_path / "store"), str(tmp_path / "ckpt"))
-    q.awaitTermination(120)
-    back = read_stream_store(spark, str(tmp_path / "store"))
-    assert back.count() == det.count()
-    assert back.select(F.min("lead_hours")).first()[0] == 6
-
-
 def test_export_record_layout(spark):
     from fieldframe.operators import export as X
     rows = [("2024-01-01 00:00:00", 6, "2m_temperature", None, i, j, 273.15 + 10 * i + j) for i in range(2) for j in range(3)]
