@@ -121,7 +121,7 @@ def training_table(long: DataFrame, grid: DataFrame, constants: DataFrame, const
     if switch is not None:
         s = FL.enabled_features(s, FL.feature_catalog(spark), switch)
     z = FL.standardize_field(without_nan(s), keep_stats=True)
-    cst = FO.normalize_constants(constants, FL.constant_stats(constants, constant_vars), constant_vars)
+    cst = normalised_constants(constants, constant_vars)
     x = J.attach_constants(with_toa(FO.time_forcings(z), times, grid, toa_stats), cst)
     return S.sample_windows(x, steps, times=times)
 
@@ -129,9 +129,19 @@ def training_table(long: DataFrame, grid: DataFrame, constants: DataFrame, const
 def stored_axis(long: DataFrame) -> DataFrame:
     """The distinct times of ``long`` as a small table (S5): what is derived from it has a size that the planner
     knows, and does not read the fields again."""
-    path = IO.scratch_path(long.sparkSession, "axis")
-    IO.write_table(long.select("time").distinct(), path)
-    return IO.read_table(long.sparkSession, path)
+    return stored(long.select("time").distinct(), "axis")
+
+
+def stored(small: DataFrame, name: str) -> DataFrame:
+    """A small table (S5) written to scratch and read back: computed once, however often a plan refers to it."""
+    path = IO.scratch_path(small.sparkSession, name)
+    IO.write_table(small, path)
+    return IO.read_table(small.sparkSession, path)
+
+
+def normalised_constants(constants: DataFrame, constant_vars: Sequence[str]) -> DataFrame:
+    """The constants of every cell by their own statistics (A3, M12), as a small table."""
+    return stored(FO.normalize_constants(constants, stored(FL.constant_stats(constants, constant_vars), "constant-stats"), constant_vars), "constants")
 
 
 def without_nan(long: DataFrame) -> DataFrame:
@@ -142,7 +152,7 @@ def without_nan(long: DataFrame) -> DataFrame:
 
 def with_toa(x: DataFrame, times: DataFrame, grid: DataFrame, toa_stats: DataFrame | None) -> DataFrame:
     """``x`` with ``toa_norm`` (M9, M10): by the stored one-row statistics (A2), or those of ``times`` x ``grid``."""
-    stats = toa_stats if toa_stats is not None else FO.toa_stats(FO.toa_radiation(times, grid))
+    stats = toa_stats if toa_stats is not None else stored(FO.toa_stats(FO.toa_radiation(times, grid)), "toa-stats")
     return FO.normalize_toa(FO.attach_toa(x, times, grid), stats).drop("toa")
 
 

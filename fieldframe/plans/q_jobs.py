@@ -455,7 +455,7 @@ def c_training_wide(spark, d):
     catalog, static = FL.feature_catalog(spark), V.f2_static(spark, d)
     path = IO.scratch_path(spark, "wide")
     wide = WI.write_wide(V.f2_obs(spark, d), catalog, "wide_" + path.rpartition("-")[2], path, 8)
-    constants = FO.normalize_constants(static, FL.constant_stats(static, CONSTANT_COLUMNS[:3]), CONSTANT_COLUMNS[:3])
+    constants = JB.normalised_constants(static, CONSTANT_COLUMNS[:3])
     out = WI.training_pairs(wide, catalog.count(), V.f2_cells(spark, d), constants, "2024-01-02", "2024-01-12")
     return out.withColumns({c: F.col(c).cast("array<double>") for c in ("x", "y")})
 
@@ -494,7 +494,7 @@ def c_diffusion(spark, d):
 def _diffusion(spark, d):
     f2, static = V.f2_obs(spark, d), V.f2_static(spark, d)
     op = FL.standardize_field(f2).select("time", "feature", "lat_i", "lon_i", (F.col("value") * 0.5).alias("value"))
-    constants = FO.normalize_constants(static, FL.constant_stats(static, CONSTANT_COLUMNS[:3]), CONSTANT_COLUMNS[:3])
+    constants = JB.normalised_constants(static, CONSTANT_COLUMNS[:3])
     return JB.diffusion_table(f2, op, SEED, constants=constants, grid=V.f2_cells(spark, d))
 
 

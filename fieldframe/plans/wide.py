@@ -51,14 +51,11 @@ def training_pairs(wide: DataFrame, n: int, grid: DataFrame, constants: DataFram
     standardised over the grid, then TOA radiation, the four time forcings and the normalised ``constants``
     (lat_i, lon_i, ...); ``y`` the channels of the same cell at the next stored time. A cell that has no row then
     makes no pair. NaN, a missing constant or radiation raises."""
-    spark = wide.sparkSession
     s = IO.time_range(wide, start, end, steps=steps, res_h=res_h)
     nan = F.exists("x", lambda v: F.isnan(v))
     s = s.withColumn("x", F.when(nan, F.raise_error(F.lit("NaN found in the field values")).cast("array<double>")).otherwise(F.col("x")))
     times = JB.stored_axis(s)
-    scales = IO.scratch_path(spark, "scales")
-    IO.write_table(channel_scales(s, n), scales)  # a small table of known size
-    z = J.join_all(s, J.bounded_broadcast(IO.read_table(spark, scales)), ["time"], "scales")
+    z = J.join_all(s, J.bounded_broadcast(JB.stored(channel_scales(s, n), "scales")), ["time"], "scales")
     z = S.time_index(z.select("time", *CELL, standardised(n).alias("z")), times=times)
     w = Window.partitionBy(*CELL).orderBy("t_idx")
     pairs = z.select("*", F.lead("z").over(w).alias("y"), F.lead("t_idx").over(w).alias("_next")).where(F.col("_next") == F.col("t_idx") + 1)
