@@ -34,30 +34,30 @@ def export_records(forecast: DataFrame, mapping: DataFrame, deet_default: int =
 
     ``forecast`` rows: init_time (NULL for static fields: date stamps 0), lead_hours (NULL when the
     store has no lead axis: ip2 0, deet 3600), variable, level (NULL for surface), lat_i, lon_i,
-    value. Each group is one grid (bounded).
+    value. A record is assembled in two levels: the cells of one longitude become a strip of floats
+    in latitude order (a group is one column of the grid), and a record sorts its strips and joins them.
     """
     conv = export_units(forecast, mapping)
     conv = conv.withColumn("_l0", forecast.agg(F.min("lead_hours")).scalar())
-    item = F.struct(F.col("lon_i"), F.col("lat_i"), F.col("converted").cast("float").alias("v"))
     keys = ["init_time", "lead_hours", "variable", "level", "short_name", "level_code", "_l0"]
-    g = conv.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(item)).alias("_cells"),
+    cell = F.struct("lat_i", F.col("converted").cast("float").alias("v"))
+    strips = conv.groupBy(*keys, "lon_i").agg(F.array_sort(F.collect_list(cell)).alias("_s"))
+    strips = strips.select(*keys, F.struct("lon_i", F.col("_s.v").alias("v")).alias("_strip"), F.array_distinct("_s.lat_i").alias("_lats"))
+    g = strips.groupBy(*keys).agg(
+        F.array_sort(F.collect_list("_strip")).alias("_strips"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("_lats")))).cast("long").alias("nj"),
     )
-
-    def distinct(axis: str):
-        return F.size(F.array_distinct(F.transform("_cells", lambda c: c[axis]))).cast("long")
-
     ymd, hms = date_stamp("init_time")
     return g.select(
         "init_time", "lead_hours", "variable", "level",
         F.col("short_name").alias("nomvar"),
         F.when(F.col("level").isNotNull(), F.col("level").cast("long")).otherwise(F.coalesce("level_code", F.lit(0))).alias("ip1"),
         F.coalesce(F.col("lead_hours"), F.lit(0)).alias("ip2"),
-        distinct("lon_i").alias("ni"), distinct("lat_i").alias("nj"),
+        F.size("_strips").cast("long").alias("ni"), "nj",
         F.when(F.col("_l0").isNotNull(), F.col("_l0") * 3600).otherwise(F.lit(deet_default)).cast("long").alias("deet"),
         F.coalesce(ymd, F.lit(0)).alias("yyyymmdd"), F.coalesce(hms, F.lit(0)).alias("hhmmss00"),
         file_key("init_time", F.coalesce(F.col("lead_hours"), F.lit(0))).alias("file_key"),
-        F.transform("_cells", lambda c: c["v"]).alias("data"),
+        F.flatten("_strips.v").alias("data"),
     )
 
 

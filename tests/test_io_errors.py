@@ -116,6 +116,20 @@ def test_export_record_static_field(spark):
     assert (r["nomvar"], r["ip1"], r["ip2"], r["deet"], r["yyyymmdd"]) == ("MG", 0, 0, 3600, 0)
 
 
+def test_export_record_of_a_full_grid(spark):
+    """A 0.25 degree grid (721 x 1440) in shuffled order, and a ragged one."""
+    from fieldframe.operators import export as X
+    cells = spark.range(721 * 1440).select(
+        F.expr("timestamp_ntz'2024-01-01 00:00:00'").alias("init_time"), F.lit(6).alias("lead_hours"), F.lit("other").alias("variable"),
+        F.lit(500.0).alias("level"), F.expr("cast(id % 721 as int)").alias("lat_i"), F.expr("cast(id div 721 as int)").alias("lon_i"),
+        F.col("id").cast("double").alias("value")).repartition(16, F.xxhash64("value"))
+    r = X.export_records(cells, X.unit_table(spark)).select("ni", "nj", F.size("data").alias("n"), F.expr(
+        "forall(sequence(1, size(data) - 1), k -> data[k] > data[k - 1])").alias("ordered")).first()
+    assert tuple(r) == (1440, 721, 721 * 1440, True)
+    ragged = X.export_records(cells.where("value IN (0, 1, 721, 723)"), X.unit_table(spark)).first()
+    assert (ragged["ni"], ragged["nj"], ragged["data"]) == (2, 3, [0.0, 1.0, 721.0, 723.0])
+
+
 def test_forecast_store_replay_is_idempotent(spark, tmp_path):
     fc = V.f1_deterministic(spark, D).select(
         (F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(F.col("init").cast("int"))).alias("init_time"),
