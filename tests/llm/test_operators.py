@@ -250,22 +250,48 @@ def brute_repeats(rows, n):
 
 
 @pytest.mark.parametrize("name", ["edge", "sf", "empty"])
-@pytest.mark.parametrize("window,prefix,group", [(35, 8, 256), (35, 8, 1), (10, 3, 5)])
+@pytest.mark.parametrize("window,prefix,group", [(35, 8, 256), (35, 8, 1), (10, 3, 5), (35, 4, 3)])
 def test_remove_repeats_matches_brute_force(corpora, name, window, prefix, group):
     got = substring_dedup.remove_repeats(corpora[name], window, prefix, group).collect()
     assert sorted(map(tuple, got), key=str) == brute_repeats(texts_of(corpora[name]), window)
 
 
-def test_node_names_share_exactly_equal_prefixes():
-    rng = np.random.default_rng(3)
-    words = rng.integers(0, 2, 400)
-    for depth in (1, 2, 3, 5, 8, 11):
-        names = substring_dedup.node_names(words, depth)
-        by_name = defaultdict(set)
-        for k, n in enumerate(names.tolist()):
-            by_name[n].add(tuple(words[k:k + depth]))
-        assert all(len(v) == 1 for v in by_name.values())
-        assert len(by_name) == len({tuple(words[k:k + depth]) for k in range(len(words) - depth + 1)})
+def brute_maximal(regions, least):
+    """Maximal repeats by all substrings."""
+    places = defaultdict(list)
+    for r, words in enumerate(regions):
+        for i in range(len(words)):
+            for j in range(i + least, len(words) + 1):
+                places[tuple(words[i:j])].append((r, i))
+    out = []
+    for words, at in places.items():
+        left = {regions[r][i - 1] if i else (r, i) for r, i in at}
+        right = {regions[r][i + len(words)] if i + len(words) < len(regions[r]) else (r, i) for r, i in at}
+        if len(at) > 1 and (len(left) > 1 or any(i == 0 for _, i in at)) \
+                and (len(right) > 1 or any(i + len(words) == len(regions[r]) for r, i in at)):
+            out.append((len(words), sorted(at)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_subtree_gives_the_maximal_repeats(seed):
+    rng = np.random.default_rng(seed)
+    regions = [[b"%d" % w for w in rng.integers(0, 2 + seed, rng.integers(0, 60))] for _ in range(6)]
+    regions += [regions[0], regions[1][5:], [], [b"1"] * 20]
+    for least in (1, 3, 7):
+        assert sorted(substring_dedup.maximal_repeats(regions, least)) == brute_maximal(regions, least)
+    assert substring_dedup.maximal_repeats([], 3) == [] == substring_dedup.maximal_repeats([[], [b"a"]], 3)
+
+
+def test_prefixes_grow_to_the_window():
+    assert substring_dedup.prefix_lengths(8, 35) == [8, 16, 35]
+    assert substring_dedup.prefix_lengths(3, 10) == [3, 6, 10] and substring_dedup.prefix_lengths(5, 5) == [5, 5]
+
+
+def test_remove_repeats_keeps_the_smallest_id(spark):
+    rows = [(-(1 << 63), "a b c d"), (None, "x a b c"), (0, "q r s"), (None, None)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 2, 1).collect()
+    assert sorted(map(tuple, got), key=str) == brute_repeats(rows, 3)
 
 
 # ---- 6 language model
