@@ -4,14 +4,17 @@ A tree builder reads the markup, adds the end tags that HTML implies and leaves
 not show; the renderer then lays the tree out as lines: blocks start lines, paragraphs are set apart by
 a blank line, list items have markers and indents, table cells are aligned in columns, preformatted
 text keeps its spaces. The text elements of drawings (SVG) and the parts of formulas (MathML) that stand
-at different places are set apart by spaces. All visible text is emitted.
+at different places are set apart by spaces. All visible text is emitted. What is shown follows the ``hidden``
+attribute, closed ``dialog`` and ``details``, and ``display`` and ``visibility`` of ``style`` attributes and of those rules of
+``style`` elements whose selectors are a tag, classes and an id (no combinators, nothing inside at-rules).
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+import unicodedata
+from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,7 +26,7 @@ from fieldframe.llm.shared import small_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
 UNSEEN = frozenset("head script style title noscript template iframe noembed noframes object audio video canvas datalist "
-                   "area param source track colgroup".split())
+                   "area param source track colgroup rp".split())
 # parts of drawings and formulas that are not shown; of the children of FIRST_SHOWN only the first is
 UNSEEN_IN = {"svg": frozenset("desc metadata defs symbol clippath mask pattern marker filter lineargradient radialgradient".split()),
              "math": frozenset("annotation annotation-xml mphantom".split())}
@@ -39,6 +42,8 @@ BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em emb
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table blockquote pre figure fieldset hr xmp listing plaintext".split())
 BLOCK = SPACED | frozenset("address article aside body center dd details dialog dir div dt figcaption footer form header hgroup html "
                            "legend li main nav optgroup option search section summary caption".split())
+# controls and annotations that stand apart from the text around them
+APART = frozenset("button meter progress select output rt".split())
 TABLE_PARTS = frozenset("caption thead tbody tfoot tr td th".split())
 # start tag -> open elements that it ends, looked for up to the nearest of the second set
 ENDS = {
@@ -63,7 +68,11 @@ IN_HEAD = frozenset("title meta link base style script noscript template head ht
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*+>?|<\?[^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 OPEN = re.compile(r"(?:<!--.*|<![^>]*+|<\?[^>]*+)()()", re.S)  # what needs no ">"
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+SHOWING = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+AT_RULE = re.compile(r"@[^{;]*+(?:;|\{(?:[^{}]++|\{[^{}]*+\})*+\}?|\Z)")
+RULE = re.compile(r"([^{}]++)\{([^{}]*+)(?:\}|\Z)")
+SELECTOR = re.compile(r"([a-z][a-z0-9-]*)?((?:[.#][\w-]+)*)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
 LONG_NUMBER = re.compile(r"&#([0-9]{20,}+);?")
 MAX_INDENT = 64  # levels of lists and quotations that indent further
@@ -108,14 +117,56 @@ def self_closed(text: str) -> bool:
     return word == "/" or word[-2] in "\"'" or "=" not in word
 
 
-def hidden(node: Node) -> bool:
+def declared(style: str) -> list[tuple[bool, str, str]]:
+    """(important, property, value) of the declarations that decide what is shown."""
+    return [(bool(m[3]), m[1].lower(), m[2].lower()) for m in SHOWING.finditer(COMMENT.sub("", style))]
+
+
+class Sheet:
+    """Rules of the ``style`` elements of a page that decide what is shown, by the last part of their selectors."""
+
+    def __init__(self, styles: list[str]):
+        self.rules: dict[str, list[tuple]] = defaultdict(list)
+        order = 0
+        for style in styles:
+            for selectors, body in RULE.findall(AT_RULE.sub("", COMMENT.sub("", style))):
+                said = declared(body)
+                for selector in selectors.split(",") if said else ():
+                    m = SELECTOR.fullmatch(selector.strip())
+                    if not m or not m[0]:
+                        continue
+                    parts = re.findall(r"[.#][\w-]+", m[2])
+                    order += 1
+                    weight = (m[2].count("#"), m[2].count("."), bool(m[1]), order)
+                    self.rules[parts[-1] if parts else m[1].lower()].append((weight, (m[1] or "").lower(), frozenset(parts), said))
+
+    def shown(self, node: Node) -> dict[str, str]:
+        """``display`` and ``visibility`` that rules, attributes and the style attribute give an element."""
+        a, out = node.attrs, {}
+        if node.space:
+            out = {k: a[k] for k in ("display", "visibility") if k in a}
+        found = []
+        if self.rules:
+            marks = {f".{c}" for c in a.get("class", "").split()} | ({f"#{a['id']}"} if a.get("id") else set())
+            for key in (node.tag, *marks):
+                for weight, tag, parts, said in self.rules.get(key, ()):
+                    if tag in ("", node.tag) and parts <= marks:
+                        found += [((important, 0, weight), name, value) for important, name, value in said]
+        if "style" in a:
+            found += [((important, 1, (0, 0, 0, k)), name, value) for k, (important, name, value) in enumerate(declared(a["style"]))]
+        for _, name, value in sorted(found):
+            out[name] = value
+        return out
+
+
+def hidden(node: Node, style: dict[str, str]) -> bool:
     """True if the element and all it holds are not shown."""
     a = node.attrs
-    if node.space and (node.tag in UNSEEN_IN[node.space] or a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse")):
+    if node.space and node.tag in UNSEEN_IN[node.space] or node.tag in UNSEEN or node.tag == "dialog" and "open" not in a:
         return True
-    if node.tag in UNSEEN or "hidden" in a or node.tag == "input" and a.get("type", "").lower() == "hidden":
+    if "hidden" in a and "display" not in style or node.tag == "input" and a.get("type", "").lower() == "hidden":
         return True
-    return bool(a) and "style" in a and bool(HIDING.search(a["style"]))
+    return style.get("display") == "none"
 
 
 def own_lines(node: Node) -> bool:
@@ -125,8 +176,8 @@ def own_lines(node: Node) -> bool:
     return node.tag in FORMULA_ROWS or node.tag == "math" and node.attrs.get("display") == "block"
 
 
-def build_tree(text: str) -> Node:
-    """Tree of elements and strings, with implied end tags."""
+def build_tree(text: str, styles: list[str] | None = None) -> Node:
+    """Tree of elements and strings, with implied end tags; the content of ``style`` elements is added to ``styles``."""
     root = Node("html", {})
     stack = [root]
     count = Counter()  # open elements of each tag: nothing is looked for that is not open
@@ -219,6 +270,8 @@ def build_tree(text: str) -> Node:
         if tag in RAW and not space:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(text, at)
             stop = end.start() if end else len(text)
+            if tag == "style" and styles is not None:
+                styles.append(text[at:stop])
             if tag in ("textarea", "title", "xmp"):
                 raw = text[at:stop]
                 node.children.append(raw if tag == "xmp" else unescape(raw))
@@ -287,18 +340,41 @@ class Box:
         return self.lines
 
 
+def width(line: str) -> int:
+    """Columns that a line takes: wide characters take two, combining ones none."""
+    if line.isascii():
+        return len(line)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in line)
+
+
 class Table:
     def __init__(self):
         self.rows: list[list[tuple[int, list[str]]]] = []
         self.next = 0  # column of the row's next cell
+        self.spans: list[tuple[int, int, int]] = []  # (first column, stop, last row) of cells of earlier rows that reach into this one
+        self.reach: list[tuple[int, int, int]] = []  # the same of cells of this row
 
     def start_row(self) -> None:
         self.rows.append([])
         self.next = 0
-
-    def add(self, cell: list[str], span: int) -> None:
+        if self.spans or self.reach:
+            self.spans = sorted(s for s in self.spans + self.reach if s[2] >= len(self.rows))
+            self.reach = []
+
+    def start_group(self) -> None:
+        """Cells do not reach beyond their group of rows."""
+        self.spans, self.reach = [], []
+
+    def add(self, cell: list[str], columns: int, rows: int) -> None:
+        """A cell in the next columns that no cell of an earlier row reaches into; ``rows`` 0: up to the end of the group."""
+        row = len(self.rows)
+        for first, stop, _ in self.spans:
+            if first < self.next + columns and self.next < stop:
+                self.next = stop
         self.rows[-1].append((self.next, cell))
-        self.next += span
+        self.next += columns
+        if rows != 1:
+            self.reach.append((self.next - columns, self.next, row + rows - 1 if rows else 1 << 30))
 
     def lines(self) -> list[str]:
         """Rows with the cells of a column starting at the same place; a line longer than ``MAX_COLUMN`` shifts
@@ -306,7 +382,7 @@ class Table:
         widths: dict[int, int] = {}
         for row in self.rows:
             for k, cell in row:
-                widths[k] = max(widths.get(k, 0), min(MAX_COLUMN, max(map(len, cell), default=0)))
+                widths[k] = max(widths.get(k, 0), min(MAX_COLUMN, max(map(width, cell), default=0)))
         columns = sorted(widths)
         start, at = {}, 0
         for k in columns:
@@ -319,26 +395,53 @@ class Table:
                     if n < len(cell) and cell[n]:
                         gap = max(start[k] - size, 2 if size else 0)
                         pieces += [" " * gap, cell[n]]
-                        size += gap + len(cell[n])
+                        size += gap + width(cell[n])
                 out.append("".join(pieces).rstrip())
         return out
 
 
-def render(root: Node) -> list[str]:
+def whole_number(text: str, default: int) -> int:
+    return int(text) if re.fullmatch(r"[0-9]{1,9}", text) else default
+
+
+def numbering(node: Node) -> list[int] | None:
+    """[next number, step] of a list, None for one without numbers."""
+    if node.tag != "ol":
+        return None
+    down = "reversed" in node.attrs
+    start = node.attrs.get("start", "")
+    if re.fullmatch(r"-?\d{1,9}", start):
+        return [int(start), -1 if down else 1]
+    return [sum(not isinstance(c, str) and c.tag == "li" for c in node.children), -1] if down else [1, 1]
+
+
+def render(root: Node, sheet: Sheet) -> list[str]:
     """Lines of the visible text of a tree; ``label`` counts the open text elements of drawings. The walk keeps its own stack: nesting depth is no limit."""
     boxes, tables, lists = [Box()], [], []
+    veil: list[tuple[Node, bool]] = []  # open elements that say whether they are visible
     keep = label = 0
     walk: list[tuple] = [(root, False)]
     while walk:
         node, leaving = walk.pop()
         box = boxes[-1]
         if isinstance(node, str):
-            box.text(node, keep > 0)
+            if not veil or veil[-1][1]:
+                box.text(node, keep > 0)
             continue
         tag = node.tag
+        if leaving and veil and veil[-1][0] is node:
+            veil.pop()
         if not leaving:
-            if hidden(node):
+            style = sheet.shown(node) if node.attrs or sheet.rules else {}
+            if hidden(node, style):
                 continue
+            seen = style.get("visibility", "inherit")
+            visible = seen not in ("hidden", "collapse") and (seen == "visible" or not veil or veil[-1][1])
+            if tag in VOID and not node.space:
+                if not visible:
+                    continue
+            elif seen != "inherit":
+                veil.append((node, visible))
             if node.space:
                 walk.append((node, True))
                 shown = node.children
@@ -376,19 +479,25 @@ def render(root: Node) -> list[str]:
             elif tag in BLOCK:
                 nested = tag in ("ul", "ol", "menu", "dir") and bool(lists)
                 box.block(tag in SPACED and not nested)
+            if tag in APART:
+                box.space = True
             if tag in ("ul", "ol", "menu", "dir"):
-                start = node.attrs.get("start", "1")
-                lists.append(int(start) if tag == "ol" and re.fullmatch(r"-?\d{1,9}", start) else 1 if tag == "ol" else None)
+                lists.append(numbering(node))
             elif tag == "li":
-                box.marker = "- "
+                marker = "- "
                 if lists and lists[-1] is not None:
-                    box.marker = f"{lists[-1]}. "
-                    lists[-1] += 1
-                box.indent.append(" " * len(box.marker))
+                    if re.fullmatch(r"-?\d{1,9}", node.attrs.get("value", "")):
+                        lists[-1][0] = int(node.attrs["value"])
+                    marker = f"{lists[-1][0]}. "
+                    lists[-1][0] += lists[-1][1]
+                box.marker = marker if visible else None
+                box.indent.append(" " * len(marker))
             elif tag in ("dd", "blockquote"):
                 box.indent.append("    ")
             elif tag == "table":
                 tables.append(Table())
+            elif tag in ("thead", "tbody", "tfoot") and tables:
+                tables[-1].start_group()
             elif tag == "tr" and tables:
                 tables[-1].start_row()
             elif tag in ("pre", "xmp", "listing", "plaintext", "textarea"):
@@ -409,9 +518,11 @@ def render(root: Node) -> list[str]:
                 box.block(False)
             continue
         if tag in ("td", "th") and tables:
-            span = node.attrs.get("colspan", "1")
-            tables[-1].add(boxes.pop().done(), max(1, min(int(span), 1000)) if re.fullmatch(r"[0-9]{1,9}", span) else 1)
+            columns = max(1, min(whole_number(node.attrs.get("colspan", "1"), 1), 1000))
+            tables[-1].add(boxes.pop().done(), columns, min(whole_number(node.attrs.get("rowspan", "1"), 1), 65534))
             continue
+        if tag in APART:
+            box.space = True
         if tag in ("pre", "xmp", "listing", "plaintext", "textarea"):
             keep -= 1
         if tag == "table":
@@ -435,7 +546,9 @@ def page_text(markup: str | None) -> str | None:
     """Visible text of a page; null stays null and an empty page is empty."""
     if markup is None:
         return None
-    lines = render(build_tree(markup))
+    styles: list[str] = []
+    tree = build_tree(markup, styles)
+    lines = render(tree, Sheet(styles))
     while lines and not lines[-1]:
         lines.pop()
     return "\n".join(lines).replace("\xa0", " ")

@@ -119,3 +119,25 @@ def test_frame_edges(spark):
     assert got[1, 4] == "a" and got[2, None] is None and len(got[3, 500_003]) == 499_999
     assert html_text.extract_text(df.limit(0)).count() == 0
     assert html_text.extract_text(df).columns == ["page_id", "html", "text"]
+
+
+@pytest.mark.parametrize("markup,expected", [
+    ("<table><tr><td rowspan=2>A<td>B</tr><tr><td>C</table>", "A  B\n   C"),
+    ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tr><td>f</table>", "a  b  c\nd     e\nf"),
+    ("<table><thead><tr><td rowspan=9>A<td>B<tbody><tr><td>C<td>D</table>", "A  B\nC  D"),
+    ("<table><tr><td rowspan=2 colspan=2>A<td>B<tr><td>C<tr><td>x<td>y<td>z</table>", "A     B\n      C\nx  y  z"),
+    ("<table><tr><td>\u6f22\u5b57<td>b<tr><td>abcd<td>c</table>", "\u6f22\u5b57  b\nabcd  c"),
+    ("a<dialog>secret</dialog><dialog open>shown</dialog>", "a\nshown"),
+    ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no<img alt=no></div>", "yes"),
+    ("<style>.h{display:none} p.x, #i {visibility:hidden}</style>a<b class='k h'>no</b><p class=x>no<p>b<i id=i>no</i>", "a\n\nb"),
+    ("<style>@media print{.h{display:none}} .g .h{display:none}</style><b class=h>yes</b>", "yes"),
+    ("<style>.h{display:none}</style><b class=h style='display:block'>yes</b><b class=h>no", "yes"),
+    ("<style>.h{display:none!important}</style>x<b class=h style='display:block'>no</b>", "x"),
+    ("<style>@media {</style><style>/* .a{</style><b class=a>yes</b>", "yes"),
+    ("<ruby>A<rp>(</rp><rt>b</rt><rp>)</rp></ruby>", "A b"),
+    ("<ol reversed><li>a<li>b</ol>", "2. a\n1. b"),
+    ("<ol><li>a<li value=5>b<li>c</ol>", "1. a\n5. b\n6. c"),
+    ("<button>ok</button><meter>5</meter>", "ok 5"),
+])
+def test_visibility_and_tables(markup, expected):
+    assert html_text.page_text(markup) == expected
