@@ -230,6 +230,17 @@ def compare_runs(spark: SparkSession, history: str, names: Sequence[str], run_pa
     return cells
 
 
+def compare_sweep(spark: SparkSession, name: str, names: Sequence[str], run_paths: Sequence[str],
+                  keys: Sequence[str] = ("init", "step", "feature"), seed=None, n_steps: int | None = None,
+                  n_members: int | None = None) -> DataFrame:
+    """C6 over a sweep in one bucket layout (``io.save_sweep``): the rows of ``report.compare_metrics`` for the named runs.
+    Neither the ensembles nor the truth are shuffled; only sums per field and member are."""
+    from fieldframe.operators import report as R
+
+    h = IO.load_sweep(spark, name, names, run_paths)
+    return R.compare_metrics(h["diffusion"], h["deterministic"], h["truth"], keys, seed=seed, n_steps=n_steps, n_members=n_members)
+
+
 def deterministic_skill(det: DataFrame, truth: DataFrame, keys: Sequence[str], k_even: int = 4) -> DataFrame:
     """Standardised forecast rescaled with the truth's per-field mu/sigma (J7), RMSE and
     max absolute error per field at evenly spaced steps (W8). Fields are independent per

@@ -73,6 +73,19 @@ def c_compare(spark, d):
     return _metrics(spark, d)
 
 
+@register("c_compare_sweep", _w("SELECT * FROM metrics"), floats=["value"])
+def c_compare_sweep(spark, d):
+    """C6 over a stored sweep whose ensembles, truth and deterministic part share one bucket layout."""
+    from fieldframe.plans.jobs import compare_sweep
+    from fieldframe.sources import io as IO
+
+    path = IO.scratch_path(spark, "sweep-buckets")
+    name = "sweep_" + path.rsplit("-", 1)[1]
+    IO.save_sweep(V.f1_run_ensemble(spark, d), V.f1_truth(spark, d), V.f1_deterministic(spark, d), name, path, K, buckets=8)
+    runs = [r for r, _ in V.RUNS]
+    return compare_sweep(spark, name, runs, runs, K, seed=SEED, n_steps=V.N_STEPS, n_members=V.N_MEMBERS)
+
+
 @register("a_best", _w(BEST), floats=["value", "best"])
 def a_best(spark, d):
     """Best (minimum) model per (init, lead, metric, feature), deterministic excluded."""

@@ -147,10 +147,39 @@ def load_history(spark: SparkSession, path: str, names: Sequence[str], run_paths
     for rp in run_paths:
         if rp not in present:
             raise FileNotFoundError(f"the history at {path} has no run {rp}")
-    mapping = spark.createDataFrame(list(zip(run_paths, names)), "run string, name string")
+    return {"diffusion": _name_runs(diff, names, run_paths), "truth": truth, "deterministic": det}
+
+
+def _name_runs(diff: DataFrame, names: Sequence[str], run_paths: Sequence[str]) -> DataFrame:
+    """The rows of the given runs under their names: one row per named run."""
+    mapping = diff.sparkSession.createDataFrame(list(zip(run_paths, names)), "run string, name string")
     diff = diff.withColumn("run", F.col("run").cast("string")).where(F.col("run").isin(list(run_paths)))
-    diff = diff.join(F.broadcast(mapping), "run").drop("run").withColumnRenamed("name", "run")  # one row per named run
-    return {"diffusion": diff, "truth": truth, "deterministic": det}
+    return diff.join(F.broadcast(mapping), "run").drop("run").withColumnRenamed("name", "run")
+
+
+def save_sweep(diffusion: DataFrame, truth: DataFrame, deterministic: DataFrame, name: str, path: str, keys: Sequence[str],
+               buckets: int) -> None:
+    """S8 for a comparison of many runs (C6): the ensembles of all runs, the truth and the deterministic part as
+    tables ``{name}_diffusion, {name}_truth, {name}_deterministic``, all bucketed and sorted by field ``keys`` and cell.
+
+    The shuffle is paid once when a sweep is stored, one file a bucket; every comparison after that aligns, pairs
+    members and scores cells inside the buckets. A cell holds runs x members rows, so buckets stay even.
+    """
+    cell = [*keys, "lat_i", "lon_i"]
+    for part, df in (("diffusion", diffusion), ("truth", truth), ("deterministic", deterministic)):
+        write_bucketed(df.repartition(buckets, *cell), f"{name}_{part}", cell, buckets, f"{path}/{part}")
+
+
+def load_sweep(spark: SparkSession, name: str, names: Sequence[str], run_paths: Sequence[str]) -> dict[str, DataFrame]:
+    """The parts of a sweep from :func:`save_sweep`, in the shape that :func:`load_history` gives. Raises when the name and
+    path counts differ or a part is missing; a run without rows has none in the comparison."""
+    if len(names) != len(run_paths):
+        raise ValueError(f"{len(run_paths)} runs but {len(names)} names: give one name for each run")
+    for part in ("diffusion", "truth", "deterministic"):
+        if not spark.catalog.tableExists(f"{name}_{part}"):
+            raise FileNotFoundError(f"the sweep {name} has no {part} table")
+    return {"diffusion": _name_runs(spark.table(f"{name}_diffusion"), names, run_paths), "truth": spark.table(f"{name}_truth"),
+            "deterministic": spark.table(f"{name}_deterministic")}
 
 
 # ------------------------------------------------------------- metric logs S10-S12

@@ -169,6 +169,32 @@ def test_bucketed_inputs_remove_the_big_shuffle(spark, tmp_path):
     assert cells.count() == V.f1_truth(spark, D).count()
 
 
+def test_sweep_is_compared_inside_its_buckets(spark, tmp_path):
+    import contextlib
+    import io as _io
+
+    from fieldframe.plans import jobs as JB
+    keys, runs = ["init", "step", "feature"], [r for r, _ in V.RUNS]
+    IO.save_sweep(V.f1_run_ensemble(spark, D), V.f1_truth(spark, D), V.f1_deterministic(spark, D), "sweep_t", str(tmp_path / "sweep"), keys, 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = JB.compare_sweep(spark, "sweep_t", ["A", "B"], runs, keys, seed=1, n_steps=V.N_STEPS, n_members=V.N_MEMBERS)
+        buf = _io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            out.explain()
+        plan = buf.getvalue()
+        assert {r["model"] for r in out.select("model").distinct().collect()} == {"A", "B", "deterministic"}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert shuffled and not [line for line in shuffled if "lat_i" in line]
+    with pytest.raises(ValueError, match="names"):
+        IO.load_sweep(spark, "sweep_t", ["A"], runs)
+    with pytest.raises(FileNotFoundError, match="no diffusion"):
+        IO.load_sweep(spark, "sweep_none", ["A", "B"], runs)
+
+
 def test_preprocess_static_branch(spark, tmp_path):
     import math
 
