@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -372,6 +373,52 @@ def test_language_edges(spark, docs, corpora):
     assert all(r.lang_pred == "und" and r.score == 0 for r in unlearned)
 
 
+def brute_language(rows, length=language_id.PROFILE):
+    """{row number: (language, score)} by counted n-gram strings, learned from rows that are not held out."""
+
+    def grams(text):
+        out = Counter()
+        for word in re.findall(r"[^\W\d_]+", "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (text or "").lower())):
+            padded = "\x01" + word + "\x01"
+            out.update(word)
+            out.update(padded[k:k + 2] for k in range(len(padded) - 1))
+            out.update(padded[k:k + 3] for k in range(len(padded) - 2))
+        return out
+
+    def by_rank(counts):
+        def code(g):  # ties go by the number that the characters make in base 2 ** 21
+            n = 0
+            for c in g:
+                n = n << 21 | ord(c)
+            return n
+
+        return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))[:length]]
+
+    learned = defaultdict(Counter)
+    for doc, text, lang in rows:
+        if lang is not None and text is not None and (doc is None or zlib.crc32(str(doc).encode()) % 5):
+            learned[lang].update(grams(text))
+    profiles = {lang: {g: r for r, g in enumerate(by_rank(c))} for lang, c in sorted(learned.items()) if c}
+    out = []
+    for doc, text, _ in rows:
+        top = by_rank(grams(text))
+        distance = {lang: sum(abs(p[g] - r) if g in p else length for r, g in enumerate(top)) for lang, p in profiles.items()}
+        if not top or not distance:
+            out.append((doc, "und", 0.0))
+            continue
+        lang = min(distance, key=distance.get)
+        out.append((doc, lang, 1 - distance[lang] / (length * len(top))))
+    return out
+
+
+@pytest.mark.parametrize("name", ["edge", "sf", "empty"])
+def test_languages_match_brute_force(corpora, name):
+    df = corpora[name]
+    got = sorted(((r.doc_id, r.lang_pred, round(r.score, 9)) for r in language_id.identify(df).collect()), key=str)
+    rows = [(r.doc_id, r.text, r.lang) for r in df.select("doc_id", "text", "lang").collect()]
+    assert got == sorted(((d, lang, round(score, 9)) for d, lang, score in brute_language(rows)), key=str)
+
+
 def test_prediction_does_not_read_the_label(spark, sf_docs):
     profiles = language_id.learn_profiles(sf_docs)
     a = language_id.predict_language(sf_docs, profiles).select("doc_id", "lang_pred", "score")
