@@ -153,26 +153,25 @@ def o_leads(spark, d):
 
 @register(
     "c_compare_runs",
-    _w("""SELECT r.model, init, label, metric, feature, cell, w.cells FROM (
-  SELECT CASE model WHEN '%s' THEN 'A' WHEN '%s' THEN 'B' ELSE model END AS model, init, label, metric, feature, cell FROM rep) r
-JOIN (SELECT CASE model WHEN '%s' THEN 'A' WHEN '%s' THEN 'B' ELSE model END AS model, init, count(*) AS cells FROM metrics
-  WHERE feature = 'f0' GROUP BY ALL) w USING (model, init)""" % (2 * tuple(r for r, _ in V.RUNS)),
-       best_t=BEST, rep=REPORT),
+    _w("""SELECT CASE model WHEN '%s' THEN 'A' WHEN '%s' THEN 'B' ELSE model END AS model, init, label, metric, feature, cell, value
+FROM rep""" % tuple(r for r, _ in V.RUNS), best_t=BEST, rep=REPORT),
+    floats=["value"],
 )
 def c_compare_runs(spark, d):
-    """C6 end to end: stored sweep (S8) -> metrics at the leads -> best model (A29) -> report cells (M24), and
-    the wide table (S9) read back: the number of f0 values of each model and init in it."""
+    """C6 end to end: stored sweep (S8) -> metrics at the leads -> best model (A29) -> report cells (M24), each
+    with its value in the wide table (S9) of all features read back."""
     from fieldframe.plans.jobs import compare_runs
     from fieldframe.sources import io as IO
 
     history, out = IO.scratch_path(spark, "sweep"), IO.scratch_path(spark, "compare-wide")
     IO.save_history(V.f1_run_ensemble(spark, d), V.f1_truth(spark, d), V.f1_deterministic(spark, d), history)
-    cells = compare_runs(spark, history, ["A", "B"], [r for r, _ in V.RUNS], ["f0"], out, K, seed=SEED,
+    cells = compare_runs(spark, history, ["A", "B"], [r for r, _ in V.RUNS], FEATS, out, K, seed=SEED,
                          n_steps=V.N_STEPS, n_members=V.N_MEMBERS)
-    wide = spark.read.option("header", True).option("inferSchema", True).csv(out)
-    filled = sum((F.col(f"`{c}`").isNotNull().cast("long") for c in wide.columns if c not in ("model", "init")), F.lit(0))
-    counts = wide.select("model", F.col("init").cast("long").alias("init"), filled.cast("long").alias("cells"))
-    return cells.select("model", "init", "label", "metric", "feature", "cell").join(F.broadcast(counts), ["model", "init"])
+    wide = spark.read.option("header", True).schema("model string, init long, " + ", ".join(f"`{c}` double" for c in WIDE_COLS)).csv(out)
+    values = wide.unpivot(["model", "init"], WIDE_COLS, "column", "written")
+    cells = cells.withColumn("column", F.concat_ws("_", "label", "metric", "feature"))
+    return cells.join(values, ["model", "init", "column"], "left").select(
+        "model", "init", "label", "metric", "feature", "cell", F.col("written").alias("value"))
 
 
 def _title_sql(s: str) -> str:
@@ -215,10 +214,9 @@ def j_run_params(spark, d):
 
 @register(
     "w_eval_points",
-    _w("SELECT model, init, label, step, lead_hours, feature, value AS rmse FROM metrics WHERE metric = 'mean_rmse'"),
-    floats=["rmse"],
+    _w("SELECT model, init, label, step, lead_hours, feature, metric, value FROM metrics"),
+    floats=["value"],
 )
 def w_eval_points(spark, d):
-    """Evaluation points T/4, T/2, 3T/4, T of the step axis joined to ensemble-mean RMSE."""
-    return _metrics(spark, d).where(F.col("metric") == "mean_rmse").select(
-        "model", "init", "label", "step", "lead_hours", "feature", F.col("value").alias("rmse"))
+    """Evaluation points T/4, T/2, 3T/4, T of the step axis joined to the metrics of every model."""
+    return _metrics(spark, d).select("model", "init", "label", "step", "lead_hours", "feature", "metric", "value")
