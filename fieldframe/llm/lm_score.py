@@ -3,15 +3,16 @@
 Counts of words and word pairs are quantised to a logarithmic scale; a sequence with level q is in the
 filter with each of the levels 1..q, so its count is read back by asking for level 1, 2, 3, ... until
 one is absent. The filter is split into blocks by hash: one task adds up the counts of a block and sets
-its bits. Finished blocks are broadcast in groups of at most ``MAX_BROADCAST_BYTES``, and each group answers
-the sequences of its own blocks, so the filter grows with the corpus, what is broadcast at once does not,
-and every sequence is asked for once. A token's probability mixes the pair estimate with the smoothed
+its bits. A filter of pairs of at most ``MAX_BROADCAST_BYTES`` is broadcast; beyond that, each block is sent
+to the one task that gets the sequences of its hashes, so the corpus is read twice whatever the filter's size,
+nothing that grows passes the driver, and the answers are the same. A token's probability mixes the pair estimate with the smoothed
 single-word estimate.
 
 Exact word counts, for the base score, never meet in one place. Texts are read in chunks; a chunk keeps
 its distinct words as one sorted array of hashes, cut into blocks by hash. A block adds up the counts of
-its words over all chunks and answers every chunk with the totals of its own words. Arrays travel as
-compressed byte planes, not as rows of words.
+its words over all chunks, and answers every chunk with the totals of its own words. Arrays travel as
+compressed byte planes, not as rows of words. A task reads the rows of a block one after the other and holds
+the distinct sequences of that block and a batch of rows.
 """
 
 from __future__ import annotations
@@ -30,12 +31,13 @@ CHUNK_TOKENS = 1 << 20
 RATIO = 1.5  # of neighbouring count levels
 PROBES = 4
 BITS_PER_ENTRY = 8
-MAX_BROADCAST_BYTES = 128 << 20
+MAX_BROADCAST_BYTES = 8 << 20
+MERGE = 1 << 22  # sequences that wait before they are added to a block's totals
 PAIR_WEIGHT = 0.2
-DOCS, WORD, PAIR, FILTER, TOTALS = range(5)
+DOCS, WORD, PAIR = range(3)
 CHUNK_ROW = ("kind int, chunk bigint, block int, hashes binary, counts binary, doc_ids array<bigint>, held_out array<boolean>, "
              "lengths array<bigint>")
-BLOCK_ROW = "kind int, chunk bigint, block int, hashes binary, counts binary, tokens bigint, words bigint"
+MODEL_ROW = "block int, hashes binary, counts binary, bits binary, tokens bigint, words bigint"
 ANSWER_ROW = "kind int, chunk bigint, block int, hashes binary, counts binary, levels binary"
 SCORE_ROW = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, "
              "score double")
@@ -163,74 +165,92 @@ def read_chunks(docs: DataFrame, blocks: int, chunk_tokens: int) -> DataFrame:
     return docs.mapInPandas(read, CHUNK_ROW)
 
 
-def _merged(pdf: pd.DataFrame, width: int, shift: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The hashes of each row, all distinct hashes and their total counts."""
-    parts = [unsqueeze(h, width) << np.uint64(shift) for h in pdf["hashes"]]
-    found, place = np.unique(np.concatenate(parts), return_inverse=True)
-    counts = np.concatenate([unsqueeze(c, 8) for c in pdf["counts"]]).astype(np.int64)
-    totals = np.zeros(len(found), np.int64)
-    np.add.at(totals, place, counts)
-    return parts, found, totals
+class Tally:
+    """Totals of the sequences of one block, added up as its rows come."""
 
+    def __init__(self):
+        self.found, self.totals = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.waiting, self.size = [], 0
 
-def count_words(rows: DataFrame) -> DataFrame:
-    """Totals of the words of each block: answers to the chunks, the block's filter, its tokens and words."""
+    def add(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+        self.waiting.append((hashes[counts > 0], counts[counts > 0].astype(np.int64)))
+        self.size += len(self.waiting[-1][0])
+        if self.size > max(MERGE, len(self.found)):
+            self.merge()
 
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts, found, totals = _merged(pdf, 8, 0)
-        block = int(pdf["block"].iloc[0])
-        out = [(TOTALS, int(c), block, h, squeeze(totals[np.searchsorted(found, p)], 8), 0, 0)
-               for c, h, p in zip(pdf["chunk"], pdf["hashes"], parts)]
-        seen = totals > 0
-        out.append((FILTER, -1, block, build_block(found[seen], totals[seen]), None, int(totals.sum()), int(seen.sum())))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in BLOCK_ROW.split(", ")])
+    def merge(self) -> None:
+        hashes, counts = zip((self.found, self.totals), *self.waiting)
+        self.found, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        self.totals = np.zeros(len(self.found), np.int64)
+        np.add.at(self.totals, place, np.concatenate(counts))
+        self.waiting, self.size = [], 0
 
-    return rows.select("chunk", "block", "hashes", "counts").groupBy("block").applyInPandas(total, BLOCK_ROW)
 
+def learn(rows: DataFrame, width: int, shift: int, exact: bool) -> DataFrame:
+    """One ``MODEL_ROW`` for each block of ``rows`` (``chunk, block, hashes, counts``): the filter of its sequences,
+    and, if ``exact``, their hashes and counts too."""
 
-def count_pairs(rows: DataFrame) -> DataFrame:
-    """The filter of the pairs of each block."""
-
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, found, totals = _merged(pdf, 6, 16)
-        seen = totals > 0
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "hashes": [build_block(found[seen], totals[seen])]})
-
-    return rows.select("block", "hashes", "counts").groupBy("block").applyInPandas(total, "block int, hashes binary")
+    def row(block: int, tally: Tally) -> tuple:
+        tally.merge()
+        known = (squeeze(tally.found, 8), squeeze(tally.totals, 8)) if exact else (None, None)
+        return block, *known, build_block(tally.found, tally.totals), int(tally.totals.sum()), len(tally.found)
 
+    def total(frames):
+        block, tally = None, None
+        for pdf in frames:
+            for b, h, c in zip(pdf["block"], pdf["hashes"], pdf["counts"]):
+                if b != block:
+                    if tally:
+                        yield pd.DataFrame([row(block, tally)], columns=names)
+                    block, tally = int(b), Tally()
+                tally.add(unsqueeze(h, width) << np.uint64(shift), unsqueeze(c, 8))
+        if tally:
+            yield pd.DataFrame([row(block, tally)], columns=names)
 
-def _groups(filters: DataFrame, max_bytes: int) -> list[tuple[int, int]]:
-    """(first, last) block of runs of blocks whose filters have at most ``max_bytes`` together, or are one."""
-    out: list[tuple[int, int]] = []
-    held = 0
-    for r in filters.select("block", F.octet_length("hashes").alias("n")).orderBy("block").collect():
-        if out and held + r.n <= max_bytes:
-            out[-1], held = (out[-1][0], r.block), held + r.n
-        else:
-            out.append((r.block, r.block))
-            held = r.n
-    return out
+    names = [c.split()[0] for c in MODEL_ROW.split(", ")]
+    return rows.select("block", "hashes", "counts").repartition("block").sortWithinPartitions("block").mapInPandas(total, MODEL_ROW)
 
 
-def probe(kind: int, rows: DataFrame, filters: DataFrame, blocks: int, top: int, width: int, shift: int, max_bytes: int) -> list[DataFrame]:
-    """Levels of the sequences of ``rows`` (``chunk, block, hashes``), as ``ANSWER_ROW`` rows of ``kind``; staged,
-    one table for each group of filter blocks that is broadcast."""
-    spark = rows.sparkSession
-    out = []
-    for first, last in _groups(filters, max_bytes):
-        here = F.col("block").between(first, last)
-        held = {r.block: r.hashes for r in filters.where(here).select("block", "hashes").collect()}
-        broadcast = spark.sparkContext.broadcast(CountFilter(held, blocks, top))
-        del held
+def answer_by_block(kind: int, rows: DataFrame, model: DataFrame, blocks: int, top: int, width: int, shift: int) -> DataFrame:
+    """``ANSWER_ROW`` for each of ``rows`` (``chunk, block, hashes``): the level of its sequences by the filter of
+    its block, and their exact counts where ``model`` has them. The model of a block comes before its rows."""
 
-        def ask(frames, broadcast=broadcast):
-            for pdf in frames:
-                found = [squeeze(broadcast.value.levels(unsqueeze(h, width) << np.uint64(shift)), 1) for h in pdf["hashes"]]
-                yield pd.DataFrame({"kind": kind, "chunk": pdf["chunk"], "block": pdf["block"], "hashes": None, "counts": None, "levels": found})
+    def ask(frames):
+        known = counts = filters = None
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.chunk < 0:
+                    filters = CountFilter({r.block: r.bits}, blocks, top)
+                    known, counts = (None, None) if r.hashes is None else (unsqueeze(r.hashes, 8), np.append(unsqueeze(r.counts, 8), np.uint64(0)))
+                    continue
+                h = unsqueeze(r.hashes, width) << np.uint64(shift)
+                level = squeeze(filters.levels(h), 1)
+                if known is None:
+                    out.append((kind, r.chunk, r.block, None, None, level))
+                else:
+                    at = np.searchsorted(known, h)
+                    at[np.append(known, np.uint64(0))[at] != h] = len(known)
+                    out.append((kind, r.chunk, r.block, r.hashes, squeeze(counts[at], 8), level))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER_ROW.split(", ")])
+
+    none = F.lit(None).cast("binary")
+    both = model.select(F.lit(-1).cast("bigint").alias("chunk"), "block", "hashes", "counts", "bits").unionByName(
+        rows.select("chunk", "block", "hashes", none.alias("counts"), none.alias("bits")))
+    return both.repartition("block").sortWithinPartitions("block", "chunk").mapInPandas(ask, ANSWER_ROW)
+
+
+def answer_by_broadcast(kind: int, rows: DataFrame, model: DataFrame, blocks: int, top: int, width: int, shift: int) -> DataFrame:
+    """Levels as by :func:`answer_by_block`, from one broadcast of all filter blocks; no exchange of ``rows``."""
+    held = {r.block: r.bits for r in model.select("block", "bits").collect()}
+    broadcast = rows.sparkSession.sparkContext.broadcast(CountFilter(held, blocks, top))
+
+    def ask(frames):
+        for pdf in frames:
+            found = [squeeze(broadcast.value.levels(unsqueeze(h, width) << np.uint64(shift)), 1) for h in pdf["hashes"]]
+            yield pd.DataFrame({"kind": kind, "chunk": pdf["chunk"], "block": pdf["block"], "hashes": None, "counts": None, "levels": found})
 
-        out.append(stage(rows.where(here).select("chunk", "block", "hashes").mapInPandas(ask, ANSWER_ROW), "lm-levels"))
-        broadcast.destroy()
-    return out
+    return rows.select("chunk", "block", "hashes").mapInPandas(ask, ANSWER_ROW)
 
 
 def score_chunk(chunk: pd.DataFrame, answers: pd.DataFrame, trained: int, distinct: int, pair_weight: float) -> pd.DataFrame:
@@ -240,7 +260,7 @@ def score_chunk(chunk: pd.DataFrame, answers: pd.DataFrame, trained: int, distin
     def gathered(kind: int, column: str, width: int) -> np.ndarray:
         return np.concatenate([unsqueeze(x, width) for x in answers.loc[answers["kind"] == kind, column]])
 
-    words, exact = gathered(TOTALS, "hashes", 8), gathered(TOTALS, "counts", 8).astype(np.float64)
+    words, exact = gathered(WORD, "hashes", 8), gathered(WORD, "counts", 8).astype(np.float64)
     about = level_counts(gathered(WORD, "levels", 1).astype(np.int64))
     row = chunk.iloc[0]
     place = unsqueeze(row["hashes"], 4).astype(np.int64)
@@ -268,29 +288,28 @@ def score_documents(docs: DataFrame, pair_weight: float = PAIR_WEIGHT, chunk_tok
 
     Tokens are lower-cased words and one end; a null or empty text is its end alone. Null ``held_out``
     counts as not held out. Rows that repeat an id are counted and scored like others. Without training
-    rows every count is 0. Other columns are ignored. ``max_broadcast_bytes`` bounds the filter blocks that
-    are broadcast at once and changes no score.
+    rows every count is 0. Other columns are ignored. ``max_broadcast_bytes`` bounds the filter that is broadcast;
+    a larger one goes block by block to the sequences, which changes no score.
     """
     spark = docs.sparkSession
     small_batches(spark)
     blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out"))
     chunks = stage(read_chunks(rows, blocks, chunk_tokens), "lm-chunks", "kind")
-    counted = stage(count_words(chunks.where(F.col("kind") == WORD)), "lm-words", "kind")
-    drop_staged(chunks, f"kind={WORD}")  # summed up in ``counted``
-    filters, totals = counted.where(F.col("kind") == FILTER), counted.where(F.col("kind") == TOTALS)
-    size = filters.agg(F.sum("tokens"), F.sum("words")).first()
+    words, pairs = chunks.where(F.col("kind") == WORD), chunks.where(F.col("kind") == PAIR)
+    model = stage(learn(words, 8, 0, exact=True), "lm-words")
+    size = model.agg(F.sum("tokens"), F.sum("words")).first()
     trained, distinct = size[0] or 0, size[1] or 0
     top = int(levels(np.array([trained]))[0])
-    answers = totals.select("kind", "chunk", "block", "hashes", "counts", F.lit(None).cast("binary").alias("levels"))
-    for part in probe(WORD, totals, filters, blocks, top, 8, 0, max_broadcast_bytes):
-        answers = answers.unionByName(part)
-    pairs = chunks.where(F.col("kind") == PAIR)
-    filters = stage(count_pairs(pairs), "lm-pairs")
-    for part in probe(PAIR, pairs, filters, blocks, top, 6, 16, max_broadcast_bytes):
-        answers = answers.unionByName(part)
+    known = stage(answer_by_block(WORD, words, model, blocks, top, 8, 0), "lm-known")
+    drop_staged(chunks, f"kind={WORD}")  # answered in ``known``
+    drop_staged(model)
+    model = stage(learn(pairs, 6, 16, exact=False), "lm-pairs")
+    size = model.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
+    answer = answer_by_broadcast if size <= max_broadcast_bytes else answer_by_block
+    answers = known.unionByName(stage(answer(PAIR, pairs, model, blocks, top, 6, 16), "lm-levels"))
     drop_staged(chunks, f"kind={PAIR}")
-    drop_staged(filters)
+    drop_staged(model)
 
     def score(_, chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         return score_chunk(chunk, answers, trained, distinct, pair_weight)

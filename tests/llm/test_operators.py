@@ -390,8 +390,33 @@ def test_count_filter_never_misses_and_seldom_invents():
 
 def test_scores_do_not_depend_on_the_broadcast_bound(sf_docs):
     df = sf_docs.select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % 7 == 2).alias("held_out"))
-    one = {tuple(r) for r in lm_score.score_documents(df).collect()}
-    assert {tuple(r) for r in lm_score.score_documents(df, max_broadcast_bytes=30_000).collect()} == one
+    one = {tuple(r) for r in lm_score.score_documents(df, max_broadcast_bytes=1 << 30).collect()}
+    assert {tuple(r) for r in lm_score.score_documents(df, max_broadcast_bytes=0).collect()} == one
+
+
+def test_totals_of_a_block_do_not_depend_on_when_rows_are_merged(monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(np.unique(rng.integers(0, 500, 200).astype(np.uint64)),) for _ in range(30)]
+    rows = [(h, rng.integers(0, 4, len(h)).astype(np.uint64)) for h, in rows]
+    want = Counter()
+    for h, c in rows:
+        want.update({int(a): int(b) for a, b in zip(h, c) if b})
+    for merge in (1, 300, 1 << 22):
+        monkeypatch.setattr(lm_score, "MERGE", merge)
+        tally = lm_score.Tally()
+        for h, c in rows:
+            tally.add(h, c)
+        tally.merge()
+        assert dict(zip(tally.found.tolist(), tally.totals.tolist())) == want
+
+
+def test_no_filter_over_the_bound_is_broadcast(sf_docs, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("broadcast")
+
+    monkeypatch.setattr(lm_score, "answer_by_broadcast", refuse)
+    df = sf_docs.select("doc_id", "text", F.lit(False).alias("held_out"))
+    assert lm_score.score_documents(df, max_broadcast_bytes=1000).count() == df.count()
 
 
 def test_byte_planes_round_trip():
