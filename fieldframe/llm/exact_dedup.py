@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldframe.llm.shared import scratch, stage
+from fieldframe.llm.shared import drop_staged, scratch, stage
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -54,19 +54,25 @@ class DigestIndex:
         """Forget the session's table name; the files stay."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
-    def ingest(self, members: DataFrame) -> None:
+    def ingest(self, members: DataFrame, arrival: str | None = None) -> None:
         """Add one arrival of (id, digest) rows. New digests are those that the anti-join leaves; the
-        smallest id of the arrival becomes their ``keep_id`` (null ids only if there is no other)."""
-        arrival = uuid.uuid4().hex
-        found = stage(members.groupBy("digest").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies")),
-                      "arrival")
+        smallest id of the arrival becomes their ``keep_id`` (null ids only if there is no other).
+
+        A job that names its ``arrival`` may repeat it after a crash: digests that the index already has
+        from an arrival of that name are not counted again, so the rows of a name must always be the same."""
+        found = members.groupBy("digest").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
+        if arrival is not None:
+            done = self.rows().where(F.col("arrival") == arrival).select("digest")
+            found = found.hint("merge").join(done, "digest", "left_anti")
+        found = stage(found, "arrival")
         known = self.rows().select("digest")
         new = found.hint("merge").join(known, "digest", "left_anti")
         again = found.hint("merge").join(known, "digest", "left_semi").withColumn("keep_id", F.lit(None).cast("bigint"))
-        (new.unionByName(again).withColumn("arrival", F.lit(arrival))
+        (new.unionByName(again).withColumn("arrival", F.lit(arrival or uuid.uuid4().hex))
          .repartition(self.buckets, "digest").write.mode("append").format("parquet")
          .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table))
         self.spark.catalog.refreshTable(self.table)
+        drop_staged(found)
 
     def groups(self) -> DataFrame:
         """(digest, keep_id, group_size) over every arrival; no shuffle, the buckets hold the digests."""
@@ -74,12 +80,13 @@ class DigestIndex:
 
 
 def exact_duplicates(docs: DataFrame, arrivals: int = 2, index: DigestIndex | None = None, id_col: str = "doc_id",
-                     text_col: str = "text") -> DataFrame:
+                     text_col: str = "text", name: str | None = None) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     The table is ingested in ``arrivals`` ranges of its ids, in order, so the first arrival of a text
     holds its smallest id; with an ``index`` that already has rows, texts seen earlier keep their
-    earlier document. Rows are known by their id: a row that repeats an id and text shares that id's
+    earlier document. A job that may repeat after a crash gives its batch a ``name``, under which it is ingested
+    once. Rows are known by their id: a row that repeats an id and text shares that id's
     fate. A null id counts as larger than any other; a group of null ids alone has a null ``keep_id``
     and is kept. Null and empty text are equal to each other. An empty table gives an empty result.
     """
@@ -96,7 +103,7 @@ def exact_duplicates(docs: DataFrame, arrivals: int = 2, index: DigestIndex | No
                               else F.col("id") > edges[k - 1])
         if k < len(edges):
             part = part.where(F.col("id") <= edges[k])
-        index.ingest(part)
+        index.ingest(part, None if name is None else f"{name}-{k}")
     # one row per digest, staged, so that both sides of the join below are plain exchanges and a
     # digest that holds a third of the rows is split over tasks
     groups = stage(index.groups(), "digest-groups")
