@@ -16,10 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldframe.llm.shared import small_batches, stage
+from fieldframe.llm.shared import small_batches, stage, unused
 
 PROFILE = 300
 MAX_LANGUAGES = 1000
+HELD_NGRAMS = 1 << 18  # of a language, in one task, before they go to the sums
 BORDER = 1  # stands for the border of a word in an n-gram
 UNDETERMINED = "und"
 
@@ -88,6 +89,9 @@ def learn_profiles(docs: DataFrame, length: int = PROFILE) -> list[tuple[str, in
                     code, inverse = np.unique(both, return_inverse=True)
                     n = np.bincount(inverse, np.concatenate((held[lang][1], n))).astype(np.int64)
                 held[lang] = code, n
+                if len(code) > HELD_NGRAMS:  # the sums below put it together
+                    del held[lang]
+                    yield pd.DataFrame({"lang": lang, "code": code, "n": n})
         for lang, (code, n) in held.items():
             yield pd.DataFrame({"lang": lang, "code": code, "n": n})
 
@@ -119,8 +123,10 @@ def predict_language(docs: DataFrame, profiles: list[tuple[str, int, int]], leng
         p = broadcast.value
         return pd.DataFrame([p.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    out = docs.withColumn("_language", predict(F.col(f"`{text_col}`"))).drop("lang_pred", "score")
-    return out.select(*[f"`{c}`" for c in out.columns if c != "_language"], "_language.lang_pred", "_language.score")
+    found = unused(docs, "_language")
+    keep = [f"`{c}`" for c in docs.columns if c not in ("lang_pred", "score")]
+    out = docs.withColumn(found, predict(F.col(f"`{text_col}`")))
+    return out.select(*keep, f"{found}.lang_pred", f"{found}.score")
 
 
 def held_out(doc_id: str):

@@ -50,6 +50,14 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called that."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def space_words(text: str | None, lower: bool) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text in UTF-8; ``lower`` maps A-Z to a-z. Null has none."""
     if not text:
