@@ -5,20 +5,21 @@ patterns. A block is two words. The shift table tells for each block how far the
 before a window could end; a block with shift zero ends some window, its suffix-hash bucket, narrowed
 by the prefix hash, selects the windows, and comparing all words confirms an occurrence. Documents are
 scanned where they lie: no shuffle. Items are broadcast in blocks of at most ``block_bytes`` of text,
-and every block is searched in every document.
+and every block is searched in every document; with more than one, the rows are written once with a number, and a
+block leaves the numbers, spans and items of the rows that it hits.
 """
 
 from __future__ import annotations
 
 import uuid
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldframe.llm.shared import small_batches, stage
+from fieldframe.llm.shared import small_batches, stage, unused
 
 WINDOW = 10
 # A-Z to a-z; bytes that are no digit, letter or part of a non-ASCII character become spaces
@@ -162,8 +163,8 @@ def _matcher(key: str, broadcast, window: int) -> Matcher:
 
 MADE = ("n_words", "spans", "items")
 FOUND = "struct<n_words: bigint, spans: array<struct<first: bigint, stop: bigint>>, items: array<string>>"
-# the spans of two item blocks as one list of disjoint spans
-MERGED = """aggregate(array_sort(concat(spans, _found.spans)), filter(spans, s -> false), (got, s) ->
+# the spans of all item blocks as one list of disjoint spans
+MERGED = """aggregate(array_sort(spans), filter(spans, s -> false), (got, s) ->
   CASE WHEN size(got) > 0 AND element_at(got, -1).stop >= s.first
        THEN concat(slice(got, 1, size(got) - 1), array(named_struct('first', element_at(got, -1).first,
                    'stop', greatest(element_at(got, -1).stop, s.stop))))
@@ -184,20 +185,26 @@ def find_occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, bl
     pairs = items.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{item_text_col}`").alias("text"))
     size = items.select(F.sum(F.octet_length(F.col(f"`{item_text_col}`")) + 32)).first()[0] or 0
     blocks = size // block_bytes + 1
-    out = docs.drop(*MADE, "_found")
-    keep = [f"`{c}`" for c in out.columns]
-    for k in range(blocks):
-        part = pairs if blocks == 1 else pairs.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
+    keep = [c for c in docs.columns if c not in MADE]
+    columns, text = [f"`{c}`" for c in keep], F.col(f"`{text_col}`")
+    found, row = unused(docs, "_found"), unused(docs, "_row")
+
+    def search(rows: DataFrame, part: DataFrame) -> DataFrame:
         broadcast = spark.sparkContext.broadcast([(r.id, r.text) for r in part.collect()])
-        out = out.withColumn("_found", _search(broadcast, uuid.uuid4().hex, window)(F.col(f"`{text_col}`")))
-        if k == 0:
-            out = out.select(*keep, "_found.*")
-        else:
-            out = out.selectExpr(*keep, "n_words", f"{MERGED} AS spans",
-                                 "array_sort(array_distinct(concat(items, _found.items))) AS items")
-        if k < blocks - 1:
-            out = stage(out, "decontaminate")
-    return out
+        return rows.withColumn(found, _search(broadcast, uuid.uuid4().hex, window)(text))
+
+    if blocks == 1:
+        return search(docs, pairs).select(*columns, f"{found}.*")
+    # rows get a number once; a block of items reads the texts and leaves only what it hits
+    rows = stage(docs.select(*columns, F.monotonically_increasing_id().alias(row)), "decontaminate")
+    hits = []
+    for k in range(blocks):
+        part = search(rows, pairs.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)).select(row, f"{found}.*")
+        hits.append(stage(part if k == 0 else part.where("size(spans) > 0"), "occurrences"))
+    both = reduce(DataFrame.unionByName, hits).groupBy(row).agg(
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return rows.join(both.selectExpr(row, "n_words", f"{MERGED} AS spans", "items"), row).select(*columns, *MADE)
 
 
 def _search(broadcast, key: str, window: int):

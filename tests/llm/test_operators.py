@@ -100,6 +100,20 @@ def test_decontaminate_matches_brute_force(spark, corpora, name, block_bytes):
     assert sorted(got, key=str) == brute_hits(texts_of(corpora[name]), pairs)
 
 
+def test_item_blocks_write_the_rows_once_and_keep_columns_of_any_name(spark, docs, monkeypatch):
+    items = spark.createDataFrame(ITEMS, "item_id int, text string")
+    named = docs.withColumns({"_found": F.lit("f"), "_row": F.lit("r"), "_FOUND_": F.lit("g"), "spans": F.lit(0)})
+    one = decontaminate.find_occurrences(named, items)
+    staged = []
+    stage = decontaminate.stage
+    monkeypatch.setattr(decontaminate, "stage", lambda df, name: staged.append((name, df.columns)) or stage(df, name))
+    many = decontaminate.find_occurrences(named, items, block_bytes=20)
+    assert many.columns == one.columns and {"_found", "_row", "_FOUND_"} <= set(many.columns)
+    assert sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
+    assert len(staged) > 3 and [n for n, _ in staged].count("decontaminate") == 1
+    assert all("text" not in columns for n, columns in staged if n == "occurrences")
+
+
 def test_decontaminate_without_items_and_filter(spark, docs):
     items = spark.createDataFrame(ITEMS, "item_id int, text string")
     assert all(not r.spans for r in decontaminate.find_occurrences(docs, items.limit(0)).collect())
@@ -230,6 +244,23 @@ def test_digest_index_persists_and_appends(spark, tmp_path):
     assert "Exchange" not in plan
 
 
+def test_a_named_arrival_counts_once(spark, tmp_path):
+    path = str(tmp_path / "index")
+
+    def arrive(rows, name):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        index = exact_dedup.DigestIndex(spark, path, buckets=4)
+        return {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(df, 2, index, name=name).collect()}
+
+    first = [(5, "a"), (6, "b"), (7, "a"), (None, "n")]
+    once = arrive(first, "monday")
+    assert once == {5: (5, 2), 6: (6, 1), 7: (5, 2), None: (None, 1)}
+    assert arrive(first, "monday") == once
+    index = exact_dedup.DigestIndex(spark, path, buckets=4)
+    index.ingest(exact_dedup.digests(spark.createDataFrame([(1, "x")], "doc_id bigint, text string")), "tuesday-0")  # then a crash
+    assert arrive([(1, "x"), (9, "a")], "tuesday") == {1: (1, 1), 9: (5, 3)}
+
+
 def test_exact_dedup_is_jvm_only(docs):
     plan = exact_dedup.exact_duplicates(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -484,8 +515,17 @@ def brute_language(rows, length=language_id.PROFILE):
     return out
 
 
-@pytest.mark.parametrize("name", ["edge", "sf", "empty"])
-def test_languages_match_brute_force(corpora, name):
+def test_language_keeps_columns_of_any_name(docs):
+    named = docs.withColumns({"_language": F.lit("l"), "_Language_": F.lit("m")})
+    out = language_id.identify(named)
+    assert {"_language", "_Language_"} <= set(out.columns)
+    plain = language_id.identify(docs).select("doc_id", "lang_pred", "score")
+    assert sorted(map(str, out.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
+@pytest.mark.parametrize("name, held", [("edge", 1 << 18), ("sf", 1 << 18), ("empty", 1 << 18), ("sf", 50)])
+def test_languages_match_brute_force(corpora, monkeypatch, name, held):
+    monkeypatch.setattr(language_id, "HELD_NGRAMS", held)
     df = corpora[name]
     got = sorted(((r.doc_id, r.lang_pred, round(r.score, 9)) for r in language_id.identify(df).collect()), key=str)
     rows = [(r.doc_id, r.text, r.lang) for r in df.select("doc_id", "text", "lang").collect()]
