@@ -244,14 +244,15 @@ def compare_sweep(spark: SparkSession, name: str, names: Sequence[str], run_path
 def deterministic_skill(det: DataFrame, truth: DataFrame, keys: Sequence[str], k_even: int = 4) -> DataFrame:
     """Standardised forecast rescaled with the truth's per-field mu/sigma (J7), RMSE and
     max absolute error per field at evenly spaced steps (W8). Fields are independent per
-    step, so both inputs are narrowed to those steps first."""
+    step, so both inputs are narrowed to those steps first. A field without truth (a forecast that
+    runs past the observed period) has no score and is left out, as its cells are (J4)."""
     keys = list(keys)
     steps = F.broadcast(S.even_step_table(det, k_even))
     det = det.join(steps, "step", "left_semi")
     truth = truth.join(steps, "step", "left_semi")
     z = FL.standardize_field(det, keys)
     ms = FL.field_mu_sigma(truth, keys)
-    fc = J.rescale_with_truth(z, ms, keys)
+    fc = J.rescale_with_truth(z, ms, keys, strict=False)
     a = E.align(fc, truth, keys)
     d = F.col("value") - F.col("truth")
     return a.groupBy(*keys).agg(F.sqrt(F.avg(d * d)).alias("rmse"), F.max(F.abs(d)).alias("max_abs_error"))

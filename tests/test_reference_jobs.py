@@ -16,6 +16,7 @@ from fieldframe.operators import forcings as FO
 from fieldframe.operators import joins as J
 from fieldframe.operators import losses as L
 from fieldframe.operators import samples as S
+from fieldframe.plans import jobs as JB
 from fieldframe.plans import rollout as RO
 from fieldframe.plans import wide as WI
 from fieldframe.sources import handoff as HO
@@ -160,6 +161,15 @@ def test_nearest_without_keys(spark, parts):
     assert [r.nearest_x for r in J.nearest(df.limit(0), spark.createDataFrame([(1.0,)], "target double"), "x", parts=parts).collect()] == [None]
 
 
+def test_nearest_windows_grow_row_by_row(spark):
+    """No frame ends at its partition's end: Spark builds such a one anew for every row."""
+    df = spark.range(50).select((F.col("id") * 3.0).alias("x"))
+    targets = spark.range(-5, 160).select(F.col("id").cast("double").alias("target"))
+    for got in (J.nearest(df, targets, "x", parts=1), J.nearest(df.withColumn("k", F.lit(1)), targets.withColumn("k", F.lit(1)), "x", keys=["k"])):
+        assert "unboundedfollowing" not in plan(got)
+        assert {r.target: r.nearest_x for r in got.collect()} == {t: min((3.0 * i for i in range(50)), key=lambda c: (abs(c - t), c)) for t in map(float, range(-5, 160))}
+
+
 # ---- ensembles
 
 def test_domain_average_of_ragged_members(spark):
@@ -177,6 +187,14 @@ def test_rescaling_without_truth_raises_or_leaves_out(spark):
         J.rescale_with_truth(fc, ms).collect()
 
 
+def test_skill_leaves_out_a_field_without_truth(spark):
+    rows = [(0, s, "f", 0, j, float(j * (s + 1))) for s in range(4) for j in range(3)]
+    det = spark.createDataFrame(rows, "init long, step long, feature string, lat_i int, lon_i int, value double")
+    truth = det.where("step < 3").withColumn("value", F.col("value") + 1)
+    got = {r.step: (r.rmse, r.max_abs_error) for r in JB.deterministic_skill(det, truth, ["init", "step", "feature"]).collect()}
+    assert got == {s: (pytest.approx(0.0, abs=1e-12), pytest.approx(0.0, abs=1e-12)) for s in range(3)}
+
+
 @pytest.mark.parametrize("bins,rounds", [(1024, 2), (4, 1), (3, 0)])
 def test_lower_median_by_counts(spark, bins, rounds):
     rng = np.random.default_rng(2)
