@@ -102,9 +102,9 @@ def nearest(df: DataFrame, targets: DataFrame, coord: str, target_col: str = "ta
 
     An as-of merge over ranges: distinct coordinates and targets fall into ``parts`` equal ranges of the
     axis (default: one per shuffle partition without ``keys``, one with), each range also gets the last
-    coordinate before it and the first one after it, and ``last``/``first(ignorenulls)`` windows inside a
-    range find the neighbours of its targets. So no task sorts the whole axis, with or without keys. A
-    null target, and a target without any coordinate, has no nearest one.
+    coordinate before it and the first one after it, and ``last(ignorenulls)`` windows up and down a range
+    find the neighbours of its targets, in time that grows with its rows. So no task sorts the whole axis
+    without keys. A null target, and a target without any coordinate, has no nearest one.
     """
     keys = list(keys)
     n = parts or (1 if keys else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -132,9 +132,9 @@ def nearest(df: DataFrame, targets: DataFrame, coord: str, target_col: str = "ta
     u = a.select("*", F.lit(None).cast(kind).alias("_t")).unionByName(t.select(*keys, part("_t").alias("_part"), F.lit(None).cast(a.schema["_c"].dataType).alias("_c"), "_t"))
     # coordinates sort before a target at the same position
     order = [F.coalesce(num("_c"), num("_t")), F.col("_t").isNotNull()]
-    w = Window.partitionBy(*keys, "_part").orderBy(*order)
-    u = u.select("*", F.last("_c", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_prev"),
-                 F.first("_c", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_next"))
+    # both frames grow from the start of their order, row by row: a frame that shrinks towards its end is built anew for every row
+    up, down = (Window.partitionBy(*keys, "_part").orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in (order, [c.desc() for c in order]))
+    u = u.select("*", F.last("_c", ignorenulls=True).over(up).alias("_prev"), F.last("_c", ignorenulls=True).over(down).alias("_next"))
 
     def dist(c: str):
         return F.abs(num(c) - num("_t"))
