@@ -103,7 +103,8 @@ def save_forecast(batch: DataFrame, path: str, first: bool, constants: DataFrame
     out = batch.withColumn("lead_hours", ((F.col("step") + 1) * 6).cast("int")) \
         .withColumn("init_date", F.to_date("init_time")) \
         .withColumn("init_key", F.date_format("init_time", "'t'yyyyMMddHHmmss"))
-    (out.repartition("init_key", "step").write.partitionBy("init_date", "init_key").mode("overwrite")
+    # small init times share a task and have one file each; one larger than a partition is split
+    (out.hint("rebalance", "init_key").write.partitionBy("init_date", "init_key").mode("overwrite")
      .option("partitionOverwriteMode", "static" if first else "dynamic").parquet(f"{path}/forecast"))
     if first and constants is not None:
         write_table(constants, f"{path}/constants")

@@ -304,3 +304,14 @@ def test_names_of_fixed_angles():
     a, b = 0.7, 2.1
     assert np.cos(a + b) == pytest.approx(np.cos(a) * np.cos(b) - np.sin(a) * np.sin(b))
     assert len(P.gauss_legendre(FO.NODES)) == FO.NODES
+def test_stream_makes_few_folders_and_one_file_an_init_time(spark, tmp_path):
+    path = str(tmp_path / "store")
+    write = SF._write_batch(path, 6, None)
+    for n, value in ((0, 1.0), (1, 2.0)):
+        write(_forecast(spark, range(40), value).repartition(4, "step"), n)
+    assert sorted(os.path.relpath(f, f"{path}/landing") for f in glob.glob(f"{path}/landing/*/*=*")) == [
+        f"batch_id={n}/init_month=m20240{m}" for n in (0, 1) for m in (1, 2)]
+    assert len(glob.glob(f"{path}/forecast/*/*/*.parquet")) == 40
+    assert {r.value for r in IO.read_forecast(spark, path).collect()} == {2.0, 3.0, 4.0}
+
+
