@@ -96,10 +96,16 @@ def toa_radiation(times: DataFrame, grid: DataFrame, time_col: str = "time", n_n
     ``times`` holds distinct times; ``grid`` holds (lat_i, lon_i, latitude, longitude). The output is
     one value per (time, cell): the product of both is the output domain itself. The grid (2,048 cells at
     5.625 degrees, about 1 M at 0.25 degrees) is broadcast to the time-partitioned side if the planner
-    bounds its size, else the planner deals both sides out.
+    bounds its size, else it is dealt out. So are the times, few rows that bring a whole grid each: by
+    number, which is never merged, and not by their own column, a partitioning that a distinct axis
+    already has and that would be merged into one task.
     """
-    g = bounded_broadcast(grid.select("lat_i", "lon_i", "latitude", "longitude", _place().alias("place")))
-    t = toa_coefficients(times, time_col, n_nodes)
+    n = int(times.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = grid.select("lat_i", "lon_i", "latitude", "longitude", _place().alias("place"))
+    g = bounded_broadcast(cells)
+    if g is cells:
+        g = cells.repartition(n)
+    t = toa_coefficients(times.repartition(n), time_col, n_nodes)
     return t.crossJoin(g).select(time_col, "lat_i", "lon_i", "latitude", "longitude", _radiation(n_nodes).alias("toa"))
 
 
