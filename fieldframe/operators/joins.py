@@ -71,17 +71,26 @@ def attach_time_forcings(df: DataFrame, forcings: DataFrame, on: str = "time") -
     return join_all(df, bounded_broadcast(forcings), [on], "forcings")
 
 
-def refresh_exogenous(state: DataFrame, exo: DataFrame, exo_cols: Sequence[str]) -> DataFrame:
+def refresh_exogenous(state: DataFrame, exo: DataFrame | Sequence[DataFrame], exo_cols: Sequence[str]) -> DataFrame:
     """Next rollout input = forecast channels + forcings/constants at the new valid time.
 
     ``state`` has (init, step, lat_i, lon_i, ...); ``exo`` has (time, lat_i, lon_i, exo_cols...).
-    The valid time is init + step * 6h; a state row without forcings raises.
+    The valid time is init + step * 6h; a state row without forcings raises. ``exo`` may also be several tables, of
+    channels by time and of channels by cell (J3, J2): each is looked up by those of the three columns
+    that it has, and the product of times and cells is never made.
     """
     s = state.withColumn(
         "valid_time", F.col("init_time") + F.make_dt_interval(F.lit(0), F.col("step").cast("int") * TIME_RESOLUTION_H)
     )
-    e = exo.select(F.col("time").alias("valid_time"), "lat_i", "lon_i", *exo_cols)
-    return join_all(s, e, ["valid_time", "lat_i", "lon_i"], "forcings")
+    if isinstance(exo, DataFrame):
+        e = exo.select(F.col("time").alias("valid_time"), "lat_i", "lon_i", *exo_cols)
+        return join_all(s, e, ["valid_time", "lat_i", "lon_i"], "forcings")
+    out = s
+    for side in exo:
+        e = side.withColumnRenamed("time", "valid_time")
+        on = [c for c in ("valid_time", "lat_i", "lon_i") if c in e.columns]
+        out = join_all(out, bounded_broadcast(e.select(*on, *[c for c in exo_cols if c in e.columns])), on, "forcings")
+    return out.select("valid_time", "lat_i", "lon_i", *[c for c in s.columns if c not in ("valid_time", "lat_i", "lon_i")], *exo_cols)
 
 
 def rescale_with_truth(fc: DataFrame, mu_sigma: DataFrame, keys: Sequence[str] = ("time", "feature"), strict: bool = True) -> DataFrame:

@@ -548,7 +548,9 @@ def c_rollout(spark, d):
     plus a term of latitude and hour), of every field whose valid times all have truth."""
     f2 = V.f2_obs(spark, d)
     analysis = f2.withColumnRenamed("time", "init_time").join(RO.complete_inits(f2, ROLLOUT_STEPS), ["init_time", "feature"], "left_semi")
-    exo = FO.time_forcings(V.f2_grid(spark, d)).select("time", "lat_i", "lon_i", "latitude", "sin_time_of_day")
+    # channels by time and by cell, read at every step: taken once, and not multiplied out to times x cells
+    exo = [JB.stored(FO.time_forcings(V.f4_times(spark, d)).select("time", "sin_time_of_day"), "by-time"),
+           JB.stored(V.f2_cells(spark, d).select("lat_i", "lon_i", "latitude"), "by-cell")]
 
     def network(x):
         return x.withColumn("value", F.col("value") + 0.01 * F.col("latitude") * (1 + F.col("sin_time_of_day")))

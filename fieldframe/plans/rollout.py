@@ -40,19 +40,20 @@ def _state(fields: DataFrame, scales: DataFrame, step: int, res_h: int) -> DataF
     return J.rescale_with_truth(at, scales).withColumnRenamed("value", "prediction").select(*STATE)
 
 
-def step_inputs(state: DataFrame, exo: DataFrame, exo_cols: Sequence[str], step: int) -> DataFrame:
+def step_inputs(state: DataFrame, exo: DataFrame | Sequence[DataFrame], exo_cols: Sequence[str], step: int) -> DataFrame:
     """What the network reads at a step: the standardised state with the exogenous channels of its valid time."""
     rows = state.select(*FIELD, *CELL, F.lit(step).alias("step"), F.col("z").alias("value"))
     return J.refresh_exogenous(rows, exo, exo_cols)
 
 
-def rollout(analysis: DataFrame, truth: DataFrame, exo: DataFrame, exo_cols: Sequence[str], step_function: StepFunction, n_steps: int,
+def rollout(analysis: DataFrame, truth: DataFrame, exo: DataFrame | Sequence[DataFrame], exo_cols: Sequence[str], step_function: StepFunction, n_steps: int,
             out: str, res_h: int = TIME_RESOLUTION_H) -> DataFrame:
     """Forecast ``n_steps`` states (the analysis is step 0) of every init time: (init_time, step, valid_time, feature,
     lat_i, lon_i, prediction, ground).
 
     ``analysis``: (init_time, feature, lat_i, lon_i, value), the physical state at each init time; ``truth``:
-    (time, feature, lat_i, lon_i, value); ``exo``: (time, lat_i, lon_i, ``exo_cols``). The output of the network is
+    (time, feature, lat_i, lon_i, value); ``exo``: (time, lat_i, lon_i, ``exo_cols``), or tables of these channels by
+    time and by cell. The output of the network is
     standardised over each grid before it is read again, and scaled back by the truth's mean and deviation
     at its valid time. ``ground`` is the truth of the same time and cell, null where it has none. A valid time
     without truth statistics, or a cell without exogenous channels, raises.

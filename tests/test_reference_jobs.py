@@ -117,6 +117,19 @@ def test_rollout_resumes_after_the_last_whole_step(spark, tmp_path):
 
 
 def test_rollout_beyond_the_truth_raises(spark, tmp_path):
+def test_channels_by_time_and_by_cell_equal_their_product(spark):
+    state = spark.createDataFrame([(60 * 6 * t, i, j, 1.0 * i + j) for t in range(4) for i in range(3) for j in range(2)], "m int, lat_i int, lon_i int, value double")
+    state = state.select(at("m").alias("init_time"), F.lit(1).alias("step"), "lat_i", "lon_i", "value")
+    times = spark.createDataFrame([(360 * t, 0.5 * t) for t in range(5)], "m int, a double").select(at("m").alias("time"), "a")
+    cells = state.select("lat_i", "lon_i").distinct().withColumn("b", 10.0 * F.col("lat_i") + F.col("lon_i"))
+    want = J.refresh_exogenous(state, times.crossJoin(cells), ["a", "b"])
+    got = J.refresh_exogenous(state, [times, cells], ["a", "b"])
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and got.count() == 24
+    assert not {"CartesianProduct", "BroadcastNestedLoopJoin"} & set(plan(got).split())
+    with pytest.raises(Exception, match="no forcings"):
+        J.refresh_exogenous(state, [times.where("a < 2"), cells], ["a", "b"]).collect()
+
+
     truth = _truth(spark, 24)
     exo = truth.select("time", "lat_i", "lon_i").distinct()
     analysis = truth.withColumnRenamed("time", "init_time")
