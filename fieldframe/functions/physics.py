@@ -177,15 +177,23 @@ def denormalize_zscore(y, mean, std) -> Column:
     return _c(y) * _c(std) + _c(mean)
 
 
+def _without_level(feature) -> tuple[Column, Column]:
+    """The name less the digits it ends with, and whether it has a ``_h<level>`` suffix (string functions: a regular
+    expression would cost more than the rest of a row's work)."""
+    bare = F.rtrim(_c(feature), F.lit("0123456789"))
+    return bare, F.endswith(bare, F.lit("_h")) & (F.length(bare) < F.length(_c(feature)))
+
+
 def base_variable(feature) -> Column:
     """P10: strip the ``_h<level>`` suffix."""
-    return F.regexp_replace(_c(feature), r"_h\d+$", "")
+    bare, has_level = _without_level(feature)
+    return F.when(has_level, F.substring(bare, F.lit(1), F.length(bare) - 2)).otherwise(_c(feature))
 
 
 def feature_level(feature) -> Column:
     """P10: the pressure level of a feature name, NULL for surface features."""
-    lv = F.regexp_extract(_c(feature), r"_h(\d+)$", 1)
-    return F.when(lv == "", F.lit(None)).otherwise(lv).cast("int")
+    bare, has_level = _without_level(feature)
+    return F.when(has_level, F.substring(_c(feature), F.length(bare) + 1, F.length(_c(feature)))).cast("int")
 
 
 def feature_name(variable, level) -> Column:

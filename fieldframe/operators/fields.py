@@ -52,10 +52,12 @@ def to_long(wide: DataFrame, ids: Sequence[str], variables: Sequence[str], level
     return long.select(*ids, name.alias("feature"), "value")
 
 
-def to_wide(long: DataFrame, ids: Sequence[str], variables: Sequence[str]) -> DataFrame:
-    """Unstack features by variable and level: one column per variable, ``level`` NULL for surface."""
-    t = long.withColumn("variable", base_variable(F.col("feature"))).withColumn("level", feature_level(F.col("feature")))
-    return t.groupBy(*ids, "level").pivot("variable", list(variables)).agg(F.first("value"))
+def to_wide(long: DataFrame, ids: Sequence[str], variables: Sequence[str], named: bool = False) -> DataFrame:
+    """Unstack features by variable and level: one column per variable, ``level`` NULL for surface. ``named`` says
+    that ``long`` brings ``variable`` and ``level``, taken from the features' own table."""
+    t = long if named else long.withColumn("variable", base_variable(F.col("feature"))).withColumn("level", feature_level(F.col("feature")))
+    # one aggregation, where a pivot makes two with a shuffle each
+    return t.groupBy(*ids, "level").agg(*[F.first(F.when(F.col("variable") == v, F.col("value")), ignorenulls=True).alias(v) for v in variables])
 
 
 # ------------------------------------------------------- catalogue and switch

@@ -27,29 +27,35 @@ SPHERICAL_NAMES = {
 
 def rename_variables(long: DataFrame, names: Mapping[str, str], feature_col: str = "feature") -> DataFrame:
     """P10: rename variables, keeping the level suffix; other features are unchanged."""
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    base = P.base_variable(feature_col)
-    suffix = F.regexp_extract(feature_col, r"(_h\d+)?$", 1)
-    new = F.try_element_at(table, base)
-    return long.withColumn(feature_col, F.when(new.isNotNull(), F.concat(new, suffix)).otherwise(F.col(feature_col)))
+    base = F.col("variable") if "variable" in long.columns else P.base_variable(feature_col)
+    suffix = F.substring(feature_col, F.length(base) + 1, F.length(feature_col))
+    out = F.col(feature_col)
+    for old, new in names.items():
+        out = F.when(base == old, F.concat(F.lit(new), suffix)).otherwise(out)
+    return long.withColumn(feature_col, out)
 
 
-def denormalize_features(long: DataFrame, stats: DataFrame) -> DataFrame:
-    """Every value back in physical units by its feature's kind (M13-M16), with the stored statistics."""
+def denormalize_features(long: DataFrame, stats: DataFrame, named: bool = False) -> DataFrame:
+    """Every value back in physical units by its feature's kind (M13-M16), with the stored statistics. If ``named``, with
+    ``variable`` and ``level`` of the feature, made once per feature and not for each row."""
     b = humidity_bounds(stats).select(F.struct("q_min", "q_max")).scalar()
-    x = attach_stats(long, stats.select("feature", "mean", "std")).withColumns({"q_min": b["q_min"], "q_max": b["q_max"]})
-    return x.select(*[c for c in long.columns if c != "value"], P.denormalize("value", "feature", "mean", "std", "q_min", "q_max").alias("value"))
+    parts = stats.select("feature", "mean", "std", P.base_variable("feature").alias("variable"), P.feature_level("feature").alias("level"))
+    x = attach_stats(long.drop("variable", "level"), parts).withColumns({"q_min": b["q_min"], "q_max": b["q_max"]})
+    kept = [c for c in long.columns if c not in ("value", "variable", "level")] + (["variable", "level"] if named else [])
+    return x.select(*kept, P.denormalize("value", "variable", "mean", "std", "q_min", "q_max").alias("value"))
 
 
 def spherical_winds(long: DataFrame, grid: DataFrame, ids: Sequence[str], cell: Sequence[str] = ("lat_i", "lon_i")) -> DataFrame:
     """M3/M4 on a feature axis: Cartesian wind features become spherical ones under raw names, level by
     level with that level's temperature. ``grid``: (cell..., latitude, longitude); a cell outside it raises."""
-    ids = list(ids)
+    return _spherical(long.withColumns({"variable": P.base_variable("feature"), "level": P.feature_level("feature")}), grid, list(ids), cell).drop("variable")
+
+
+def _spherical(kind: DataFrame, grid: DataFrame, ids: list[str], cell: Sequence[str]) -> DataFrame:
+    """The same with ``variable`` and ``level`` at hand; ``variable`` stays."""
     wind = F.col("variable").isin(list(SPHERICAL_NAMES))
-    kind = long.withColumn("variable", P.base_variable("feature"))
-    rest = kind.where(~wind).select(*ids, "feature", "value")
-    inputs = kind.where(wind | (F.col("variable") == "temperature")).select(*ids, "feature", "value")
-    wide = to_wide(inputs, ids, [*SPHERICAL_NAMES, "temperature"])
+    rest = kind.where(~wind).select(*ids, "feature", "value", "variable")
+    wide = to_wide(kind.where(wind | (F.col("variable") == "temperature")), ids, [*SPHERICAL_NAMES, "temperature"], named=True)
     wide = join_all(wide, bounded_broadcast(grid.select(*cell, "latitude", "longitude")), cell, "coordinates")
     u, v, w = P.spherical_wind("wind_x", "wind_y", "wind_z", "temperature", "level", "latitude", "longitude")
     u10, v10 = P.spherical_wind_10m("wind_x_10m", "wind_y_10m", "latitude", "longitude")
@@ -58,11 +64,12 @@ def spherical_winds(long: DataFrame, grid: DataFrame, ids: Sequence[str], cell:
     there = {new: F.col(old).isNotNull() for old, new in SPHERICAL_NAMES.items()}
     pieces = F.array(*[F.struct(F.lit(n).alias("variable"), c.alias("value"), there[n].alias("there")) for n, c in made.items()])
     out = wide.select(*ids, "level", F.explode(pieces).alias("p")).where("p.there")
-    return rest.unionByName(out.select(*ids, P.feature_name(F.col("p.variable"), F.col("level")).alias("feature"), F.col("p.value").alias("value")))
+    return rest.unionByName(out.select(*ids, P.feature_name(F.col("p.variable"), F.col("level")).alias("feature"), F.col("p.value").alias("value"),
+                                       F.col("p.variable").alias("variable")))
 
 
 def postprocess(long: DataFrame, stats: DataFrame, grid: DataFrame, ids: Sequence[str], cell: Sequence[str] = ("lat_i", "lon_i"),
                 names: Mapping[str, str] | None = None) -> DataFrame:
     """Normalised features to physical values with spherical winds and, with ``names``, renamed variables."""
-    out = spherical_winds(denormalize_features(long, stats), grid, ids, cell)
-    return rename_variables(out, names) if names else out
+    out = _spherical(denormalize_features(long, stats, named=True), grid, list(ids), cell)
+    return (rename_variables(out, names) if names else out).drop("variable")

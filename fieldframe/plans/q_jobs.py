@@ -638,7 +638,7 @@ def c_postprocess(spark, d):
     normalisation (C1, M16) made of the raw table is undone."""
     raw = V.f3_raw(spark, d)
     fields = JB.stack_features(raw, None, ["cell"])
-    stats = FL.feature_stats(fields)
+    stats = JB.stored(FL.feature_stats(fields), "stats")  # read by both directions: taken once
     b = FL.humidity_bounds(stats).select(F.struct("q_min", "q_max")).scalar()
     x = J.attach_stats(fields, stats).withColumns({"q_min": b["q_min"], "q_max": b["q_max"]})
     normalised = x.select("time", "cell", "feature", P.normalize("value", "feature", "mean", "std", "q_min", "q_max").alias("value"))

@@ -15,6 +15,7 @@ from fieldframe.operators import fields as FL
 from fieldframe.operators import forcings as FO
 from fieldframe.operators import joins as J
 from fieldframe.operators import losses as L
+from fieldframe.operators import postprocess as PP
 from fieldframe.operators import samples as S
 from fieldframe.plans import jobs as JB
 from fieldframe.plans import rollout as RO
@@ -116,7 +117,6 @@ def test_rollout_resumes_after_the_last_whole_step(spark, tmp_path):
             assert np.allclose(step.prediction, z * step.ground.std(ddof=1) + step.ground.mean())
 
 
-def test_rollout_beyond_the_truth_raises(spark, tmp_path):
 def test_channels_by_time_and_by_cell_equal_their_product(spark):
     state = spark.createDataFrame([(60 * 6 * t, i, j, 1.0 * i + j) for t in range(4) for i in range(3) for j in range(2)], "m int, lat_i int, lon_i int, value double")
     state = state.select(at("m").alias("init_time"), F.lit(1).alias("step"), "lat_i", "lon_i", "value")
@@ -130,6 +130,7 @@ def test_channels_by_time_and_by_cell_equal_their_product(spark):
         J.refresh_exogenous(state, [times.where("a < 2"), cells], ["a", "b"]).collect()
 
 
+def test_rollout_beyond_the_truth_raises(spark, tmp_path):
     truth = _truth(spark, 24)
     exo = truth.select("time", "lat_i", "lon_i").distinct()
     analysis = truth.withColumnRenamed("time", "init_time")
@@ -158,6 +159,36 @@ def test_moments_of_rewritten_years_equal_a_full_pass(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(year" in plan(read)
 
 
+def test_radiation_of_a_distinct_axis_is_no_single_task(spark):
+    times = spark.createDataFrame([(k * 97,) for k in range(40)], "m int").select(at("m").alias("time")).distinct()
+    grid = spark.createDataFrame([(i, j, -90.0 + 18 * i, 36.0 * j) for i in range(11) for j in range(10)], "lat_i int, lon_i int, latitude double, longitude double")
+    got = FO.toa_radiation(times, grid)
+    assert got.rdd.getNumPartitions() >= 8 and got.count() == 40 * 110
+
+
+# ---- post-processing
+
+def test_feature_names_come_apart_as_by_the_pattern(spark):
+    names = ["temperature_h850", "specific_humidity_h50", "2m_temperature", "x_h", "x_h5_h6", "_h7", "h8", "10m_9", "", None]
+    df = spark.createDataFrame([(n,) for n in names], "feature string")
+    pattern = [F.regexp_replace("feature", r"_h\d+$", ""), F.nullif(F.regexp_extract("feature", r"_h(\d+)$", 1), F.lit("")).cast("int")]
+    assert df.select(P.base_variable("feature"), P.feature_level("feature")).collect() == df.select(*pattern).collect()
+
+
+def test_unstacking_is_one_aggregation_and_statistics_one_lookup(spark):
+    rows = [(k, f"{v}_h{lv}", float(k + lv)) for k in range(3) for v in ("wind_x", "wind_y", "wind_z", "temperature", "geopotential") for lv in (500, 850)]
+    long = spark.createDataFrame(rows, "time int, feature string, value double").withColumns({"lat_i": F.col("time"), "lon_i": F.lit(0)})
+    assert plan(FL.to_wide(long, ["time"], ["wind_x", "temperature"])).count("Exchange") == 1
+    stats = FL.feature_stats(long)
+    assert "BroadcastHashJoin" in plan(J.attach_stats(long, stats)) and J.attach_stats(long, stats).count() == len(rows)
+    with pytest.raises(Exception, match="several statistics for feature"):
+        J.attach_stats(long, stats.unionByName(stats)).collect()
+    grid = long.select("lat_i", "lon_i").distinct().withColumns({"latitude": F.lit(30.0), "longitude": 10.0 * F.col("lat_i")})
+    out = PP.postprocess(long.withColumn("value", F.lit(1.0)), stats, grid, ["time", "lat_i", "lon_i"], names={"temperature": "air_temperature"})
+    assert out.columns == ["time", "lat_i", "lon_i", "feature", "value"]
+    assert {r.feature for r in out.collect()} == {f"{v}_h{lv}" for v in ("u_component_of_wind", "v_component_of_wind", "vertical_velocity", "air_temperature", "geopotential") for lv in (500, 850)}
+
+
 # ---- as-of merge
 
 @pytest.mark.parametrize("parts", [1, 7, 50])
@@ -312,11 +343,6 @@ def test_replayed_batch_changes_nothing(spark, tmp_path):
     assert IO.read_forecast(spark, path).count() == 9
 
 
-def test_names_of_fixed_angles():
-    """Angle addition as the radiation uses it."""
-    a, b = 0.7, 2.1
-    assert np.cos(a + b) == pytest.approx(np.cos(a) * np.cos(b) - np.sin(a) * np.sin(b))
-    assert len(P.gauss_legendre(FO.NODES)) == FO.NODES
 def test_stream_makes_few_folders_and_one_file_an_init_time(spark, tmp_path):
     path = str(tmp_path / "store")
     write = SF._write_batch(path, 6, None)
@@ -328,3 +354,8 @@ def test_stream_makes_few_folders_and_one_file_an_init_time(spark, tmp_path):
     assert {r.value for r in IO.read_forecast(spark, path).collect()} == {2.0, 3.0, 4.0}
 
 
+def test_names_of_fixed_angles():
+    """Angle addition as the radiation uses it."""
+    a, b = 0.7, 2.1
+    assert np.cos(a + b) == pytest.approx(np.cos(a) * np.cos(b) - np.sin(a) * np.sin(b))
+    assert len(P.gauss_legendre(FO.NODES)) == FO.NODES
