@@ -35,13 +35,16 @@ def write_yearly(df: DataFrame, out: str, year_col: str = "year", time_col: str
     """One overwrite per year: dynamic partition overwrite, files time-ordered within a year, so time
     predicates skip row groups via parquet min/max. ``ordered`` says that ``df`` comes from
     :func:`time_ordered` rows, for instance with several rows made of each since."""
-    (
-        (df if ordered else time_ordered(df, year_col, time_col))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(year_col)
-        .parquet(out)
-    )
+    rows = df if ordered else time_ordered(df, year_col, time_col)
+    conf, writers = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(writers)
+    # a task holds a few neighbouring years, each with a file of its own open: rows need no second sort, by year, of
+    # all that was stacked, which would also lose their time order
+    conf.set(writers, "8")
+    try:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(year_col).parquet(out)
+    finally:
+        conf.set(writers, before)
 
 
 def read_fields(spark: SparkSession, root: str) -> DataFrame:
