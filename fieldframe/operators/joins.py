@@ -49,14 +49,13 @@ def join_all(df: DataFrame, side: DataFrame, on: Sequence[str], what: str) -> Da
 def attach_stats(df: DataFrame, stats: DataFrame, on: str = "feature") -> DataFrame:
     """Per-feature statistics by feature name, raising on a feature without any.
 
-    The statistics hold one row per catalogue feature, which bounds the broadcast side wherever they come
-    from; a feature with several rows raises. The field table is not shuffled, and a row costs one hash
-    lookup: a map would be searched key by key.
+    The statistics (one row per catalogue feature) become one map in a scalar subquery, wherever they come
+    from, and its entries the broadcast side of a join: the field table is not shuffled, and a row costs
+    one hash lookup, where the map itself would be searched key by key.
     """
     values = [c for c in stats.columns if c != on]
-    several = F.raise_error(F.concat(F.lit("several statistics for feature "), F.col("_on")))
-    side = stats.where(F.col(on).isNotNull()).groupBy(F.col(on).alias("_on")).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*values)).alias("_stats"))
-    side = side.select("_on", F.when(F.col("_n") > 1, several.cast(side.schema["_stats"].dataType)).otherwise(F.col("_stats")).alias("_stats"))
+    table = stats.agg(F.map_from_entries(F.collect_list(F.struct(F.col(on), F.struct(*values)))).alias("m")).scalar()
+    side = df.sparkSession.range(1).select(table.alias("m")).select(F.explode("m").alias("_on", "_stats"))
     missing = F.raise_error(F.concat(F.lit("no statistics for feature "), F.coalesce(F.col(on), F.lit("NULL"))))
     out = df.join(F.broadcast(side), F.col(on) == F.col("_on"), "left")
     out = out.withColumn("_stats", F.coalesce(F.col("_stats"), missing.cast(side.schema["_stats"].dataType)))

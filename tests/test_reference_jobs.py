@@ -181,7 +181,7 @@ def test_unstacking_is_one_aggregation_and_statistics_one_lookup(spark):
     assert plan(FL.to_wide(long, ["time"], ["wind_x", "temperature"])).count("Exchange") == 1
     stats = FL.feature_stats(long)
     assert "BroadcastHashJoin" in plan(J.attach_stats(long, stats)) and J.attach_stats(long, stats).count() == len(rows)
-    with pytest.raises(Exception, match="several statistics for feature"):
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
         J.attach_stats(long, stats.unionByName(stats)).collect()
     grid = long.select("lat_i", "lon_i").distinct().withColumns({"latitude": F.lit(30.0), "longitude": 10.0 * F.col("lat_i")})
     out = PP.postprocess(long.withColumn("value", F.lit(1.0)), stats, grid, ["time", "lat_i", "lon_i"], names={"temperature": "air_temperature"})
